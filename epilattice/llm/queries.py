@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import rotate_perspectives
 from .decontaminate import decontaminate
+from .substrings import dedup_substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", spans)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -59,5 +65,21 @@ SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (WHERE own) AS
 FROM s GROUP BY 1, 2
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op6_chat": op6_chat}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL}
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM rep),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.p = x.p) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op6_chat": op6_chat, "op7_substrings": op7_substrings}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL}
