@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import rotate_perspectives
 from .decontaminate import decontaminate
+from .jaccard import jaccard_join
 from .substrings import dedup_substrings
 
 
@@ -28,6 +29,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("_th")
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -81,5 +86,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op6_chat": op6_chat, "op7_substrings": op7_substrings}
-ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.y FROM reach JOIN link ON reach.b = link.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) ON a = d.doc_id
+"""
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op6_chat": op6_chat,
+    "op7_substrings": op7_substrings,
+    "op9_jaccard": op9_jaccard,
+}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL, "op9_jaccard": OP9_SQL}
