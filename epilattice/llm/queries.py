@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import rotate_perspectives
 from .decontaminate import decontaminate
 from .jaccard import jaccard_join
+from .lines import dedup_lines
 from .substrings import dedup_substrings
 
 
@@ -19,6 +20,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_th")
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
     return rotate_perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", spans)
@@ -103,6 +109,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP B
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lines": op2_lines,
     "op6_chat": op6_chat,
     "op7_substrings": op7_substrings,
     "op9_jaccard": op9_jaccard,
