@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .chat import rotate_perspectives
 from .decontaminate import decontaminate
 from .jaccard import jaccard_join
+from .language import fit, held_out, identify
 from .lines import dedup_lines
+from .resample import resample
 from .substrings import dedup_substrings
 
 
@@ -39,6 +41,16 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("_th")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = fit(docs.where("NOT held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op8_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -112,6 +124,8 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op6_chat": op6_chat,
     "op7_substrings": op7_substrings,
+    "op8_resample": op8_resample,
     "op9_jaccard": op9_jaccard,
+    "op10_language": op10_language,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL, "op9_jaccard": OP9_SQL}
