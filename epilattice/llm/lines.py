@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link_components
+from .linking import link_components, packed_sets, set_schema
 from .shared import settle
 from .textops import BASES, hashed, mix, prefix, steps
 
@@ -73,7 +73,7 @@ def line_bands(size: int, bands: int, per_band: int):
     return run
 
 
-def line_sets(size: int):
+def line_sets(size: int, sign: bool):
     def run(batches):
         for batch in batches:
             for row, data, offs in steps(batch.column("line")):
@@ -82,11 +82,7 @@ def line_sets(size: int):
                 order = np.lexsort((h, line))
                 h, line = h[order], line[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])[: len(h)]
-                h, line = h[new], line[new]
-                at = np.searchsorted(line, np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(row, n), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "tokens"]
-                )
+                yield packed_sets(batch.column("id").slice(row, n), h[new], np.searchsorted(line[new], np.arange(n + 1)), sign)
 
     return run
 
@@ -108,11 +104,11 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_ba
     postings = broken.select("id", "line").mapInArrow(line_bands(size, bands, per_band), "id long, bands array<long>")
     postings = postings.groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")
 
-    def fetch(ids: DataFrame) -> DataFrame:
+    def fetch(ids: DataFrame, sign: bool) -> DataFrame:
         ids = settle(ids)
         small = ids.count() <= BROADCAST_IDS
-        rows = broken.select("id", "line").join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
-        return rows.mapInArrow(line_sets(size), "id long, tokens array<long>")
+        rows = broken.select("id", "line").join(F.broadcast(ids) if small else ids, "id")
+        return rows.mapInArrow(line_sets(size, sign), set_schema(sign)).dropDuplicates(["id"])
 
     groups = link_components(postings, fetch)
     joined = lines.join(groups, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component", "id")

@@ -14,30 +14,60 @@ LIKE = 80
 #: Sets that one task compares at once; larger blocks are cut into chunks and all of their pairs still considered.
 CHUNK = 1024
 LEAF = 8
+#: A signature has about two bits for each token, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+
+
+def packed_sets(ids: pa.Array, code: np.ndarray, at: np.ndarray, sign: bool) -> pa.RecordBatch:
+    """Sets (sorted tokens code[at[i]:at[i + 1]]) as rows of (id, tokens), or of (id, n, low, bits) for signatures."""
+    if not sign:
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(code.view(np.int64)))], names=["id", "tokens"])
+    n = np.diff(at)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    base = np.concatenate([[0], np.cumsum(width // 8)])
+    flat = np.zeros(base[-1], np.uint8)
+    owner = np.repeat(np.arange(len(n)), n)
+    bit = (code & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(flat, base[owner] + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    low = np.zeros(len(n), np.int64)
+    low[n > 0] = code.view(np.int64)[at[:-1][n > 0]]
+    bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(flat)])
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(low), bits], names=["id", "n", "low", "bits"])
+
+
+def set_schema(sign: bool) -> str:
+    return "id long, n long, low long, bits binary" if sign else "id long, tokens array<long>"
 
 
 class Tree:
-    """A signature tree: leaves hold LEAF similar sets, each node the OR of its sets' bitmaps and their size range."""
+    """A signature tree: leaves hold LEAF sets side by side, each node the OR of its sets' bitmaps and their size range.
+
+    low is each set's smallest token, a min-hash: ordered by it, similar sets come to lie together.
+    """
 
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray, width: int):
-        size = np.array([len(sets[i]) for i in members])
-        low = np.array([sets[i][0] if len(sets[i]) else 0 for i in members])
-        # sets are sorted, so their first token is a min-hash: similar sets come to lie side by side
+    def __init__(self, members: np.ndarray, bits: np.ndarray, size: np.ndarray, low: np.ndarray):
         order = np.lexsort((size, low))
-        self.members, self.size = members[order], size[order]
-        self.bits = np.zeros((len(members), width // 64), np.uint64)
-        for row, i in enumerate(self.members):
-            bit = sets[i].view(np.uint64) & np.uint64(width - 1)
-            np.bitwise_or.at(self.bits[row], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        self.spare = self.size - np.bitwise_count(self.bits).sum(axis=1)  # tokens that share a bit with another
-        self.levels = [(self.bits, self.size, self.size, self.spare)]
-        while len(self.levels[-1][1]) > 1 or len(self.levels) == 1:
-            bits, low, high, spare = self.levels[-1]
-            cut = np.arange(0, len(low), LEAF)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut)))
+        self.members, bits, size = members[order], bits[order], size[order]
+        spare = size - np.bitwise_count(bits).sum(axis=1)  # tokens that share a bit with another one
+        self.levels = [(bits, size, size, spare)]
+        while len(self.levels) == 1 or len(self.levels[-1][1]) > 1:
+            self._lift()
+
+    def _lift(self) -> None:
+        bits, low, high, spare = self.levels[-1]
+        cut = np.arange(0, len(low), LEAF)
+        self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut)))
+
+    def raise_to(self, levels: int) -> Tree:
+        while len(self.levels) < levels:
+            self._lift()
+        return self
+
+    def below(self, level: int, node: int) -> range:
+        return range(node * LEAF, min(node * LEAF + LEAF, len(self.levels[level - 1][1])))
 
     def may_link(self, level: int, a: int, other: Tree, b: int) -> bool:
-        """Whether two nodes' sets can reach the similarity: sizes compatible, and overlap not bounded below it."""
+        """Whether sets of two nodes can reach the similarity: sizes compatible, and overlap not bounded below it."""
         bits_a, low_a, high_a, spare_a = (x[a] for x in self.levels[level])
         bits_b, low_b, high_b, spare_b = (x[b] for x in other.levels[level])
         if 100 * high_a < LIKE * low_b or 100 * high_b < LIKE * low_a:
@@ -46,104 +76,189 @@ class Tree:
         return (100 + LIKE) * most >= LIKE * int(low_a + low_b)
 
 
+def traverse(a: Tree, b: Tree, done, visit) -> None:
+    """Dual traversal: visit(x, y) for the members that no bound rules out; done(rows of a, rows of b) prunes leaves."""
+    top = max(len(a.levels), len(b.levels))
+    a.raise_to(top), b.raise_to(top)
+    todo = [(top - 1, 0, 0)]
+    while todo:
+        level, i, j = todo.pop()
+        if level == 1 and done(a.members[list(a.below(1, i))], b.members[list(b.below(1, j))]):
+            continue
+        if not a.may_link(level, i, b, j):
+            continue
+        pairs = [(x, y) for x in a.below(level, i) for y in b.below(level, j) if a is not b or x <= y]
+        if level > 1:
+            # pairs near the diagonal come first: they settle what most others hold
+            todo.extend((level - 1, x, y) for x, y in sorted(pairs, key=lambda p: -abs(p[0] - p[1])))
+        else:
+            for x, y in pairs:
+                if (a is not b or x < y) and a.may_link(0, x, b, y):
+                    visit(a.members[x], b.members[y])
+
+
+def by_width(members: np.ndarray, bits: list[bytes], size: np.ndarray, low: np.ndarray, right: np.ndarray | None = None):
+    """Pairs of trees that cover all pairs whose sizes allow a link. Widths differ by a factor of two at most where
+    sizes are compatible; the wider bitmap is folded."""
+    width = np.array([len(x) for x in bits])
+    one = right is None
+    right = members if one else right
+
+    def tree(of, w, fold):
+        m = np.frombuffer(b"".join(bits[i] for i in of), np.uint64).reshape(len(of), -1)
+        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :] if fold else m
+        return Tree(of, m, size[of], low[of])
+
+    for w in sorted({*width[members], *width[right]}):
+        here, there = members[width[members] == w], right[width[right] == w]
+        if len(here) and len(there):
+            t = tree(here, w, False)
+            yield t, (t if one else tree(there, w, False))
+        for x, y, swap in ((here, right[width[right] == 2 * w], False), *([] if one else [(there, members[width[members] == 2 * w], True)])):
+            if len(x) and len(y):
+                p, q = tree(x, w, False), tree(y, w, True)
+                yield (q, p) if swap else (p, q)
+
+
+def promising(bits: list[bytes], size: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which sets have a partner that their signatures do not rule out."""
+    found = np.zeros(len(size), bool)
+
+    def visit(x, y):
+        found[x] = found[y] = True
+
+    for a, b in by_width(np.arange(len(size)), bits, size, low):
+        traverse(a, b, lambda p, q: found[p].all() and found[q].all(), visit)
+    return found
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= LIKE * (len(a) + len(b) - both)
 
 
-def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
-    """Links between left and right members that, with the components already known, connect all that link.
-
-    A dual traversal of two signature trees; a pair that is connected already is not compared again.
-    """
-    most = max((len(s) for s in sets), default=1)
-    width = 256
-    while width < 2 * most and width < 1 << 16:
-        width *= 2
+def tree_links(sets: list[np.ndarray], bits: list[bytes], low: np.ndarray, side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    """Links among side 0 and between side 0 and side 1 that, with the components already known, connect all that
+    link. A pair that is connected already is not compared again."""
+    size = np.array([len(s) for s in sets])
     root = known.copy()
-    a = Tree(sets, left, width)
-    b = a if right is left else Tree(sets, right, width)
-    while len(a.levels) < len(b.levels):
-        a.levels.append(a.levels[-1])
-    while len(b.levels) < len(a.levels):
-        b.levels.append(b.levels[-1])
     out: list[tuple[int, int]] = []
-    todo = [(len(a.levels) - 1, 0, 0)]
-    while todo:
-        level, i, j = todo.pop()
-        if level > 1:
-            if not a.may_link(level, i, b, j):
-                continue
-            below = [t.levels[level - 1][1].shape[0] for t in (a, b)]
-            same = [t.levels[level][1].shape[0] == n for t, n in zip((a, b), below, strict=True)]  # a level put on top
-            kids = [[k] if s else range(k * LEAF, min(k * LEAF + LEAF, n)) for k, s, n in zip((i, j), same, below, strict=True)]
-            pairs = [(level - 1, x, y) for x in kids[0] for y in kids[1] if a is not b or x <= y]
-            # pairs near the diagonal come first: they connect what most others hold
-            todo.extend(sorted(pairs, key=lambda p: -abs(p[1] - p[2])))
-            continue
-        rows = [np.arange(k * LEAF, min(k * LEAF + LEAF, len(t.size))) for k, t in ((i, a), (j, b))]
-        apart = root[a.members[rows[0]]][:, None] != root[b.members[rows[1]]][None, :]
-        if not apart.any() or not a.may_link(1, i, b, j):
-            continue
-        for x, y in zip(*np.nonzero(apart), strict=True):
-            p, q = rows[0][x], rows[1][y]
-            s, t = a.members[p], b.members[q]
-            if root[s] != root[t] and a.may_link(0, p, b, q) and similar(sets[s], sets[t]):
-                out.append((s, t))
-                root[root == root[t]] = root[s]
+
+    def done(p, q):
+        first = root[p[0]]
+        return bool((root[p] == first).all() and (root[q] == first).all())
+
+    def visit(x, y):
+        if root[x] != root[y] and similar(sets[x], sets[y]):
+            out.append((x, y))
+            root[root == root[y]] = root[x]
+
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for others in (None, right):
+        if len(left) and (others is None or len(others)):
+            for a, b in by_width(left, bits, size, low, others):
+                traverse(a, b, done, visit)
     return out
 
 
-def _link_group(table: pa.Table) -> pa.Table:
-    """Links inside one group of rows (id, side, comp, tokens): all against all, or side 0 against sides 0 and 1."""
-    ids = table.column("id").to_numpy()
-    tokens = table.column("tokens").combine_chunks()
-    offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
-    sets = [flat[offs[i] : offs[i + 1]] for i in range(len(ids))]
-    side = table.column("side").to_numpy()
-    known = table.column("comp").to_numpy().copy()
-    left = np.flatnonzero(side == 0)
-    links = tree_links(sets, left, left, known) if len(left) else []
-    if len(left) < len(ids) and len(left):
-        for s, t in links:
-            known[known == known[t]] = known[s]
-        links = links + tree_links(sets, left, np.flatnonzero(side == 1), known)
-    u, v = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
-    return pa.table({"u": ids[u], "v": ids[v]})
+def groups(batches, keys: list[str]):
+    """Runs of equal keys in sorted Arrow batches, as tables; a run may span batches."""
+    rest: list[pa.RecordBatch] = []
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[s] for c in cols)
+            if held is not None and key != held:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            held = key
+            rest.append(batch.slice(s, e - s))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _sign(sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    b = packed_sets(pa.array(np.zeros(len(sets), np.int64)), np.concatenate(sets).view(np.uint64), at, True)
+    return b.column("bits").to_pylist(), b.column("low").to_numpy()
+
+
+def _keep_promising(batches):
+    for t in groups(batches, ["centre", "part"]):
+        keep = promising(t.column("bits").to_pylist(), t.column("n").to_numpy(), t.column("low").to_numpy())
+        if keep.any():
+            yield from t.select(["centre", "part", "id"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _link(keys: list[str]):
+    def run(batches):
+        for t in groups(batches, keys):
+            ids = t.column("id").to_numpy()
+            tokens = t.column("tokens").combine_chunks()
+            offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
+            sets = [flat[offs[i] : offs[i + 1]].view(np.uint64) for i in range(len(ids))]
+            links = tree_links(sets, *_sign(sets), t.column("side").to_numpy(), t.column("comp").to_numpy())
+            if links:
+                u, v = (np.array([x[k] for x in links]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    return run
 
 
 def link_components(postings: DataFrame, fetch, chunk: int = CHUNK) -> DataFrame:
     """(id, component) of all sets that link with another one; component is the smallest id of its group.
 
-    postings(key long, id long): sets that can link share a key.
-    fetch(ids DataFrame) -> (id, tokens array<long> sorted): the sets themselves, asked for only where needed.
+    postings(key long, id long): sets that can link share a key. fetch(ids, sign) gives, for a table of ids, the sets
+    themselves or their signatures (packed_sets); it is asked only for what is needed.
 
     A key's sets go to the block of the smallest id among them, so every pair that shares a key meets in a block,
-    once for many keys. A block beyond `chunk` sets is compared chunk by chunk, each with the block's centre; then
-    what is not connected to the block's largest component is compared, chunk by chunk, with everything in the block.
+    once for many keys. Signature trees first tell which sets of a block have a possible partner at all; only those
+    are fetched whole and compared. A block beyond `chunk` sets is cut: first each chunk is compared with itself and
+    the block's centre; then what is not connected to the block's largest component is compared, chunk by chunk, with
+    everything else in the block.
     """
     dealt = postings.repartition("key")
     shared = dealt.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_top")).where("centre < _top").drop("_top")
-    blocks = dealt.join(shared.hint("shuffle_hash"), "key").where("id <> centre").select("centre", "id").distinct()
-    blocks = settle(blocks)
-    counts = blocks.groupBy("centre").agg((F.count("*") + 1).alias("members"))
-    blocks = blocks.join(counts, "centre")
-    cut = F.ceil(F.col("members") / chunk).cast("int")
-    members = blocks.select("centre", "id", "members", F.pmod(F.xxhash64("id"), cut).cast("int").alias("part"))
-    centres = counts.select("centre", F.col("centre").alias("id"), "members", F.explode(F.sequence(F.lit(0), cut - 1)).alias("part"))
-    members = settle(members.unionByName(centres))
-    sets = settle(fetch(members.select("id").distinct()))
-
-    def compare(groups: DataFrame, by: list[str]) -> DataFrame:
-        return groups.join(sets, "id").select(*by, "id", "side", "comp", "tokens").groupBy(*by).applyInArrow(_link_group, "u long, v long")
-
-    first = settle(compare(members.select("centre", "part", "id", F.lit(0).alias("side"), F.col("id").alias("comp")), ["centre", "part"]))
+    blocks = settle(dealt.join(shared.hint("shuffle_hash"), "key").where("id <> centre").select("centre", "id").distinct())
+
+    def cut_up(blocks: DataFrame) -> DataFrame:
+        """(centre, part, id): each block's members dealt to its chunks, the centre being in all of them."""
+        counts = blocks.groupBy("centre").agg((F.count("*") + 1).alias("members"))
+        parts = F.ceil(F.col("members") / chunk).cast("int")
+        dealt = blocks.join(counts, "centre").select("centre", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "id", "members")
+        centres = counts.select("centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("centre").alias("id"), "members")
+        return dealt.unionByName(centres)
+
+    def sorted_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys)
+
+    members = settle(cut_up(blocks))
+    signatures = settle(fetch(members.select("id").distinct(), True))
+    # a set whose partners are all in other chunks of a large block must stay, so only whole blocks are thinned out
+    whole, large = members.where(F.col("members") <= chunk), members.where(F.col("members") > chunk)
+    thin = sorted_groups(whole.join(signatures, "id").select("centre", "part", "id", "n", "low", "bits"), ["centre", "part"])
+    thin = thin.mapInArrow(_keep_promising, "centre long, part int, id long")
+    members = settle(thin.union(large.select("centre", "part", "id")))
+    large = settle(large.select("centre", "id").distinct())
+    sets = settle(fetch(members.select("id").distinct(), False))
+
+    def compare(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = df.join(sets, "id").select(*keys, "id", "side", "comp", "tokens")
+        return settle(sorted_groups(rows, keys).mapInArrow(_link(keys), "u long, v long"))
+
+    first = compare(members.select("centre", "part", "id", F.lit(0).alias("side"), F.col("id").alias("comp")), ["centre", "part"])
     found = settle(components(first))
-    if members.where(F.col("members") > chunk).limit(1).count() == 0:
+    if large.isEmpty():
         return found
 
     # large blocks: the components in each, the largest of them, and all others against everything
-    large = members.where(F.col("members") > chunk).select("centre", "id").distinct()
     large = settle(large.join(found, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("comp")))
     weight = large.groupBy("centre", "comp").agg(F.count("*").alias("w"))
     main = weight.groupBy("centre").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.sum("w").alias("all"), F.max("w").alias("of_main"))
@@ -152,12 +267,14 @@ def link_components(postings: DataFrame, fetch, chunk: int = CHUNK) -> DataFrame
     rest = large.where("comp <> main").withColumn("own", F.pmod(F.xxhash64("id"), "a_parts").cast("int"))
     bulk = large.where("comp = main").withColumn("own", F.pmod(F.xxhash64("id"), "b_parts").cast("int"))
     # group (x, y), x <= y: chunks x and y of the rest; group (x, -1 - y): chunk x of the rest, chunk y of the bulk
-    groups = (
-        rest.select("centre", "id", "comp", F.explode(F.expr("transform(sequence(own, a_parts - 1), y -> struct(own AS x, y AS y, 0 AS side))")).alias("g"))
-        .union(rest.where("own > 0").select("centre", "id", "comp", F.explode(F.expr("transform(sequence(0, own - 1), x -> struct(x AS x, own AS y, 1 AS side))"))))
-        .union(rest.select("centre", "id", "comp", F.explode(F.expr("transform(sequence(0, b_parts - 1), y -> struct(own AS x, -1 - y AS y, 0 AS side))"))))
-        .union(bulk.select("centre", "id", "comp", F.explode(F.expr("transform(sequence(0, a_parts - 1), x -> struct(x AS x, -1 - own AS y, 1 AS side))"))))
-        .select("centre", "id", "comp", "g.x", "g.y", "g.side")
+    deals = (
+        (rest, "transform(sequence(own, a_parts - 1), y -> struct(own AS x, y AS y, 0 AS side))"),
+        (rest.where("own > 0"), "transform(sequence(0, own - 1), x -> struct(x AS x, own AS y, 1 AS side))"),
+        (rest, "transform(sequence(0, b_parts - 1), y -> struct(own AS x, -1 - y AS y, 0 AS side))"),
+        (bulk, "transform(sequence(0, a_parts - 1), x -> struct(x AS x, -1 - own AS y, 1 AS side))"),
     )
-    second = settle(compare(groups, ["centre", "x", "y"]))
-    return settle(components(first.union(second)))
+    pairs = None
+    for df, deal in deals:
+        own = df.select("centre", "id", "comp", F.explode(F.expr(deal)).alias("g")).select("centre", "id", "comp", "g.x", "g.y", "g.side")
+        pairs = own if pairs is None else pairs.unionByName(own)
+    return settle(components(first.union(compare(pairs, ["centre", "x", "y"]))))

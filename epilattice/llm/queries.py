@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import rotate_perspectives
 from .decontaminate import decontaminate
+from .fingerprint import fingerprints
 from .jaccard import jaccard_join
 from .language import fit, held_out, identify
 from .lines import dedup_lines
@@ -51,6 +52,10 @@ def op8_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -122,6 +127,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP B
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
+    "op3_fingerprints": op3_fingerprints,
     "op6_chat": op6_chat,
     "op7_substrings": op7_substrings,
     "op8_resample": op8_resample,
