@@ -24,9 +24,8 @@ BROADCAST_IDS = 1_000_000
 
 def char_shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` characters (code points), line by line, with each one's line. Shorter: all as one."""
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    ends = np.append(heads, len(data))
-    first = np.searchsorted(heads, offs)
+    ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first = np.searchsorted(ends, offs)
     counts = np.diff(first)
     width = np.minimum(counts, size)
     n = np.where(counts > 0, counts - width + 1, 0)
@@ -40,7 +39,8 @@ def signatures(h: np.ndarray, line: np.ndarray, n_lines: int, bins: int) -> np.n
     """One-permutation MinHash: the smallest hash in each bin; an empty bin borrows from a full one chosen by hashing."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n_lines * bins, empty, np.uint64)
-    np.minimum.at(sig, line * bins + ((h >> np.uint64(32)) % np.uint64(bins)).astype(np.int64), mix(h))
+    place = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(sig, line * bins + place, h * np.uint64(BASES[1]))
     sig = sig.reshape(n_lines, bins)
     filled, attempt = sig.copy(), 0
     line, column = np.nonzero(sig == empty)
@@ -57,6 +57,8 @@ def signatures(h: np.ndarray, line: np.ndarray, n_lines: int, bins: int) -> np.n
 def line_bands(size: int, bands: int, per_band: int):
     def run(batches):
         for batch in batches:
+            # equal lines of a batch need one signature
+            batch = batch.take(pa.array(np.unique(batch.column("id").to_numpy(), return_index=True)[1]))
             for row, data, offs in steps(batch.column("line")):
                 n = len(offs) - 1
                 h, line = char_shingles(data, offs, size)
@@ -101,8 +103,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_ba
     broken = broken.withColumn("id", F.xxhash64("line")).where(F.trim("line") != "")
     lines = settle(broken.select("doc_id", "_th", "no", "id"))
 
-    postings = broken.select("id", "line").mapInArrow(line_bands(size, bands, per_band), "id long, bands array<long>")
-    postings = postings.groupBy("id").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "id")
+    signed = settle(broken.select("id", "line").mapInArrow(line_bands(size, bands, per_band), "id long, bands array<long>"))
 
     def fetch(ids: DataFrame, sign: bool) -> DataFrame:
         ids = settle(ids)
@@ -110,7 +111,7 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_ba
         rows = broken.select("id", "line").join(F.broadcast(ids) if small else ids, "id")
         return rows.mapInArrow(line_sets(size, sign), set_schema(sign)).dropDuplicates(["id"])
 
-    groups = link_components(postings, fetch)
+    groups = link_components(signed.select(F.explode("bands").alias("key"), "id"), fetch, spent=(signed,))
     joined = lines.join(groups, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component", "id")
     place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_th", "no")
     first = joined.groupBy("_g").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f._th").alias("_t"), F.col("f.no").alias("no"))

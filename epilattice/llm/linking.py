@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, settle
+from .shared import components, discard, settle
 
 #: Two sets link when 100 * intersection >= LIKE * union.
 LIKE = 80
@@ -212,11 +212,12 @@ def _link(keys: list[str]):
     return run
 
 
-def link_components(postings: DataFrame, fetch, chunk: int = CHUNK) -> DataFrame:
+def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(id, component) of all sets that link with another one; component is the smallest id of its group.
 
     postings(key long, id long): sets that can link share a key. fetch(ids, sign) gives, for a table of ids, the sets
-    themselves or their signatures (packed_sets); it is asked only for what is needed.
+    themselves or their signatures (packed_sets); it is asked only for what is needed. Settled tables in spent feed
+    the postings alone and are removed once those have been read.
 
     A key's sets go to the block of the smallest id among them, so every pair that shares a key meets in a block,
     once for many keys. Signature trees first tell which sets of a block have a possible partner at all; only those
@@ -224,9 +225,10 @@ def link_components(postings: DataFrame, fetch, chunk: int = CHUNK) -> DataFrame
     the block's centre; then what is not connected to the block's largest component is compared, chunk by chunk, with
     everything else in the block.
     """
-    dealt = postings.repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_top")).where("centre < _top").drop("_top")
-    blocks = settle(dealt.join(shared.hint("shuffle_hash"), "key").where("id <> centre").select("centre", "id").distinct())
+    # aggregated before it is dealt, then joined, so that a key of many sets is split and not one task's work
+    shared = postings.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    blocks = settle(postings.join(shared.hint("shuffle_hash"), "key").where("id <> centre").select("centre", "id").distinct())
+    discard(*spent)
 
     def cut_up(blocks: DataFrame) -> DataFrame:
         """(centre, part, id): each block's members dealt to its chunks, the centre being in all of them."""
