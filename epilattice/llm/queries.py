@@ -12,9 +12,14 @@ from .jaccard import jaccard_join
 from .language import fit, held_out, identify
 from .lines import dedup_lines
 from .resample import resample
+from .sentencepiece_fst import decode, encode
 from .substrings import dedup_substrings
 
 
+#: The public vocabulary that the tokeniser query uses.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,6 +61,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = VOCABULARY) -> DataFrame:
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file), model_file)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -128,6 +142,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
     "op3_fingerprints": op3_fingerprints,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_chat": op6_chat,
     "op7_substrings": op7_substrings,
     "op8_resample": op8_resample,
