@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import rotate_perspectives
 from .decontaminate import decontaminate
+from .extract import extract, train
 from .fingerprint import fingerprints
 from .jaccard import jaccard_join
 from .language import fit, held_out, identify
@@ -70,6 +71,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = VOCABU
     )
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, train(pages)).drop("html")
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -143,6 +149,7 @@ QUERIES = {
     "op2_lines": op2_lines,
     "op3_fingerprints": op3_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_extract": op5_extract,
     "op6_chat": op6_chat,
     "op7_substrings": op7_substrings,
     "op8_resample": op8_resample,
