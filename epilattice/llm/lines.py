@@ -19,20 +19,47 @@ from .textops import BASES, hashed, mix, prefix, steps
 
 #: Shingles of eight characters; 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998.
 SHINGLE, BANDS, PER_BAND = 8, 12, 4
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 def char_shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` characters (code points), line by line, with each one's line. Shorter: all as one."""
-    ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    first = np.searchsorted(ends, offs)
-    counts = np.diff(first)
-    width = np.minimum(counts, size)
-    n = np.where(counts > 0, counts - width + 1, 0)
-    line = np.repeat(np.arange(len(counts)), n)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + first[line]
-    pre = prefix(data.astype(np.uint64) + np.uint64(1), BASES[0])
-    return hashed(ends[at], ends[at + width[line]], pre, BASES[0]), line
+    if (data < 0x80).all():
+        points = data.astype(np.uint64)
+    else:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        heads = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+        offs = heads[offs]
+    points += np.uint64(1)
+    counts = np.diff(offs)
+    n = np.maximum(counts - size + 1, 0)
+    # polynomials of runs twice as long from shorter ones; what crosses a line's end is not taken
+    h, have = points, 1
+    while have < size:
+        step = min(have, size - have)
+        h = h[: len(h) - step] * np.uint64(pow(BASES[0], step, 2**64)) + (h if step == have else _runs(points, step))[have:][: len(h) - step]
+        have += step
+    starts = np.zeros(len(h) + 1, np.int8)
+    full = np.flatnonzero(n)
+    np.add.at(starts, offs[:-1][full], 1)
+    np.add.at(starts, offs[:-1][full] + n[full], -1)
+    h = mix(h[np.cumsum(starts[:-1], dtype=np.int8) > 0])
+    line = np.repeat(np.arange(len(n)), n)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if len(short):
+        # one shingle each, of its own length
+        pre = prefix(points, BASES[0])
+        h = np.concatenate([h, hashed(offs[:-1][short], offs[1:][short], pre, BASES[0])])
+        line = np.concatenate([line, short])
+    return h, line
+
+
+def _runs(points: np.ndarray, size: int) -> np.ndarray:
+    h = points[: len(points) - size + 1]
+    for k in range(1, size):
+        h = h * np.uint64(BASES[0]) + points[k : len(points) - size + 1 + k]
+    return h
 
 
 def signatures(h: np.ndarray, line: np.ndarray, n_lines: int, bins: int) -> np.ndarray:
@@ -108,10 +135,10 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_ba
     def fetch(ids: DataFrame, sign: bool) -> DataFrame:
         ids = settle(ids)
         small = ids.count() <= BROADCAST_IDS
-        rows = broken.select("id", "line").join(F.broadcast(ids) if small else ids, "id")
-        return rows.mapInArrow(line_sets(size, sign), set_schema(sign)).dropDuplicates(["id"])
+        rows = broken.select("id", "line").join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
+        return rows.mapInArrow(line_sets(size, sign), set_schema(sign))
 
-    groups = link_components(signed.select(F.explode("bands").alias("key"), "id"), fetch, spent=(signed,))
+    groups = link_components(signed.select(F.explode("bands").alias("key"), "id"), fetch, spent=(signed,), sign=False)
     joined = lines.join(groups, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component", "id")
     place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_th", "no")
     first = joined.groupBy("_g").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f._th").alias("_t"), F.col("f.no").alias("no"))

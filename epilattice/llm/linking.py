@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,6 +125,17 @@ def by_width(members: np.ndarray, bits: list[bytes], size: np.ndarray, low: np.n
 def promising(bits: list[bytes], size: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Which sets have a partner that their signatures do not rule out."""
     found = np.zeros(len(size), bool)
+    if len(size) == 2:
+        a, b = bits if len(bits[0]) <= len(bits[1]) else bits[::-1]
+        p, q = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        if 100 * size.min() < LIKE * size.max() or len(q) > 2 * len(p):
+            return found
+        spare = [n - int(np.bitwise_count(np.frombuffer(x, np.uint64)).sum()) for n, x in zip(size, bits, strict=True)]
+        q = q[: len(p)] | q[len(p) :] if len(q) > len(p) else q
+        # a folded bitmap has fewer bits and so no fewer spare tokens than its own: the other side's bound is used
+        spare = min(spare) if len(bits[0]) == len(bits[1]) else spare[0 if a is bits[0] else 1]
+        found[:] = (100 + LIKE) * (int(np.bitwise_count(p & q).sum()) + spare) >= LIKE * int(size.sum())
+        return found
 
     def visit(x, y):
         found[x] = found[y] = True
@@ -137,6 +150,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= LIKE * (len(a) + len(b) - both)
 
 
+#: Up to this many sets, comparing them is less work than building a tree.
+FEW = 4
+
+
+def links(sets: list[np.ndarray], side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+    if len(sets) > FEW:
+        return tree_links(sets, *_sign(sets), side, known)
+    out, root = [], known.tolist()
+    for x in range(len(sets)):
+        for y in range(x + 1, len(sets)):
+            if root[x] != root[y] and not (side[x] and side[y]):
+                a, b = len(sets[x]), len(sets[y])
+                if 100 * min(a, b) >= LIKE * max(a, b) and similar(sets[x], sets[y]):
+                    out.append((x, y))
+                    root = [root[x] if r == root[y] else r for r in root]
+    return out
+
+
 def tree_links(sets: list[np.ndarray], bits: list[bytes], low: np.ndarray, side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
     """Links among side 0 and between side 0 and side 1 that, with the components already known, connect all that
     link. A pair that is connected already is not compared again."""
@@ -162,57 +193,61 @@ def tree_links(sets: list[np.ndarray], bits: list[bytes], low: np.ndarray, side:
 
 
 def groups(batches, keys: list[str]):
-    """Runs of equal keys in sorted Arrow batches, as tables; a run may span batches."""
-    rest: list[pa.RecordBatch] = []
-    held = None
+    """Sorted Arrow batches as (batch of whole groups, where each group begins, and the end)."""
+    rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         new = np.zeros(batch.num_rows, bool)
-        for c in cols:
+        new[0] = True
+        for k in keys:
+            c = batch.column(k).to_numpy(zero_copy_only=False)
             new[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[s] for c in cols)
-            if held is not None and key != held:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            held = key
-            rest.append(batch.slice(s, e - s))
-    if rest:
-        yield pa.Table.from_batches(rest)
+        cuts = np.flatnonzero(new)
+        rest = batch.slice(cuts[-1])  # the last group may go on in the next batch
+        if len(cuts) > 1:
+            yield batch.slice(0, cuts[-1]), cuts.tolist()
+    if rest is not None:
+        yield rest, [0, rest.num_rows]
 
 
 def _sign(sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    b = packed_sets(pa.array(np.zeros(len(sets), np.int64)), np.concatenate(sets).view(np.uint64), at, True)
+    b = packed_sets(pa.array(np.zeros(len(sets), np.int64)), np.concatenate(sets), at, True)
     return b.column("bits").to_pylist(), b.column("low").to_numpy()
 
 
 def _keep_promising(batches):
-    for t in groups(batches, ["centre", "part"]):
-        keep = promising(t.column("bits").to_pylist(), t.column("n").to_numpy(), t.column("low").to_numpy())
+    for batch, cuts in groups(batches, ["centre", "part"]):
+        bits, n, low = batch.column("bits").to_pylist(), batch.column("n").to_numpy(), batch.column("low").to_numpy()
+        keep = np.zeros(batch.num_rows, bool)
+        for s, e in pairwise(cuts):
+            keep[s:e] = promising(bits[s:e], n[s:e], low[s:e])
         if keep.any():
-            yield from t.select(["centre", "part", "id"]).filter(pa.array(keep)).combine_chunks().to_batches()
+            yield batch.select(["centre", "part", "id"]).filter(pa.array(keep))
 
 
 def _link(keys: list[str]):
     def run(batches):
-        for t in groups(batches, keys):
-            ids = t.column("id").to_numpy()
-            tokens = t.column("tokens").combine_chunks()
-            offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
-            sets = [flat[offs[i] : offs[i + 1]].view(np.uint64) for i in range(len(ids))]
-            links = tree_links(sets, *_sign(sets), t.column("side").to_numpy(), t.column("comp").to_numpy())
-            if links:
-                u, v = (np.array([x[k] for x in links]) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+        for batch, cuts in groups(batches, keys):
+            ids, side, comp = (batch.column(c).to_numpy() for c in ("id", "side", "comp"))
+            tokens = batch.column("tokens")
+            offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            u, v = [], []
+            for s, e in pairwise(cuts):
+                sets = [flat[offs[i] : offs[i + 1]] for i in range(s, e)]
+                for x, y in links(sets, side[s:e], comp[s:e]):
+                    u.append(ids[s + x])
+                    v.append(ids[s + y])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
-def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple[DataFrame, ...] = (), sign: bool = True) -> DataFrame:
     """(id, component) of all sets that link with another one; component is the smallest id of its group.
 
     postings(key long, id long): sets that can link share a key. fetch(ids, sign) gives, for a table of ids, the sets
@@ -220,8 +255,8 @@ def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple
     the postings alone and are removed once those have been read.
 
     A key's sets go to the block of the smallest id among them, so every pair that shares a key meets in a block,
-    once for many keys. Signature trees first tell which sets of a block have a possible partner at all; only those
-    are fetched whole and compared. A block beyond `chunk` sets is cut: first each chunk is compared with itself and
+    once for many keys. With sign, signatures first tell which sets of a block have a possible partner at all, and only
+    those are fetched whole; where keys are so selective that most have one, that is not worth a pass. A block beyond `chunk` sets is cut: first each chunk is compared with itself and
     the block's centre; then what is not connected to the block's largest component is compared, chunk by chunk, with
     everything else in the block.
     """
@@ -242,13 +277,15 @@ def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple
         return df.repartition(*keys).sortWithinPartitions(*keys)
 
     members = settle(cut_up(blocks))
-    signatures = settle(fetch(members.select("id").distinct(), True))
-    # a set whose partners are all in other chunks of a large block must stay, so only whole blocks are thinned out
-    whole, large = members.where(F.col("members") <= chunk), members.where(F.col("members") > chunk)
-    thin = sorted_groups(whole.join(signatures, "id").select("centre", "part", "id", "n", "low", "bits"), ["centre", "part"])
-    thin = thin.mapInArrow(_keep_promising, "centre long, part int, id long")
-    members = settle(thin.union(large.select("centre", "part", "id")))
-    large = settle(large.select("centre", "id").distinct())
+    large = members.where(F.col("members") > chunk)
+    if sign:
+        signatures = settle(fetch(members.select("id").distinct(), True))
+        # a set whose partners are all in other chunks of a large block must stay, so only whole blocks are thinned out
+        whole = members.where(F.col("members") <= chunk)
+        thin = sorted_groups(whole.join(signatures, "id").select("centre", "part", "id", "n", "low", "bits"), ["centre", "part"])
+        thin = thin.mapInArrow(_keep_promising, "centre long, part int, id long")
+        members = settle(thin.union(large.select("centre", "part", "id")))
+    large = large.select("centre", "id").distinct()
     sets = settle(fetch(members.select("id").distinct(), False))
 
     def compare(df: DataFrame, keys: list[str]) -> DataFrame:

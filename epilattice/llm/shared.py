@@ -49,29 +49,26 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u long, v long): rows (id, component), component being the smallest id.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) as joins and aggregates until nothing
-    changes. Only a count and a checksum reach the driver. No edges give no rows; loops and repeats are ignored.
+    Each round sends every vertex to the smallest of its neighbours and itself, and goes on with the graph of those;
+    a star is done after one round, a path of n edges after about log n. Aggregates and joins of settled tables, so
+    that hubs are combined early and split when joined. Only whether edges are left reaches the driver. No edges give
+    no rows; loops and repeats are ignored.
     """
-    def state(e: DataFrame):
-        # two 32-bit halves, so that the sums of many hashes cannot overflow
-        h = F.xxhash64("u", "v")
-        return tuple(e.agg(F.count("*"), F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first())
-
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    seen = state(now)
-    while seen[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").where("u <> v").distinct()
-        )
-        after = settle(small)
+    rounds = []
+    while not now.isEmpty():
+        ends = now.union(now.select("v", "u")).groupBy("u").agg(F.min("v").alias("v"))
+        lowest = settle(ends.select(F.col("u").alias("id"), F.least("u", "v").alias("m")))
+        after = now.join(lowest.select(F.col("id").alias("u"), F.col("m").alias("a")), "u").join(lowest.select(F.col("id").alias("v"), F.col("m").alias("b")), "v")
+        after = settle(after.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
         discard(now)
-        now, before, seen = after, seen, state(after)
-        if seen == before:
-            break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        now = after
+        rounds.append(lowest)
+    if not rounds:
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    # a vertex goes where the one it was sent to goes
+    found = rounds.pop().withColumnRenamed("m", "component")
+    for lowest in reversed(rounds):
+        onward = found.select(F.col("id").alias("m"), F.col("component").alias("_c"))
+        found = lowest.join(onward, "m", "left").select("id", F.coalesce("_c", "m").alias("component"))
+    return found
