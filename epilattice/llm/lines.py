@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link_components, packed_sets, set_schema
+from .linking import link_components
 from .shared import settle
 from .textops import BASES, hashed, mix, prefix, steps
 
@@ -102,18 +102,13 @@ def line_bands(size: int, bands: int, per_band: int):
     return run
 
 
-def line_sets(size: int, sign: bool):
-    def run(batches):
-        for batch in batches:
-            for row, data, offs in steps(batch.column("line")):
-                n = len(offs) - 1
-                h, line = char_shingles(data, offs, size)
-                order = np.lexsort((h, line))
-                h, line = h[order], line[order]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])[: len(h)]
-                yield packed_sets(batch.column("id").slice(row, n), h[new], np.searchsorted(line[new], np.arange(n + 1)), sign)
-
-    return run
+def line_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each line, sorted, and where each line's begin."""
+    h, line = char_shingles(data, offs, size)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])[: len(h)]
+    return h[new], np.searchsorted(line[new], np.arange(len(offs)))
 
 
 def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
@@ -132,13 +127,12 @@ def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_ba
 
     signed = settle(broken.select("id", "line").mapInArrow(line_bands(size, bands, per_band), "id long, bands array<long>"))
 
-    def fetch(ids: DataFrame, sign: bool) -> DataFrame:
+    def fetch(ids: DataFrame) -> DataFrame:
         ids = settle(ids)
         small = ids.count() <= BROADCAST_IDS
-        rows = broken.select("id", "line").join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
-        return rows.mapInArrow(line_sets(size, sign), set_schema(sign))
+        return broken.select("id", F.col("line").alias("text")).join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
 
-    groups = link_components(signed.select(F.explode("bands").alias("key"), "id"), fetch, spent=(signed,), sign=False)
+    groups = link_components(signed.select(F.explode("bands").alias("key"), "id"), fetch, lambda data, offs: line_sets(data, offs, size), spent=(signed,), sign=False)
     joined = lines.join(groups, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component", "id")
     place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_th", "no")
     first = joined.groupBy("_g").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f._th").alias("_t"), F.col("f.no").alias("no"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, discard, settle
+from .textops import steps
 
 #: Two sets link when 100 * intersection >= LIKE * union.
 LIKE = 80
@@ -20,11 +21,8 @@ LEAF = 8
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 
 
-def packed_sets(ids: pa.Array, code: np.ndarray, at: np.ndarray, sign: bool) -> pa.RecordBatch:
-    """Sets (sorted tokens code[at[i]:at[i + 1]]) as rows of (id, tokens), or of (id, n, low, bits) for signatures."""
-    if not sign:
-        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(code.view(np.int64)))], names=["id", "tokens"])
-    n = np.diff(at)
+def signature(n: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Bitmaps (as binary) and smallest tokens of the sets code[at[i]:at[i + 1]], n tokens each, sorted."""
     width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64), LEAST_BITS, MOST_BITS)
     base = np.concatenate([[0], np.cumsum(width // 8)])
     flat = np.zeros(base[-1], np.uint8)
@@ -33,12 +31,22 @@ def packed_sets(ids: pa.Array, code: np.ndarray, at: np.ndarray, sign: bool) ->
     np.bitwise_or.at(flat, base[owner] + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
     low = np.zeros(len(n), np.int64)
     low[n > 0] = code.view(np.int64)[at[:-1][n > 0]]
-    bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(flat)])
-    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(low), bits], names=["id", "n", "low", "bits"])
+    bits = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(base), pa.py_buffer(flat)])
+    return bits, low
 
 
-def set_schema(sign: bool) -> str:
-    return "id long, n long, low long, bits binary" if sign else "id long, tokens array<long>"
+def _signed(sets_of):
+    def run(batches):
+        for batch in batches:
+            for row, data, offs in steps(batch.column("text")):
+                code, at = sets_of(data, offs)
+                n = np.diff(at)
+                bits, low = signature(n, code, at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(row, len(n)), pa.array(n, pa.int64()), pa.array(low), bits.cast(pa.binary())], names=["id", "n", "low", "bits"]
+                )
+
+    return run
 
 
 class Tree:
@@ -214,9 +222,9 @@ def groups(batches, keys: list[str]):
 
 
 def _sign(sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    b = packed_sets(pa.array(np.zeros(len(sets), np.int64)), np.concatenate(sets), at, True)
-    return b.column("bits").to_pylist(), b.column("low").to_numpy()
+    n = np.array([len(s) for s in sets])
+    bits, low = signature(n, np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    return bits.to_pylist(), low
 
 
 def _keep_promising(batches):
@@ -229,16 +237,17 @@ def _keep_promising(batches):
             yield batch.select(["centre", "part", "id"]).filter(pa.array(keep))
 
 
-def _link(keys: list[str]):
+def _link(keys: list[str], sets_of):
     def run(batches):
         for batch, cuts in groups(batches, keys):
             ids, side, comp = (batch.column(c).to_numpy() for c in ("id", "side", "comp"))
-            tokens = batch.column("tokens")
-            offs, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            sets = []
+            for _, data, offs in steps(batch.column("text")):
+                code, at = sets_of(data, offs)
+                sets += [code[s:e] for s, e in pairwise(at.tolist())]
             u, v = [], []
             for s, e in pairwise(cuts):
-                sets = [flat[offs[i] : offs[i + 1]] for i in range(s, e)]
-                for x, y in links(sets, side[s:e], comp[s:e]):
+                for x, y in links(sets[s:e], side[s:e], comp[s:e]):
                     u.append(ids[s + x])
                     v.append(ids[s + y])
             if u:
@@ -247,16 +256,17 @@ def _link(keys: list[str]):
     return run
 
 
-def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple[DataFrame, ...] = (), sign: bool = True) -> DataFrame:
+def link_components(postings: DataFrame, fetch, sets_of, chunk: int = CHUNK, spent: tuple[DataFrame, ...] = (), sign: bool = True) -> DataFrame:
     """(id, component) of all sets that link with another one; component is the smallest id of its group.
 
-    postings(key long, id long): sets that can link share a key. fetch(ids, sign) gives, for a table of ids, the sets
-    themselves or their signatures (packed_sets); it is asked only for what is needed. Settled tables in spent feed
+    postings(key long, id long): sets that can link share a key. fetch(ids) gives (id, text), asked only for what is
+    needed, and sets_of(bytes, offsets) the sorted token sets of texts: texts are smaller than their sets, so it is
+    texts that are dealt, and sets are made where they are compared. Settled tables in spent feed
     the postings alone and are removed once those have been read.
 
     A key's sets go to the block of the smallest id among them, so every pair that shares a key meets in a block,
     once for many keys. With sign, signatures first tell which sets of a block have a possible partner at all, and only
-    those are fetched whole; where keys are so selective that most have one, that is not worth a pass. A block beyond `chunk` sets is cut: first each chunk is compared with itself and
+    those are compared; where keys are so selective that most have one, that is not worth a pass. A block beyond `chunk` sets is cut: first each chunk is compared with itself and
     the block's centre; then what is not connected to the block's largest component is compared, chunk by chunk, with
     everything else in the block.
     """
@@ -279,18 +289,18 @@ def link_components(postings: DataFrame, fetch, chunk: int = CHUNK, spent: tuple
     members = settle(cut_up(blocks))
     large = members.where(F.col("members") > chunk)
     if sign:
-        signatures = settle(fetch(members.select("id").distinct(), True))
+        signatures = settle(fetch(members.select("id").distinct()).mapInArrow(_signed(sets_of), "id long, n long, low long, bits binary"))
         # a set whose partners are all in other chunks of a large block must stay, so only whole blocks are thinned out
         whole = members.where(F.col("members") <= chunk)
         thin = sorted_groups(whole.join(signatures, "id").select("centre", "part", "id", "n", "low", "bits"), ["centre", "part"])
         thin = thin.mapInArrow(_keep_promising, "centre long, part int, id long")
         members = settle(thin.union(large.select("centre", "part", "id")))
     large = large.select("centre", "id").distinct()
-    sets = settle(fetch(members.select("id").distinct(), False))
+    texts = settle(fetch(members.select("id").distinct()))
 
     def compare(df: DataFrame, keys: list[str]) -> DataFrame:
-        rows = df.join(sets, "id").select(*keys, "id", "side", "comp", "tokens")
-        return settle(sorted_groups(rows, keys).mapInArrow(_link(keys), "u long, v long"))
+        rows = df.join(texts, "id").select(*keys, "id", "side", "comp", "text")
+        return settle(sorted_groups(rows, keys).mapInArrow(_link(keys, sets_of), "u long, v long"))
 
     first = compare(members.select("centre", "part", "id", F.lit(0).alias("side"), F.col("id").alias("comp")), ["centre", "part"])
     found = settle(components(first))
