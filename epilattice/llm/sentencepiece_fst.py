@@ -11,6 +11,7 @@ a state for each position of the input is enough.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 SPACE = "▁"
 #: Distinct stretches of text whose paths a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+#: Rows that a worker handles at once.
+ROWS = 512
 
 
 class Transducer:
@@ -49,63 +52,99 @@ class Transducer:
             self.output[i] = bytes([value])
         self.trie: dict = {}
         for piece, i in self.ids.items():
-            node = self.trie
+            kids = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
-        self.follows: dict[int, bool] = {}
+                node = kids.setdefault(c, [-1, {}])  # the id of the piece that ends here, and what goes on
+                kids = node[1]
+            node[0] = i
+        self.steps: dict[int, list] = {}
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.known = 0
         self.paths: dict[str, bytes] = {}
         # no piece crosses from a character into a later space, so paths join there; nor a line break, if none has one
         whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lone = "" if any("\n" in p for p in self.ids) else "\n"
         self.cut = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|{lone}" if lone else ""))
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of a text: the best-scored pair first, the leftmost of equals."""
-        parts, scores = list(text), self.scores
+    def merging(self, piece: str) -> list[tuple]:
+        """How a piece is merged from its characters: before each merge (its score, the first part, the last part);
+        the last entry has no score."""
+        parts, scores, steps = list(piece), self.scores, []
         while True:
             best, at = None, -1
             for i, (a, b) in enumerate(pairwise(parts)):
                 s = scores.get(a + b)
                 if s is not None and (best is None or s > best):
                     best, at = s, i
+            steps.append((best, parts[0], parts[-1]))
             if at < 0:
-                return parts
+                return steps
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) >= 4 * REMEMBERED:
-                self.follows.clear()
-            left, right = self.pieces[a], self.pieces[b]
-            known = self.follows[key] = self.merged(left + right) == [left, right]
-        return known
-
-    def shortest_path(self, text: str) -> list[int]:
+        """Whether merging the text of two pieces leaves both as they are: each is merged as if alone, best score
+        first and the leftmost of equals, and never is the pair across their border next."""
+        left, right = (self.steps.get(x) or self.steps.setdefault(x, self.merging(self.pieces[x])) for x in (a, b))
+        scores, i, j = self.scores, 0, 0
+        if len(left[-1][1]) != len(self.pieces[a]) or len(right[-1][1]) != len(self.pieces[b]):
+            return False  # merging never makes such a piece
+        while True:
+            own, _, last = left[i]
+            other, first, _ = right[j]
+            across = scores.get(last + first)
+            if across is not None and (own is None or across > own) and (other is None or across >= other):
+                return False
+            if own is not None and (other is None or own >= other):
+                i += 1
+            elif other is not None:
+                j += 1
+            else:
+                return True
+
+    def shortest_path(self, text: str) -> array:
         """Composes one stretch of normalised text with the transducer: ids of the pieces of its least path."""
-        n = len(text)
+        n, trie, follows = len(text), self.trie, self.follows
         last = [-2] * (n + 1)  # of the least path to each position: its last piece, -1 for the start or raw bytes
-        back, cost = [0] * (n + 1), [float("inf")] * (n + 1)
-        last[0], cost[0] = -1, 0
+        back = [0] * (n + 1)
+        last[0] = -1
         for i in range(n):
-            before, node, j, price = last[i], self.trie.get(text[i]), i + 1, cost[i] + 1
+            before, j = last[i], i + 1
+            node = trie.get(text[i])
             if node is None:  # byte fallback: merging never touches it
-                last[j], back[j], cost[j] = -1, i, price
+                last[j], back[j] = -1, i
                 continue
-            while node is not None:
-                piece = node.get("")
-                if piece is not None and price < cost[j] and (before < 0 or self.may_follow(before, piece)):
-                    last[j], back[j], cost[j] = piece, i, price
-                node = node.get(text[j]) if j < n else None
+            after = follows.get(before)
+            if after is None:
+                after = follows[before] = {}
+            while True:
+                piece, kids = node
+                # every position has one path of finite cost, so the first one found is the least
+                if piece >= 0 and last[j] == -2:
+                    free = after.get(piece)
+                    if free is None:
+                        free = after[piece] = before < 0 or self.may_follow(before, piece)
+                        self.known += 1
+                    if free:
+                        last[j], back[j] = piece, i
+                if j == n:
+                    break
+                node = kids.get(text[j])
+                if node is None:
+                    break
                 j += 1
-        out, j = [], n
+        out, j = array("i"), n
         while j:
             i = back[j]
-            out += [last[j]] if last[j] >= 0 else [self.bytes[b] for b in reversed(text[i:j].encode())]
+            if last[j] >= 0:
+                out.append(last[j])
+            else:
+                out.extend(self.bytes[b] for b in reversed(text[i:j].encode()))
             j = i
-        return out[::-1]
+        out.reverse()
+        if self.known > 4 * REMEMBERED:
+            follows.clear()
+            self.known = 0
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as packed 32-bit integers."""
@@ -120,7 +159,7 @@ class Transducer:
                 paths.clear()
             for p in parts:
                 if p not in paths:
-                    paths[p] = np.array(self.shortest_path(p), np.int32).tobytes()
+                    paths[p] = self.shortest_path(p).tobytes()
             return b"".join(map(paths.__getitem__, parts))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -145,10 +184,11 @@ def _add(df: DataFrame, columns: dict, run) -> DataFrame:
         schema = schema.add(name, kind)
 
     def each(batches):
-        for batch in batches:
-            made = run(batch)
-            rest = [c for c in batch.schema.names if c not in columns]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, *columns])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                rest = [c for c in batch.schema.names if c not in columns]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *run(batch)], names=[*rest, *columns])
 
     return df.mapInArrow(each, schema)
 
@@ -184,7 +224,7 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "token_ids") -> DataFr
 
     def run(batch):
         t, lists = _transducer(name), batch.column(ids_col)
-        flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
+        flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         out = [t.decode(flat[at[i] : at[i + 1]]).decode("utf-8", "replace") if v else None for i, v in enumerate(lists.is_valid().to_pylist())]
         return [pa.array(out, pa.string())]
 
