@@ -20,7 +20,7 @@ WINDOW, SHINGLE = 10, 3
 #: Item windows up to this number are broadcast (below 100 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 #: Stands for "this document" among its shingles, so that documents without a match keep a row.
-PRESENT = F.lit(0).cast("long")
+PRESENT = 0
 
 
 def words(text: Column) -> Column:
@@ -81,10 +81,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = None
     for length in lengths or [shingle]:
         first = found is None
-        marks = F.concat(_shingles("_words", length), F.array(PRESENT)) if first else _shingles("_words", length)
+        marks = F.concat(_shingles("_words", length), F.array(F.lit(PRESENT).cast("long"))) if first else _shingles("_words", length)
         own = prefixes.where(F.col("_length") == length).select("_h", "off", "window_id", "w_words", "w_len")
         if first:
-            own = own.unionByName(own.sparkSession.range(1).select(PRESENT.alias("_h")), allowMissingColumns=True)
+            own = own.unionByName(own.sparkSession.range(1).select(F.lit(PRESENT).cast("long").alias("_h")), allowMissingColumns=True)
         n_words = F.size("_words").alias("n_words")
         bounds = F.expr("window_id IS NULL OR (_p >= off AND _p - off + w_len <= n_words)")
         exact = F.expr("window_id IS NULL OR slice(_words, _p - off + 1, w_len) = w_words")
