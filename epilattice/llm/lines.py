@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .linking import link_components
 from .shared import settle
-from .textops import BASES, hashed, mix, prefix, steps
+from .textops import BASES, hashed, mix, prefix, sorted_sets, steps
 
 #: Shingles of eight characters; 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998.
 SHINGLE, BANDS, PER_BAND = 8, 12, 4
@@ -105,10 +105,10 @@ def line_bands(size: int, bands: int, per_band: int):
 def line_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each line, sorted, and where each line's begin."""
     h, line = char_shingles(data, offs, size)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])[: len(h)]
-    return h[new], np.searchsorted(line[new], np.arange(len(offs)))
+    if len(line) and (line[1:] < line[:-1]).any():  # lines shorter than a shingle come last
+        order = np.argsort(line, kind="stable")
+        h, line = h[order], line[order]
+    return sorted_sets(h, np.searchsorted(line, np.arange(len(offs))))
 
 
 def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:

@@ -154,12 +154,14 @@ def promising(bits: list[bytes], size: np.ndarray, low: np.ndarray) -> np.ndarra
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    merged = np.concatenate([a, b])
+    merged.sort()
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return 100 * both >= LIKE * (len(a) + len(b) - both)
 
 
 #: Up to this many sets, comparing them is less work than building a tree.
-FEW = 4
+FEW = 16
 
 
 def links(sets: list[np.ndarray], side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:

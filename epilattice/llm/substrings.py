@@ -41,9 +41,9 @@ def anchors(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64), runs
 
 
-def count_anchors(width: int):
+def count_anchors(width: int, bits: int):
     def run(batches):
-        counts = np.zeros((ROWS, 1 << BITS), np.uint8)
+        counts = np.zeros((ROWS, 1 << bits), np.uint8)
         for batch in batches:
             for _, data, offs in steps(batch.column("text")):
                 _, _, h, first = words(data, offs)
@@ -52,7 +52,7 @@ def count_anchors(width: int):
                     continue
                 place, runs = anchors(h, at, width)
                 place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-                for r, cells in enumerate(sketch_cells(runs[place], ROWS, BITS)):
+                for r, cells in enumerate(sketch_cells(runs[place], ROWS, bits)):
                     cells, n = np.unique(cells, return_counts=True)
                     counts[r, cells] = np.minimum(counts[r, cells] + np.minimum(n, 2), 2)
         yield from sketch_rows(counts)
@@ -68,7 +68,7 @@ def suspects(h: np.ndarray, first: np.ndarray, width: int, bits: list[np.ndarray
     place, runs = anchors(h, at, width)
     change = np.concatenate([[True], place[1:] != place[:-1]])
     hot = np.ones(int(change.sum()), bool)
-    for row, cells in zip(bits, sketch_cells(runs[place[change]], ROWS, BITS), strict=True):
+    for row, cells in zip(bits, sketch_cells(runs[place[change]], ROWS, (8 * len(bits[0])).bit_length() - 1), strict=True):
         hot &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
     keep = hot[np.cumsum(change) - 1]
     return at[keep], code[keep]
@@ -79,17 +79,18 @@ def second_hash(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return hashed(at, at + width, prefix(other, BASES[0]), BASES[0])
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, cell_bits: int = BITS) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_words, n_removed, kept (the words left, one space apart).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Null or empty text: no words and an empty `kept`. Texts shorter than
     `width` words lose nothing. A run that overlaps its own copy counts as repeated. Repeated rows repeat each other,
-    whatever their doc_id, null included. Other columns are ignored; an empty table gives an empty one.
+    whatever their doc_id, null included. Other columns are ignored; an empty table gives an empty one. cell_bits sets
+    the sketch's size: a small one only suspects more windows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rk"))
-    parts = docs.select("text").mapInArrow(count_anchors(width), "block int, cells binary")
-    bits = spark.sparkContext.broadcast(np.packbits(merged_sketch(parts, ROWS, BITS, 2) >= 2, axis=1))
+    parts = docs.select("text").mapInArrow(count_anchors(width, cell_bits), "block int, cells binary")
+    bits = spark.sparkContext.broadcast(np.packbits(merged_sketch(parts, ROWS, cell_bits, 2) >= 2, axis=1))
 
     def emit(batches):
         for batch in batches:

@@ -99,6 +99,18 @@ def windows(h: np.ndarray, first: np.ndarray, width: int, base: int = BASES[1])
     return at, hashed(at, at + width, prefix(h, base), base)
 
 
+def sorted_sets(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch code[at[i]:at[i + 1]] sorted and without repeats, and where each one begins then."""
+    code = code.copy()
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        code[s:e].sort()
+    new = np.ones(len(code), bool)
+    if len(code):
+        new[1:] = code[1:] != code[:-1]
+        new[at[:-1][np.diff(at) > 0]] = True
+    return code[new], np.concatenate([[0], np.cumsum(new)])[at]
+
+
 # Counting sketches: each task counts into rows of cells, packs them, and Spark sums them block by block.
 
 BLOCK = 1 << 20
