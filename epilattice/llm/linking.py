@@ -76,15 +76,6 @@ class Tree:
     def below(self, level: int, node: int) -> range:
         return range(node * LEAF, min(node * LEAF + LEAF, len(self.levels[level - 1][1])))
 
-    def may_link(self, level: int, a: int, other: Tree, b: int) -> bool:
-        """Whether sets of two nodes can reach the similarity: sizes compatible, and overlap not bounded below it."""
-        bits_a, low_a, high_a, spare_a = (x[a] for x in self.levels[level])
-        bits_b, low_b, high_b, spare_b = (x[b] for x in other.levels[level])
-        if 100 * high_a < LIKE * low_b or 100 * high_b < LIKE * low_a:
-            return False
-        most = int(np.bitwise_count(bits_a & bits_b).sum()) + min(int(spare_a), int(spare_b))
-        return (100 + LIKE) * most >= LIKE * int(low_a + low_b)
-
 
 def traverse(a: Tree, b: Tree, done, visit) -> None:
     """Dual traversal: visit(x, y) for the members that no bound rules out; done(rows of a, rows of b) prunes leaves."""
@@ -93,18 +84,26 @@ def traverse(a: Tree, b: Tree, done, visit) -> None:
     todo = [(top - 1, 0, 0)]
     while todo:
         level, i, j = todo.pop()
-        if level == 1 and done(a.members[list(a.below(1, i))], b.members[list(b.below(1, j))]):
-            continue
-        if not a.may_link(level, i, b, j):
+        p, q = (slice(t.below(level, k).start, t.below(level, k).stop) for t, k in ((a, i), (b, j)))
+        if level == 1 and done(a.members[p], b.members[q]):
             continue
-        pairs = [(x, y) for x in a.below(level, i) for y in b.below(level, j) if a is not b or x <= y]
+        # all pairs of children at once: sizes compatible, and overlap not bounded below what the similarity needs
+        (bits_a, low_a, high_a, spare_a), (bits_b, low_b, high_b, spare_b) = ([x[k] for x in t.levels[level - 1]] for t, k in ((a, p), (b, q)))
+        ok = (100 * high_a[:, None] >= LIKE * low_b[None, :]) & (100 * high_b[None, :] >= LIKE * low_a[:, None])
+        most = np.bitwise_count(bits_a[:, None, :] & bits_b[None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(spare_a[:, None], spare_b[None, :])
+        ok &= (100 + LIKE) * most >= LIKE * (low_a[:, None] + low_b[None, :])
+        x, y = np.nonzero(ok)
+        x, y = x + p.start, y + q.start
+        if a is b:
+            keep = x < y if level == 1 else x <= y
+            x, y = x[keep], y[keep]
         if level > 1:
             # pairs near the diagonal come first: they settle what most others hold
-            todo.extend((level - 1, x, y) for x, y in sorted(pairs, key=lambda p: -abs(p[0] - p[1])))
+            near = np.argsort(-np.abs(x - y), kind="stable")
+            todo.extend((level - 1, int(m), int(n)) for m, n in zip(x[near], y[near], strict=True))
         else:
-            for x, y in pairs:
-                if (a is not b or x < y) and a.may_link(0, x, b, y):
-                    visit(a.members[x], b.members[y])
+            for m, n in zip(x.tolist(), y.tolist(), strict=True):
+                visit(a.members[m], b.members[n])
 
 
 def by_width(members: np.ndarray, bits: list[bytes], size: np.ndarray, low: np.ndarray, right: np.ndarray | None = None):
@@ -202,6 +201,26 @@ def tree_links(sets: list[np.ndarray], bits: list[bytes], low: np.ndarray, side:
     return out
 
 
+def stars(found: list[tuple[int, int]], ids: np.ndarray):
+    """(smallest id, other ids) of each component of links between positions."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in found:
+        root[top(x)] = top(y)
+    members: dict[int, list[int]] = {}
+    for x in list(root):
+        members.setdefault(top(x), []).append(int(ids[x]))
+    for own in members.values():
+        low = min(own)
+        yield low, [x for x in own if x != low]
+
+
 def groups(batches, keys: list[str]):
     """Sorted Arrow batches as (batch of whole groups, where each group begins, and the end)."""
     rest = None
@@ -249,9 +268,10 @@ def _link(keys: list[str], sets_of):
                 sets += [code[s:e] for s, e in pairwise(at.tolist())]
             u, v = [], []
             for s, e in pairwise(cuts):
-                for x, y in links(sets[s:e], side[s:e], comp[s:e]):
-                    u.append(ids[s + x])
-                    v.append(ids[s + y])
+                # a star for each component found here, so that the graph of all tasks has short paths
+                for root, others in stars(links(sets[s:e], side[s:e], comp[s:e]), ids[s:e]):
+                    u += others
+                    v += [root] * len(others)
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +47,45 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th")]
 
 
+#: Edges that one task may hold (16 bytes each, and their vertices).
+FEW_EDGES = 500_000
+
+
+def _union_find(batches):
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    ids = list(root)
+    for s in range(0, len(ids), 1 << 16):
+        part = ids[s : s + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["id", "m"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u long, v long): rows (id, component), component being the smallest id.
 
     Each round sends every vertex to the smallest of its neighbours and itself, and goes on with the graph of those;
     a star is done after one round, a path of n edges after about log n. Aggregates and joins of settled tables, so
-    that hubs are combined early and split when joined. Only whether edges are left reaches the driver. No edges give
-    no rows; loops and repeats are ignored.
+    that hubs are combined early and split when joined. What is left of the graph once it has FEW_EDGES edges is ended
+    by union-find in one task. Only counts reach the driver. No edges give no rows; loops and repeats are ignored.
     """
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     rounds = []
-    while not now.isEmpty():
+    while (left := now.count()) > 0:
+        if left <= FEW_EDGES:
+            # bounded by the count just taken: one task can end it
+            rounds.append(settle(now.coalesce(1).mapInArrow(_union_find, "id long, m long")))
+            break
         ends = now.union(now.select("v", "u")).groupBy("u").agg(F.min("v").alias("v"))
         lowest = settle(ends.select(F.col("u").alias("id"), F.least("u", "v").alias("m")))
         after = now.join(lowest.select(F.col("id").alias("u"), F.col("m").alias("a")), "u").join(lowest.select(F.col("id").alias("v"), F.col("m").alias("b")), "v")
