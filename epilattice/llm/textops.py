@@ -15,7 +15,7 @@ UPPER[65:91] += 32
 #: Odd multipliers of the polynomial hashes modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
-STEP = 1 << 21
+STEP = 1 << 19
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -53,6 +53,7 @@ def steps(texts: pa.Array, size: int = STEP):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
+    pa.default_memory_pool().release_unused()  # a worker lives through many tasks
 
 
 def spans(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
