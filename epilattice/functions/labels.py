@@ -60,7 +60,7 @@ def mutation_string(vr: Column, wt: Column) -> Column:
 
 def peptide_mutation_string(mutation: Column, start: Column, end: Column, region_start: int) -> Column:
     """The labels whose position lies in the peptide; malformed ones are dropped; WT if none is left."""
-    labels = F.transform(F.split(mutation, ";"), F.trim)
+    labels = F.transform(F.split(mutation, ";"), lambda x: F.trim(x))
     position = lambda x: F.regexp_extract(x, LABEL, 2).try_cast("int") + (region_start - 1)
     kept = F.filter(labels, lambda x: F.coalesce(position(x).between(start, end), F.lit(False)))
     return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_join(kept, ";")).otherwise(F.lit("WT"))
@@ -68,7 +68,7 @@ def peptide_mutation_string(mutation: Column, start: Column, end: Column, region
 
 def mutation_list(mutation: Column) -> Column:
     """The distinct labels of a variant; none for blank, WT, NAN or null."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(mutation, ";"), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(mutation, ";"), lambda x: F.trim(x)), lambda x: x != ""))
     none = F.upper(F.trim(mutation)).isin("", "WT", "NAN") | mutation.isNull()
     return F.when(none, F.array().cast("array<string>")).otherwise(parts)
 

@@ -61,11 +61,12 @@ def fragment(library: DataFrame, kmers: Sequence[int], region: tuple[int, int] |
     # sequence() counts down when its end lies below its start
     pieces = F.when(last >= low, F.sequence(low, last, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
     # cut inside the array: a projection below a generator would be moved above it and evaluated for every window
-    pieces = F.transform(pieces, lambda i: F.struct(i.alias("at"), F.substring(F.col("aa_sequence"), i, F.col("k") + (PIECE - 1)).alias("text")))
-    rows = rows.select("variant_id", *metadata, "k", last.alias("_last"), F.explode(pieces).alias("_p"))
-    rows = rows.select("variant_id", *metadata, "k", "_p", F.explode(F.sequence(F.col("_p.at"), F.least(F.col("_last"), F.col("_p.at") + (PIECE - 1)))).alias("start"))
+    texts = F.transform(pieces, lambda i: F.substring(F.col("aa_sequence"), i, F.col("k") + (PIECE - 1)))
+    rows = rows.select("variant_id", *metadata, "k", low.alias("_low"), last.alias("_last"), F.posexplode(texts).alias("_i", "_text"))
+    begin = F.col("_low") + F.col("_i") * PIECE
+    rows = rows.select("variant_id", *metadata, "k", begin.alias("_from"), "_text", F.explode(F.sequence(begin, F.least(F.col("_last"), begin + (PIECE - 1)))).alias("start"))
     return rows.select(
-        "variant_id", *metadata, F.col("k").cast("int").alias("k"), F.substring(F.col("_p.text"), F.col("start") - F.col("_p.at") + 1, F.col("k")).alias("peptide"),
+        "variant_id", *metadata, F.col("k").cast("int").alias("k"), F.substring(F.col("_text"), F.col("start") - F.col("_from") + 1, F.col("k")).alias("peptide"),
         F.col("start").cast("int").alias("start"), (F.col("start") + F.col("k") - 1).cast("int").alias("end"),
     )
 

@@ -26,7 +26,7 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] = (), sep:
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.option("header", True).option("sep", sep).option("nullValue", "").csv(path)
+        df = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("nullValue", "").csv(path)
     return require_columns(df, columns, path)
 
 
@@ -71,7 +71,7 @@ def _wide(spark: SparkSession, path: str, header: str, named: bool) -> DataFrame
     titles = titles.withColumn("before", F.lag("line").over(W.partitionBy("file").orderBy("at"))).where(F.col("line").startswith(header))
     heads = titles.groupBy("file").agg(F.min(F.struct("at", "before", F.col("line").alias("header"))).alias("h")).select("file", "h.*")
     is_allele = (lambda c: c.contains("-") | c.startswith("HLA")) if named else (lambda c: c != "")
-    names = F.filter(F.transform(F.split(F.coalesce("before", F.lit("")), "\t"), F.trim), is_allele)
+    names = F.filter(F.transform(F.split(F.coalesce("before", F.lit("")), "\t"), lambda c: F.trim(c)), is_allele)
     heads = heads.select("file", F.col("at").alias("head_at"), "header", names.alias("alleles"))
     bad = raw.select("file").distinct().join(heads.where("size(alleles) > 0"), "file", "left_anti").limit(10).collect()
     if bad:
