@@ -158,6 +158,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without the rows whose language is undetermined or whose score is not above `least`; columns stay."""
+    """docs without the rows whose language is undetermined or whose score is below `least`; columns stay."""
     model = fit(docs.where(~held_out()))
-    return identify(docs.select(F.struct("*").alias("row"), "text"), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least)).select("row.*")
+    return identify(docs.select(F.struct("*").alias("row"), "text"), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
