@@ -45,7 +45,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("_th")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("_th", "_g")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

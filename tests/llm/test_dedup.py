@@ -161,6 +161,15 @@ def test_keep_one(spark):
     assert out.columns == docs.columns and {x.doc_id for x in out.collect()} == firsts | {3000, 3001}
 
 
+def test_keep_one_without_own_ids(spark):
+    """Null ids and a shared id do not make unrelated texts one group."""
+    r = random.Random(15)
+    alone, base = [prose(r, 40, 500) for _ in range(5)], prose(r, 100, 500)
+    rows = [(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (8, alone[4]), (None, base), (None, base + " end"), (None, base)]
+    out = [(x.doc_id, x.text) for x in jaccard.keep_one(frame(spark, rows)).collect()]
+    assert len(out) == 6 and set(out) >= set(rows[:5]) and {t for _, t in out} & {base, base + " end"}
+
+
 def repeats(rows, width):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
