@@ -17,8 +17,8 @@ from .linking import link_components
 from .shared import settle
 from .textops import BASES, hashed, mix, prefix, sorted_sets, steps
 
-#: Shingles of eight characters; 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998.
-SHINGLE, BANDS, PER_BAND = 8, 12, 4
+#: Shingles of five characters: longer ones tell apart short lines that differ in one word. 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998.
+SHINGLE, BANDS, PER_BAND = 5, 12, 4
 BROADCAST_IDS = 250_000
 
 

@@ -236,3 +236,9 @@ def test_lines_of_repeated_rows_and_stage(spark):
     out = lines.drop_repeated_lines(docs)
     assert out.columns == docs.columns and sorted((x.doc_id for x in out.collect())) == [1, 1, 2, 3, 4]
     assert lines.dedup_lines(frame(spark, [])).count() == 0
+
+
+def test_one_word_of_a_line_of_eighty_characters(spark):
+    base = "the quick brown fox jumps over the lazy dog while seven green birds sing a tune in May"
+    rows = [(1, base), (2, base.replace("birds", "frogs")), (3, "an unrelated line of about the same length stands here and shares no words with that one")]
+    assert [x.n_kept for x in lines.dedup_lines(frame(spark, rows)).sort("doc_id").collect()] == [1, 0, 1]
