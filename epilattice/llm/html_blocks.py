@@ -6,11 +6,12 @@ import re
 from html import unescape
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*+"""
-#: Elements whose content is no text of the page.
-_RAW = "script|style|template|noscript|svg|iframe|object|textarea|title|math|canvas"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)({_ATTRIBUTES})>|</?[a-z][^>]*>|<[!?][^>]*>", re.S | re.I
-)
+#: Elements whose content is no text of the page, up to their end tag; a script or style without one takes the rest.
+_RAW, _OPEN = "script|style|template|svg|iframe|textarea|title", ("script", "style")
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])({_ATTRIBUTES})>|<(/?)([a-z][^\s/>]*)({_ATTRIBUTES})>|</?[a-z][^>]*>|<[!?][^>]*>", re.S | re.I)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW.split("|")}
+#: Elements of other languages, which a slash closes.
+FOREIGN = ("svg", "math")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
@@ -55,15 +56,25 @@ def blocks(html: str | None) -> list[tuple[tuple, str]]:
                 out.append((tuple(stack), joined))
             text.clear()
 
-    at = 0
-    for m in TOKEN.finditer(html):
+    at, endless = 0, set()
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             text.append(html[at : m.start()])
         at = m.end()
-        name = m[3]
+        if m[1]:
+            text.append(" ")
+            raw = m[1].lower()
+            if raw in endless or (raw in FOREIGN and m[2].endswith("/")):
+                continue
+            if end := _RAW_END[raw].search(html, at):
+                at = end.end()
+            elif raw in _OPEN:
+                at = len(html)
+            else:
+                endless.add(raw)  # without an end tag it holds nothing, and no later one has to look
+            continue
+        name = m[4]
         if name is None:
-            if m[1]:
-                text.append(" ")
             continue
         name = name.lower()
         block = name in BLOCK
@@ -71,7 +82,7 @@ def blocks(html: str | None) -> list[tuple[tuple, str]]:
             flush()
         elif name == "br":
             text.append(" ")
-        if m[2]:
+        if m[3]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -89,8 +100,8 @@ def blocks(html: str | None) -> list[tuple[tuple, str]]:
                     break
                 if tag in walls or (tag in BLOCK and not ends):
                     break
-        if name not in VOID:
-            stack.append((name, *(_labels(m[4]) if m[4] else ())))
+        if name not in VOID and not (name in FOREIGN and m[5].endswith("/")):
+            stack.append((name, *(_labels(m[5]) if m[5] else ())))
     if at < len(html):
         text.append(html[at:])
     flush()

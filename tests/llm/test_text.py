@@ -98,6 +98,17 @@ def test_blocks():
     assert len(html_blocks.blocks("<div>" * 20000 + "deep")) == 1 and html_blocks.blocks("<" * 5000) and html_blocks.blocks("<a '" * 3000) is not None
 
 
+def test_blocks_lose_no_text_around_raw_elements():
+    texts = lambda html: [t for _, t in html_blocks.blocks(html)]
+    for tag in ('<svg-icon name="x"></svg-icon>', "<template-x></template-x>", '<svg class="i"/>', "<svg>", "<template>", "<svg><text>no</text></svg>", "<title-bar/>", "<iframe>"):
+        assert texts(f"<p>one</p>{tag}<p>two</p>") == ["one", "two"], tag
+    for tag in ("math", "object", "noscript", "canvas"):
+        assert texts(f"<article><p>one <{tag}>in</{tag}> two</p></article>") == ["one in two"], tag
+    assert html_blocks.blocks("<math/><p>x</p>") == [((("p",),), "x")]
+    assert texts("<p>one</p><script>no<p>no") == ["one"] and texts("<p>one<style/>no</p>") == ["one"]
+    assert texts("<svg>" * 50000 + "<p>x</p>") == ["x"]
+
+
 @tables
 def test_extraction(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
