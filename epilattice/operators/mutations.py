@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, mi
 
     Every variant counts Poisson(1) times in a replicate, drawn from its hash: the distributed form of drawing n of n,
     independent of partitioning. Each replicate's normal equations are sums over the variants, formed in the workers
-    for a share of the variants and added by Spark; the solves are then one small matrix each.
+    for bounded batches of the variants and added by Spark; the solves are then one small matrix each.
     """
     keep = recurrent_mutations(scores, min_count).groupBy("allele").agg(F.sort_array(F.collect_list("mutation")).alias("names"))
     own = mutation_rows(scores).groupBy("allele", "variant_id").agg(F.collect_list("mutation").alias("m"))
@@ -164,11 +165,9 @@ def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, mi
     rows = y.join(own, ["allele", "variant_id"], "left").join(keep, "allele").select(
         "allele", "outcome", "variant_id", (F.col("value") - F.col("mean")).alias("y"), F.coalesce("m", F.array().cast("array<string>")).alias("m"), "names"
     )
-    # variants are dealt by hash, so that a large allele is split
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("variant_id"), F.lit(16)))
-    rows = rows.withColumn("_h", F.xxhash64("allele", "outcome", "variant_id", F.lit(seed)))
+    rows = rows.withColumn("_h", F.xxhash64("allele", "outcome", "variant_id", F.lit(seed))).drop("variant_id")
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(pdf: pd.DataFrame):
         names = {m: i + 1 for i, m in enumerate(pdf["names"].iloc[0])}
         p = len(names) + 1
         x = np.zeros((len(pdf), p))
@@ -176,28 +175,45 @@ def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, mi
         for i, ms in enumerate(pdf["m"]):
             x[i, [names[m] for m in ms if m in names]] = 1
         h, value = pdf["_h"].to_numpy().astype(np.uint64), pdf["y"].to_numpy()
-        out = []
-        for b in range(bootstraps):
-            u = (_mix(h + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / float(1 << 53)
-            w = np.searchsorted(POISSON, u, "right").astype(float)
-            wx = x * w[:, None]
-            out.append((b, (wx.T @ x).reshape(-1).tolist(), (wx.T @ value).tolist()))
-        frame = pd.DataFrame(out, columns=["replicate", "g", "r"])
-        return frame.assign(allele=pdf["allele"].iloc[0], outcome=pdf["outcome"].iloc[0], names=[pdf["names"].iloc[0]] * len(frame))
-
-    parts = rows.groupBy("allele", "outcome", "_salt").applyInPandas(
-        partial, "replicate int, g array<double>, r array<double>, allele string, outcome string, names array<string>"
-    )
+        key = {"allele": pdf["allele"].iloc[0], "outcome": pdf["outcome"].iloc[0], "names": [list(names)]}
+        for first in range(0, bootstraps, REPLICATES):
+            g, r = [], []
+            for b in range(first, min(first + REPLICATES, bootstraps)):
+                u = (_mix(h + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / float(1 << 53)
+                w = np.searchsorted(POISSON, u, "right").astype(float)
+                wx = x * w[:, None]
+                g.append((wx.T @ x).reshape(-1))
+                r.append(wx.T @ value)
+            yield pd.DataFrame(key | {"first": first, "g": [np.concatenate(g)], "r": [np.concatenate(r)], "part": TaskContext.get().partitionId()})
+
+    def partial(batches):
+        for batch in batches:
+            for start in range(0, len(batch), BATCH_ROWS):
+                for _, own in batch.iloc[start : start + BATCH_ROWS].groupby(["allele", "outcome"], sort=False):
+                    yield from sums(own)
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, r = (np.sum(np.stack(pdf[c].to_list()), axis=0) for c in ("g", "r"))
+        return pd.DataFrame({"allele": pdf["allele"].iloc[0], "outcome": pdf["outcome"].iloc[0], "names": [list(pdf["names"].iloc[0])], "first": pdf["first"].iloc[0], "g": [g], "r": [r]})
+
+    # one row of sums for each batch, then for each partition, then in all
+    schema = "allele string, outcome string, names array<string>, first int, g array<double>, r array<double>"
+    parts = rows.mapInPandas(partial, f"{schema}, part int").groupBy("allele", "outcome", "first", "part").applyInPandas(added, schema)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = list(pdf["names"].iloc[0])
-        g = np.sum(np.stack(pdf["g"].to_list()), axis=0).reshape(len(names) + 1, -1)
-        beta = _solve(g, np.sum(np.stack(pdf["r"].to_list()), axis=0))
-        return pd.DataFrame({"allele": pdf["allele"].iloc[0], "outcome": pdf["outcome"].iloc[0], "mutation": names, "replicate": pdf["replicate"].iloc[0], "coefficient": beta[1:]})
+        one = added(pdf).iloc[0]
+        p = len(one["names"]) + 1
+        beta = [_solve(g, r)[1:] for g, r in zip(one["g"].reshape(-1, p, p), one["r"].reshape(-1, p), strict=True)]
+        return pd.DataFrame({
+            "allele": one["allele"], "outcome": one["outcome"], "mutation": one["names"] * len(beta),
+            "replicate": np.repeat(np.arange(len(beta)) + one["first"], p - 1), "coefficient": np.concatenate(beta),
+        })
 
-    return parts.groupBy("allele", "outcome", "replicate").applyInPandas(solve, "allele string, outcome string, mutation string, replicate int, coefficient double")
+    return parts.groupBy("allele", "outcome", "first").applyInPandas(solve, "allele string, outcome string, mutation string, replicate int, coefficient double")
 
 
+#: Rows of one dense matrix, and replicates whose sums travel together.
+BATCH_ROWS, REPLICATES = 4096, 10
 #: Cumulative Poisson(1) probabilities.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 

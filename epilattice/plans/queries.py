@@ -223,7 +223,7 @@ def mutation_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutation_coefficients_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mu.mutation_coefficients(mhci_scores(spark, sf_dir), fx.VR, fx.REGION[0] - 1, min_count=5, bootstraps=50)[0]
+    return mu.mutation_coefficients(mhci_scores(spark, sf_dir), fx.VR, fx.REGION[0] - 1, min_count=5)[0]
 
 
 def derived_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from epilattice.operators import chemistry as ch
 from epilattice.operators import mutations as mu
 from epilattice.operators import scores as sc
+from epilattice.plans import queries
 from epilattice.sources.readers import read_scores
 from epilattice.sources.writers import write_by_allele, write_models, write_table
 
@@ -122,6 +123,24 @@ def test_collinear_mutations_share_their_effect(spark):
     assert fits.first().rank == 2 and fits.first().design_columns == 3
 
 
+def test_bootstrap_does_not_depend_on_batches(spark, monkeypatch):
+    scores, _ = model_scores(spark)
+    draws = lambda df: {(x.allele, x.outcome, x.mutation, x.replicate): x.coefficient for x in mu.mutation_bootstrap(df, ["o1", "o2"], bootstraps=12).collect()}
+    one = draws(scores.coalesce(1))
+    monkeypatch.setattr(mu, "BATCH_ROWS", 7)
+    many = draws(scores.repartition(5))
+    assert {k[3] for k in one} == set(range(12)) and one.keys() == many.keys() and all(many[k] == pytest.approx(v, abs=1e-8) for k, v in one.items())
+
+
+def test_query_takes_all_replicates(spark, monkeypatch):
+    drawn = []
+    real = mu.mutation_bootstrap
+    monkeypatch.setattr(mu, "mutation_bootstrap", lambda *a: (drawn.append(a[3]), real(*a))[1])
+    monkeypatch.setattr(queries, "mhci_scores", lambda s, d: spark.createDataFrame([], "allele string, variant_id string, VR_mutation string, " + ", ".join(f"{x} double" for x in mu.OUTCOMES)))
+    queries.mutation_coefficients_q(spark, "")
+    assert drawn == [500]
+
+
 def test_bootstrap_and_models(spark):
     scores, rows = model_scores(spark)
     c, _ = mu.mutation_coefficients(scores, WT, 100, ["o1", "o2"], bootstraps=40, validate=True)
