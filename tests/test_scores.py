@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +134,17 @@ def test_bootstrap_does_not_depend_on_batches(spark, monkeypatch):
     assert {k[3] for k in one} == set(range(12)) and one.keys() == many.keys() and all(many[k] == pytest.approx(v, abs=1e-8) for k, v in one.items())
 
 
+def test_physchem_takes_all_nations(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    seen = []
+    monkeypatch.setattr(queries, "physicochemical_models", lambda effects: seen.append(effects) or {"models": effects})
+    queries.QUERIES["physchem_models"](spark, folder)
+    nations = spark.read.parquet(f"{folder}/supplier.parquet").select("s_nationkey").distinct().count()
+    assert seen[0].agg(F.max("n_alleles")).first()[0] == nations == 25
+
+
 def test_query_takes_all_replicates(spark, monkeypatch):
     drawn = []
     real = mu.mutation_bootstrap
