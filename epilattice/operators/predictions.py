@@ -93,7 +93,8 @@ def pass_report(mapped: DataFrame, flags: Sequence[str]) -> DataFrame:
 def rename_alleles(df: DataFrame, crosswalk: DataFrame, spelling: str) -> DataFrame:
     """A predictor's allele spelling into the common name, by a crosswalk(name, spellings...); unknown ones stay.
 
-    A crosswalk has a row for each allele of a run (tens), which proves its size small enough to broadcast.
+    A crosswalk has a row for each allele of a run, mostly tens; beyond 100,000 the join is shuffled.
     """
-    names = F.broadcast(crosswalk.select(F.col(spelling).alias("allele"), F.col("name").alias("_name")).limit(100_000))
-    return df.join(names, "allele", "left").withColumn("allele", F.coalesce("_name", "allele")).drop("_name").select(*df.columns)
+    names = crosswalk.select(F.col(spelling).alias("allele"), F.col("name").alias("_name"))
+    small = names.limit(100_001).count() <= 100_000
+    return df.join(F.broadcast(names) if small else names, "allele", "left").withColumn("allele", F.coalesce("_name", "allele")).drop("_name").select(*df.columns)

@@ -119,8 +119,9 @@ def wt_relative_windows(rows: DataFrame, reference: DataFrame) -> DataFrame:
     improvements and no WT pass."""
     expected = with_expected(reference)
     out = _match(rows, expected.drop("expected_window_count"), "left")
-    counts = F.broadcast(expected.groupBy("allele").agg(F.first("expected_window_count").alias("expected_window_count")).limit(10_000))
-    out = out.join(counts, "allele", "left")
+    counts = expected.groupBy("allele").agg(F.first("expected_window_count").alias("expected_window_count"))
+    small = counts.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    out = out.join(F.broadcast(counts) if small else counts, "allele", "left")
     out = out.withColumn("changed_window", F.coalesce(F.col("peptide") != F.col("wt_peptide"), F.lit(False)))
     added = {"netMHCpan_window_improvement": _improvement(f"wt_{EL_RANK}", EL_RANK), "MHCflurry_window_improvement": _improvement(f"wt_{AFFINITY}", AFFINITY)}
     for name, flag in (("netMHCpan", NET_PASS), ("MHCflurry", FLURRY_PASS), ("both", "both_pass"), ("either", "either_pass")):

@@ -119,3 +119,12 @@ def test_annotate(spark):
     assert inferred_wt(library, (3, 6)).first().wt_vr == "ABCD"  # a tie goes to the smallest
     with pytest.raises(ValueError):
         annotate(rows, library.union(spark.createDataFrame([("wt", "XXABXXYY")], library.schema)), (3, 6), "ABCD", validate=True)
+
+
+def test_many_alleles(spark):
+    many = spark.range(100_050).selectExpr("concat('a', id) AS allele", "concat('n', id) AS name")
+    assert rename_alleles(many.select("allele"), many.withColumnRenamed("allele", "own"), "own").where("allele LIKE 'n%'").count() == 100_050
+    some = many.where("substring(allele, 2)::int < 10050")
+    check_alleles(some, [f"a{i}" for i in range(10_050)])
+    with pytest.raises(ValueError, match="unexpected"):
+        check_alleles(some, [f"a{i}" for i in range(10_049)])

@@ -125,6 +125,14 @@ def test_collinear_mutations_share_their_effect(spark):
     assert fits.first().rank == 2 and fits.first().design_columns == 3
 
 
+def test_expected_windows_of_many_alleles(spark):
+    wt = spark.range(10_050).selectExpr("concat('a', id) AS allele", *(f"CAST({v} AS string) AS `{c}`" for c, v in zip(
+        ["peptide_id", "start", "end", "k", sc.EL_RANK, sc.NET_PASS, sc.AFFINITY, sc.FLURRY_PASS, "peptide", "variant_id", "VR_mutation"],
+        ["'p'", 1, 9, 9, 0.5, "true", 0.5, "true", "'PEPTIDEXX'", "'v'", "'WT'"], strict=True)))
+    out = sc.wt_scores_mhci(wt, wt)
+    assert out.where("expected_window_count = 1").count() == 10_050
+
+
 def test_bootstrap_does_not_depend_on_batches(spark, monkeypatch):
     scores, _ = model_scores(spark)
     draws = lambda df: {(x.allele, x.outcome, x.mutation, x.replicate): x.coefficient for x in mu.mutation_bootstrap(df, ["o1", "o2"], bootstraps=12).collect()}
