@@ -1,9 +1,10 @@
 """Language identification by n-gram filters that answer with a bitmask of languages.
 
-Training counts hashed character n-grams in each language over all training texts. An n-gram belongs to the languages
-in which it is frequent against the language of its highest rate. The model is a Bloom filter kept bit-sliced: each
-cell holds one bit for each language, and the AND of an n-gram's cells is the set of all languages that contain it.
-A text is decided by how many of its n-grams each language contains, less what false positives add to each.
+Training counts character n-grams (by 64-bit hashes) in each language over all training texts. An n-gram belongs to
+the languages in which it is frequent against the language of its highest rate. The model is a Bloom filter of these
+members kept bit-sliced: each cell holds one bit for each language, and the AND of an n-gram's cells is the set of all
+languages that contain it. A text is decided by how many of its n-grams each language contains, less what false
+positives, measured by how full each language's bits are, add to each.
 """
 
 from __future__ import annotations
@@ -11,20 +12,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .textops import BASES, hashed, merged_sketch, mix, prefix, sketch_cells, sketch_rows, steps
+from .shared import discard, settle
+from .textops import BASES, hashed, mix, prefix, sketch_cells, steps
 
 #: Bytes of an n-gram, without letters' case; white space bounds words and is part of it.
 NGRAM = 5
-#: One counter for each language and n-gram bucket: 2^18 buckets of four bytes a language, whatever the input.
-BUCKETS = 18
-#: The n-grams of a language: a rate of at least this part of the highest one, and this many occurrences.
-SHARE, LEAST = 0.5, 3
-#: The filter: 2^20 cells of one 64-bit mask, two cells an n-gram.
-CELLS, PROBES = 20, 2
-MAX_LANGUAGES = 64
+#: The n-grams of a language: a rate of at least this part of the highest one, this many occurrences, and one of this
+#: many of all the language's n-grams. The last bounds a language's members, and so the filter, whatever the input.
+SHARE, LEAST, RARE = 0.5, 3, 2_000_000
+#: The filter has this many cells for each member, and looks at two cells for each n-gram.
+CELLS_PER_MEMBER, PROBES = 8, 2
+#: Distinct n-grams that a task gathers before it hands them on.
+GATHERED = 1 << 20
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -61,64 +64,101 @@ def without_letters(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class LanguageFilter:
-    """languages, cells (one mask each) and the false-positive rate of each language."""
-
-    def __init__(self, languages: list[str], cells: np.ndarray, false_rate: np.ndarray):
-        self.languages, self.cells, self.false_rate = languages, cells, false_rate
-
-    def masks(self, buckets: np.ndarray) -> np.ndarray:
+    """languages; cells x words of 64-bit masks, bit k % 64 of word k // 64 being language k's; how often each
+    language's bits answer for an n-gram that it lacks, by their fill."""
+
+    def __init__(self, languages: list[str], members: np.ndarray, masks: np.ndarray):
+        """members: hashes of n-grams; masks: for each its languages, one row of words."""
+        self.languages = languages
+        self.bits = max(6, int(np.ceil(np.log2(max(CELLS_PER_MEMBER * len(members), 2)))))
+        self.cells = np.zeros((1 << self.bits, masks.shape[1]), np.uint64)
+        for at in sketch_cells(mix(members), PROBES, self.bits):
+            np.bitwise_or.at(self.cells, at, masks)
+        self.false_rate = np.array([self._bit(self.cells, k).mean() for k in range(len(languages))]) ** PROBES
+
+    @staticmethod
+    def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+        return (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+
+    def masks(self, grams: np.ndarray) -> np.ndarray:
         """All languages that contain each n-gram, as bits."""
-        out = np.full(len(buckets), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for cells in sketch_cells(mix(buckets.astype(np.uint64)), PROBES, CELLS):
-            out &= self.cells[cells]
+        first, *rest = sketch_cells(mix(grams), PROBES, self.bits)
+        out = self.cells[first]
+        for at in rest:
+            out &= self.cells[at]
         return out
 
-    def scores(self, buckets: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    def scores(self, grams: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         """For each of n texts and language: the share of its n-grams that the language contains, corrected."""
-        masks = self.masks(buckets)
+        masks = self.masks(grams)
         total = np.maximum(np.bincount(text, minlength=n), 1)
         out = np.zeros((n, len(self.languages)))
         for k, rate in enumerate(self.false_rate):
-            hits = np.bincount(text, weights=((masks >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=n)
-            out[:, k] = np.clip((hits / total - rate) / (1 - rate), 0, 1)
+            hits = np.bincount(text, weights=self._bit(masks, k).astype(float), minlength=n)
+            out[:, k] = np.clip((hits / total - rate) / max(1 - rate, 1e-9), 0, 1)
         return out
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKETS)).astype(np.int64)
+def count_ngrams(batches):
+    """Each n-gram that a task has seen in a language, with how often: (h, lang, n)."""
+    held: dict[str, list] = {}
+    size = 0
+
+    def merged(parts):
+        h, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        return h, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def handed_on():
+        for lang, parts in held.items():
+            h, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([lang] * len(h), pa.string()), pa.array(n)], names=["h", "lang", "n"])
+        held.clear()
+
+    for batch in batches:
+        langs = batch.column("lang").to_numpy(zero_copy_only=False)
+        for row, data, offs in steps(batch.column("text")):
+            h, text = ngrams(data, offs)
+            own = langs[row : row + len(offs) - 1]
+            for lang in set(own.tolist()):
+                grams, n = np.unique(h[(own == lang)[text]], return_counts=True)
+                parts = held.setdefault(lang, [])
+                parts.append((grams, n))
+                if len(parts) > 8:
+                    held[lang] = [merged(parts)]
+            size = sum(len(h) for parts in held.values() for h, _ in parts)
+            if size >= GATHERED:
+                yield from handed_on()
+    yield from handed_on()
+
+
+def language_members(training: DataFrame) -> tuple[list[str], DataFrame]:
+    """(languages, members): every n-gram of some language as (h, masks), masks holding its languages' bits, a word
+    for each 64 languages."""
+    training = training.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    # gathered in tasks first, so that what is dealt grows with distinct n-grams; then dealt once, by n-gram
+    counts = training.mapInArrow(count_ngrams, "h long, lang string, n long").repartition("h").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+    counts = settle(counts)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    languages = sorted(r.lang for r in totals.collect())  # a row for each language
+    number = counts.sparkSession.createDataFrame(list(enumerate(languages)), "k int, lang string")
+    rated = counts.join(F.broadcast(totals.join(number, "lang")), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    best = F.max("rate").over(W.partitionBy("h"))
+    rated = rated.withColumn("best", best).where((F.col("rate") >= SHARE * F.col("best")) & (F.col("n") >= LEAST) & (F.col("rate") >= 1 / RARE))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k") % 64)
+    word = lambda w: F.coalesce(F.bit_or(F.when(F.floor(F.col("k") / 64) == w, bit)), F.lit(0).cast("long"))
+    members = rated.groupBy("h").agg(F.array(*[word(w) for w in range(max(1, -(-len(languages) // 64)))]).alias("masks"))
+    members._settled = counts._settled
+    return languages, members
 
 
 def fit(training: DataFrame) -> LanguageFilter:
     """A filter from training(text, lang). Null texts and languages teach nothing; no rows give a filter without
-    languages, which answers `und`. More than 64 languages are an error."""
-    spark = training.sparkSession
-    training = training.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    found = training.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()  # bounded by the limit
-    languages = sorted(r.lang for r in found)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not languages:
-        return LanguageFilter([], np.zeros(1 << CELLS, np.uint64), np.zeros(0))
-    number = {x: k for k, x in enumerate(languages)}
-
-    def count(batches):
-        counts = np.zeros((len(languages), 1 << BUCKETS), np.uint32)
-        for batch in batches:
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for row, data, offs in steps(batch.column("text")):
-                h, text = ngrams(data, offs)
-                np.add.at(counts.reshape(-1), lang[row + text] << BUCKETS | bucket(h), np.uint32(1))
-        yield from sketch_rows(counts)
-
-    counts = merged_sketch(training.mapInArrow(count, "block int, cells binary"), len(languages), BUCKETS, 2**32 - 1).astype(float)
-    rates = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    member = (rates >= SHARE * rates.max(axis=0)) & (counts >= LEAST)
-    cells = np.zeros(1 << CELLS, np.uint64)
-    for k in range(len(languages)):
-        for at in sketch_cells(mix(np.flatnonzero(member[k]).astype(np.uint64)), PROBES, CELLS):
-            np.bitwise_or.at(cells, at, np.uint64(1 << k))
-    full = np.array([((cells >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
-    return LanguageFilter(languages, cells, full**PROBES)
+    languages, which answers `und`. What reaches the driver are members, RARE for each language at most."""
+    languages, members = language_members(training)
+    found = members.toArrow()
+    discard(members)
+    masks = np.array(found.column("masks").combine_chunks().flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+    return LanguageFilter(languages, found.column("h").to_numpy().view(np.uint64), masks.reshape(len(found), -1) if len(found) else np.zeros((0, 1), np.uint64))
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
@@ -127,29 +167,39 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     `und` and 0 if text is null or has no letter, or if the model has no language. Ties go to the language that
     sorts first. All columns and rows stay; columns of these two names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    predict = _predictor(docs.sparkSession, model)
 
-    def predict(batches):
+    def run(batches):
         for batch in batches:
-            names, scores = [], []
-            for _, data, offs in steps(batch.column("text")):
-                n = len(offs) - 1
-                if not shared.value.languages:
-                    names += [UNKNOWN] * n
-                    scores += [0.0] * n
-                    continue
-                h, text = ngrams(data, offs)
-                s = shared.value.scores(bucket(h), text, n)
-                best, none = s.argmax(axis=1), without_letters(data, offs)
-                names += [UNKNOWN if x else shared.value.languages[b] for b, x in zip(best, none, strict=True)]
-                scores += np.where(none, 0.0, s.max(axis=1)).tolist()
+            names, scores = predict(batch.column("text"))
             rest = [(c, batch.column(c)) for c in batch.schema.names if c not in ("lang_pred", "score")]
             rest += [("lang_pred", pa.array(names, pa.string())), ("score", pa.array(scores, pa.float64()))]
             yield pa.RecordBatch.from_arrays([x for _, x in rest], names=[c for c, _ in rest])
 
     kept = docs.drop("lang_pred", "score")
     schema = StructType(list(kept.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(run, schema)
+
+
+def _predictor(spark, model: LanguageFilter):
+    shared = spark.sparkContext.broadcast(model)
+
+    def predict(texts: pa.Array) -> tuple[list[str], list[float]]:
+        names, scores = [], []
+        for _, data, offs in steps(texts):
+            n = len(offs) - 1
+            if not shared.value.languages:
+                names += [UNKNOWN] * n
+                scores += [0.0] * n
+                continue
+            h, text = ngrams(data, offs)
+            s = shared.value.scores(h, text, n)
+            best, none = s.argmax(axis=1), without_letters(data, offs)
+            names += [UNKNOWN if x else shared.value.languages[b] for b, x in zip(best, none, strict=True)]
+            scores += np.where(none, 0.0, s.max(axis=1)).tolist()
+        return names, scores
+
+    return predict
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -159,5 +209,11 @@ def held_out(doc_id: str = "doc_id"):
 
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """docs without the rows whose language is undetermined or whose score is below `least`; columns stay."""
-    model = fit(docs.where(~held_out()))
-    return identify(docs.select(F.struct("*").alias("row"), "text"), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    predict = _predictor(docs.sparkSession, fit(docs.where(~held_out())))
+
+    def run(batches):
+        for batch in batches:
+            names, scores = predict(batch.column("text"))
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
