@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The normaliser (a leading space, spaces written as U+2581), the pieces and byte fallback are compiled into one
-transducer; each input is composed with it, and the shortest path in the tropical semiring (costs add along a path,
-the least path wins) gives the pieces. The installed vocabulary is a BPE model: of all paths only the one that merging
-would produce may count. A sequence of pieces is that one if and only if merging leaves each two neighbours as they
-are, so an arc costs 1 after a piece it may follow and infinity otherwise. Every prefix then has one finite path, and
-a state for each position of the input is enough.
+The normaliser (a leading space, spaces written as U+2581), the pieces and byte fallback are compiled into one machine:
+its states are the beginnings of pieces, its arcs read a character of the raw text, and where a piece ends an arc back
+to the start writes its id at a weight. Each input is composed with it, and of all paths the shortest one in the
+tropical semiring (weights add along a path, of paths that meet the least one stays) gives the ids.
+
+In a unigram model a piece weighs what its score lacks to zero, and a character without a piece what the library gives
+unknown ones. In a BPE model merging decides: each piece weighs one, and an arc after a piece is cut off (an infinite
+weight) if merging would not leave the two side by side, so that the sequence which merging makes is the one path.
 """
 
 from __future__ import annotations
@@ -21,14 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 SPACE = "▁"
-#: Distinct stretches of text whose paths a worker remembers; beyond it, it starts afresh.
+INFINITE = float("inf")
+#: A fixed value of the library: what a character without a piece weighs beyond the worst piece of a unigram model.
+UNKNOWN_PENALTY = 10.0
+#: Stretches of text whose paths a worker remembers, and pairs of pieces; beyond it, it starts afresh.
 REMEMBERED = 250_000
 #: Rows that a worker handles at once.
 ROWS = 512
 
 
 class Transducer:
-    """The compiled model: trie of the pieces, fallback to bytes, and which piece may follow which."""
+    """The compiled model: states and arcs of the pieces, fallback to bytes, and which piece may follow which."""
 
     def __init__(self, model_file: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -36,27 +41,40 @@ class Transducer:
         model = pb.ModelProto()
         with open(model_file, "rb") as f:
             model.ParseFromString(f.read())
-        norm, kinds = model.normalizer_spec, pb.ModelProto.SentencePiece
-        plain = norm.escape_whitespaces and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
-        if model.trainer_spec.model_type != pb.TrainerSpec.BPE or not model.trainer_spec.byte_fallback or not plain:
-            raise ValueError("only BPE models with byte fallback and the identity normaliser are compiled")
-        self.prefix = SPACE if norm.add_dummy_prefix else ""
+        norm, kinds, types = model.normalizer_spec, pb.ModelProto.SentencePiece, pb.TrainerSpec
+        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
+            raise ValueError("only the identity normaliser is compiled")
+        if model.trainer_spec.model_type not in (types.BPE, types.UNIGRAM) or not model.trainer_spec.byte_fallback:
+            raise ValueError("only BPE and unigram models with byte fallback are compiled")
+        if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
+            raise ValueError("user-defined and unused pieces are not compiled")
+        self.merges = model.trainer_spec.model_type == types.BPE
+        self.prefix = " " if norm.add_dummy_prefix else ""
         self.pieces = [p.piece for p in model.pieces]
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED, kinds.UNUSED)}
+        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.piece in self.ids}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
+        self.weights = [1.0 if self.merges else -p.score for p in model.pieces]
+        self.fallback = 1.0 if self.merges else UNKNOWN_PENALTY - min(self.scores.values(), default=0.0)
         self.output = [b""] * len(self.pieces)
         for piece, i in self.ids.items():
             self.output[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.bytes.items():
             self.output[i] = bytes([value])
-        self.trie: dict = {}
+        # a state: the id that is written where a piece ends, or -1, and the arcs from there by character
+        self.start: dict = {}
         for piece, i in self.ids.items():
-            kids = self.trie
+            arcs = self.start
             for c in piece:
-                node = kids.setdefault(c, [-1, {}])  # the id of the piece that ends here, and what goes on
-                kids = node[1]
-            node[0] = i
+                if c not in arcs:
+                    arcs[c] = [-1, {}]
+                    if c == SPACE:
+                        arcs[" "] = arcs[c]  # the normaliser: both characters are the same arc
+                state = arcs[c]
+                arcs = state[1]
+            state[0] = i
+        if self.merges and any(state[0] < 0 for state in self.start.values()):
+            raise ValueError("a BPE model's pieces must be made of characters that are pieces")
         self.steps: dict[int, list] = {}
         self.follows: dict[int, dict[int, bool]] = {}
         self.known = 0
@@ -64,7 +82,7 @@ class Transducer:
         # no piece crosses from a character into a later space, so paths join there; nor a line break, if none has one
         whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         lone = "" if any("\n" in p for p in self.ids) else "\n"
-        self.cut = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|{lone}" if lone else ""))
+        self.cut = re.compile("(?s).+" if whole else f"[ {SPACE}]*[^ {SPACE}{lone}]+|[ {SPACE}]+" + (f"|{lone}" if lone else ""))
 
     def merging(self, piece: str) -> list[tuple]:
         """How a piece is merged from its characters: before each merge (its score, the first part, the last part);
@@ -101,36 +119,47 @@ class Transducer:
             else:
                 return True
 
+    def joins(self, a: int, b: int) -> bool:
+        """may_follow, remembered."""
+        after = self.follows.get(a)
+        if after is None:
+            if self.known > REMEMBERED:
+                self.follows.clear()
+                self.known = 0
+            after = self.follows[a] = {}
+        free = after.get(b)
+        if free is None:
+            free = after[b] = self.may_follow(a, b)
+            self.known += 1
+        return free
+
     def shortest_path(self, text: str) -> array:
-        """Composes one stretch of normalised text with the transducer: ids of the pieces of its least path."""
-        n, trie, follows = len(text), self.trie, self.follows
-        last = [-2] * (n + 1)  # of the least path to each position: its last piece, -1 for the start or raw bytes
-        back = [0] * (n + 1)
-        last[0] = -1
+        """Composes one stretch of raw text with the machine: the ids that its least path writes.
+
+        cost is of the least path to each position, last the piece it ends with (-1 for none or raw bytes), back where
+        that began. Of equal paths the first stays, as in the library.
+        """
+        n, start, weights, merges, joins = len(text), self.start, self.weights, self.merges, self.joins
+        cost, last, back = [INFINITE] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        cost[0] = 0.0
         for i in range(n):
-            before, j = last[i], i + 1
-            node = trie.get(text[i])
-            if node is None:  # byte fallback: merging never touches it
-                last[j], back[j] = -1, i
+            here = cost[i]
+            if here == INFINITE:
                 continue
-            after = follows.get(before)
-            if after is None:
-                after = follows[before] = {}
-            while True:
-                piece, kids = node
-                # every position has one path of finite cost, so the first one found is the least
-                if piece >= 0 and last[j] == -2:
-                    free = after.get(piece)
-                    if free is None:
-                        free = after[piece] = before < 0 or self.may_follow(before, piece)
-                        self.known += 1
-                    if free:
-                        last[j], back[j] = piece, i
+            before, j = last[i], i + 1
+            state = start.get(text[i])
+            if state is None or state[0] < 0:  # a character without a piece: an arc that writes its bytes
+                if here + self.fallback < cost[j]:
+                    cost[j], last[j], back[j] = here + self.fallback, -1, i
+            while state is not None:
+                piece, arcs = state
+                if piece >= 0:
+                    there = here + weights[piece]
+                    if there < cost[j] and (not merges or before < 0 or joins(before, piece)):
+                        cost[j], last[j], back[j] = there, piece, i
                 if j == n:
                     break
-                node = kids.get(text[j])
-                if node is None:
-                    break
+                state = arcs.get(text[j])
                 j += 1
         out, j = array("i"), n
         while j:
@@ -141,9 +170,6 @@ class Transducer:
                 out.extend(self.bytes[b] for b in reversed(text[i:j].encode()))
             j = i
         out.reverse()
-        if self.known > 4 * REMEMBERED:
-            follows.clear()
-            self.known = 0
         return out
 
     def encode(self, text: str) -> bytes:
@@ -151,7 +177,7 @@ class Transducer:
         if not text:
             return b""
         paths = self.paths
-        parts = self.cut.findall(self.prefix + text.replace(" ", SPACE))
+        parts = self.cut.findall(self.prefix + text)
         try:
             return b"".join(map(paths.__getitem__, parts))
         except KeyError:
@@ -167,6 +193,12 @@ class Transducer:
         out = b"".join(map(self.output.__getitem__, ids.tolist()))
         return out[1:] if self.prefix and out[:1] == b" " else out
 
+    def forget(self) -> None:
+        """Between tasks, which have stretches of their own, only the machine stays in memory."""
+        self.paths.clear()
+        self.follows.clear()
+        self.known = 0
+
 
 _compiled: dict[str, Transducer] = {}
 
@@ -189,6 +221,8 @@ def _add(df: DataFrame, columns: dict, run) -> DataFrame:
                 batch = whole.slice(start, ROWS)
                 rest = [c for c in batch.schema.names if c not in columns]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *run(batch)], names=[*rest, *columns])
+        for t in _compiled.values():
+            t.forget()
 
     return df.mapInArrow(each, schema)
 

@@ -78,6 +78,46 @@ def test_tokens_equal_the_public_library(spark):
     assert encode(rows.where("false"), queries.VOCABULARY).count() == 0
 
 
+def test_unigram_models_equal_the_public_library(spark, tmp_path):
+    """A unigram model put together by hand: the least path, and by brute force the least weight."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r, model = random.Random(12), pb.ModelProto()
+    add = lambda piece, score, kind: model.pieces.add(piece=piece, score=score, type=kind)
+    kinds = pb.ModelProto.SentencePiece
+    add("<unk>", 0, kinds.UNKNOWN)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0, kinds.BYTE)
+    own = {"▁", "a", "b", "c", "é"} | {"".join(r.choice("▁abcé") if k == 0 else r.choice("abcé") for k in range(r.randint(2, 5))) for _ in range(60)} | {"xy"}
+    for p in sorted(own):
+        add(p, -r.uniform(1, 9), kinds.NORMAL)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = pb.TrainerSpec.UNIGRAM, True
+    model.trainer_spec.vocab_size = len(model.pieces)
+    model.normalizer_spec.name, model.normalizer_spec.remove_extra_whitespaces = "identity", False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(r.choice("abcé abcé\n🙂xyz") for _ in range(r.randrange(40))) for _ in range(300)] + ["", " ", "  a", "abc" * 2000, None]
+    got = decode(encode(spark.createDataFrame([(t,) for t in texts], "text string"), str(path)), str(path)).collect()
+    for x in got:
+        if x.text is not None:
+            assert x.token_ids == sp.encode(x.text) and x.decoded == x.text
+    t = Transducer(str(path))
+    for text in filter(None, texts[:60]):
+        chars = " " + text
+        best = [0.0] + [float("inf")] * len(chars)
+        for j in range(1, len(chars) + 1):
+            for i in range(max(0, j - 6), j):
+                p = chars[i:j].replace(" ", "▁")
+                w = -t.scores[p] if p in t.scores else t.fallback if j == i + 1 else float("inf")
+                best[j] = min(best[j], best[i] + w)
+        ids = sp.encode(text)
+        raw = bytes(x - 1 for x in ids if 1 <= x <= 256).decode()  # of characters without a piece
+        total = len(raw) * t.fallback + sum(t.weights[x] for x in ids if x > 256)
+        assert total == pytest.approx(best[-1], rel=1e-6)
+
+
 @vocabulary
 def test_whole_table_round_trip(spark):
     if not os.path.isdir(SF):
@@ -214,6 +254,46 @@ def test_language_cases(spark):
     assert kept.columns == ["doc_id", "text", "lang", "row"] and kept.count() == 11
 
 
+def grams_of(text):
+    """All n-grams with a letter in the middle, by a walk over the bytes."""
+    pad = [32] * (language.NGRAM - 1)
+    own = [*pad, *(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()), *pad]
+    return [tuple(own[i : i + language.NGRAM]) for i in range(len(own) - language.NGRAM + 1) if own[i + language.NGRAM // 2] != 32]
+
+
+def test_language_filter_against_brute_force(spark, monkeypatch):
+    """Counts, members, masks and corrected scores of seventy languages, against dictionaries and a filter by hand."""
+    r = random.Random(11)
+    spoken = {f"l{k:02}": ["".join(r.choice("abcdefgé") for _ in range(r.randint(2, 7))) for _ in range(9)] for k in range(70)}
+    rows = [(" ".join(r.choice(own) for _ in range(25)).title(), lang) for lang, own in spoken.items() for _ in range(4)]
+    monkeypatch.setattr(language, "GATHERED", 300)  # handed on in many parts
+    languages, members = language.language_members(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    counts = {lang: {} for lang in spoken}
+    for text, lang in rows:
+        for g in grams_of(text):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    rate = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in counts.items()}
+    code = lambda g: int(language.hashed(np.array([0]), np.array([5]), language.prefix(np.array(g, np.uint64), language.BASES[0]), language.BASES[0])[0])
+    want = {}
+    for k, lang in enumerate(sorted(spoken)):
+        for g, n in counts[lang].items():
+            if n >= 3 and rate[lang][g] >= 0.5 * max(x.get(g, 0) for x in rate.values()):
+                want.setdefault(code(g), [0, 0])[k // 64] |= 1 << k % 64
+    got = {x.h % 2**64: [m % 2**64 for m in x.masks] for x in members.collect()}
+    assert languages == sorted(spoken) and got == want
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    asked = np.array([*want, *(r.getrandbits(64) for _ in range(20000))], np.uint64)
+    masks = model.masks(asked)
+    assert all([int(a) & int(b) == int(b) for a, b in zip(m, w)] == [True, True] for m, w in zip(masks, want.values()))  # none is lost
+    for k in (0, 33, 69):  # false positives come at the rate that is taken off
+        assert model._bit(masks[len(want) :], k).mean() == pytest.approx(model.false_rate[k], abs=0.005)
+    text = rows[0][0]
+    hits = [model._bit(model.masks(np.array([code(g) for g in grams_of(text)], np.uint64)), k).mean() for k in range(70)]
+    scores = [max(0, (h - f) / (1 - f)) for h, f in zip(hits, model.false_rate)]
+    out = language.identify(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert out.lang_pred == languages[int(np.argmax(scores))] and out.score == pytest.approx(max(scores))
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
