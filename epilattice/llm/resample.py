@@ -19,9 +19,9 @@ from .textops import merged_sketch, mix, sketch_rows, steps, windows, words
 BUCKETS = 16
 #: Labelled rows that the target model is fitted on, at most; their ids are broadcast.
 TARGET_ROWS = 20_000
-#: Weights are the mean log ratio of a document's n-grams, as if it had this many: long texts don't drown the draw.
-EFFECTIVE_LENGTH = 32.0
 SEED = 17
+#: Equal rows that one array of draws counts.
+COPIES = 4096
 BINS = 1024
 
 
@@ -69,21 +69,26 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return hi
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = SEED, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = SEED, target_rows: int = TARGET_ROWS,
+             per_ngrams: float | None = None) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, log_weight, gumbel_score, selected.
 
+    log_weight is the log of the ratio of the two models' likelihoods of the text: the sum over all its n-grams, or,
+    with per_ngrams, as if every text had that many, so that long ones weigh no more than short ones. gumbel_score adds
+    the row's draw.
+
     The target model is fitted on at most target_rows documents labelled quality = 1, chosen by the hash of their id;
-    the raw model on all documents. `fraction` of the rows is selected; None takes the share of good ones among the
-    labels. Draws depend on seed, doc_id and text, so equal rows share one. Null, empty and wordless texts have no
-    evidence of quality: their weight is null and they are never selected. Rows that tie with the last one selected
-    are selected too. Without a label of 1 all weights are 0.
+    the raw model on all documents. A doc_id with several labels is good if one of them is 1; labels without id or
+    quality are ignored. `fraction` of the rows is selected; None takes the share of good ones among the labelled ids.
+    Draws depend on seed, doc_id, text and, of rows that agree in those, their number, so each row has its own. Null,
+    empty and wordless texts have no evidence of quality: their weight is null and they are never selected. Rows that
+    tie with the last one selected are selected too. Without a good label all weights are 0.
     """
     spark = docs.sparkSession
-    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    target = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
-    target = settle(target.withColumn("good", F.lit(True)))
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    target = settle(labels.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows))
     if fraction is None:
-        fraction = labels.agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0] or 0.0
+        fraction = labels.agg(F.avg(F.col("good").cast("int"))).first()[0] or 0.0
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     marked = docs.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = merged_sketch(marked.mapInArrow(count, "block int, cells binary"), 2, BUCKETS, 2**32 - 1).astype(float)
@@ -97,16 +102,21 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
                 n = len(offs) - 1
                 code, text = features(data, offs)
                 total = np.bincount(text, minlength=n)
-                mean = np.bincount(text, weights=model.value[code], minlength=n) / np.maximum(total, 1)
+                weight = np.bincount(text, weights=model.value[code], minlength=n)
+                if per_ngrams is not None:
+                    weight *= per_ngrams / np.maximum(total, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(row, n) for c in ("doc_id", "_th")), pa.array(mean * EFFECTIVE_LENGTH, mask=total == 0)],
+                    [*(batch.column(c).slice(row, n) for c in ("doc_id", "_th")), pa.array(weight, mask=total == 0)],
                     names=["doc_id", "_th", "log_weight"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "_th"), 11) + 0.5) / float(1 << 53)
-    scored = docs.mapInArrow(weigh, f"doc_id {id_type}, _th long, log_weight double")
-    scored = settle(scored.withColumn("gumbel_score", F.col("log_weight") - F.log(-F.log(uniform))))
+    scored = docs.mapInArrow(weigh, f"doc_id {id_type}, _th long, log_weight double").groupBy("doc_id", "_th", "log_weight").agg(F.count("*").alias("n"))
+    # a number for each of the rows that agree; in two steps, so that no array grows with them
+    scored = scored.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    scored = scored.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("n") - 1, F.col("_from") + (COPIES - 1)))))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "_th", "_copy"), 11) + 0.5) / float(1 << 53)
+    scored = settle(scored.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("gumbel_score")))
     n = scored.count()
     last = kth_largest(scored, "gumbel_score", round(fraction * n))
     chosen = F.lit(False) if last is None else F.coalesce(F.col("gumbel_score") >= last, F.lit(False))
