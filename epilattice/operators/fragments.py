@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.settled import settle
+
 MODES = ("overlap", "contained")
 #: Windows are cut from pieces of this many starts: substring() walks from the front, so a long text cut window by
 #: window would cost its length squared.
@@ -87,7 +89,7 @@ def numbered_peptides(fragments: DataFrame, order: Sequence[str], kmers: Sequenc
     spark = fragments.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # range partitions are settled before they are counted, so both readings see the same ones
-    dealt = seen.repartitionByRange(parts, "_at").withColumn("_part", F.spark_partition_id()).persist()
+    dealt = settle(seen.repartitionByRange(parts, "_at").withColumn("_part", F.spark_partition_id()))
     counts = sorted((r._part, r["count"]) for r in dealt.groupBy("_part").count().collect())
     before, offsets = 0, []
     for part, n in counts:
