@@ -22,14 +22,37 @@ def clean_library(df: DataFrame, id_col: str, sequence_col: str, metadata: Seque
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] = (), sep: str = "\t") -> DataFrame:
-    """A Parquet folder, or delimited text with a header in which every column is text; required columns are checked."""
+    """A Parquet folder, or delimited text with a header in which every column is text; required columns are checked.
+    Files of one folder may have their columns in different orders, or not all of them: they are matched by name."""
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("nullValue", "").csv(path)
+        df = _by_name(spark, [path], sep, '"').drop("_file")
     return require_columns(df, columns, path)
 
 
+def _by_name(spark: SparkSession, paths: Sequence[str], sep: str, escape: str = "\\", glob: str | None = None) -> DataFrame:
+    """Delimited files with headers as text columns, matched by name over all files, and _file.
+
+    Spark's reader takes the first file's header for all. So the header lines are read first, one for each file, and
+    the files of each distinct header (a few layouts, however many files there are) are read together and united.
+    """
+    looked = spark.read.option("recursiveFileLookup", True)
+    looked = looked.option("pathGlobFilter", glob) if glob else looked
+    lines = looked.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # lines of a file's first block come numbered in their order
+    headers = lines.where("at = 0").withColumn("_i", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "_i").alias("header"))
+    layouts = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()  # a name for each file
+    if not layouts:
+        raise ValueError(f"no files in {list(paths)}")
+    read = spark.read.option("header", True).option("sep", sep).option("escape", escape).option("nullValue", "")
+    out = None
+    for layout in sorted(layouts, key=lambda r: r.header):
+        own = read.csv(sorted(layout.files)).withColumn("_file", F.input_file_name())
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
 def read_library(spark: SparkSession, path: str, id_col: str, sequence_col: str, metadata: Sequence[str] = (), sep: str = ",") -> DataFrame:
     return clean_library(read_table(spark, path, [id_col, sequence_col, *metadata], sep), id_col, sequence_col, metadata)
 
@@ -128,11 +151,11 @@ def read_long_predictions(spark: SparkSession, path: str, sep: str = ",") -> Dat
 def read_scores(spark: SparkSession, paths: Sequence[str], outcomes: Sequence[str], file_name: str | None = None) -> DataFrame:
     """Score tables of single alleles, from files or from folders searched for file_name at any depth.
 
-    Folders that end in _combined are left out. Every file must hold one allele and no two files the same one; at
-    least one of the outcomes must be there. One row a variant; missing mutations read WT.
+    Folders that end in _combined are left out. Columns are matched by name, so files may order them as they like and
+    lack outcomes that others have. Every file must hold one allele and no two files the same one; at least one of the
+    outcomes must be there. One row a variant; missing mutations read WT.
     """
-    read = spark.read.option("header", True).option("sep", "\t").option("nullValue", "").option("recursiveFileLookup", True)
-    df = (read.option("pathGlobFilter", file_name) if file_name else read).csv(list(paths)).withColumn("_file", F.input_file_name())
+    df = _by_name(spark, paths, "\t", glob=file_name)
     df = df.where(~F.col("_file").rlike(r"_combined/[^/]*$"))
     require_columns(df, ["allele", "variant_id", "VR_mutation"], "score tables")
     there = [o for o in outcomes if o in df.columns]
