@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import lenient_int, normalised_allele
+from ..functions.labels import lenient_int, normalised_allele, passes
 from .checks import unique_keys
 
 KEYS = ["allele", "peptide", "variant_id", "start", "end", "k"]
@@ -47,5 +47,32 @@ def combine_predictions(net: DataFrame, flurry: DataFrame, metadata: Sequence[st
     )
 
 
+def combine_scores(net: DataFrame, flurry: DataFrame, net_threshold: float, flurry_threshold: float) -> DataFrame:
+    """combine_predictions before the predictions are mapped: a row for each (allele, peptide, k) with both
+    predictors' columns, pass flags (null where a predictor lacks the pair) and merge_status.
+
+    Both predictors are spread over the same occurrences, so combining peptides and spreading them once gives what
+    combining two spread tables does. Of several rows of the first predictor the one of the lowest rank counts, null
+    last.
+    """
+    rows, names = None, {}
+    for tag, df, own in (("l", net, NET), ("r", flurry, FLURRY)):
+        own = [c for c in own if not c.endswith("_pass")] + [c for c in df.columns if tag == "l" and c in ("netMHCpan_BA_score", "netMHCpan_BA_rank")]
+        names[tag] = own
+        k = F.col("k").cast("int") if "k" in df.columns else F.length("peptide")
+        part = df.select(normalised_allele(F.col("allele")).alias("allele"), "peptide", k.alias("k"), F.struct(*own).alias(f"_{tag}"))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    rank = F.col("_l.netMHCpan_EL_rank")
+    out = rows.groupBy("allele", "peptide", "k").agg(
+        F.min_by("_l", F.when(F.col("_l").isNotNull(), F.struct(rank.isNull(), rank))).alias("_l"), F.first("_r", ignorenulls=True).alias("_r")
+    )
+    has = {t: F.col(f"_{t}").isNotNull() for t in "lr"}
+    status = F.when(has["l"] & has["r"], "both").when(has["l"], "left_only").otherwise("right_only")
+    return out.select(
+        "allele", "peptide", "k", *[f"_l.{c}" for c in names["l"][:2]], F.when(has["l"], passes(rank, net_threshold)).alias(NET[2]), *[f"_l.{c}" for c in names["l"][2:]],
+        *[f"_r.{c}" for c in names["r"]], F.when(has["r"], passes(F.col(f"_r.{FLURRY[0]}"), flurry_threshold)).alias(FLURRY[2]), status.alias("merge_status"),
+    )
+
+
 def merge_report(combined: DataFrame) -> DataFrame:
     return combined.groupBy("merge_status").agg(F.count("*").alias("n_rows"))

@@ -63,7 +63,12 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
     scored = predictions.join(ids.select("peptide", "k", "peptide_id", "occurrence_count"), ["peptide", "k"], how)
     for flag, (score, threshold) in flags.items():
         scored = scored.withColumn(flag, passes(F.col(score), threshold))
-    out = scored.join(fragments, ["peptide", "k"], how)
+    # a peptide of the wild type is in most variants: an inner join can be split by its hot keys, or made by broadcast,
+    # which an outer one can't; predictions without an occurrence are added apart
+    out = scored.join(fragments, ["peptide", "k"])
+    if how == "left":
+        alone = scored.join(fragments.select("peptide", "k").distinct(), ["peptide", "k"], "left_anti")
+        out = out.unionByName(alone, allowMissingColumns=True)
     out = out.select(
         "allele", "peptide_id", "peptide", "k", "variant_id", "start", "end", F.length("peptide").alias("length"), "occurrence_count",
         *metadata, *scores, *flags,

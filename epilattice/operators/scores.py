@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import count_mutations, decoded_boolean, filled_mutation, lenient_double, lenient_int
 from .checks import all_matched, forbid, one_mutation, require_columns, unique_keys
@@ -18,6 +19,22 @@ def _text(name: str) -> Column:
     return F.trim(F.col(name).cast("string")).alias(name)
 
 
+def _double(df: DataFrame, c: str) -> Column:
+    """lenient_double, without the way over text where the column is a number already."""
+    is_double = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return (F.when(~F.isnan(c), F.col(c).cast("double")) if is_double else lenient_double(F.col(c))).alias(c)
+
+
+def _int(df: DataFrame, c: str) -> Column:
+    is_int = isinstance(df.schema[c].dataType, (T.IntegerType, T.ShortType, T.ByteType))
+    return (F.col(c).cast("int") if is_int else lenient_int(F.col(c))).alias(c)
+
+
+def _flag(df: DataFrame, c: str) -> Column:
+    is_boolean = isinstance(df.schema[c].dataType, T.BooleanType)
+    return (F.coalesce(c, F.lit(False)) if is_boolean else decoded_boolean(F.col(c))).alias(c)
+
+
 def _both(df: DataFrame) -> DataFrame:
     return df.withColumn("both_pass", F.col(NET_PASS) & F.col(FLURRY_PASS)).withColumn("either_pass", F.col(NET_PASS) | F.col(FLURRY_PASS))
 
@@ -36,12 +53,12 @@ def prepare_absolute(combined: DataFrame, validate: bool = False) -> DataFrame:
     placed = [F.col(c) if c in combined.columns else F.lit(None).cast("int").alias(c) for c in ("start", "end")]
     rows = combined.where("allele IS NOT NULL AND variant_id IS NOT NULL").select(
         *map(_text, [*GROUPS, "peptide_id"]), filled_mutation(F.col("VR_mutation")).alias("VR_mutation"), *placed,
-        lenient_double(F.col(EL_RANK)).alias(EL_RANK), decoded_boolean(F.col(NET_PASS)).alias(NET_PASS),
-        lenient_double(F.col(AFFINITY)).alias(AFFINITY), decoded_boolean(F.col(FLURRY_PASS)).alias(FLURRY_PASS),
+        _double(combined, EL_RANK), _flag(combined, NET_PASS), _double(combined, AFFINITY), _flag(combined, FLURRY_PASS),
     )
     if validate:
         one_mutation(rows, GROUPS)
-    return _both(_one_of(rows, [*GROUPS, "peptide_id"], ["start", "end", EL_RANK, AFFINITY]))
+    # dealt once: what follows is all by allele and variant, and groups of a row or two gain nothing by combining early
+    return _both(_one_of(rows.repartition(*GROUPS), [*GROUPS, "peptide_id"], ["start", "end", EL_RANK, AFFINITY]))
 
 
 def mean_smallest(c: str, n: int = 3, require: bool = False) -> Column:
@@ -70,14 +87,13 @@ def prepare_windows(combined: DataFrame, validate: bool = False) -> DataFrame:
     """Cleaned rows for window scoring, one for each allele, variant and window."""
     require_columns(combined, [*GROUPS, "peptide_id", "peptide", "start", "end", "k", "VR_mutation", EL_RANK, NET_PASS, AFFINITY, FLURRY_PASS], "combined table")
     rows = combined.where("allele IS NOT NULL AND variant_id IS NOT NULL").select(
-        *map(_text, [*GROUPS, "peptide_id", "peptide"]), *[lenient_int(F.col(c)).alias(c) for c in ("start", "end", "k")],
+        *map(_text, [*GROUPS, "peptide_id", "peptide"]), *[_int(combined, c) for c in ("start", "end", "k")],
         filled_mutation(F.col("VR_mutation")).alias("VR_mutation"),
-        lenient_double(F.col(EL_RANK)).alias(EL_RANK), decoded_boolean(F.col(NET_PASS)).alias(NET_PASS),
-        lenient_double(F.col(AFFINITY)).alias(AFFINITY), decoded_boolean(F.col(FLURRY_PASS)).alias(FLURRY_PASS),
+        _double(combined, EL_RANK), _flag(combined, NET_PASS), _double(combined, AFFINITY), _flag(combined, FLURRY_PASS),
     )
     if validate:
         one_mutation(rows, GROUPS)
-    return _both(_one_of(rows, ["allele", "variant_id", "start", "end", "k"], ["peptide", "peptide_id", EL_RANK, AFFINITY]))
+    return _both(_one_of(rows.repartition(*GROUPS), ["allele", "variant_id", "start", "end", "k"], ["peptide", "peptide_id", EL_RANK, AFFINITY]))
 
 
 def wt_reference(wt_windows: DataFrame) -> DataFrame:
@@ -169,7 +185,7 @@ def prepare_mhcii(annotated: DataFrame, validate: bool = False) -> DataFrame:
     rows = require_columns(annotated, columns, "annotated table").where("allele IS NOT NULL AND variant_id IS NOT NULL").select(
         *GROUPS, "peptide_id", "peptide", *[F.col(c).cast("int").alias(c) for c in ("start", "end", "k")],
         filled_mutation(F.col("VR_mutation"), blank_too=False).alias("VR_mutation"),
-        lenient_double(F.col(EL_RANK_2)).alias(EL_RANK_2), decoded_boolean(F.col(BINDER)).alias(BINDER),
+        _double(annotated, EL_RANK_2), _flag(annotated, BINDER),
     )
     if validate:
         unique_keys(rows, ["allele", "variant_id", "start", "end", "k"], "annotated table")
