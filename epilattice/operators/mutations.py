@@ -13,10 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import filled_mutation, mutation_list
+from ..sources.settled import discard, settle
 from .checks import forbid, require_columns
 
 OUTCOMES = ["netMHCpan_net_pass_change", "MHCflurry_net_pass_change", "netMHCpan_mean_window_improvement", "MHCflurry_mean_window_improvement"]
 
+#: Variants that must have a mutation for it to be modelled.
+MIN_COUNT = 20
+
 # Kyte-Doolittle hydrophobicity, residue volumes in cubic angstroms (Zamyatnin), pKa of side chains (Bjellqvist).
 HYDROPHOBICITY = {
     "A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8,
@@ -59,7 +63,7 @@ def mutation_rows(scores: DataFrame) -> DataFrame:
     return first.select("allele", "variant_id", F.explode(mutation_list(F.col("VR_mutation"))).alias("mutation"))
 
 
-def recurrent_mutations(scores: DataFrame, min_count: int = 1, validate: bool = False) -> DataFrame:
+def recurrent_mutations(scores: DataFrame, min_count: int = MIN_COUNT, validate: bool = False) -> DataFrame:
     """(allele, mutation, n_variants_with_mutation) for mutations in at least min_count variants, whatever their scores."""
     out = mutation_rows(scores).groupBy("allele", "mutation").agg(F.count("*").alias("n_variants_with_mutation")).where(F.col("n_variants_with_mutation") >= min_count)
     if validate and out.isEmpty():
@@ -89,7 +93,7 @@ def parsed_mutations(df: DataFrame, wt_sequence: str, offset: int = 0, validate:
     })
 
 
-def mutation_gram(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = 1) -> DataFrame:
+def mutation_gram(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> DataFrame:
     """Normal equations of score ~ 1 + mutations, in long form: (allele, outcome, a, b, xtx, xty).
 
     a and b run over the recurrent mutations and '' for the constant; a row holds the sum of both indicators'
@@ -113,14 +117,18 @@ FIT_SCHEMA = "allele string, outcome string, n_variants long, n_mutations long,
 COEFFICIENT_SCHEMA = "allele string, outcome string, mutation string, full_data_coefficient double"
 
 
-def mutation_ols(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = 1) -> tuple[DataFrame, DataFrame]:
+def mutation_ols(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(coefficients, fits) of score ~ 1 + mutations for each allele and outcome, of least norm where mutations are
     collinear. Spark sums the normal equations; only a mutations-by-mutations matrix reaches a worker."""
+    # the scores of a whole screen stand behind this: they are written once and read four times
+    columns = ["allele", "variant_id", "VR_mutation", *outcomes]
+    scores = settle(require_columns(scores, columns, "score table").select(*columns))
     gram = mutation_gram(scores, outcomes, min_count)
     totals = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL").groupBy("allele", "outcome").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")
     )
-    grouped = gram.join(totals, ["allele", "outcome"])
+    grouped = settle(gram.join(totals, ["allele", "outcome"]))
+    discard(scores)
 
     def system(pdf: pd.DataFrame):
         names = ["", *sorted(set(pdf["a"]) - {""})]
@@ -151,7 +159,7 @@ def mutation_ols(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_coun
     return by.applyInPandas(coefficients, COEFFICIENT_SCHEMA), by.applyInPandas(fits, FIT_SCHEMA)
 
 
-def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = 1, bootstraps: int = 500, seed: int = 1) -> DataFrame:
+def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, bootstraps: int = 500, seed: int = 1) -> DataFrame:
     """(allele, outcome, mutation, replicate, coefficient): refits on variants drawn with replacement.
 
     Every variant counts Poisson(1) times in a replicate, drawn from its hash: the distributed form of drawing n of n,
@@ -224,9 +232,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def mutation_coefficients(scores: DataFrame, wt_sequence: str, offset: int = 0, outcomes: Sequence[str] = OUTCOMES, min_count: int = 1, bootstraps: int = 500,
+def mutation_coefficients(scores: DataFrame, wt_sequence: str, offset: int = 0, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, bootstraps: int = 500,
                           seed: int = 1, validate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(coefficients, fits): each mutation's effect with bootstrap mean, 95 % interval and sign stability."""
+    columns = ["allele", "variant_id", "VR_mutation", *outcomes]
+    scores = settle(require_columns(scores, columns, "score table").select(*columns))
     counts = parsed_mutations(recurrent_mutations(scores, min_count, validate), wt_sequence, offset, validate)
     full, fits = mutation_ols(scores, outcomes, min_count)
     draws = mutation_bootstrap(scores, outcomes, min_count, bootstraps, seed)
@@ -286,7 +296,7 @@ def allele_correlation(coefficients: DataFrame, least: int = 3) -> DataFrame:
 EFFECT_KEYS = ["outcome", "mutation", "wt_aa", "mutant_aa", "position_relative", "position_absolute", "hydrophobicity_change", "volume_change", "charge_change"]
 
 
-def mutation_effects(coefficients: DataFrame, min_sign_stability: float = 0.95) -> DataFrame:
+def mutation_effects(coefficients: DataFrame, min_sign_stability: float = 0.8) -> DataFrame:
     """One row for each outcome and mutation: quartiles over alleles, and how many alleles support a stable sign."""
     out = coefficients.groupBy(*EFFECT_KEYS).agg(
         F.percentile("full_data_coefficient", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count_distinct("allele").alias("n_alleles"),
@@ -298,7 +308,7 @@ def mutation_effects(coefficients: DataFrame, min_sign_stability: float = 0.95)
     )
 
 
-def heatmap_cells(coefficients: DataFrame, min_sign_stability: float = 0.95) -> DataFrame:
+def heatmap_cells(coefficients: DataFrame, min_sign_stability: float = 0.8) -> DataFrame:
     """What a heatmap of one allele and outcome shows: effect and whether it is stable, by mutant and position."""
     return coefficients.select(
         "allele", "outcome", "mutant_aa", "position_relative", F.col("full_data_coefficient").alias("effect"), (F.col("sign_stability") >= min_sign_stability).alias("stable")
