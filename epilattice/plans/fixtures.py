@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.annotate import inferred_wt
+
 LEFT, VR, RIGHT = "MAADGYLPDWLEDTLSEGIR", "SHKEGEDRFFPLSGSLI", "QWWKLKPGPPPPKPAERHKD"
 REGION = (21, 37)
 WT = LEFT + VR + RIGHT
 ALLELES = ["H2-D*b", "H2-K*b"]
+MORE_ALLELES = [*ALLELES, "H2-L*d", "H2-D*d", "H2-K*d"]
 ALLELES_2 = ["H2-I*Ab", "H2-I*Ad"]
 OUTCOME_NAMES = ["o1", "o2"]
+#: The nations of the supplier table as alleles.
+NATION_ALLELES = [f"a{n}" for n in range(25)]
 
 
 def mutated(key: Column) -> Column:
@@ -41,6 +46,13 @@ def wt_library(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit("WT").alias("variant_id"), F.lit(WT).alias("aa_sequence"), F.lit("wt").alias("criteria"))
 
 
+def inferred_wt_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wild type as the library shows it: its most frequent variable region between the flanks."""
+    return inferred_wt(library(spark, sf_dir), REGION).select(
+        F.lit("WT").alias("variant_id"), F.concat(F.lit(LEFT), "wt_vr", F.lit(RIGHT)).alias("aa_sequence"), F.lit("wt").alias("criteria")
+    )
+
+
 def hashed_score(salt: str, allele: Column, peptide: Column) -> Column:
     """0.00 to 99.99 by md5; null where the seventh digit is f."""
     h = F.md5(F.concat(F.lit(salt), allele, F.lit("|"), peptide))

@@ -8,9 +8,12 @@ START, END = fx.REGION
 N = END - START + 1
 K, K2 = 9, 15
 
+WT_FIXED = f"wt_lib AS (SELECT 'WT' AS variant_id, '{fx.WT}' AS aa_sequence, 'wt' AS criteria)"
+WT_SEEN = f"""wt_lib AS (SELECT 'WT' AS variant_id, '{fx.LEFT}' || vr || '{fx.RIGHT}' AS aa_sequence, 'wt' AS criteria
+FROM (SELECT substr(aa_sequence, {START}, {N}) AS vr FROM library GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))"""
 LIBRARY = f"""library AS ({fx.duck_library()}),
 kept AS (SELECT * FROM library WHERE position('*' IN substr(aa_sequence, {START}, {N})) = 0),
-wt_lib AS (SELECT 'WT' AS variant_id, '{fx.WT}' AS aa_sequence, 'wt' AS criteria)"""
+{WT_FIXED}"""
 
 OVERLAP = f"s + {{k}} - 1 >= {START} AND s <= {END}"
 CONTAINED = f"s >= {START} AND s + {{k}} - 1 <= {END}"
@@ -95,7 +98,7 @@ CASE WHEN ok THEN position_absolute END AS position_absolute FROM (SELECT *, mut
 COEFFICIENTS = f"""{LIBRARY}, {LABELS}, {PARSED_OK},
 coef AS (SELECT * FROM (SELECT a.allele, o.outcome, parsed.*, {fx.duck_score("co", "a.allele||o.outcome", "parsed.mutation")} - 50.0 AS x,
   coalesce({fx.duck_score("st", "a.allele||o.outcome", "parsed.mutation")} / 100.0, 0.0) AS st
-  FROM parsed, (SELECT DISTINCT 'a' || s_nationkey AS allele FROM supplier) a, (VALUES ('o1'), ('o2')) AS o(outcome) WHERE a.allele < 'a2') WHERE x IS NOT NULL)"""
+  FROM parsed, (SELECT DISTINCT 'a' || s_nationkey AS allele FROM supplier) a, (VALUES ('o1'), ('o2')) AS o(outcome)) WHERE x IS NOT NULL)"""
 QUARTILES = "round(quantile_cont(x, 0.5), 6) AS {m}, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.75), 6) AS q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS allele_iqr"
 SUMMARY = f"""SELECT outcome, mutation, {QUARTILES.format(m="median_coefficient")}, count(x) AS n_alleles, count(*) FILTER (WHERE x < 0) AS n_negative,
 count(*) FILTER (WHERE x = 0) AS n_zero, count(*) FILTER (WHERE x > 0) AS n_positive,
@@ -128,11 +131,11 @@ FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN ' H-2-D' WHEN 1 THEN 'HLA-A*0' ELSE
         "score_map_mhcii": f"WITH {FRAG2}, {mhcii()} SELECT * FROM two",
         "dedup_lowest_rank": f"WITH {FRAG}, {net()} SELECT allele, variant_id, start, peptide, netMHCpan_EL_rank FROM net",
         "pass_report": f"WITH {FRAG}, {net()} SELECT allele, count(*) AS n_rows, count(*) FILTER (WHERE netMHCpan_EL_rank_pass) AS n_netMHCpan_EL_rank_pass FROM net GROUP BY 1",
-        "combine_outer": f"""WITH {FRAG}, {net()}, {flurry()}, l AS (SELECT * FROM net WHERE start % 5 <> 0), r AS (SELECT * FROM flurry WHERE start % 7 <> 0)
+        "combine_outer": f"""WITH {FRAG}, {net()}, {flurry()}, l AS (SELECT * FROM net WHERE netMHCpan_EL_rank IS NOT NULL), r AS (SELECT * FROM flurry WHERE MHCflurry_affinity_percentile IS NOT NULL)
 SELECT allele, peptide, variant_id, start, "end", k, coalesce(l.occurrence_count, r.occurrence_count) AS occurrence_count, coalesce(l.criteria, r.criteria) AS criteria,
 netMHCpan_EL_score, netMHCpan_EL_rank, netMHCpan_EL_rank_pass, MHCflurry_affinity_percentile, MHCflurry_presentation_percentile, MHCflurry_affinity_percentile_pass,
 CASE WHEN l.length IS NULL THEN 'right_only' WHEN r.length IS NULL THEN 'left_only' ELSE 'both' END AS merge_status FROM l FULL JOIN r {JOIN}""",
-        "merge_status": f"""WITH {FRAG}, {net()}, {flurry()}, l AS (SELECT * FROM net WHERE start % 5 <> 0), r AS (SELECT * FROM flurry WHERE start % 7 <> 0)
+        "merge_status": f"""WITH {FRAG}, {net()}, {flurry()}, l AS (SELECT * FROM net WHERE netMHCpan_EL_rank IS NOT NULL), r AS (SELECT * FROM flurry WHERE MHCflurry_affinity_percentile IS NOT NULL)
 SELECT CASE WHEN l.length IS NULL THEN 'right_only' WHEN r.length IS NULL THEN 'left_only' ELSE 'both' END AS merge_status, count(*) AS n_rows FROM l FULL JOIN r {JOIN} GROUP BY 1""",
         "vr_mutation": f"WITH {LIBRARY}, {LABELS} SELECT * FROM labels",
         "infer_wt_mode": f"WITH {LIBRARY} SELECT substr(aa_sequence, {START}, {N}) AS wt_vr FROM library GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1",
@@ -152,7 +155,7 @@ SELECT o.*, round(a.m, 6) AS netMHCpan_mean_top3, round(b.m, 6) AS MHCflurry_mea
   min(n) AS netMHCpan_top_score, min(f) AS MHCflurry_top_score FROM one GROUP BY 1, 2) o
 LEFT JOIN (SELECT allele, variant_id, avg(n) AS m FROM nr WHERE i <= 3 GROUP BY 1, 2) a USING (allele, variant_id)
 LEFT JOIN (SELECT allele, variant_id, avg(f) AS m FROM fr WHERE i <= 3 GROUP BY 1, 2) b USING (allele, variant_id)""",
-        "wt_reference": f"""WITH {BOTH} SELECT allele, start, "end", k, peptide AS wt_peptide_id, peptide AS wt_peptide, variant_id AS wt_variant_id, n AS "wt_netMHCpan_EL_rank", np AS "wt_netMHCpan_EL_rank_pass",
+        "wt_reference": f"""WITH {BOTH.replace(WT_FIXED, WT_SEEN)} SELECT allele, start, "end", k, peptide AS wt_peptide_id, peptide AS wt_peptide, variant_id AS wt_variant_id, n AS "wt_netMHCpan_EL_rank", np AS "wt_netMHCpan_EL_rank_pass",
 f AS "wt_MHCflurry_affinity_percentile", fp AS "wt_MHCflurry_affinity_percentile_pass", bp AS wt_both_pass, ep AS wt_either_pass, (SELECT count(*) FROM frag_wt) AS expected_window_count FROM rows_w""",
         "wt_windows": f"""WITH {BOTH} SELECT allele, variant_id, start, changed AS changed_window, {rounded('ni')} AS netMHCpan_window_improvement, {rounded('fi')} AS MHCflurry_window_improvement,
 bp::int - wbp::int AS both_pass_change_vs_WT, ep::int - wep::int AS either_pass_change_vs_WT FROM rel""",
@@ -169,7 +172,9 @@ count(*) FILTER (WHERE b) - count(*) FILTER (WHERE wb) AS netMHCIIpan_net_binder
         "mutation_gram": f"""WITH {BOTH}, {SCORES}, {MUTATIONS}, keep AS (SELECT allele, mutation FROM mut GROUP BY 1, 2 HAVING count(*) >= 5),
 x AS (SELECT allele, variant_id, mutation AS m FROM mut SEMI JOIN keep USING (allele, mutation) UNION ALL SELECT allele, variant_id, '' FROM scores),
 y AS (SELECT allele, variant_id, 'netMHCpan_net_pass_change' AS outcome, netMHCpan_net_pass_change::double AS value FROM scores UNION ALL
-      SELECT allele, variant_id, 'MHCflurry_net_pass_change', MHCflurry_net_pass_change::double FROM scores)
+      SELECT allele, variant_id, 'MHCflurry_net_pass_change', MHCflurry_net_pass_change::double FROM scores UNION ALL
+      SELECT allele, variant_id, 'netMHCpan_mean_window_improvement', netMHCpan_mean_window_improvement FROM scores WHERE netMHCpan_mean_window_improvement IS NOT NULL UNION ALL
+      SELECT allele, variant_id, 'MHCflurry_mean_window_improvement', MHCflurry_mean_window_improvement FROM scores WHERE MHCflurry_mean_window_improvement IS NOT NULL)
 SELECT allele, outcome, a.m AS a, b.m AS b, count(*) AS xtx, CASE WHEN b.m = '' THEN {rounded('sum(value)')} END AS xty
 FROM y JOIN x a USING (allele, variant_id) JOIN x b USING (allele, variant_id) GROUP BY 1, 2, 3, 4""",
         "parsed_mutations": f"""WITH {LIBRARY}, {LABELS}, {PARSED_OK} SELECT *, {rounded(_scale(hydrophobicity, "mutant_aa") + " - " + _scale(hydrophobicity, "wt_aa"))} AS hydrophobicity_change,
@@ -178,7 +183,7 @@ FROM y JOIN x a USING (allele, variant_id) JOIN x b USING (allele, variant_id) G
         "top_iqr": f"WITH {COEFFICIENTS} SELECT outcome, rank::int AS rank, mutation, allele_iqr FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY allele_iqr DESC NULLS LAST, mutation) AS rank FROM ({SUMMARY})) WHERE rank <= 5",
         "allele_correlation": f"""WITH {COEFFICIENTS} SELECT a.outcome, a.allele AS allele_a, b.allele AS allele_b, count(*) AS n_common, CASE WHEN count(*) >= 3 THEN {rounded('corr(a.x, b.x)')} END AS pearson_r
 FROM coef a JOIN coef b USING (outcome, mutation) GROUP BY 1, 2, 3""",
-        "allele_pivot": f"WITH {COEFFICIENTS} SELECT outcome, mutation, avg(x) FILTER (WHERE allele = 'a0') AS a0, avg(x) FILTER (WHERE allele = 'a1') AS a1 FROM coef GROUP BY 1, 2",
+        "allele_pivot": f"WITH {COEFFICIENTS} SELECT outcome, mutation, {', '.join(f"avg(x) FILTER (WHERE allele = '{a}') AS {a}" for a in fx.NATION_ALLELES)} FROM coef GROUP BY 1, 2",
         "mutation_effects": f"""WITH {COEFFICIENTS} SELECT outcome, mutation, wt_aa, mutant_aa, position_relative, position_absolute, {QUARTILES.format(m="median_allele_coefficient")},
 count(DISTINCT allele) AS n_alleles, count(*) FILTER (WHERE st >= 0.5) AS n_supported_alleles, round(count(*) FILTER (WHERE st >= 0.5) / count(DISTINCT allele), 6) AS support_fraction FROM coef GROUP BY 1, 2, 3, 4, 5, 6""",
         "heatmap_cells": f"WITH {COEFFICIENTS} SELECT allele, outcome, mutant_aa, position_relative, x AS effect, st >= 0.5 AS stable FROM coef",

@@ -120,18 +120,20 @@ def pass_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pass_report(mapped_net(spark, sf_dir), [sc.NET_PASS])
 
 
-def _partial_flurry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapped_flurry(spark, sf_dir).where("start % 7 <> 0")
+def _one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both predictors' whole tables, mapped and combined. Each lacks what the derived tables give it no score for
+    (hashes of allele and peptide, others for each predictor), as a predictor lacks peptides it can't score."""
+    net = mapped_net(spark, sf_dir).where("netMHCpan_EL_rank IS NOT NULL")
+    flurry = mapped_flurry(spark, sf_dir).where("MHCflurry_affinity_percentile IS NOT NULL")
+    return combine_predictions(net, flurry, ["criteria"])
 
 
 def combine_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = mapped_net(spark, sf_dir).where("start % 5 <> 0")
-    return combine_predictions(net, _partial_flurry(spark, sf_dir), ["criteria"]).drop("peptide_id", "length")
+    return _one_sided(spark, sf_dir).drop("peptide_id", "length")
 
 
 def merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = mapped_net(spark, sf_dir).where("start % 5 <> 0")
-    return merge_report(combine_predictions(net, _partial_flurry(spark, sf_dir), ["criteria"]))
+    return merge_report(_one_sided(spark, sf_dir))
 
 
 def vr_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +156,14 @@ def mutation_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined(spark: SparkSession, sf_dir: str, wt: bool = False) -> DataFrame:
-    source = fragment(fx.wt_library(spark), [K], fx.REGION, "overlap") if wt else None
-    rows = combine_predictions(mapped_net(spark, sf_dir, source), mapped_flurry(spark, sf_dir, source), ["criteria"])
-    rows = rows.withColumn("peptide_id", F.col("peptide"))
-    return an.annotate(rows, fx.wt_library(spark) if wt else fx.library(spark, sf_dir), fx.REGION, fx.VR)
+    return _screened(fx.wt_library(spark) if wt else fx.library(spark, sf_dir))
+
+
+def _screened(library: DataFrame, alleles: list[str] = fx.ALLELES) -> DataFrame:
+    own = fragment(drop_stops(library, fx.REGION), [K], fx.REGION, "overlap")
+    pairs = peptide_allele_pairs(unique_peptides(own), alleles)
+    rows = screen_mhci(library, fx.net_predictions(pairs), fx.flurry_predictions(pairs), [K], fx.REGION, wt_vr=fx.VR)
+    return rows.withColumn("peptide_id", F.col("peptide"))
 
 
 def screen_mhci_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +188,8 @@ def abs_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wt_reference_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.with_expected(sc.wt_reference(sc.prepare_windows(combined(spark, sf_dir, True))))
+    """The windows of the wild type that the library itself shows: its most frequent variable region."""
+    return sc.with_expected(sc.wt_reference(sc.prepare_windows(_screened(fx.inferred_wt_library(spark, sf_dir)))))
 
 
 def wt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +202,12 @@ def mhci_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.wt_scores_mhci(combined(spark, sf_dir), combined(spark, sf_dir, True))
 
 
+def large_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the benchmark: a hundred times the variants, one for each order, and five alleles."""
+    library = fx.library(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    return sc.wt_scores_mhci(_screened(library, fx.MORE_ALLELES), _screened(fx.wt_library(spark), fx.MORE_ALLELES))
+
+
 def wt_scores_mhci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mhci_scores(spark, sf_dir), "netMHCpan_mean_window_improvement", "MHCflurry_mean_window_improvement")
 
@@ -211,7 +224,7 @@ def mutation_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutation_gram_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(mu.mutation_gram(mhci_scores(spark, sf_dir), mu.OUTCOMES[:2], 5), "xty")
+    return _rounded(mu.mutation_gram(mhci_scores(spark, sf_dir), mu.OUTCOMES, 5), "xty")
 
 
 def mutation_ols_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,11 +249,6 @@ def derived_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mu.parsed_mutations(out.withColumn("sign_stability", stable).where("full_data_coefficient IS NOT NULL"), fx.VR, fx.REGION[0] - 1)
 
 
-def coefficients_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of the alleles to which the SQL of the queries that have one is limited: 12 of 25."""
-    return derived_coefficients(spark, sf_dir).where("allele < 'a2'")
-
-
 def parsed_mutations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = vr_mutation(spark, sf_dir).select(F.explode(mutation_list(F.col("VR_mutation"))).alias("mutation")).distinct()
     out = mu.parsed_mutations(labels, fx.VR, fx.REGION[0] - 1)
@@ -248,7 +256,7 @@ def parsed_mutations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allele_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(mu.allele_summary(coefficients_in_sql(spark, sf_dir)), "median_coefficient", "q1", "q3", "allele_iqr", "sign_agreement")
+    return _rounded(mu.allele_summary(derived_coefficients(spark, sf_dir)), "median_coefficient", "q1", "q3", "allele_iqr", "sign_agreement")
 
 
 def top_iqr_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,20 +264,20 @@ def top_iqr_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allele_correlation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(mu.allele_correlation(coefficients_in_sql(spark, sf_dir)), "pearson_r")
+    return _rounded(mu.allele_correlation(derived_coefficients(spark, sf_dir)), "pearson_r")
 
 
 def allele_pivot_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mu.allele_pivot(coefficients_in_sql(spark, sf_dir), ["a0", "a1"])
+    return mu.allele_pivot(derived_coefficients(spark, sf_dir), fx.NATION_ALLELES)
 
 
 def mutation_effects_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mu.mutation_effects(coefficients_in_sql(spark, sf_dir), 0.5)
+    out = mu.mutation_effects(derived_coefficients(spark, sf_dir), 0.5)
     return _rounded(out, "median_allele_coefficient", "q1", "q3", "allele_iqr", "support_fraction").drop("hydrophobicity_change", "volume_change", "charge_change")
 
 
 def heatmap_cells_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mu.heatmap_cells(coefficients_in_sql(spark, sf_dir), 0.5)
+    return mu.heatmap_cells(derived_coefficients(spark, sf_dir), 0.5)
 
 
 def _physchem(part: str):

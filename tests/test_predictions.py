@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from epilattice.functions.labels import count_mutations, decoded_boolean, lenient_double, lenient_int, mutation_list, mutation_string, normalised_allele, passes, peptide_mutation_string, safe_label, vr_slice
 from epilattice.operators.annotate import annotate, inferred_wt
 from epilattice.operators.checks import check_alleles
-from epilattice.operators.combine import combine_predictions, merge_report
+from epilattice.operators.combine import combine_predictions, combine_scores, merge_report
 from epilattice.operators.fragments import fragment, unique_peptides
 from epilattice.operators.predictions import keep_lowest, keep_lowest_ranked, map_predictions, pass_report, rename_alleles, score_peptides
 from epilattice.sources.readers import read_long_predictions, read_wide_mhci, read_wide_mhcii
@@ -85,6 +85,25 @@ def test_map_and_combine(spark, tmp_path):
     assert pass_report(net, ["netMHCpan_EL_rank_pass"]).first().n_netMHCpan_EL_rank_pass == 1
 
 
+def test_combining_before_mapping_is_the_same(spark):
+    """Scores combined by peptide and spread once, against two spread tables that are joined in full."""
+    library = spark.createDataFrame([(f"v{i}", "ABCDE" * 2 + "FGHIJ"[i % 5] * (i % 3), "m") for i in range(6)], "variant_id string, aa_sequence string, note string")
+    own = fragment(library, [4])
+    ids = unique_peptides(own)
+    net = spark.createDataFrame(
+        [("H-2-Db", "ABCD", 0.1, 3.0), ("H-2-Db", "ABCD", 0.2, 1.0), ("H-2-Db", "BCDE", 0.3, None), ("H-2-Kb", "ABCD", 0.4, 5.0), ("H-2-Db", "ZZZZ", 0.5, 0.5)],
+        "allele string, peptide string, netMHCpan_EL_score double, netMHCpan_EL_rank double")
+    flurry = spark.createDataFrame(
+        [("H2-D*b", "ABCD", 1.0, 2.0), ("H2-D*b", "CDEA", None, 3.0), ("H2-K*b", "ABCD", 9.0, 9.0), ("H2-D*b", "YYYY", 0.5, 0.5)],
+        "allele string, peptide string, MHCflurry_affinity_percentile double, MHCflurry_presentation_percentile double")
+    two = combine_predictions(
+        map_predictions(net, ids, own, {"netMHCpan_EL_rank_pass": ("netMHCpan_EL_rank", 2.0)}, lowest="netMHCpan_EL_rank"),
+        map_predictions(flurry, ids, own, {"MHCflurry_affinity_percentile_pass": ("MHCflurry_affinity_percentile", 2.0)}), ["note"])
+    one = map_predictions(combine_scores(net, flurry, 2.0, 2.0), ids, own, {}).select(*two.columns)
+    assert {r.merge_status for r in one.collect()} == {"both", "left_only", "right_only"} and one.count() > 30
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_null_keys_meet(spark, tmp_path):
     net, long = mapped(spark, tmp_path)
     none = [d.withColumn("start", F.lit(None).cast("int")).withColumn("allele", F.lit("a")).where("peptide = 'ABC'") for d in (net, long)]

@@ -8,7 +8,7 @@ from epilattice.operators import chemistry as ch
 from epilattice.operators import mutations as mu
 from epilattice.operators import scores as sc
 from epilattice.plans import queries
-from epilattice.sources.readers import read_scores
+from epilattice.sources.readers import read_scores, read_table
 from epilattice.sources.writers import write_by_allele, write_models, write_table
 
 COLUMNS = (
@@ -106,7 +106,7 @@ def solved(rows, allele, column):
 
 def test_least_squares(spark):
     scores, rows = model_scores(spark)
-    coefficients, fits = mu.mutation_ols(scores, ["o1", "o2"])
+    coefficients, fits = mu.mutation_ols(scores, ["o1", "o2"], 1)
     got = {(r.allele, r.outcome, r.mutation): r.full_data_coefficient for r in coefficients.collect()}
     fit = {(r.allele, r.outcome): r for r in fits.collect()}
     assert len(got) == 72
@@ -120,7 +120,7 @@ def test_least_squares(spark):
 def test_collinear_mutations_share_their_effect(spark):
     rows = [("A", f"v{i}", "A1D;C2A" if i % 2 else "WT", float(i % 2), 0.0) for i in range(10)]
     scores = spark.createDataFrame(rows, "allele string, variant_id string, VR_mutation string, o1 double, o2 double")
-    coefficients, fits = mu.mutation_ols(scores, ["o1"])
+    coefficients, fits = mu.mutation_ols(scores, ["o1"], 1)
     assert [r.full_data_coefficient for r in coefficients.collect()] == pytest.approx([0.5, 0.5])
     assert fits.first().rank == 2 and fits.first().design_columns == 3
 
@@ -135,7 +135,7 @@ def test_expected_windows_of_many_alleles(spark):
 
 def test_bootstrap_does_not_depend_on_batches(spark, monkeypatch):
     scores, _ = model_scores(spark)
-    draws = lambda df: {(x.allele, x.outcome, x.mutation, x.replicate): x.coefficient for x in mu.mutation_bootstrap(df, ["o1", "o2"], bootstraps=12).collect()}
+    draws = lambda df: {(x.allele, x.outcome, x.mutation, x.replicate): x.coefficient for x in mu.mutation_bootstrap(df, ["o1", "o2"], 1, bootstraps=12).collect()}
     one = draws(scores.coalesce(1))
     monkeypatch.setattr(mu, "BATCH_ROWS", 7)
     many = draws(scores.repartition(5))
@@ -164,7 +164,7 @@ def test_query_takes_all_replicates(spark, monkeypatch):
 
 def test_bootstrap_and_models(spark):
     scores, rows = model_scores(spark)
-    c, _ = mu.mutation_coefficients(scores, WT, 100, ["o1", "o2"], bootstraps=40, validate=True)
+    c, _ = mu.mutation_coefficients(scores, WT, 100, ["o1", "o2"], 1, bootstraps=40, validate=True)
     c = c.cache()
     out = c.collect()
     assert len(out) == 72 and {r.position_absolute - r.position_relative for r in out} == {100}
@@ -192,6 +192,68 @@ def test_bootstrap_and_models(spark):
         ch.physicochemical_models(effects.limit(4))["models"].collect()
 
 
+def test_chemistry_against_another_way(spark):
+    """Standard errors by QR, tail areas by integrating the density, information criteria and partial R squared by refits."""
+    rng = np.random.default_rng(5)
+    labels = [f"{w}{k + 1}{m}" for k, w in enumerate("ACDEFG") for m in "KLRSTV"]
+    base = mu.parsed_mutations(spark.createDataFrame([(m,) for m in labels], "mutation string"), "ACDEFG", 10).toPandas()
+    base["outcome"], base["median_allele_coefficient"] = "o", rng.normal(size=len(base)) + 0.3 * base["hydrophobicity_change"]
+    models = ch.physicochemical_models(spark.createDataFrame(base))
+    data = base.sort_values("mutation")
+    place = data["position_relative"].to_numpy(int)
+    full = {"const": np.ones(36), **{c: data[c].to_numpy(float) for c in ch.CONTINUOUS}, **{f"position_{k}": (place == k) * 1.0 for k in range(2, 7)}}
+    x, y = np.column_stack(list(full.values())), data["median_allele_coefficient"].to_numpy()
+
+    def sse(x):
+        return float(np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2))
+
+    n, p = x.shape
+    q, r = np.linalg.qr(x)
+    beta, inverse = np.linalg.solve(r, q.T @ y), np.linalg.inv(r)
+    se = np.sqrt(np.sum(inverse**2, axis=1) * sse(x) / (n - p))
+    t = np.linspace(0, 60, 600_001)
+    density = (1 + t**2 / (n - p)) ** (-(n - p + 1) / 2)
+    area = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    two_sided = lambda v: 1 - np.interp(abs(v), t, area / area[-1])
+    half = np.interp(0.95, area / area[-1], t)
+    got = {r.term: r for r in models["coefficients"].collect()}
+    for k, name in enumerate(full):
+        own = got[name]
+        assert (own.coefficient, own.standard_error) == pytest.approx((beta[k], se[k]), rel=1e-8)
+        assert own.p_value == pytest.approx(two_sided(beta[k] / se[k]), abs=1e-5) and (own.ci_low, own.ci_high) == pytest.approx((beta[k] - half * se[k], beta[k] + half * se[k]), abs=1e-4)
+    m, tss = models["models"].first(), float(np.sum((y - y.mean()) ** 2))
+    likelihood = np.sum(-0.5 * np.log(2 * np.pi * sse(x) / n) - (y - x @ beta) ** 2 / (2 * sse(x) / n))
+    assert (m.n_mutations, m.n_positions) == (36, 6) and (m.aic, m.bic) == pytest.approx((2 * p - 2 * likelihood, np.log(n) * p - 2 * likelihood))
+    assert (m.r_squared, m.adjusted_r_squared) == pytest.approx((1 - sse(x) / tss, 1 - (sse(x) / (n - p)) / (tss / (n - 1))))
+    for r in models["partial_r_squared"].collect():
+        out = [name for name in full if (name.startswith("position_") if r.predictor == "Position" else ch.PREDICTORS.get(name) == r.predictor)]
+        reduced = sse(np.column_stack([v for name, v in full.items() if name not in out]))
+        assert r.partial_r_squared == pytest.approx(1 - sse(x) / reduced) and r.degrees_of_freedom == len(out) and r.reduced_model_sse == pytest.approx(reduced)
+    effects = np.array([0, *beta[4:]])
+    assert [r.adjusted_position_effect for r in models["positions"].sort("position_relative").collect()] == pytest.approx((effects - effects.mean()).tolist())
+
+
+def test_models_of_the_derived_library(spark):
+    """The registered models on whole tables, against least squares of the whole design."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    scores = queries.mhci_scores(spark, folder).toPandas()
+    found = queries.QUERIES["mutation_ols"](spark, folder).toPandas()
+    fits = queries.QUERIES["mutation_fits"](spark, folder).toPandas()
+    for (allele, outcome), own in found.groupby(["allele", "outcome"]):
+        data = scores[(scores["allele"] == allele) & scores[outcome].notna()]
+        sets = data["VR_mutation"].map(lambda m: set() if m == "WT" else set(m.split(";")))
+        names = own["mutation"].tolist()
+        x = np.column_stack([np.ones(len(data)), *(sets.map(lambda s, m=m: m in s).to_numpy(float) for m in names)])
+        y = data[outcome].to_numpy(float)
+        beta = np.linalg.lstsq(x, y, rcond=None)[0]
+        assert own["full_data_coefficient"].tolist() == pytest.approx(beta[1:].tolist(), abs=1e-7)
+        fit = fits[(fits["allele"] == allele) & (fits["outcome"] == outcome)].iloc[0]
+        assert fit["r_squared"] == pytest.approx(1 - np.sum((y - x @ beta) ** 2) / np.sum((y - y.mean()) ** 2)) and fit["n_variants"] == len(y)
+    assert len(found.groupby(["allele", "outcome"])) == 8
+
+
 def test_mutations_must_fit(spark):
     ok = mu.parsed_mutations(spark.createDataFrame([("A1V",), ("v1A",), ("C2*",), ("A9V",), ("x",)], "mutation string"), WT)
     assert [r.position_relative for r in ok.collect()] == [1, None, None, None, None]
@@ -210,6 +272,26 @@ def test_student_t():
     assert mu.side_chain_charge("D") == pytest.approx(-0.99955, abs=1e-4)
 
 
+def test_score_files_are_matched_by_name(spark, tmp_path):
+    """Files with their columns in different orders, one without an outcome, one with quotes and a wider header."""
+    for name, text in {
+        "a/scores.tsv": "allele\tvariant_id\tVR_mutation\to1\to2\nA\tv1\tA1D\t1\t10\n",
+        "b/deep/scores.tsv": "o2\tVR_mutation\tallele\to1\tvariant_id\n20\t\tB\t2\tv1\n21\tA1K\tB\tx\tv2\n",
+        "c/scores.tsv": "allele\tvariant_id\tVR_mutation\to2\nC\tv1\tWT\t30\n",
+        "d_combined/scores.tsv": "allele\tvariant_id\tVR_mutation\to2\nD\tv1\tWT\t40\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {(r.allele, r.variant_id): (r.VR_mutation, r.o1, r.o2) for r in read_scores(spark, [str(tmp_path)], ["o1", "o2"], "scores.tsv").collect()}
+    assert got == {("A", "v1"): ("A1D", 1.0, 10.0), ("B", "v1"): ("WT", 2.0, 20.0), ("B", "v2"): ("A1K", None, 21.0), ("C", "v1"): ("WT", None, 30.0)}
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/x.csv").write_text('a,b\n1,"two, ""three"""\n')
+    (tmp_path / "t/y.csv").write_text("b,a\nfour,5\n")
+    assert sorted((r.a, r.b) for r in read_table(spark, str(tmp_path / "t"), ["a"], ",").collect()) == [("1", 'two, "three"'), ("5", "four")]
+    with pytest.raises(ValueError, match="no files"):
+        read_scores(spark, [str(tmp_path)], ["o1"], "none.tsv")
+
+
 def test_score_files(spark, tmp_path):
     scores, _ = model_scores(spark, 6)
     for a in "AB":
