@@ -14,6 +14,7 @@ from .language import fit, held_out, identify
 from .lines import dedup_lines
 from .resample import resample
 from .sentencepiece_fst import decode, encode
+from .shared import small_batches
 from .substrings import dedup_substrings
 
 
@@ -22,6 +23,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -99,16 +101,19 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 OP6_SQL = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS body FROM conversations),
+WITH t AS (
+  SELECT conv_id, turn, role, replace(replace(coalesce(text, ''), '\', '\\'), '<|', '<\|') AS body,
+         CASE WHEN role IS NULL THEN '<|user|>'
+              ELSE '<|user name=' || replace(replace(replace(role, '\', '\\'), '|', '\|'), chr(10), '\n') || '|>' END AS head FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS participant FROM t),
 r AS (
-  SELECT t.conv_id, participant, turn, role, body, role = participant AS own,
-         CASE WHEN role = participant THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head
-  FROM t JOIN p USING (conv_id)),
-s AS (SELECT *, coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, participant ORDER BY turn, role, body
+  SELECT t.conv_id, participant, turn, role, body, role IS NOT DISTINCT FROM participant AS own,
+         CASE WHEN role IS NOT DISTINCT FROM participant THEN '<|assistant|>' ELSE head END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role NULLS FIRST, body
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS said_at FROM r)
 SELECT conv_id, participant, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_target_turns,
-       string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn, role, body) AS rendered,
+       string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, body) AS rendered,
        string_agg(said_at || '-' || (said_at + length(body)), ',' ORDER BY said_at, length(body)) FILTER (WHERE own) AS mask
 FROM s GROUP BY 1, 2
 """
