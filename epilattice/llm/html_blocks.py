@@ -15,6 +15,8 @@ FOREIGN = ("svg", "math")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
+LINKED = ("a", "linked")
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2"
@@ -42,7 +44,8 @@ def _labels(attributes: str) -> tuple[str, ...]:
 
 def blocks(html: str | None) -> list[tuple[tuple, str]]:
     """(path, text) of each block that has text, in page order. The path holds a tuple (tag, labels...) for each open
-    element, outermost first. Character references are decoded, white space becomes one space. Null has no blocks."""
+    element, outermost first, and ends with LINKED where all of the text is inside links. Character references are
+    decoded, white space becomes one space. Null has no blocks."""
     out: list[tuple[tuple, str]] = []
     if not html:
         return out
@@ -53,13 +56,15 @@ def blocks(html: str | None) -> list[tuple[tuple, str]]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append((tuple(stack), joined))
+                out.append(((*stack, *([] if plain else [LINKED])), joined))
             text.clear()
 
     at, endless = 0, set()
+    links, plain = 0, False  # open links, and whether the block has text outside of them
     while m := TOKEN.search(html, at):
         if m.start() > at:
             text.append(html[at : m.start()])
+            plain = plain or (not links and not text[-1].isspace())
         at = m.end()
         if m[1]:
             text.append(" ")
@@ -80,8 +85,11 @@ def blocks(html: str | None) -> list[tuple[tuple, str]]:
         block = name in BLOCK
         if block:
             flush()
+            plain = False
         elif name == "br":
             text.append(" ")
+        elif name == "a":
+            links = max(0, links - 1) if m[3] else links + 1
         if m[3]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -104,5 +112,6 @@ def blocks(html: str | None) -> list[tuple[tuple, str]]:
             stack.append((name, *(_labels(m[5]) if m[5] else ())))
     if at < len(html):
         text.append(html[at:])
+        plain = plain or not links
     flush()
     return out
