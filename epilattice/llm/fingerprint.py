@@ -1,13 +1,16 @@
 """Document fingerprints by prefix polynomial hashes.
 
-The modular prefix array of a text answers whether any two spans are equal, and finds how far two texts agree from
-given places by binary search. A fingerprint keeps the array at the corners of blocks, so two fingerprints can answer
-the same questions down to a block: their likeness is the share of the longer text that lies in common extensions.
+The modular prefix array of a text answers whether any two spans are equal, wherever they stand, and finds how far two
+texts agree from given places by binary search. A fingerprint keeps the array at corners that the text itself chooses
+(where the hash of a short window has enough trailing zeros), so an insertion moves corners along with the text. Two
+fingerprints can answer the same questions down to a block: their likeness is the share of the longer text that lies in
+common extensions, at whatever places.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -16,27 +19,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .textops import mix
 
 #: Two moduli and bases: 62 bits a hash, and every product fits 64 bits.
 MODULI = (2147483647, 2147483629)
 ROOTS = (1299709, 15485863)
-#: Blocks of a fingerprint, at most; a block is a power of two of characters.
-BLOCKS = 64
-_table: list[np.ndarray] = []
-
-
-def root_powers(n: int) -> list[np.ndarray]:
+INVERSES = tuple(pow(root, -1, m) for root, m in zip(ROOTS, MODULI, strict=True))
+#: Blocks of a fingerprint, about; the mean block is a power of two of characters. Corners stand where a window of so
+#: many characters says so, and after so many mean blocks without one.
+BLOCKS, WINDOW, LONGEST = 64, 12, 8
+#: Trailing zeros of a corner that stands at every level.
+FORCED = 63
+#: A corner as it is written: place, trailing zeros of the window's hash, both hashes of the prefix.
+CORNER = np.dtype([("place", ">u4"), ("zeros", "u1"), ("a", ">u4"), ("b", ">u4")])
+#: Rows of a bucket.
+BUCKET = 50_000
+_tables: dict[tuple, list[np.ndarray]] = {}
+
+
+def root_powers(n: int, roots: tuple = ROOTS) -> list[np.ndarray]:
     """Powers of both bases up to n, by doubling."""
-    global _table
-    if not _table or len(_table[0]) <= n:
-        out = []
-        for root, m in zip(ROOTS, MODULI, strict=True):
+    have = _tables.get(roots)
+    if have is None or len(have[0]) <= n:
+        have = []
+        for root, m in zip(roots, MODULI, strict=True):
             p = np.ones(1, np.uint64)
             while len(p) <= n:
                 p = np.concatenate([p, p * np.uint64(pow(root, len(p), m)) % np.uint64(m)])
-            out.append(p)
-        _table = out
-    return _table
+            have.append(p)
+        _tables[roots] = have
+    return have
 
 
 class PrefixHashes:
@@ -74,47 +86,84 @@ class PrefixHashes:
             low, high = (mid, high) if self.equal(i, other, j, mid) else (low, mid - 1)
         return low
 
-    def fingerprint(self) -> str:
-        """length:block:hash of the prefix at each block's corner, the last one being the whole text's."""
-        block = 1
-        while self.n > block * BLOCKS:
-            block *= 2
-        at = np.append(np.arange(block, self.n, block), self.n) if self.n else np.zeros(1, np.int64)
-        both = (self.sums[0][at] << np.uint64(31)) | self.sums[1][at]
-        return f"{self.n:x}:{block:x}:" + "".join(f"{x:016x}" for x in both.tolist())
+    def corners(self) -> tuple[int, np.ndarray]:
+        """(mean block, corners): all places where the window before has so many trailing zeros, so those of a longer
+        mean block are among those of a shorter one. Texts that repeat themselves have forced ones instead."""
+        level = mean = 1 << max(0, (self.n - 1) // BLOCKS).bit_length() if self.n else 1
+        m, sums = np.uint64(MODULI[0]), self.sums[0]
+        width = min(WINDOW, self.n)
+        window = mix((sums[width:] + m - sums[: self.n + 1 - width]) % m * root_powers(self.n, INVERSES)[0][: self.n + 1 - width] % m)[:-1]
+        at = np.flatnonzero(window & np.uint64(level - 1) == 0)
+        while len(at) > 4 * BLOCKS:
+            level *= 2
+            at = at[window[at] & np.uint64(level - 1) == 0]
+        own = window[at] | np.uint64(1 << 40)
+        zeros = np.log2((own & (~own + np.uint64(1))).astype(float)).astype(np.uint8)
+        place = at + width
+        ends = np.concatenate([[0], place, [self.n]])
+        wide = np.flatnonzero(np.diff(ends) > LONGEST * mean)
+        forced = [np.arange(ends[k] + LONGEST * mean, ends[k + 1], LONGEST * mean) for k in wide]
+        out = np.zeros(len(place) + sum(map(len, forced)) + 1, CORNER)
+        out["place"] = np.concatenate([place, *forced, [self.n]])
+        out["zeros"] = np.concatenate([zeros, np.full(len(out) - len(zeros), FORCED, np.uint8)])
+        return level, out[np.argsort(out["place"], kind="stable")]
 
-
-def parsed(fingerprint: str) -> tuple[int, int, list[int]]:
-    """(length, block, prefix hashes at 0, block, 2 * block, ..., length)."""
-    n, block, sums = fingerprint.split(":")
-    return int(n, 16), int(block, 16), [0, *(int(sums[i : i + 16], 16) for i in range(0, len(sums), 16))]
+    def fingerprint(self) -> str:
+        """length:mean block:corners in hexadecimal; the last corner is the whole text's."""
+        level, out = self.corners()
+        out["a"], out["b"] = (x[out["place"]] for x in self.sums)
+        return f"{self.n:x}:{level:x}:{out.tobytes().hex()}"
+
+
+class Blocks:
+    """A fingerprint read back: corners, and hashes of the spans between them that don't depend on their places."""
+
+    def __init__(self, fingerprint: str, least: int = 1):
+        n, _, corners = fingerprint.split(":")
+        found = np.frombuffer(bytes.fromhex(corners), CORNER)
+        found = np.concatenate([np.zeros(1, CORNER), found[found["zeros"] >= least.bit_length() - 1]])
+        self.n = int(n, 16)
+        place = found["place"].astype(np.int64)
+        self.at, self.sums, steps = place.tolist(), [], [np.diff(place).tolist()]
+        self.back = [p[place].tolist() for p in root_powers(self.n, INVERSES)]
+        for c, m, back in zip("ab", MODULI, root_powers(self.n, INVERSES), strict=True):
+            total = found[c].astype(np.uint64)
+            self.sums.append(total.tolist())
+            steps.append(((total[1:] + np.uint64(m) - total[:-1]) % np.uint64(m) * back[place[:-1]] % np.uint64(m)).tolist())
+        #: Of each block its length and both hashes.
+        self.steps = list(zip(*steps, strict=True))
+
+    def span(self, i: int, j: int) -> tuple[int, int, int]:
+        """Length and both hashes of the text between two corners."""
+        return self.at[j] - self.at[i], *((s[j] - s[i]) * back[i] % m for s, back, m in zip(self.sums, self.back, MODULI, strict=True))
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal fingerprints; else the part of the longer text in runs of blocks that both texts have at the same
-    place. A run is extended by binary search, as prefix differences tell whether any span of blocks is equal."""
+    """1 for equal fingerprints; else the part of the longer text in runs of blocks that both texts have, in the same
+    order. A block of the first is looked up among the second's blocks that are left, and from there the common run
+    is extended by binary search, as prefix differences tell whether any two spans are equal."""
     if a == b:
         return 1.0
-    (n, block_a, sum_a), (m, block_b, sum_b) = parsed(a), parsed(b)
-    block = max(block_a, block_b)
-    sum_a, sum_b = sum_a[:: block // block_a], sum_b[:: block // block_b]
-    most, at, same = min(n, m) // block, 0, 0
-    if not most:
-        return 0.0
-
-    def equal(i: int, j: int) -> bool:
-        halves = ((31, MODULI[0]), (0, MODULI[1]))
-        return all(((x(sum_a, j, s) - x(sum_a, i, s)) - (x(sum_b, j, s) - x(sum_b, i, s))) % m == 0 for s, m in halves)
-
-    x = lambda sums, i, shift: (sums[i] >> shift) & 0x7FFFFFFF
-    while at < most:
-        low, high = at, most
+    least = max(int(x.split(":", 2)[1], 16) for x in (a, b))
+    one, two = Blocks(a, least), Blocks(b, least)
+    places: dict[tuple, list[int]] = {}
+    for j, step in enumerate(two.steps):
+        places.setdefault(step, []).append(j)
+    i, j, same = 0, 0, 0
+    while i < len(one.steps):
+        own = places.get(one.steps[i], ())
+        k = bisect_left(own, j)
+        if k == len(own):
+            i += 1
+            continue
+        j = own[k]
+        low, high = 1, min(len(one.at) - i, len(two.at) - j) - 1
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if equal(at, mid) else (low, mid - 1)
-        same += low - at
-        at = low + 1
-    return same * block / max(n, m)
+            low, high = (mid, high) if one.span(i, i + mid) == two.span(j, j + mid) else (low, mid - 1)
+        same += one.at[i + low] - one.at[i]
+        i, j = i + low, j + low
+    return same / max(one.n, two.n)
 
 
 def edited(text: str, following: str) -> str:
@@ -159,12 +208,12 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     The next document is the one that follows in order of doc_id (null first), then text (null first); after the last
     comes the first, which may be the document itself. Null text is the empty text. Equal texts have equal
-    fingerprints. likeness() gives near_edited and near_next.
+    fingerprints. likeness() gives near_edited and near_next. doc_id is a whole number; the order is cut into buckets
+    of some BUCKET rows, whose tasks run apart.
     """
     docs = docs.select("doc_id", "text")
     if buckets is None:
-        buckets = max(8, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        buckets = min(buckets, 400)
+        buckets = max(8, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET)
 
     def run(batches):
         waiting = None
