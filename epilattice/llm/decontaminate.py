@@ -59,7 +59,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     windows, owners = item_windows(benchmark, window)
     small = windows.count() <= broadcast_windows
-    hint = F.broadcast if small else (lambda df: df)
+    plain = lambda df: df
+    hint = F.broadcast if small else plain
+    # an item can have as many windows as words, and a window many items: their pairs are counted on their own
+    hint_owners = F.broadcast if small and owners.limit(broadcast_windows + 1).count() <= broadcast_windows else plain
     texts = docs.select(*row_key(), words(F.col("text")).alias("_words"))
 
     prefixes = None
@@ -118,7 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     )
     items = (
         found.where("window_id IS NOT NULL").select(*key, "window_id").distinct()
-        .join(hint(owners), "window_id").select(*key, F.col("item_id").cast("string").alias("_item")).distinct()
+        .join(hint_owners(owners), "window_id").select(*key, F.col("item_id").cast("string").alias("_item")).distinct()
         .groupBy(*key).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
         .withColumnsRenamed({"_id": "_id2", "_th": "_th2"})
     )

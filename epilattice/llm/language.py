@@ -25,9 +25,9 @@ NGRAM = 5
 #: many of all the language's n-grams. The last bounds a language's members, and so the filter, whatever the input.
 SHARE, LEAST, RARE = 0.5, 3, 2_000_000
 #: The filter has this many cells for each member, and looks at two cells for each n-gram.
-CELLS_PER_MEMBER, PROBES = 8, 2
-#: Distinct n-grams that a task gathers before it hands them on.
-GATHERED = 1 << 20
+CELLS_PER_MEMBER, PROBES = 6, 2
+#: Distinct n-grams that a task gathers before it hands them on, and bytes of text that it looks at in one step.
+GATHERED, STEP = 1 << 19, 1 << 18
 UNKNOWN = "und"
 
 LETTER = np.zeros(256, bool)
@@ -116,7 +116,7 @@ def count_ngrams(batches):
 
     for batch in batches:
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
-        for row, data, offs in steps(batch.column("text")):
+        for row, data, offs in steps(batch.column("text"), STEP):
             h, text = ngrams(data, offs)
             own = langs[row : row + len(offs) - 1]
             for lang in set(own.tolist()):
@@ -186,7 +186,7 @@ def _predictor(spark, model: LanguageFilter):
 
     def predict(texts: pa.Array) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for _, data, offs in steps(texts):
+        for _, data, offs in steps(texts, STEP):
             n = len(offs) - 1
             if not shared.value.languages:
                 names += [UNKNOWN] * n

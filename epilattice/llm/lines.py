@@ -7,19 +7,23 @@ component stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .linking import link_components
-from .shared import settle
-from .textops import BASES, hashed, mix, prefix, sorted_sets, steps
+from .shared import BROADCAST_IDS, discard, settle, told_apart
+from .textops import BASES, hashed, mix, prefix, release, sorted_sets, steps
 
-#: Shingles of five characters: longer ones tell apart short lines that differ in one word. 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998.
-SHINGLE, BANDS, PER_BAND = 5, 12, 4
-BROADCAST_IDS = 250_000
+#: Shingles of five characters: longer ones tell apart short lines that differ in one word. 20 bands of 6: a pair of
+#: similarity 0.8 shares a band with probability 0.998, one of 0.3, as unrelated lines of one language have, with 0.014.
+SHINGLE, BANDS, PER_BAND = 5, 20, 6
+#: Documents whose lines tell which bands are frequent.
+SAMPLE = 5_000
 
 
 def char_shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,23 +66,48 @@ def _runs(points: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+_orders: dict[int, np.ndarray] = {}
+
+
+def _order(bins: int) -> np.ndarray:
+    """For each bin the order in which it asks the others for a value, the same for every line: (attempt, bin)."""
+    if bins not in _orders:
+        _orders[bins] = np.random.default_rng(bins).permuted(np.tile(np.arange(bins)[:, None], bins), axis=0)
+    return _orders[bins]
+
+
 def signatures(h: np.ndarray, line: np.ndarray, n_lines: int, bins: int) -> np.ndarray:
-    """One-permutation MinHash: the smallest hash in each bin; an empty bin borrows from a full one chosen by hashing."""
+    """One-permutation MinHash: the smallest hash in each bin; an empty bin borrows from the first full one in an order
+    of its own, so that lines with like sets borrow alike."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n_lines * bins, empty, np.uint64)
     place = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(sig, line * bins + place, h * np.uint64(BASES[1]))
-    sig = sig.reshape(n_lines, bins)
-    filled, attempt = sig.copy(), 0
-    line, column = np.nonzero(sig == empty)
-    while len(line):
+    order, full = _order(bins), sig != empty
+    values = full.reshape(n_lines, bins).sum(axis=1)
+    filled = sig.copy()
+    # nearly full lines need a few attempts; what has few values is settled line by line
+    few = values < bins // 4
+    at = np.flatnonzero(~full & ~np.repeat(few, bins))
+    column, attempt = at % bins, 0
+    start = at - column
+    while len(at):
+        source = start + order[attempt].take(column)
+        got = full.take(source)
+        hit = np.flatnonzero(got)
+        sig[at.take(hit)] = mix(filled.take(source.take(hit)) + np.uint64(attempt + 1))
+        left = np.flatnonzero(~got)
+        at, column, start = at.take(left), column.take(left), start.take(left)
         attempt += 1
-        # the same source for every line, so that lines with equal sets borrow alike
-        source = (mix(np.arange(bins, dtype=np.uint64) + np.uint64(attempt << 20)) % np.uint64(bins)).astype(np.int64)
-        got = filled[line, source[column]]
-        sig[line, column] = np.where(got == empty, empty, mix(got + np.uint64(attempt)))
-        line, column = line[got == empty], column[got == empty]
-    return sig
+    turn, every = np.argsort(order, axis=0), np.arange(bins)  # (source, bin): the attempt at which the bin asks it
+    for k in np.flatnonzero(few & (values > 0)).tolist():
+        own = slice(k * bins, (k + 1) * bins)
+        have = np.flatnonzero(full[own])
+        asked = turn.take(have, axis=0)
+        best = asked.argmin(axis=0)
+        value = mix(filled[own].take(have.take(best)) + (asked[best, every] + 1).astype(np.uint64))
+        sig[own] = np.where(full[own], filled[own], value)
+    return sig.reshape(n_lines, bins)
 
 
 def line_bands(size: int, bands: int, per_band: int):
@@ -111,47 +140,62 @@ def line_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray
     return sorted_sets(h, np.searchsorted(line, np.arange(len(offs))))
 
 
-def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_band: int = PER_BAND) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_band: int = PER_BAND, identity: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): row (the input row as a struct), doc_id, n_lines, n_kept and
     kept (the text with the lines left, joined by a line break).
 
     Lines end at \\n. Lines are alike from a Jaccard similarity of 0.8 of their character shingles, upper and lower
     case apart; equal lines always are. Of each component the first line stays, in order of doc_id (null last), text
     hash and place; repeated rows all keep what the first of them keeps. Blank lines (spaces or nothing) are not
-    compared and stay. Null text: no lines, a null `kept`; an empty one is a blank line.
+    compared and stay. Null text: no lines, a null `kept`; an empty one is a blank line. Lines are named by two 64-bit
+    hashes; identity may replace the first.
     """
     docs = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("_th"))
-    broken = docs.select("doc_id", "_th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    broken = broken.withColumn("id", F.xxhash64("line")).where(F.trim("line") != "")
-    lines = settle(broken.select("doc_id", "_th", "no", "id"))
 
-    signed = settle(broken.select("id", "line").mapInArrow(line_bands(size, bands, per_band), "id long, bands array<long>"))
+    def broken(docs: DataFrame) -> DataFrame:
+        out = docs.select("doc_id", "_th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
+        return out.withColumn("id", identity(F.col("line"))).withColumn("id2", F.xxhash64(F.lit(1), "line"))
+
+    def postings(docs: DataFrame) -> DataFrame:
+        signed = named(broken(docs).select("id", "id2", "line")).mapInArrow(line_bands(size, bands, per_band), "id long, bands array<long>")
+        return signed.select(F.explode("bands").alias("key"), "id")
+
+    lines = settle(broken(docs).drop("line"))
+    named = told_apart(lines.select("id", "id2"))
+    some = max(1, docs.count() // SAMPLE)
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        ids = settle(ids)
+    def fetch(ids: DataFrame, kept) -> DataFrame:
+        ids = kept(ids)
         small = ids.count() <= BROADCAST_IDS
-        return broken.select("id", F.col("line").alias("text")).join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
+        own = named(broken(docs).select("id", "id2", F.col("line").alias("text")))
+        return own.join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
 
-    groups = link_components(signed.select(F.explode("bands").alias("key"), "id"), fetch, lambda data, offs: line_sets(data, offs, size), spent=(signed,), sign=False)
-    joined = lines.join(groups, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component", "id")
+    sample = settle(postings(docs.where(F.pmod("_th", F.lit(some)) == 0)))
+    groups = link_components(postings(docs), sample, fetch, lambda data, offs: line_sets(data, offs, size), sign=False)
+    joined = named(lines).join(groups, "id", "left").withColumn("_g", F.coalesce("component", "id")).drop("component", "id")
     place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_th", "no")
     first = joined.groupBy("_g").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f._th").alias("_t"), F.col("f.no").alias("no"))
     kept = settle(first.groupBy("_id", "_t").agg(F.collect_list("no").alias("_stay")))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left")
-    out = out.withColumn("_left", F.pandas_udf(left_lines, "n_lines long, n_kept long, kept string")("text", "_stay"))
-    return out.select("row", "doc_id", "_left.n_lines", "_left.n_kept", "_left.kept")
-
-
-def left_lines(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, stay in zip(text, places, strict=True):
-        if t is None:
-            out.append((0, 0, None))
-            continue
-        own, stay = t.split("\n"), set() if stay is None else set(stay.tolist())
-        left = [x for i, x in enumerate(own) if i in stay or not x.strip(" ")]
-        out.append((len(own), len(left), "\n".join(left)))
-    return pd.DataFrame(out, columns=["n_lines", "n_kept", "kept"])
+    discard(lines, sample, groups)
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left").select("row", "_stay")
+    schema = StructType([out.schema["row"], *(StructField(c, LongType()) for c in ("n_lines", "n_kept")), StructField("kept", StringType())])
+    return out.mapInArrow(left_lines, schema).select("row", "row.doc_id", "n_lines", "n_kept", "kept")
+
+
+def left_lines(batches):
+    """Rows with the lines whose places stay, and blank ones."""
+    for batch in batches:
+        out = []
+        for t, stay in zip(batch.column("row").field("text").to_pylist(), batch.column("_stay").to_pylist(), strict=True):
+            if t is None:
+                out.append((0, 0, None))
+                continue
+            own, stay = t.split("\n"), set(stay or ())
+            left = [x for i, x in enumerate(own) if i in stay or not x.strip(" ")]
+            out.append((len(own), len(left), "\n".join(left)))
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", "n_lines", "n_kept", "kept"])
+        release()
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Links between similar sets: blocks around shared keys, and signature trees inside a block."""
+"""Links between similar sets: blocks around shared keys, and signature trees inside each block."""
 
 from __future__ import annotations
 
@@ -6,58 +6,89 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, discard, settle
-from .textops import steps
+from .textops import STEP, steps
 
 #: Two sets link when 100 * intersection >= LIKE * union.
 LIKE = 80
 #: Sets that one task compares at once; larger blocks are cut into chunks and all of their pairs still considered.
 CHUNK = 1024
 LEAF = 8
-#: A signature has about two bits for each token, within these bounds.
-LEAST_BITS, MOST_BITS = 256, 1 << 16
-
-
-def signature(n: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Bitmaps (as binary) and smallest tokens of the sets code[at[i]:at[i + 1]], n tokens each, sorted."""
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64), LEAST_BITS, MOST_BITS)
-    base = np.concatenate([[0], np.cumsum(width // 8)])
-    flat = np.zeros(base[-1], np.uint8)
+#: A signature has about eight bits for each token, within these bounds: the bitmap of a leaf of unlike sets is not full yet.
+TOKEN_BITS, LEAST_BITS, MOST_BITS = 8, 256, 1 << 18
+#: Pairs of bitmaps that are held against each other in one step, in words.
+WORDS = 1 << 20
+#: A key that this share of the sampled sets has is dealt to so many tasks.
+HOT, DEALS = 1 / 2000, 64
+
+
+def signature(n: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of the sets code[at[i]:at[i + 1]], sorted and of n tokens each: (all words, where each begins, smallest
+    token of each)."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(TOKEN_BITS * n, 2))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    base = np.concatenate([[0], np.cumsum(width // 64)])
+    flat = np.zeros(base[-1], np.uint64)
     owner = np.repeat(np.arange(len(n)), n)
     bit = (code & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
-    np.bitwise_or.at(flat, base[owner] + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    np.bitwise_or.at(flat, base[owner] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
     low = np.zeros(len(n), np.int64)
     low[n > 0] = code.view(np.int64)[at[:-1][n > 0]]
-    bits = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(base), pa.py_buffer(flat)])
-    return bits, low
-
-
-def _signed(sets_of):
-    def run(batches):
-        for batch in batches:
-            for row, data, offs in steps(batch.column("text")):
-                code, at = sets_of(data, offs)
-                n = np.diff(at)
-                bits, low = signature(n, code, at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(row, len(n)), pa.array(n, pa.int64()), pa.array(low), bits.cast(pa.binary())], names=["id", "n", "low", "bits"]
-                )
-
-    return run
+    return flat, base, low
+
+
+class Sets:
+    """Sizes, bitmaps and smallest tokens of many sets."""
+
+    def __init__(self, size: np.ndarray, flat: np.ndarray, base: np.ndarray, low: np.ndarray):
+        self.size, self.flat, self.base, self.low = size, flat, base, low
+        self.width = np.diff(base)
+
+    @staticmethod
+    def of(code: np.ndarray, at: np.ndarray) -> Sets:
+        n = np.diff(at)
+        return Sets(n, *signature(n, code, at))
+
+    def bitmaps(self, which: np.ndarray, words: int) -> np.ndarray:
+        """One row each of sets that have `words` words or, folded, twice as many."""
+        m = self.flat[self.base[which][:, None] + np.arange(self.width[which[0]])]
+        return m if m.shape[1] == words else m[:, :words] | m[:, words:]
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs neither their sizes nor their bitmaps rule out.
+
+        Sizes that allow a link have widths that differ by a factor of two at most; the wider bitmap is folded. Two
+        sets share at most their common bits and as many tokens as share a bit with another one on the poorer side.
+        """
+        ok = 100 * np.minimum(self.size[x], self.size[y]) >= LIKE * np.maximum(self.size[x], self.size[y])
+        at = np.flatnonzero(ok)
+        kind = self.width[x[at]] * (1 << 20) + self.width[y[at]]
+        for k in np.unique(kind):
+            own = at[kind == k]
+            words = int(min(k >> 20, k & ((1 << 20) - 1)))
+            for part in np.array_split(own, max(1, len(own) * words // WORDS)):
+                if len(part):
+                    a, b = self.bitmaps(x[part], words), self.bitmaps(y[part], words)
+                    na, nb = self.size[x[part]], self.size[y[part]]
+                    spare = np.minimum(na - np.bitwise_count(a).sum(axis=1), nb - np.bitwise_count(b).sum(axis=1))
+                    most = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + spare
+                    ok[part] = (100 + LIKE) * most >= LIKE * (na + nb)
+        return ok
 
 
 class Tree:
     """A signature tree: leaves hold LEAF sets side by side, each node the OR of its sets' bitmaps and their size range.
 
-    low is each set's smallest token, a min-hash: ordered by it, similar sets come to lie together.
+    The smallest token of a set is a min-hash: ordered by it, similar sets come to lie together.
     """
 
-    def __init__(self, members: np.ndarray, bits: np.ndarray, size: np.ndarray, low: np.ndarray):
-        order = np.lexsort((size, low))
-        self.members, bits, size = members[order], bits[order], size[order]
+    def __init__(self, members: np.ndarray, sets: Sets, words: int):
+        order = np.lexsort((sets.size[members], sets.low[members]))
+        self.members = members[order]
+        bits, size = sets.bitmaps(self.members, words), sets.size[self.members]
         spare = size - np.bitwise_count(bits).sum(axis=1)  # tokens that share a bit with another one
         self.levels = [(bits, size, size, spare)]
         while len(self.levels) == 1 or len(self.levels[-1][1]) > 1:
@@ -68,23 +99,23 @@ class Tree:
         cut = np.arange(0, len(low), LEAF)
         self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut)))
 
-    def raise_to(self, levels: int) -> Tree:
+    def raise_to(self, levels: int) -> None:
         while len(self.levels) < levels:
             self._lift()
-        return self
 
-    def below(self, level: int, node: int) -> range:
-        return range(node * LEAF, min(node * LEAF + LEAF, len(self.levels[level - 1][1])))
+    def below(self, level: int, node: int) -> slice:
+        return slice(node * LEAF, min(node * LEAF + LEAF, len(self.levels[level - 1][1])))
 
 
-def traverse(a: Tree, b: Tree, done, visit) -> None:
-    """Dual traversal: visit(x, y) for the members that no bound rules out; done(rows of a, rows of b) prunes leaves."""
+def traverse(a: Tree, b: Tree, done, visit) -> int:
+    """Dual traversal: visit(x, y) for the members that no bound rules out; done(rows of a, rows of b) prunes leaves.
+    Returns how many pairs of sets it looked at, those that it visited or that a leaf's bounds ruled out."""
     top = max(len(a.levels), len(b.levels))
     a.raise_to(top), b.raise_to(top)
-    todo = [(top - 1, 0, 0)]
+    todo, seen = [(top - 1, 0, 0)], 0
     while todo:
         level, i, j = todo.pop()
-        p, q = (slice(t.below(level, k).start, t.below(level, k).stop) for t, k in ((a, i), (b, j)))
+        p, q = a.below(level, i), b.below(level, j)
         if level == 1 and done(a.members[p], b.members[q]):
             continue
         # all pairs of children at once: sizes compatible, and overlap not bounded below what the similarity needs
@@ -102,53 +133,54 @@ def traverse(a: Tree, b: Tree, done, visit) -> None:
             near = np.argsort(-np.abs(x - y), kind="stable")
             todo.extend((level - 1, int(m), int(n)) for m, n in zip(x[near], y[near], strict=True))
         else:
+            seen += ok.size
             for m, n in zip(x.tolist(), y.tolist(), strict=True):
                 visit(a.members[m], b.members[n])
+    return seen
 
 
-def by_width(members: np.ndarray, bits: list[bytes], size: np.ndarray, low: np.ndarray, right: np.ndarray | None = None):
-    """Pairs of trees that cover all pairs whose sizes allow a link. Widths differ by a factor of two at most where
-    sizes are compatible; the wider bitmap is folded."""
-    width = np.array([len(x) for x in bits])
+def trees(sets: Sets, left: np.ndarray, right: np.ndarray | None = None):
+    """Pairs of trees, one for each width of bitmaps, that cover all pairs whose sizes allow a link."""
     one = right is None
-    right = members if one else right
-
-    def tree(of, w, fold):
-        m = np.frombuffer(b"".join(bits[i] for i in of), np.uint64).reshape(len(of), -1)
-        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :] if fold else m
-        return Tree(of, m, size[of], low[of])
-
-    for w in sorted({*width[members], *width[right]}):
-        here, there = members[width[members] == w], right[width[right] == w]
+    right = left if one else right
+    wide, other = sets.width[left], sets.width[right]
+    for w in np.unique(np.concatenate([wide, other])).tolist():
+        here, there = left[wide == w], right[other == w]
         if len(here) and len(there):
-            t = tree(here, w, False)
-            yield t, (t if one else tree(there, w, False))
-        for x, y, swap in ((here, right[width[right] == 2 * w], False), *([] if one else [(there, members[width[members] == 2 * w], True)])):
+            t = Tree(here, sets, w)
+            yield t, (t if one else Tree(there, sets, w))
+        for x, y, swap in ((here, right[other == 2 * w], False), *([] if one else [(there, left[wide == 2 * w], True)])):
             if len(x) and len(y):
-                p, q = tree(x, w, False), tree(y, w, True)
+                p, q = Tree(x, sets, w), Tree(y, sets, w)
                 yield (q, p) if swap else (p, q)
 
 
-def promising(bits: list[bytes], size: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Which sets have a partner that their signatures do not rule out."""
-    found = np.zeros(len(size), bool)
-    if len(size) == 2:
-        a, b = bits if len(bits[0]) <= len(bits[1]) else bits[::-1]
-        p, q = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        if 100 * size.min() < LIKE * size.max() or len(q) > 2 * len(p):
-            return found
-        spare = [n - int(np.bitwise_count(np.frombuffer(x, np.uint64)).sum()) for n, x in zip(size, bits, strict=True)]
-        q = q[: len(p)] | q[len(p) :] if len(q) > len(p) else q
-        # a folded bitmap has fewer bits and so no fewer spare tokens than its own: the other side's bound is used
-        spare = min(spare) if len(bits[0]) == len(bits[1]) else spare[0 if a is bits[0] else 1]
-        found[:] = (100 + LIKE) * (int(np.bitwise_count(p & q).sum()) + spare) >= LIKE * int(size.sum())
-        return found
+def leaf_pairs(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs inside each group that fits a single leaf: what the traversal of such a tree comes down to."""
+    starts, n = cuts[:-1], np.diff(cuts)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for s in range(2, LEAF + 1):
+        own = starts[n == s][:, None]
+        if len(own):
+            i, j = np.triu_indices(s, 1)
+            found.append(((own + i).reshape(-1), (own + j).reshape(-1)))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def promising(sets: Sets, cuts: np.ndarray) -> np.ndarray:
+    """Which sets have a partner in their group that their signatures do not rule out."""
+    found = np.zeros(len(sets.size), bool)
+    x, y = leaf_pairs(cuts)
+    ok = sets.possible(x, y)
+    found[x[ok]] = found[y[ok]] = True
 
     def visit(x, y):
         found[x] = found[y] = True
 
-    for a, b in by_width(np.arange(len(size)), bits, size, low):
-        traverse(a, b, lambda p, q: found[p].all() and found[q].all(), visit)
+    for s, e in pairwise(cuts.tolist()):
+        if e - s > LEAF:
+            for a, b in trees(sets, np.arange(s, e)):
+                traverse(a, b, lambda p, q: found[p].all() and found[q].all(), visit)
     return found
 
 
@@ -159,66 +191,58 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= LIKE * (len(a) + len(b) - both)
 
 
-#: Up to this many sets, comparing them is less work than building a tree.
-FEW = 16
-
-
-def links(sets: list[np.ndarray], side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
-    if len(sets) > FEW:
-        return tree_links(sets, *_sign(sets), side, known)
-    out, root = [], known.tolist()
-    for x in range(len(sets)):
-        for y in range(x + 1, len(sets)):
-            if root[x] != root[y] and not (side[x] and side[y]):
-                a, b = len(sets[x]), len(sets[y])
-                if 100 * min(a, b) >= LIKE * max(a, b) and similar(sets[x], sets[y]):
-                    out.append((x, y))
-                    root = [root[x] if r == root[y] else r for r in root]
-    return out
-
-
-def tree_links(sets: list[np.ndarray], bits: list[bytes], low: np.ndarray, side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
-    """Links among side 0 and between side 0 and side 1 that, with the components already known, connect all that
-    link. A pair that is connected already is not compared again."""
-    size = np.array([len(s) for s in sets])
-    root = known.copy()
-    out: list[tuple[int, int]] = []
-
-    def done(p, q):
-        first = root[p[0]]
-        return bool((root[p] == first).all() and (root[q] == first).all())
-
-    def visit(x, y):
-        if root[x] != root[y] and similar(sets[x], sets[y]):
-            out.append((x, y))
-            root[root == root[y]] = root[x]
-
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    for others in (None, right):
-        if len(left) and (others is None or len(others)):
-            for a, b in by_width(left, bits, size, low, others):
-                traverse(a, b, done, visit)
-    return out
+def links(code: np.ndarray, at: np.ndarray, cuts: np.ndarray, side: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inside each group, links among side 0 and between side 0 and side 1 that, with the components already known,
+    connect all that link. A pair that is connected already is not compared again. Returns, of each set, the first
+    set of its component in its group, and which sets have found a link."""
+    sets = Sets.of(code, at)
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    # sets of one known component in a group start connected
+    order = np.lexsort((known, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (known[order][1:] != known[order][:-1])
+    root = np.zeros(len(order), np.int64)
+    root[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1] if len(order) else 0
+    linked = np.zeros(len(order), bool)
+
+    def compare(x: int, y: int, start: int, end: int) -> None:
+        if root[x] != root[y] and similar(code[at[x] : at[x + 1]], code[at[y] : at[y + 1]]):
+            linked[x] = linked[y] = True
+            own = root[start:end]
+            keep, gone = min(root[x], root[y]), max(root[x], root[y])
+            own[own == gone] = keep
+
+    x, y = leaf_pairs(cuts)
+    may = (side[x] == 0) | (side[y] == 0)
+    x, y = x[may], y[may]
+    ok = sets.possible(x, y)
+    for m, n in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        compare(m, n, cuts[group[m]], cuts[group[m] + 1])
+
+    for s, e in pairwise(cuts.tolist()):
+        if e - s <= LEAF:
+            continue
 
+        def done(p, q):
+            first = root[p[0]]
+            return bool((root[p] == first).all() and (root[q] == first).all())
 
-def stars(found: list[tuple[int, int]], ids: np.ndarray):
-    """(smallest id, other ids) of each component of links between positions."""
-    root: dict[int, int] = {}
+        left, right = (np.arange(s, e)[side[s:e] == k] for k in (0, 1))
+        for others in (None, right):
+            if len(left) and (others is None or len(others)):
+                for a, b in trees(sets, left, others):
+                    traverse(a, b, done, lambda m, n: compare(m, n, s, e))  # noqa: B023
+    return root, linked
 
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for x, y in found:
-        root[top(x)] = top(y)
-    members: dict[int, list[int]] = {}
-    for x in list(root):
-        members.setdefault(top(x), []).append(int(ids[x]))
-    for own in members.values():
-        low = min(own)
-        yield low, [x for x in own if x != low]
+def parts_of(batch: pa.RecordBatch, cuts: np.ndarray, column: str):
+    """A batch of whole groups in parts of about STEP bytes of the column, each of whole groups too."""
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(column)).to_numpy())])[cuts]
+    at = 0
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(size, size[at] + STEP, "right")) - 1)
+        yield batch.slice(cuts[at], cuts[to] - cuts[at]), cuts[at : to + 1] - cuts[at]
+        at = to
 
 
 def groups(batches, keys: list[str]):
@@ -237,65 +261,106 @@ def groups(batches, keys: list[str]):
         cuts = np.flatnonzero(new)
         rest = batch.slice(cuts[-1])  # the last group may go on in the next batch
         if len(cuts) > 1:
-            yield batch.slice(0, cuts[-1]), cuts.tolist()
+            yield batch.slice(0, cuts[-1]), cuts
     if rest is not None:
-        yield rest, [0, rest.num_rows]
+        yield rest, np.array([0, rest.num_rows])
 
 
-def _sign(sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    n = np.array([len(s) for s in sets])
-    bits, low = signature(n, np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
-    return bits.to_pylist(), low
+def block_members(postings: DataFrame, sample: DataFrame) -> DataFrame:
+    """(centre, id) for every id that shares a key with a smaller one, centre being the smallest id of the key.
+
+    Keys are dealt once. A key that a large share of the sampled sets has (sample: postings of
+    some sets; no more than keys-per-set / HOT keys can be that frequent, so their list is bounded) would make one task
+    too long. Its sets are dealt to DEALS tasks, each of which names a centre of its own, and the smallest of these,
+    a row for each such key, is joined by broadcast. Which keys are dealt so does not change the result.
+    """
+    n = sample.select("id").distinct().count()
+    often = sample.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(16, HOT * n)).select("key", F.lit(True).alias("often"))
+    often = settle(often)
+    dealt = postings.join(F.broadcast(often), "key", "left")
+    deal = F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(DEALS))).otherwise(-1).cast("int")
+    # both the centres and their members are read from this one exchange
+    dealt = dealt.select("key", deal.alias("deal"), "id").repartition("key", "deal")
+    centres = dealt.groupBy("key", "deal").agg(F.min("id").alias("centre"), F.count("*").alias("_n")).where("_n > 1 OR deal >= 0").drop("_n")
+    runs = dealt.join(centres.hint("shuffle_hash"), ["key", "deal"]).where("id <> centre OR deal >= 0")
+    runs = settle(runs.select("centre", "id", F.when(F.col("deal") >= 0, F.col("key")).alias("crowded")).distinct())
+    first = runs.where("crowded IS NOT NULL").groupBy("crowded").agg(F.min("centre").alias("first"))
+    crowded = runs.where("crowded IS NOT NULL").join(F.broadcast(first), "crowded").select(F.col("first").alias("centre"), "id").where("id <> centre")
+    out = settle(runs.where("crowded IS NULL").select("centre", "id").union(crowded).distinct())
+    discard(often, runs)
+    return out
+
+
+def _signed(sets_of):
+    def run(batches):
+        for batch in batches:
+            for row, data, offs in steps(batch.column("text")):
+                code, at = sets_of(data, offs)
+                n = np.diff(at)
+                flat, base, low = signature(n, code, at)
+                bits = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(base * 8), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(row, len(n)), pa.array(n, pa.int64()), pa.array(low), bits.cast(pa.binary())], names=["id", "n", "low", "bits"]
+                )
+
+    return run
 
 
 def _keep_promising(batches):
-    for batch, cuts in groups(batches, ["centre", "part"]):
-        bits, n, low = batch.column("bits").to_pylist(), batch.column("n").to_numpy(), batch.column("low").to_numpy()
-        keep = np.zeros(batch.num_rows, bool)
-        for s, e in pairwise(cuts):
-            keep[s:e] = promising(bits[s:e], n[s:e], low[s:e])
+    for batch, cuts in (part for whole, all_cuts in groups(batches, ["centre", "part"]) for part in parts_of(whole, all_cuts, "bits")):
+        bits = batch.column("bits").cast(pa.large_binary())
+        _, offs, data = bits.buffers()
+        offs = np.frombuffer(offs, np.int64)[bits.offset : bits.offset + len(bits) + 1] // 8
+        flat = np.frombuffer(data, np.uint64, offs[-1])
+        keep = promising(Sets(batch.column("n").to_numpy(), flat, offs, batch.column("low").to_numpy()), cuts)
         if keep.any():
             yield batch.select(["centre", "part", "id"]).filter(pa.array(keep))
 
 
 def _link(keys: list[str], sets_of):
     def run(batches):
-        for batch, cuts in groups(batches, keys):
+        for batch, cuts in (part for whole, all_cuts in groups(batches, keys) for part in parts_of(whole, all_cuts, "text")):
             ids, side, comp = (batch.column(c).to_numpy() for c in ("id", "side", "comp"))
-            sets = []
-            for _, data, offs in steps(batch.column("text")):
-                code, at = sets_of(data, offs)
-                sets += [code[s:e] for s, e in pairwise(at.tolist())]
-            u, v = [], []
-            for s, e in pairwise(cuts):
-                # a star for each component found here, so that the graph of all tasks has short paths
-                for root, others in stars(links(sets[s:e], side[s:e], comp[s:e]), ids[s:e]):
-                    u += others
-                    v += [root] * len(others)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            parts = [sets_of(data, offs) for _, data, offs in steps(batch.column("text"))]
+            code = np.concatenate([c for c, _ in parts])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
+            root, linked = links(code, at, cuts, side, comp)
+            # a star for each component found here, so that the graph of all tasks has short paths
+            own = np.flatnonzero(linked)
+            if len(own):
+                own = own[np.lexsort((ids[own], root[own]))]
+                new = np.ones(len(own), bool)
+                new[1:] = root[own][1:] != root[own][:-1]
+                low = ids[own][np.flatnonzero(new)][np.cumsum(new) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own][~new]), pa.array(low[~new])], names=["u", "v"])
 
     return run
 
 
-def link_components(postings: DataFrame, fetch, sets_of, chunk: int = CHUNK, spent: tuple[DataFrame, ...] = (), sign: bool = True) -> DataFrame:
+def link_components(postings: DataFrame, sample: DataFrame, fetch, sets_of, chunk: int = CHUNK, sign: bool = True) -> DataFrame:
     """(id, component) of all sets that link with another one; component is the smallest id of its group.
 
-    postings(key long, id long): sets that can link share a key. fetch(ids) gives (id, text), asked only for what is
-    needed, and sets_of(bytes, offsets) the sorted token sets of texts: texts are smaller than their sets, so it is
-    texts that are dealt, and sets are made where they are compared. Settled tables in spent feed
-    the postings alone and are removed once those have been read.
+    postings(key long, id long): sets that can link share a key; sample: the postings of some of the sets, which tell
+    which keys are frequent. fetch(ids, kept) gives (id, text), asked only for what is needed (tables that it settles by
+    kept() are removed in the end), and sets_of(bytes, offsets)
+    the sorted token sets of texts: texts are smaller than their sets, so it is texts that are dealt, and sets are made
+    where they are compared.
 
     A key's sets go to the block of the smallest id among them, so every pair that shares a key meets in a block,
-    once for many keys. With sign, signatures first tell which sets of a block have a possible partner at all, and only
-    those are compared; where keys are so selective that most have one, that is not worth a pass. A block beyond `chunk` sets is cut: first each chunk is compared with itself and
-    the block's centre; then what is not connected to the block's largest component is compared, chunk by chunk, with
-    everything else in the block.
+    once for many keys. In a block, signature trees find the pairs that may link. With sign, signatures alone first
+    tell which sets of a block have a possible partner at all, and only the texts of those are dealt; where keys are so
+    selective that most have one, that is not worth a pass. A block beyond `chunk` sets is cut: first each chunk is
+    compared with itself and the block's centre; then what is not connected to the block's largest component is
+    compared, chunk by chunk, with everything else in the block. Tables written on the way are removed at the end.
     """
-    # aggregated before it is dealt, then joined, so that a key of many sets is split and not one task's work
-    shared = postings.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    blocks = settle(postings.join(shared.hint("shuffle_hash"), "key").where("id <> centre").select("centre", "id").distinct())
-    discard(*spent)
+    spent: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        spent.append(settle(df))
+        return spent[-1]
+
+    blocks = block_members(postings, sample)
+    spent.append(blocks)
 
     def cut_up(blocks: DataFrame) -> DataFrame:
         """(centre, part, id): each block's members dealt to its chunks, the centre being in all of them."""
@@ -308,29 +373,31 @@ def link_components(postings: DataFrame, fetch, sets_of, chunk: int = CHUNK, spe
     def sorted_groups(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys)
 
-    members = settle(cut_up(blocks))
+    members = kept(cut_up(blocks))
     large = members.where(F.col("members") > chunk)
     if sign:
-        signatures = settle(fetch(members.select("id").distinct()).mapInArrow(_signed(sets_of), "id long, n long, low long, bits binary"))
+        signatures = kept(fetch(members.select("id").distinct(), kept).mapInArrow(_signed(sets_of), "id long, n long, low long, bits binary"))
         # a set whose partners are all in other chunks of a large block must stay, so only whole blocks are thinned out
         whole = members.where(F.col("members") <= chunk)
         thin = sorted_groups(whole.join(signatures, "id").select("centre", "part", "id", "n", "low", "bits"), ["centre", "part"])
         thin = thin.mapInArrow(_keep_promising, "centre long, part int, id long")
-        members = settle(thin.union(large.select("centre", "part", "id")))
+        members = kept(thin.union(large.select("centre", "part", "id")))
     large = large.select("centre", "id").distinct()
-    texts = settle(fetch(members.select("id").distinct()))
+    texts = kept(fetch(members.select("id").distinct(), kept))
 
     def compare(df: DataFrame, keys: list[str]) -> DataFrame:
         rows = df.join(texts, "id").select(*keys, "id", "side", "comp", "text")
-        return settle(sorted_groups(rows, keys).mapInArrow(_link(keys, sets_of), "u long, v long"))
+        return kept(sorted_groups(rows, keys).mapInArrow(_link(keys, sets_of), "u long, v long"))
 
     first = compare(members.select("centre", "part", "id", F.lit(0).alias("side"), F.col("id").alias("comp")), ["centre", "part"])
-    found = settle(components(first))
+    found = components(first)
     if large.isEmpty():
+        discard(*spent)
         return found
 
     # large blocks: the components in each, the largest of them, and all others against everything
-    large = settle(large.join(found, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("comp")))
+    spent.append(found)
+    large = kept(large.join(found, "id", "left").select("centre", "id", F.coalesce("component", "id").alias("comp")))
     weight = large.groupBy("centre", "comp").agg(F.count("*").alias("w"))
     main = weight.groupBy("centre").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"), F.sum("w").alias("all"), F.max("w").alias("of_main"))
     main = main.where("of_main < all").withColumn("a_parts", F.ceil((F.col("all") - F.col("of_main")) / chunk).cast("int")).withColumn("b_parts", F.ceil(F.col("of_main") / chunk).cast("int"))
@@ -348,4 +415,6 @@ def link_components(postings: DataFrame, fetch, sets_of, chunk: int = CHUNK, spe
     for df, deal in deals:
         own = df.select("centre", "id", "comp", F.explode(F.expr(deal)).alias("g")).select("centre", "id", "comp", "g.x", "g.y", "g.side")
         pairs = own if pairs is None else pairs.unionByName(own)
-    return settle(components(first.union(compare(pairs, ["centre", "x", "y"]))))
+    out = components(first.union(compare(pairs, ["centre", "x", "y"])))
+    discard(*spent)
+    return out

@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.settled import discard, settle
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, a local session takes a
-    temporary folder and any other one a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+
+#: Ids that are broadcast, 8 to 16 bytes each; more of them are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: later work starts from the files, so a lost
-    executor costs only its own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._settled = path
-    return out
+#: Bytes of an Arrow batch between Spark and a worker: a worker holds a few of them at a time, whatever the rows' length.
+BATCH_BYTES = 8 << 20
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes settled tables that nothing reads any more."""
-    for df in tables:
-        spark, path = df.sparkSession, df._settled
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches by bytes, not only by rows (by default 10,000 rows or 64 MB)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
@@ -47,57 +29,101 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th")]
 
 
-#: Edges that one task may hold (16 bytes each, and their vertices).
-FEW_EDGES = 500_000
+def told_apart(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Ids that name things by a 64-bit hash, made safe by a second hash, id2.
+
+    df(id, id2, ...) holds all of them. Returns a function that drops id2 from a table (id, id2, ...) and gives those
+    that share an id with something else, all but the ones with the smallest id2, an id made from both hashes.
+    """
+    clash = settle(df.groupBy("id").agg(F.min("id2").alias("_a"), F.max("id2").alias("_b")).where("_a <> _b").select("id", "_a"))
+    n = clash.count()
+    if not n:
+        discard(clash)
+        return lambda t: t.drop("id2")
+    few = F.broadcast(clash) if n <= BROADCAST_IDS else clash
+
+    def apart(t: DataFrame) -> DataFrame:
+        own = F.when(F.col("_a").isNull() | (F.col("_a") == F.col("id2")), F.col("id")).otherwise(F.xxhash64("id", "id2"))
+        return t.join(few, "id", "left").withColumn("id", own).drop("_a", "id2")
+
+    return apart
+
+
+#: Edges that a task's union-find holds at a time; beyond it, it hands on its trees and starts afresh.
+FOREST = 1 << 18
+
+
+def _forests(size: int):
+    def run(batches):
+        root: dict[int, int] = {}
+        held = 0
 
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-def _union_find(batches):
-    root: dict[int, int] = {}
+        def trees():
+            pairs = [(x, top(x)) for x in root]
+            u, v = zip(*((x, t) for x, t in pairs if x != t), strict=True)
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = top(u), top(v)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                held += 1
+                if held >= size:
+                    yield trees()
+                    held = 0
+        if held:
+            yield trees()
 
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            a, b = top(u), top(v)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    ids = list(root)
-    for s in range(0, len(ids), 1 << 16):
-        part = ids[s : s + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["id", "m"])
+    return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forest: int = FOREST) -> DataFrame:
     """Connected components of edges(u long, v long): rows (id, component), component being the smallest id.
 
-    Each round sends every vertex to the smallest of its neighbours and itself, and goes on with the graph of those;
-    a star is done after one round, a path of n edges after about log n. Aggregates and joins of settled tables, so
-    that hubs are combined early and split when joined. What is left of the graph once it has FEW_EDGES edges is ended
-    by union-find in one task. Only counts reach the driver. No edges give no rows; loops and repeats are ignored.
+    Distributed union-find in rounds. A round first turns each task's edges, `forest` at a time, into trees of depth
+    one; then every vertex moves to the first of itself and its neighbours, and the next round has the graph of where
+    they are. First is the smallest id in round one, which ends stars at once, and the smallest hash later, a new one
+    each round: on a path in any order about half of the vertices are left after each, so rounds grow with the
+    logarithm of a component's diameter. Aggregates and joins of settled tables, so that hubs are combined early and
+    split when joined; nothing but the number of edges left reaches the driver. No edges give no rows; loops and
+    repeats are ignored.
     """
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    rounds = []
-    while (left := now.count()) > 0:
-        if left <= FEW_EDGES:
-            # bounded by the count just taken: one task can end it
-            rounds.append(settle(now.coalesce(1).mapInArrow(_union_find, "id long, m long")))
-            break
-        ends = now.union(now.select("v", "u")).groupBy("u").agg(F.min("v").alias("v"))
-        lowest = settle(ends.select(F.col("u").alias("id"), F.least("u", "v").alias("m")))
-        after = now.join(lowest.select(F.col("id").alias("u"), F.col("m").alias("a")), "u").join(lowest.select(F.col("id").alias("v"), F.col("m").alias("b")), "v")
+    moves: list[DataFrame] = []
+    while n := now.count():
+        # no more tasks than there are forests: the fewer they are, the fewer rounds are left
+        trees = settle(now.coalesce(-(-n // forest)).mapInArrow(_forests(forest), "u long, v long"))
+        rank = (lambda c: F.col(c)) if not moves else (lambda c, k=len(moves): F.xxhash64(F.lit(k), c))
+        near = trees.union(trees.select("v", "u")).groupBy("u").agg(F.min_by("v", rank("v")).alias("v"))
+        moved = settle(near.select(F.col("u").alias("id"), F.when(rank("v") < rank("u"), F.col("v")).otherwise(F.col("u")).alias("m")))
+        after = trees.join(moved.select(F.col("id").alias("u"), F.col("m").alias("a")), "u").join(moved.select(F.col("id").alias("v"), F.col("m").alias("b")), "v")
         after = settle(after.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-        discard(now)
+        discard(now, trees)
         now = after
-        rounds.append(lowest)
-    if not rounds:
-        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    # a vertex goes where the one it was sent to goes
-    found = rounds.pop().withColumnRenamed("m", "component")
-    for lowest in reversed(rounds):
+        moves.append(moved)
+    if not moves:
+        none = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        none._settled = now._settled
+        return none
+    # a vertex goes where the one it moved to goes
+    found = moves[-1].withColumnRenamed("m", "component")
+    for moved in moves[-2::-1]:
         onward = found.select(F.col("id").alias("m"), F.col("component").alias("_c"))
-        found = lowest.join(onward, "m", "left").select("id", F.coalesce("_c", "m").alias("component"))
+        found = moved.join(onward, "m", "left").select("id", F.coalesce("_c", "m").alias("component"))
+    if len(moves) > 1:
+        # after the first round what is left need not be the smallest
+        ends = settle(found)
+        moves.append(ends)
+        least = ends.groupBy("component").agg(F.min("id").alias("_least"))
+        found = ends.join(least, "component").select("id", F.col("_least").alias("component"))
+    found = settle(found)
+    discard(now, *moves)
     return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -16,6 +18,7 @@ UPPER[65:91] += 32
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bytes of text that one numpy step handles; a longer text is a step of its own.
 STEP = 1 << 19
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -37,6 +40,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives freed memory back: a worker lives through many tasks, idle ones beside those at work."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def steps(texts: pa.Array, size: int = STEP):
     """Cuts a string column into (first row, bytes, offsets) of about `size` bytes; null is the empty text."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -53,7 +63,7 @@ def steps(texts: pa.Array, size: int = STEP):
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1)
         yield at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
-    pa.default_memory_pool().release_unused()  # a worker lives through many tasks
+    release()
 
 
 def spans(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epilattice.llm import jaccard, linking, lines, substrings
+from epilattice.llm import jaccard, linking, lines, shared, substrings
 from epilattice.llm.decontaminate import decontaminate, drop_contaminated
 from epilattice.llm.shared import components
 
@@ -40,6 +40,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["up", "down", "shuffled"])
+def test_components_of_a_long_path(spark, order, monkeypatch):
+    """A thousand vertices in a row, with a few edges to a task's tree: rounds grow with the logarithm."""
+    ids = list(range(1000))
+    if order != "up":
+        ids = ids[::-1] if order == "down" else random.Random(9).sample(ids, 1000)
+    rounds = []
+    monkeypatch.setattr(shared, "settle", lambda df, settle=shared.settle: rounds.append(1) or settle(df))
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(2001, 2000), (2001, 2002)], "u long, v long")
+    got = {x.id: x.component for x in components(edges, forest=4).collect()}
+    assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000, 2002: 2000}
+    assert 5 < len(rounds) < 3 * 16
+
+
 def hits(rows, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -147,11 +161,54 @@ def test_large_blocks_lose_no_link(spark):
     postings = spark.createDataFrame(posts, "key long, id long")
     want = {i: c for (i, n, c) in jaccard_truth(rows)}
     for sign in (True, False):
-        found = linking.link_components(postings, lambda ids: docs.join(ids, "id"), sets, chunk=3, sign=sign)
+        found = linking.link_components(postings, postings, lambda ids, kept: docs.join(ids, "id"), sets, chunk=3, sign=sign)
         got = {x.id: x.component for x in found.collect()}
         assert {i: got.get(i, i) for i in want} == want
 
 
+def test_trees_prune(spark):
+    """Clusters of near copies in one tree: the traversal finds all links and looks at few of the pairs."""
+    r = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = r.integers(0, 2**63, 120).astype(np.uint64)
+        for _ in range(10):
+            own = base.copy()
+            own[r.integers(0, 120, 5)] = r.integers(0, 2**63, 5)
+            sets.append(np.unique(own))
+    code, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    own, seen, looked = linking.Sets.of(code, at), set(), 0
+    for a, b in linking.trees(own, np.arange(len(sets))):
+        looked += linking.traverse(a, b, lambda p, q: False, lambda x, y: seen.add((min(x, y), max(x, y))))
+    alike = {(x, y) for x, y in combinations(range(len(sets)), 2) if linking.similar(sets[x], sets[y])}
+    assert len(alike) == 60 * 45 and alike <= seen and len(seen) < 2 * len(alike)
+    assert looked < len(sets) ** 2 / 8
+    # and the same groups by way of the whole search, in groups of one leaf and of many
+    cuts = np.array([0, 10, 12, 16, 24, 24 + 16, len(sets)])
+    root, linked = linking.links(code, at, cuts, np.zeros(len(sets), int), np.arange(len(sets)))
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        want = list(range(s, e))
+        for x, y in alike:
+            if s <= x < e and s <= y < e:
+                a, b = sorted((want[x - s], want[y - s]))
+                want = [a if w == b else w for w in want]
+        assert [want[x - s] for x in range(s, e)] == root[s:e].tolist()
+
+
+def test_blocks_of_frequent_keys(spark):
+    """A key that most ids have, dealt to many tasks, gives the same members as keys that few have."""
+    r = random.Random(23)
+    posts = [(1, i) for i in range(500)] + [(2, i) for i in range(100, 300)] + [(k, r.randrange(500)) for k in range(3, 90) for _ in range(3)]
+    want = set()
+    for k in {k for k, _ in posts}:
+        own = {i for x, i in posts if x == k}
+        want |= {(min(own), i) for i in own} - {(min(own), min(own))}
+    df = spark.createDataFrame(posts, "key long, id long").repartition(6)
+    for sample in (df, df.where("false")):
+        got = [(x.centre, x.id) for x in linking.block_members(df, sample).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_keep_one(spark):
     r = random.Random(5)
     rows = near_copies(r, 10) + [(3000, None), (3001, "")]
@@ -194,7 +251,7 @@ def test_substrings(spark, width):
 
 def line_truth(rows):
     keys = sorted({x for _, t in rows if t for x in t.split("\n") if x.strip(" ")})
-    sets = [{k[i : i + 8] for i in range(max(1, len(k) - 7))} for k in keys]
+    sets = [{k[i : i + 5] for i in range(max(1, len(k) - 4))} for k in keys]
     root = list(range(len(keys)))
     find = lambda x: x if root[x] == x else find(root[x])
     for a, b in combinations(range(len(keys)), 2):
@@ -228,6 +285,30 @@ def test_lines(spark):
     assert sorted(((x.doc_id, x.n_lines, x.n_kept, x.kept) for x in got.collect()), key=lambda x: x[0]) == line_truth(rows)
 
 
+def test_lines_whose_ids_clash(spark):
+    """Lines that share the first hash are told apart by the second one."""
+    rows = [(i, "\n".join(f"line {i} {k} " + "abcdefgh"[k] * 9 for k in range(4)) + "\nshared by all of them") for i in range(12)]
+    got = lines.dedup_lines(frame(spark, rows), identity=lambda c: F.pmod(F.xxhash64(c), F.lit(5)))
+    assert sorted((x.doc_id, x.n_lines, x.n_kept, x.kept) for x in got.collect()) == line_truth(rows)
+
+
+def test_recall_of_lines(spark):
+    """Pairs just above the similarity, short lines among them: one in a hundred may be missed."""
+    r = random.Random(17)
+    rows, linked = [], 0
+    shingles = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    while linked < 300:
+        a = prose(r, r.choice([8, 12, 20, 40]), 5000)
+        own = a.split()
+        own[r.randrange(len(own))] = f"w{r.randrange(5000)}"
+        b = " ".join(own)
+        s, t = shingles(a), shingles(b)
+        if a != b and 0.8 <= len(s & t) / len(s | t) < 0.9:
+            linked += 1
+            rows.append((linked, f"{a}\n{b}"))
+    assert sum(x.n_lines - x.n_kept for x in lines.dedup_lines(frame(spark, rows)).collect()) >= 297
+
+
 def test_lines_of_repeated_rows_and_stage(spark):
     rows = [(1, "same line of text here\nown line one two"), (1, "same line of text here\nown line one two"), (None, "same line of text here"), (2, "same line of text here\nown"), (3, None), (4, "")]
     docs = frame(spark, rows)

@@ -3,8 +3,10 @@
 import hashlib
 import os
 import random
+import re
 
 import duckdb
+import layouts
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,13 +51,30 @@ def test_fingerprints(spark):
     assert len(got) == len(rows)
 
 
+def test_likeness_at_any_place():
+    """Insertions, deletions and moves cost about what they change, however early they come."""
+    r = random.Random(21)
+    text = "".join(r.choice("abcdefghij klmnop") for _ in range(6000))
+    other = "".join(r.choice("abcdefghij klmnop") for _ in range(6000))
+    like = lambda a, b: fingerprint.likeness(*(fingerprint.PrefixHashes.of(x).fingerprint() for x in (a, b)))
+    assert like(text, text) == 1 and like(text, other) == 0 and like(text, "") == 0 and like("", "") == 1
+    assert like(text, "x" + text) > 0.88 and like(text, text[:50] + "inserted" + text[50:]) > 0.88 and like(text, text[100:]) > 0.88
+    assert 0.58 < like(text, other[:3000] + text) < 0.67 and 0.4 < like(text, text[:3000] + other[:3000]) < 0.56 and 0.4 < like(text, text[3000:] + text[:3000]) < 0.6
+    assert like("ab" * 2000, "ab" * 1500) > 0.6 and like(text[:40], text[:40] + "z") > 0.4
+    a = fingerprint.Blocks(fingerprint.PrefixHashes.of("q" + text).fingerprint())
+    for i, j in [(0, 1), (2, 9), (5, 6)]:  # spans are told by their text, not their place
+        own = ("q" + text)[a.at[i] : a.at[j]]
+        assert fingerprint.Blocks(fingerprint.PrefixHashes.of(own).fingerprint()).span(0, -1) == a.span(i, j)
+    assert a.steps == [a.span(k, k + 1) for k in range(len(a.steps))]
+
+
 def test_fingerprints_of_awkward_tables(spark):
     assert fingerprint.fingerprints(docs(spark, [])).count() == 0
     one = fingerprint.fingerprints(docs(spark, [(None, "abcd")])).first()
     assert one.near_edited < 1 and one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     rows = fingerprint.fingerprints(docs(spark, [(1, "aa"), (1, "aa"), (1, "bb"), (None, "cc"), (None, None)]), 4).collect()
     assert len(rows) == 5 and sum(x.near_next == 1 for x in rows) == 1
-    assert fingerprint.likeness(*(fingerprint.PrefixHashes.of(x).fingerprint() for x in ("x" * 999, "x" * 700))) == pytest.approx(0.7, abs=0.02)
+    assert fingerprint.likeness(*(fingerprint.PrefixHashes.of(x).fingerprint() for x in ("x" * 999, "x" * 700))) == pytest.approx(0.7, abs=0.07)
 
 
 @vocabulary
@@ -162,20 +181,31 @@ def test_extraction(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "<p>")], "page_id long, html string")
     assert [x.text for x in extract.extract(odd, model).collect()] == ["", "", ""]
     assert extract.extract(odd.where("false"), model).count() == 0
-    # held-out layouts, with sidebars, notices, forms and comments
-    r, right, total = random.Random(77), 0, 0
-    for _ in range(150):
-        html, main = extract.composed_page(r, ["Some words of a held out sentence here.", "Another one, with more words in it.", "Short one."])
-        found = html_blocks.blocks(html)
-        marks = model.main([extract.features(found)])[0]
-        kept = [t for (_, t), k in zip(found, marks) if k]
-        left = list(main)
-        for (_, t), k in zip(found, marks):
-            truth = bool(left) and t == left[0]
-            left = left[1:] if truth else left
-            right, total = right + (truth == bool(k)), total + 1
-        assert isinstance(kept, list)
-    assert right / total > 0.93
+    # sites of other templates than those that training composes: whole pages, exactly
+    r, right = random.Random(77), 0
+    sites = [(k, *layouts.page(r, k)) for k in range(200)]
+    rows = spark.createDataFrame([(k, html) for k, html, _ in sites], "page_id int, html string")
+    got = {x.page_id: x.text for x in extract.extract(rows, model).collect()}
+    assert sum(got[k] == "\n".join(main) for k, _, main in sites) >= 0.97 * len(sites)
+    for html, want in {
+        '<div class="col-8"><h1>A title here</h1><p>A first paragraph with some words in it.</p><p>And a second one, which is long enough.</p></div>': 3,
+        '<table><tr><td><a href=x>Home</a></td><td><p>A first paragraph with some words in it.</p><p>And a second one, which is long enough.</p></td></tr></table>': 2,
+        '<article><p>One short.</p><div class="comments"><p>I disagree with this.</p></div><p>Two short.</p></article>': 2,
+        "<main><h1>Title</h1><p>A long paragraph with a number of words in it.</p><p>Short end.</p></main>": 3,
+    }.items():
+        out = extract.extract(spark.createDataFrame([(html,)], "html string"), model).first().text
+        assert len(out.split("\n")) == want and "disagree" not in out and "Home" not in out
+
+
+@tables
+def test_training_does_not_depend_on_order(spark, monkeypatch):
+    """Nor on copies: the same sample, and so the same weights."""
+    monkeypatch.setattr(extract, "STEPS", 3)
+    monkeypatch.setattr(extract, "COMPOSED", 5)
+    monkeypatch.setattr(extract.Labeller, "fit", lambda self, pages: [p[0].sum() for p in pages])
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("html")
+    one = extract.train(pages, 20)
+    assert extract.train(pages.orderBy(F.desc("html")).union(pages.limit(5)).repartition(3), 20) == one and len(one) >= 5
 
 
 def test_labeller_gradients():
@@ -196,18 +226,45 @@ def test_labeller_gradients():
         assert (up - down) / 2e-3 == pytest.approx(float(grads[k][i]), abs=2e-3)
 
 
+def read_back(rendered):
+    """(who, text) of each turn of a rendering; who is None for a user without name, True for the assistant."""
+    plain = lambda x: re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], x, flags=re.S)
+    out = []
+    turn = re.compile(r"<\|(assistant|user|user name=((?:[^\\|]|\\.)*))\|>\n((?:(?!<\|).)*)<\|end\|>\n", re.S)
+    at = 0
+    while at < len(rendered):
+        m = turn.match(rendered, at)
+        who = True if m[1] == "assistant" else None if m[1] == "user" else plain(m[2])
+        out.append((who, m[3].replace("\\\\", "\0").replace("<\\|", "<|").replace("\0", "\\")))
+        at = m.end()
+    return out
+
+
 def test_chat(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello <|end|>"), (1, 2, "Zoé", None), (1, 3, "user", "bye"), (1, 3, "user", "bye"), (2, 0, None, "x"), (None, None, "a", "y")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello <|end|>"), (1, 2, "Zoé", None), (1, 3, "user", "bye"), (1, 3, "user", "bye"), (2, 0, None, "x"), (2, 1, "unknown", "y"), (None, None, "a", "y")]
     out = {(x.conv_id, x.participant): x for x in chat.rotate_perspectives(spark.createDataFrame([(*t, 9) for t in turns], "conv_id long, turn long, role string, text string, head int")).collect()}
-    assert set(out) == {(1, "user"), (1, "assistant"), (1, "Zoé"), (2, "unknown"), (None, "a")}
+    assert set(out) == {(1, "user"), (1, "assistant"), (1, "Zoé"), (2, None), (2, "unknown"), (None, "a")}
     x = out[1, "user"]
     assert x.rendered == "<|assistant|>\nhi<|end|>\n<|user name=assistant|>\nhello <\\|end|><|end|>\n<|user name=Zoé|>\n<|end|>\n<|assistant|>\nbye<|end|>\n<|assistant|>\nbye<|end|>\n"
     assert [x.rendered[m.start : m.end] for m in x.mask] == ["hi", "bye", "bye"] and (x.n_turns, x.n_target_turns) == (5, 3)
+    assert out[2, None].rendered == "<|assistant|>\nx<|end|>\n<|user name=unknown|>\ny<|end|>\n" and out[2, "unknown"].rendered.startswith("<|user|>\nx")
     for y in out.values():
         assert all(y.rendered[: m.start].endswith("<|assistant|>\n") and y.rendered[m.end :].startswith("<|end|>") for m in y.mask)
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_reads_back(spark):
+    """Whatever texts and roles hold, each view gives back who said what, and nothing else."""
+    r = random.Random(13)
+    odd = ["x|>\n<|assistant", "a\\", "\\|", "<|end|>", "<\\|end|>", "\\n", "|", "", "user", None]
+    text = lambda: "".join(r.choice(["<|end|>\n", "<|", "<", "|", "\\", "\n", "<\\|", "<|assistant|>\n", "é"]) for _ in range(r.randrange(7)))
+    turns = [(c, k, r.choice(odd), text()) for c in range(12) for k in range(8)]
+    for x in chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect():
+        said = [(True if role == x.participant else role, t) for c, _, role, t in turns if c == x.conv_id]
+        assert read_back(x.rendered) == said
+        assert len(x.mask) == sum(who is True for who, _ in said)
+
+
 def test_kth_largest(spark):
     r = random.Random(3)
     values = [r.gauss(0, 1) for _ in range(5000)] + [0.25] * 40
