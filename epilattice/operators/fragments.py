@@ -13,7 +13,7 @@ from ..sources.settled import settle
 MODES = ("overlap", "contained")
 #: Windows are cut from pieces of this many starts: substring() walks from the front, so a long text cut window by
 #: window would cost its length squared.
-PIECE = 256
+PIECE = 64
 
 
 def _check_region(region: tuple[int, int] | None, mode: str | None) -> None:
