@@ -109,7 +109,7 @@ def _scale(values: dict[str, float], column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in values.items()) + " END"
 
 
-def build(hydrophobicity: dict[str, float], volume: dict[str, float]) -> dict[str, str]:
+def build(hydrophobicity: dict[str, float], volume: dict[str, float], charge: dict[str, float]) -> dict[str, str]:
     out = {
         "library_clean": "SELECT trim(c_name) AS variant_id, replace(trim(c_mktsegment || ' ' || c_name), ' ', '') AS aa_sequence, trim(c_mktsegment) AS c_mktsegment FROM customer",
         "fragment_k9_overlap": f"WITH {FRAG} SELECT * FROM frag",
@@ -178,7 +178,8 @@ y AS (SELECT allele, variant_id, 'netMHCpan_net_pass_change' AS outcome, netMHCp
 SELECT allele, outcome, a.m AS a, b.m AS b, count(*) AS xtx, CASE WHEN b.m = '' THEN {rounded('sum(value)')} END AS xty
 FROM y JOIN x a USING (allele, variant_id) JOIN x b USING (allele, variant_id) GROUP BY 1, 2, 3, 4""",
         "parsed_mutations": f"""WITH {LIBRARY}, {LABELS}, {PARSED_OK} SELECT *, {rounded(_scale(hydrophobicity, "mutant_aa") + " - " + _scale(hydrophobicity, "wt_aa"))} AS hydrophobicity_change,
-{rounded(_scale(volume, "mutant_aa") + " - " + _scale(volume, "wt_aa"))} AS volume_change FROM parsed""",
+{rounded(_scale(volume, "mutant_aa") + " - " + _scale(volume, "wt_aa"))} AS volume_change,
+{rounded(_scale(charge, "mutant_aa") + " - " + _scale(charge, "wt_aa"))} AS charge_change FROM parsed""",
         "allele_iqr": f"WITH {COEFFICIENTS} {SUMMARY}",
         "top_iqr": f"WITH {COEFFICIENTS} SELECT outcome, rank::int AS rank, mutation, allele_iqr FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY allele_iqr DESC NULLS LAST, mutation) AS rank FROM ({SUMMARY})) WHERE rank <= 5",
         "allele_correlation": f"""WITH {COEFFICIENTS} SELECT a.outcome, a.allele AS allele_a, b.allele AS allele_b, count(*) AS n_common, CASE WHEN count(*) >= 3 THEN {rounded('corr(a.x, b.x)')} END AS pearson_r

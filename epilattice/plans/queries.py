@@ -14,6 +14,7 @@ from ..operators.combine import combine_predictions, merge_report
 from ..operators.fragments import count_stops, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
 from ..operators.predictions import keep_lowest, map_predictions, pass_report, peptide_allele_pairs, score_peptides
 from ..sources.readers import clean_library
+from . import files
 from . import fixtures as fx
 from .oracles import build
 from .screens import screen_mhci, screen_mhcii
@@ -252,7 +253,7 @@ def derived_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_mutations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = vr_mutation(spark, sf_dir).select(F.explode(mutation_list(F.col("VR_mutation"))).alias("mutation")).distinct()
     out = mu.parsed_mutations(labels, fx.VR, fx.REGION[0] - 1)
-    return _rounded(out, "hydrophobicity_change", "volume_change").drop("charge_change")
+    return _rounded(out, "hydrophobicity_change", "volume_change", "charge_change")
 
 
 def allele_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,4 +342,5 @@ QUERIES = {
     "physchem_positions": _physchem("positions"),
 }
 
-ORACLES = build(mu.HYDROPHOBICITY, mu.VOLUME)
+QUERIES |= files.QUERIES
+ORACLES = build(mu.HYDROPHOBICITY, mu.VOLUME, {x: mu.side_chain_charge(x) for x in mu.HYDROPHOBICITY}) | files.ORACLES
