@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key, settle
+from .shared import BROADCAST_IDS, discard, row_key, settle
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
@@ -63,48 +63,51 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hint = F.broadcast if small else plain
     # an item can have as many windows as words, and a window many items: their pairs are counted on their own
     hint_owners = F.broadcast if small and owners.limit(broadcast_windows + 1).count() <= broadcast_windows else plain
-    texts = docs.select(*row_key(), words(F.col("text")).alias("_words"))
+    key = ["_id", "_th"]
+    keyed = docs.select(*row_key(), "text")
+    texts = keyed.select(*key, words(F.col("text")).alias("_words"))
 
-    prefixes = None
+    # one look at all documents: where any token of a window stands, and a mark for each row
     lengths = sorted(r[0] for r in windows.select(F.least("w_len", F.lit(shingle))).distinct().collect())  # at most `shingle` values
-    for length in lengths:
-        tokens = windows.where(F.least("w_len", F.lit(shingle)) == length).select("*", F.posexplode(_shingles("w_words", length)).alias("off", "_h"))
-        seen = texts.select(F.explode(_shingles("_words", length)).alias("_h")).join(hint(tokens.select("_h").distinct()), "_h").groupBy("_h").agg(F.count("*").alias("_n"))
+    tokens, seen = {}, None
+    for length in lengths or [shingle]:
+        first = seen is None
+        tokens[length] = windows.where(F.least("w_len", F.lit(shingle)) == length).select("window_id", "w_len", F.posexplode(_shingles("w_words", length)).alias("off", "_h"))
+        asked = tokens[length].select("_h").distinct()
+        marks = _shingles("_words", length)
+        if first:
+            marks, asked = F.concat(marks, F.array(F.lit(PRESENT).cast("long"))), asked.union(asked.sparkSession.range(1).select(F.lit(PRESENT).cast("long").alias("_h")))
+        own = texts.select(*key, F.size("_words").alias("n_words"), F.posexplode(marks).alias("_p", "_h")).join(hint(asked), "_h")
+        own = own.select(*key, "n_words", F.lit(length).alias("_length"), "_p", "_h")
+        seen = own if first else seen.unionByName(own)
+    seen = settle(seen)
+
+    # each window's rarest token; a window with a token that no document has cannot occur
+    rows, prefixes = seen.where(F.col("_h") != PRESENT), None
+    often = rows.groupBy("_length", "_h").agg(F.count("*").alias("_n"))
+    for length, own in tokens.items():
         rare = (
-            tokens.select("window_id", "off", "_h").join(seen, "_h")
+            own.join(often.where(F.col("_length") == length), "_h")
             .groupBy("window_id").agg(F.count("*").alias("_of"), F.min(F.struct("_n", "_h", "off")).alias("_r"))
         )
-        # a window with a shingle that no document has cannot occur
         own = windows.join(rare, "window_id").where(F.col("_of") == F.col("w_len") - length + 1)
         own = own.select("window_id", "w_words", "w_len", F.col("_r._h").alias("_h"), F.col("_r.off").alias("off"), F.lit(length).alias("_length"))
         prefixes = own if prefixes is None else prefixes.unionByName(own)
-    here = docs.sparkSession.createDataFrame([], "window_id string, w_words array<string>, w_len int, _h long, off int, _length int")
-    prefixes = settle(prefixes if prefixes is not None else here)
-
-    found = None
-    for length in lengths or [shingle]:
-        first = found is None
-        marks = F.concat(_shingles("_words", length), F.array(F.lit(PRESENT).cast("long"))) if first else _shingles("_words", length)
-        own = prefixes.where(F.col("_length") == length).select("_h", "off", "window_id", "w_words", "w_len")
-        if first:
-            own = own.unionByName(own.sparkSession.range(1).select(F.lit(PRESENT).cast("long").alias("_h")), allowMissingColumns=True)
-        n_words = F.size("_words").alias("n_words")
-        bounds = F.expr("window_id IS NULL OR (_p >= off AND _p - off + w_len <= n_words)")
-        exact = F.expr("window_id IS NULL OR slice(_words, _p - off + 1, w_len) = w_words")
-        if small:
-            hits = (
-                texts.select("_id", "_th", "_words", n_words, F.posexplode(marks).alias("_p", "_h"))
-                .join(F.broadcast(own), "_h").where(bounds).where(exact)
-            )
-        else:
-            near = texts.select("_id", "_th", n_words, F.posexplode(marks).alias("_p", "_h")).join(own, "_h").where(bounds)
-            whole = texts.dropDuplicates(["_id", "_th"]).withColumnsRenamed({"_id": "_id2", "_th": "_th2"})
-            hits = near.join(whole, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).where(exact)
-        hits = hits.select("_id", "_th", "n_words", "window_id", (F.col("_p") - F.col("off")).alias("_from"), "w_len")
-        found = hits if first else found.unionByName(hits)
-
-    found = settle(found)
-    key = ["_id", "_th"]
+    prefixes = settle(prefixes)
+
+    # bounds on position and length, then word by word in the documents that are left
+    near = rows.join(hint(prefixes.drop("w_words")), ["_length", "_h"]).where("_p >= off AND _p - off + w_len <= n_words")
+    near = settle(near.select(*key, "window_id", "w_len", (F.col("_p") - F.col("off")).alias("_from")).distinct())
+    where = settle(near.select(*key).distinct().withColumnsRenamed({"_id": "_id2", "_th": "_th2"}))
+    few = F.broadcast if where.count() <= BROADCAST_IDS else plain
+    held = keyed.join(few(where), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).dropDuplicates(key)
+    held = held.select("_id2", "_th2", words(F.col("text")).alias("_words"))
+    hits = near.join(held, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2"))).join(hint(prefixes.select("window_id", "w_words")), "window_id")
+    hits = hits.where(F.slice("_words", F.col("_from") + 1, F.col("w_len")) == F.col("w_words")).select(*key, "window_id", "_from", "w_len")
+    marked = seen.where(F.col("_h") == PRESENT).select(*key, "n_words", F.lit(None).cast("string").alias("window_id"), F.lit(0).alias("_from"), F.lit(0).alias("w_len"))
+
+    found = settle(marked.unionByName(hits, allowMissingColumns=True))
+    discard(seen, prefixes, near, where)
     # repeated rows are counted by their marks; spans are distinct, at most one for each word and window length
     per_doc = found.groupBy(*key).agg(
         F.max("n_words").cast("long").alias("n_words"),
