@@ -65,7 +65,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hint_owners = F.broadcast if small and owners.limit(broadcast_windows + 1).count() <= broadcast_windows else plain
     key = ["_id", "_th"]
     keyed = docs.select(*row_key(), "text")
-    texts = keyed.select(*key, words(F.col("text")).alias("_words"))
+    # counted below the generator, so that words aren't carried along with each of their shingles
+    texts = keyed.select(*key, words(F.col("text")).alias("_words")).withColumn("n_words", F.size("_words"))
 
     # one look at all documents: where any token of a window stands, and a mark for each row
     lengths = sorted(r[0] for r in windows.select(F.least("w_len", F.lit(shingle))).distinct().collect())  # at most `shingle` values
@@ -77,7 +78,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         marks = _shingles("_words", length)
         if first:
             marks, asked = F.concat(marks, F.array(F.lit(PRESENT).cast("long"))), asked.union(asked.sparkSession.range(1).select(F.lit(PRESENT).cast("long").alias("_h")))
-        own = texts.select(*key, F.size("_words").alias("n_words"), F.posexplode(marks).alias("_p", "_h")).join(hint(asked), "_h")
+        own = texts.select(*key, "n_words", F.posexplode(marks).alias("_p", "_h")).join(hint(asked), "_h")
         own = own.select(*key, "n_words", F.lit(length).alias("_length"), "_p", "_h")
         seen = own if first else seen.unionByName(own)
     seen = settle(seen)
