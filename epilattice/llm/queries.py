@@ -14,12 +14,20 @@ from .language import fit, held_out, identify
 from .lines import dedup_lines
 from .resample import resample
 from .sentencepiece_fst import decode, encode
+from .sharding import BUCKETS, COPIES, grown, layout, shard
 from .shared import small_batches
 from .substrings import dedup_substrings
+from .token_alignment import alignment_scores
+from .walsh_codes import ENTRIES, PARTS, ROUNDS, SCALE, kept
+from .walsh_codes import encode as encode_vectors
+from .walsh_codes import fit as fit_codebooks
 
 
-#: The public vocabulary that the tokeniser query uses.
+#: The public vocabularies that the tokeniser queries use.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+SHARDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +86,25 @@ def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages, train(pages)).drop("html")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents"), layout(SHARDS))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    book = fit_codebooks(rows)
+    if book is None:
+        out = kept(rows).select("vec_id", "label", F.lit("").alias("code"), *[F.lit(0).cast("long").alias(c) for c in ("error", "label_error")])
+    else:
+        out = encode_vectors(rows, book)
+    return out.withColumn("codebooks_sha256", F.lit(book.sha256() if book else ""))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_scores(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, VOCABULARY)
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -160,5 +187,8 @@ QUERIES = {
     "op8_resample": op8_resample,
     "op9_jaccard": op9_jaccard,
     "op10_language": op10_language,
+    "op11_sharding": op11_sharding,
+    "op12_codes": op12_codes,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL, "op9_jaccard": OP9_SQL}
