@@ -176,6 +176,78 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) ON a = d.doc_id
 """
 
+def _sharding_sql() -> str:
+    """The same tree as nested draws, and the checksum byte by byte, with a table made by its rule."""
+    crc = list(range(256))
+    for _ in range(8):
+        crc = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in crc]
+
+    def draw(children: list[tuple[str, float, str]]) -> str:
+        u = lambda name: f"(('0x' || substr(md5(key || '|{name}'), 1, 13))::BIGINT::DOUBLE + 0.5) / {1 << 52}::DOUBLE"
+        one = ", ".join(f"{{'d': -ln({u(name)}) / {w}::DOUBLE, 'i': {i}, 'v': {v}}}" for i, (name, w, v) in enumerate(children))
+        return f"list_min([{one}]).v" if len(children) > 1 else children[0][2]
+
+    def descend(tree, name: str) -> str:
+        weigh = lambda rack: sum(rack.values())
+        region = draw([(r, sum(map(weigh, racks.values())), f"'{r}'") for r, racks in tree.items()])
+        rack = " ".join(f"WHEN '{r}' THEN {draw([(f'{r}/{k}', weigh(v), f"'{k}'") for k, v in racks.items()])}" for r, racks in tree.items())
+        shards = [(f"{r}/{k}", v) for r, racks in tree.items() for k, v in racks.items()]
+        last = " ".join(f"WHEN '{path}' THEN {draw([(f'{path}/{s}', w, str(s)) for s, w in v.items()])}" for path, v in shards)
+        return f"""{name}_region AS MATERIALIZED (SELECT *, {region} AS r FROM base),
+{name}_rack AS MATERIALIZED (SELECT *, CASE r {rack} END AS k FROM {name}_region),
+{name} AS MATERIALIZED (SELECT id, r, k, (CASE r || '/' || k {last} END)::INT AS s FROM {name}_rack)"""
+
+    tree = layout(SHARDS)
+    return f"""
+WITH base AS MATERIALIZED (SELECT rowid AS id, doc_id, text, coalesce(doc_id::VARCHAR, '') AS key FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+{descend(tree, "here")},
+{descend(grown(tree), "later")},
+sized AS (
+  SELECT id, doc_id, key, (coalesce(strlen(text), 0) + 1)::BIGINT AS size,
+         list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                     lambda c, b: xor(c >> 8, {crc}[1 + (xor(c, b) & 255)])) AS crc FROM base),
+told AS (SELECT id, doc_id, key, size, xor(crc, 4294967295)::BIGINT AS text_crc32 FROM sized),
+parts AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // {COPIES} AS part FROM told),
+bucket AS (SELECT *, substr(md5(key || '|' || size || '|' || text_crc32 || '|' || part), 1, {len(f"{BUCKETS - 1:x}")}) AS b FROM parts)
+SELECT doc_id, size, text_crc32, 'key' AS law, here.s AS shard, later.s AS grown_shard, here.r AS region, here.k AS rack,
+       row_number() OVER (PARTITION BY here.s ORDER BY b, doc_id NULLS FIRST, size, text_crc32, part) - 1 AS slot
+FROM bucket JOIN here USING (id) JOIN later USING (id)
+"""
+
+
+def _codes_sql() -> str:
+    """Every round spelt out, distances in full. DuckDB divides towards zero: the remainder mends it."""
+    floor = "((s - ((s % n + n) % n)) // n)::BIGINT"
+
+    def assign(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT rid, part, arg_min(entry, {{'d': d, 'e': entry}}) AS entry, min(d) AS d FROM (
+    SELECT rid, q.part, entry, list_sum(list_transform(list_zip(q.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d
+    FROM q JOIN c{k} c ON q.part = c.part) GROUP BY 1, 2)"""
+
+    rounds = []
+    for k in range(ROUNDS):
+        rounds.append(f"""{assign(k)},
+c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+    SELECT part, entry, list({floor} ORDER BY p) AS x FROM (
+      SELECT part, entry, p, sum(v) AS s, count(*) AS n FROM (SELECT q.part, entry, unnest(x) AS v, unnest(range(len(x))) AS p FROM q JOIN a{k} USING (rid, part)) GROUP BY 1, 2, 3)
+    GROUP BY 1, 2) m USING (part, entry))""")
+    return f"""
+WITH good AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda v: floor({SCALE}::DOUBLE * v)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND list_aggregate(list_transform(embedding, lambda v: coalesce(isfinite(v), false)), 'bool_and')),
+q AS MATERIALIZED (SELECT rid, p AS part, x[p * (len(x) // {PARTS}) + 1 : (p + 1) * (len(x) // {PARTS})] AS x FROM good, range({PARTS}) t(p)),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM q WHERE rid <= {ENTRIES}),
+{", ".join(rounds)},
+{assign(ROUNDS)},
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS s FROM c{ROUNDS}),
+r AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{ROUNDS} GROUP BY 1)
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, book.s AS codebooks_sha256 FROM good JOIN r USING (rid), book
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lines": op2_lines,
@@ -191,4 +263,4 @@ QUERIES = {
     "op12_codes": op12_codes,
     "op13_alignment": op13_alignment,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL, "op9_jaccard": OP9_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op6_chat": OP6_SQL, "op7_substrings": OP7_SQL, "op9_jaccard": OP9_SQL, "op11_sharding": _sharding_sql(), "op12_codes": _codes_sql()}

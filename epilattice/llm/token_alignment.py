@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -109,11 +110,16 @@ class Aligned:
 
 
 def _frame(ids: list[list[int]], sizes: np.ndarray) -> pd.DataFrame:
-    flat = np.fromiter((i for own in ids for i in own), np.int64, sum(map(len, ids)))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
     end = np.cumsum(sizes[flat])
     return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(own) for own in ids]), "at": end - sizes[flat], "end": end, "id": flat, "token": np.arange(len(flat))})
 
 
+def _once(ordered: np.ndarray) -> np.ndarray:
+    """Without repeats."""
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+
+
 def aligned(ids_a: list[list[int]], ids_b: list[list[int]], a: Side, b: Side) -> Aligned:
     """Every token's start finds the other side's token that covers it; both directions together are all overlaps.
     Where two overlapping tokens end together a group ends."""
@@ -122,9 +128,11 @@ def aligned(ids_a: list[list[int]], ids_b: list[list[int]], a: Side, b: Side) ->
     ab = pd.merge_asof(own, other, on="at", by="doc", suffixes=("_a", "_b"))
     ba = pd.merge_asof(other, own, on="at", by="doc", suffixes=("_b", "_a"))
     n = max(1, len(y))
-    overlaps = np.union1d(*(m["token_a"].to_numpy(np.int64) * n + m["token_b"].to_numpy(np.int64) for m in (ab, ba)))
+    overlaps = np.concatenate([m["token_a"].to_numpy(np.int64) * n + m["token_b"].to_numpy(np.int64) for m in (ab, ba)])
+    overlaps.sort(kind="stable")  # two runs that are in order
+    overlaps = _once(overlaps)
     ends = x["end"].to_numpy()[overlaps // n]
-    cuts = np.unique(ends[ends == y["end"].to_numpy()[overlaps % n]])
+    cuts = _once(ends[ends == y["end"].to_numpy()[overlaps % n]])
     for side in (x, y):
         side["group"] = np.searchsorted(cuts, side["at"].to_numpy(), "right")
     return Aligned(x, y, np.stack([overlaps // n, overlaps % n], 1), cuts)
