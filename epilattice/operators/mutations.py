@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import filled_mutation, mutation_list
-from ..sources.settled import discard, settle
+from ..sources.settled import settle
+from .bootstrap import replicate_sums, replicate_totals
 from .checks import forbid, require_columns
+from .tall import least_squares
 
 OUTCOMES = ["netMHCpan_net_pass_change", "MHCflurry_net_pass_change", "netMHCpan_mean_window_improvement", "MHCflurry_mean_window_improvement"]
 
@@ -109,136 +109,111 @@ def mutation_gram(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_cou
 
 
 def _solve(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """Least-norm solution of normal equations."""
-    return np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ rhs
+    """Least-norm solutions of stacked normal equations."""
+    return (np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ rhs[..., None])[..., 0]
 
 
-FIT_SCHEMA = "allele string, outcome string, n_variants long, n_mutations long, rank long, design_columns long, r_squared double"
-COEFFICIENT_SCHEMA = "allele string, outcome string, mutation string, full_data_coefficient double"
+def design_rows(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """(rows, names) of the models: rows(allele, outcome, variant_id, y, at, p) for each score that is there, `at`
+    being the numbers, from 1, of the recurrent mutations that the variant has, and p their number in all plus 1 for the
+    constant; names(allele, names) has the mutations of an allele in order."""
+    names = recurrent_mutations(scores, min_count).groupBy("allele").agg(F.sort_array(F.collect_list("mutation")).alias("names"))
+    numbers = names.select("allele", F.posexplode("names").alias("_i", "mutation"))
+    own = mutation_rows(scores).join(numbers, ["allele", "mutation"]).groupBy("allele", "variant_id").agg(F.sort_array(F.collect_list(F.col("_i") + 1)).alias("at"))
+    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL").drop("VR_mutation")
+    rows = y.join(own, ["allele", "variant_id"], "left").join(names.select("allele", (F.size("names") + 1).alias("p")), "allele", "left")
+    return rows.select(
+        "allele", "outcome", "variant_id", F.col("value").alias("y"), F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("p", F.lit(1)).alias("p")
+    ), names
 
 
-def mutation_ols(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
-    """(coefficients, fits) of score ~ 1 + mutations for each allele and outcome, of least norm where mutations are
-    collinear. Spark sums the normal equations; only a mutations-by-mutations matrix reaches a worker."""
-    # the scores of a whole screen stand behind this: they are written once and read four times
+def _settled(scores: DataFrame, outcomes: Sequence[str]) -> DataFrame:
+    """The scores of a whole screen stand behind a model: they are written once and read several times."""
     columns = ["allele", "variant_id", "VR_mutation", *outcomes]
-    scores = settle(require_columns(scores, columns, "score table").select(*columns))
-    gram = mutation_gram(scores, outcomes, min_count)
-    totals = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL").groupBy("allele", "outcome").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")
+    return settle(require_columns(scores, columns, "score table").select(*columns))
+
+
+def mutation_ols(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, constant: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(coefficients, fits) of score ~ 1 + mutations for each allele and outcome, of least norm where mutations are
+    collinear; `constant` adds the constant's row, with '' as mutation.
+
+    Each task factorises its own rows and the factors are merged in a tree, so only matrices of mutations by mutations
+    are shuffled, and rank and solution have the precision of the design itself."""
+    return _ols(_settled(scores, outcomes), outcomes, min_count, constant)
+
+
+def _ols(scores: DataFrame, outcomes: Sequence[str], min_count: int, constant: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows, names = design_rows(scores, outcomes, min_count)
+    totals = rows.groupBy("allele", "outcome").agg((F.var_pop("y") * F.count("*")).alias("tss"))
+    at = F.concat(F.array(F.lit(0)), F.col("at"))
+    found = least_squares(rows.select("allele", "outcome", at.alias("at"), F.transform(at, lambda _: F.lit(1.0)).alias("x"), "p", "y"), ["allele", "outcome"])
+    found = settle(found.join(totals, ["allele", "outcome"]).join(names, "allele", "left"))
+    labels = F.concat(F.array(F.lit("")), F.coalesce("names", F.array().cast("array<string>")))
+    each = found.select("allele", "outcome", F.explode(F.arrays_zip(labels.alias("mutation"), F.col("coefficients").alias("c"))).alias("e"))
+    coefficients = each.select("allele", "outcome", "e.mutation", F.col("e.c").alias("full_data_coefficient"))
+    fits = found.select(
+        "allele", "outcome", F.col("n").alias("n_variants"), (F.col("p") - 1).cast("long").alias("n_mutations"), F.col("rank").cast("long").alias("rank"),
+        F.col("p").cast("long").alias("design_columns"), F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss")).otherwise(F.lit(float("nan"))).alias("r_squared"),
     )
-    grouped = settle(gram.join(totals, ["allele", "outcome"]))
-    discard(scores)
-
-    def system(pdf: pd.DataFrame):
-        names = ["", *sorted(set(pdf["a"]) - {""})]
-        at = {x: i for i, x in enumerate(names)}
-        g, r = np.zeros((len(names), len(names))), np.zeros(len(names))
-        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-        g[i, j] = pdf["xtx"]
-        r[i[j == 0]] = pdf["xty"].to_numpy()[j == 0]
-        n, mean, var = pdf[["n", "mean", "var"]].iloc[0]
-        # scores are centred first, so that large offsets do not cancel
-        return names, g, r - mean * g[:, 0], int(n), mean, n * var
-
-    def coefficients(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, g, r, _, mean, _ = system(pdf)
-        beta = _solve(g, r)
-        return pd.DataFrame({"allele": pdf["allele"].iloc[0], "outcome": pdf["outcome"].iloc[0], "mutation": names[1:], "full_data_coefficient": beta[1:]})
-
-    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, g, r, n, _, tss = system(pdf)
-        beta = _solve(g, r)
-        rss = tss - 2 * beta @ r + beta @ g @ beta
-        r2 = 1 - rss / tss if tss > 0 else float("nan")
-        rank = np.linalg.matrix_rank(g, tol=1e-9 * max(1.0, np.abs(g).max()), hermitian=True)
-        one = [[pdf["allele"].iloc[0], pdf["outcome"].iloc[0], n, len(names) - 1, int(rank), len(names), r2]]
-        return pd.DataFrame(one, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
-
-    by = grouped.groupBy("allele", "outcome")
-    return by.applyInPandas(coefficients, COEFFICIENT_SCHEMA), by.applyInPandas(fits, FIT_SCHEMA)
+    return coefficients if constant else coefficients.where("mutation <> ''"), fits
+
+
+def model_residuals(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """(equations, fits): whether the models are least squares. equations(allele, outcome, mutation, n_variants, residual)
+    has the sum of the residuals of the variants with a mutation, '' being all; at the least squares each is 0.
+    fits is that of mutation_ols with tss, rss (of the residuals themselves) and gap, rss less what r_squared says."""
+    scores = _settled(scores, outcomes)
+    coefficients, fits = _ols(scores, outcomes, min_count, constant=True)
+    rows, names = design_rows(scores, outcomes, min_count)
+    columns = rows.withColumn("at", F.concat(F.array(F.lit(0)), "at"))
+    numbered = names.select("allele", F.posexplode(F.concat(F.array(F.lit("")), "names")).alias("_i", "mutation"))
+    # alleles without recurrent mutations have the constant alone
+    beta = coefficients.join(numbered, ["allele", "mutation"], "left").groupBy("allele", "outcome").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_i", F.lit(0)).alias("i"), F.col("full_data_coefficient").alias("c"), "mutation"))).alias("b"))
+    fitted = F.aggregate("at", F.lit(0.0), lambda a, i: a + F.element_at("b", i + 1)["c"])
+    left = columns.join(beta, ["allele", "outcome"]).withColumn("_e", F.col("y") - fitted)
+    equations = left.select("allele", "outcome", "_e", F.explode(F.transform("at", lambda i: F.element_at("b", i + 1)["mutation"])).alias("mutation"))
+    equations = equations.groupBy("allele", "outcome", "mutation").agg(F.count("*").alias("n_variants"), F.sum("_e").alias("residual"))
+    sums = left.groupBy("allele", "outcome").agg((F.var_pop("y") * F.count("*")).alias("tss"), F.sum(F.col("_e") * F.col("_e")).alias("rss"))
+    return equations, fits.join(sums, ["allele", "outcome"]).withColumn("gap", F.col("rss") - (1 - F.col("r_squared")) * F.col("tss"))
 
 
 def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, bootstraps: int = 500, seed: int = 1) -> DataFrame:
-    """(allele, outcome, mutation, replicate, coefficient): refits on variants drawn with replacement.
-
-    Every variant counts Poisson(1) times in a replicate, drawn from its hash: the distributed form of drawing n of n,
-    independent of partitioning. Each replicate's normal equations are sums over the variants, formed in the workers
-    for bounded batches of the variants and added by Spark; the solves are then one small matrix each.
-    """
-    keep = recurrent_mutations(scores, min_count).groupBy("allele").agg(F.sort_array(F.collect_list("mutation")).alias("names"))
-    own = mutation_rows(scores).groupBy("allele", "variant_id").agg(F.collect_list("mutation").alias("m"))
-    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL").drop("VR_mutation")
-    y = y.join(y.groupBy("allele", "outcome").agg(F.avg("value").alias("mean")), ["allele", "outcome"])
-    rows = y.join(own, ["allele", "variant_id"], "left").join(keep, "allele").select(
-        "allele", "outcome", "variant_id", (F.col("value") - F.col("mean")).alias("y"), F.coalesce("m", F.array().cast("array<string>")).alias("m"), "names"
-    )
-    rows = rows.withColumn("_h", F.xxhash64("allele", "outcome", "variant_id", F.lit(seed))).drop("variant_id")
-
-    def sums(pdf: pd.DataFrame):
-        names = {m: i + 1 for i, m in enumerate(pdf["names"].iloc[0])}
-        p = len(names) + 1
-        x = np.zeros((len(pdf), p))
-        x[:, 0] = 1
-        for i, ms in enumerate(pdf["m"]):
-            x[i, [names[m] for m in ms if m in names]] = 1
-        h, value = pdf["_h"].to_numpy().astype(np.uint64), pdf["y"].to_numpy()
-        key = {"allele": pdf["allele"].iloc[0], "outcome": pdf["outcome"].iloc[0], "names": [list(names)]}
-        for first in range(0, bootstraps, REPLICATES):
-            g, r = [], []
-            for b in range(first, min(first + REPLICATES, bootstraps)):
-                u = (_mix(h + np.uint64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / float(1 << 53)
-                w = np.searchsorted(POISSON, u, "right").astype(float)
-                wx = x * w[:, None]
-                g.append((wx.T @ x).reshape(-1))
-                r.append(wx.T @ value)
-            yield pd.DataFrame(key | {"first": first, "g": [np.concatenate(g)], "r": [np.concatenate(r)], "part": TaskContext.get().partitionId()})
-
-    def partial(batches):
-        for batch in batches:
-            for start in range(0, len(batch), BATCH_ROWS):
-                for _, own in batch.iloc[start : start + BATCH_ROWS].groupby(["allele", "outcome"], sort=False):
-                    yield from sums(own)
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, r = (np.sum(np.stack(pdf[c].to_list()), axis=0) for c in ("g", "r"))
-        return pd.DataFrame({"allele": pdf["allele"].iloc[0], "outcome": pdf["outcome"].iloc[0], "names": [list(pdf["names"].iloc[0])], "first": pdf["first"].iloc[0], "g": [g], "r": [r]})
-
-    # one row of sums for each batch, then for each partition, then in all
-    schema = "allele string, outcome string, names array<string>, first int, g array<double>, r array<double>"
-    parts = rows.mapInPandas(partial, f"{schema}, part int").groupBy("allele", "outcome", "first", "part").applyInPandas(added, schema)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = added(pdf).iloc[0]
-        p = len(one["names"]) + 1
-        beta = [_solve(g, r)[1:] for g, r in zip(one["g"].reshape(-1, p, p), one["r"].reshape(-1, p), strict=True)]
-        return pd.DataFrame({
-            "allele": one["allele"], "outcome": one["outcome"], "mutation": one["names"] * len(beta),
-            "replicate": np.repeat(np.arange(len(beta)) + one["first"], p - 1), "coefficient": np.concatenate(beta),
-        })
-
-    return parts.groupBy("allele", "outcome", "first").applyInPandas(solve, "allele string, outcome string, mutation string, replicate int, coefficient double")
-
-
-#: Rows of one dense matrix, and replicates whose sums travel together.
-BATCH_ROWS, REPLICATES = 4096, 10
-#: Cumulative Poisson(1) probabilities.
-POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """(allele, outcome, mutation, replicate, coefficient): refits on as many variants as there are, drawn with
+    replacement, the same on any partitioning (up to the order of floating-point sums). A mutation that a replicate
+    didn't draw has 0."""
+    rows, names = design_rows(scores, outcomes, min_count)
+    sums = replicate_sums(rows, bootstraps, seed).join(names, "allele")
+
+    def solve(frames):
+        for pdf in frames:
+            for one in pdf.itertuples():
+                p = one.p
+                i, j = np.triu_indices(p)
+                packed = np.frombuffer(one.g).reshape(-1, len(i))
+                gram = np.zeros((len(packed), p, p))
+                gram[:, i, j] = gram[:, j, i] = packed
+                beta = _solve(gram, np.frombuffer(one.r).reshape(-1, p))[:, 1:]
+                yield pd.DataFrame({
+                    "allele": one.allele, "outcome": one.outcome, "mutation": list(one.names) * len(beta),
+                    "replicate": np.repeat(np.arange(len(beta)) + one.first, p - 1), "coefficient": beta.reshape(-1),
+                })
+
+    return sums.mapInPandas(solve, "allele string, outcome string, mutation string, replicate int, coefficient double")
+
+
+def bootstrap_totals(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, bootstraps: int = 500, seed: int = 1) -> DataFrame:
+    """(allele, outcome, replicate, n_rows, n_drawn, n_left_out) of the bootstrap's replicates."""
+    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL")
+    rows = y.select("allele", "outcome", "variant_id", F.col("value").alias("y"), F.array().cast("array<int>").alias("at"), F.lit(1).alias("p"))
+    return replicate_totals(rows, bootstraps, seed)
 
 
 def mutation_coefficients(scores: DataFrame, wt_sequence: str, offset: int = 0, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, bootstraps: int = 500,
                           seed: int = 1, validate: bool = False) -> tuple[DataFrame, DataFrame]:
     """(coefficients, fits): each mutation's effect with bootstrap mean, 95 % interval and sign stability."""
-    columns = ["allele", "variant_id", "VR_mutation", *outcomes]
-    scores = settle(require_columns(scores, columns, "score table").select(*columns))
+    scores = _settled(scores, outcomes)
     counts = parsed_mutations(recurrent_mutations(scores, min_count, validate), wt_sequence, offset, validate)
-    full, fits = mutation_ols(scores, outcomes, min_count)
+    full, fits = _ols(scores, outcomes, min_count)
     draws = mutation_bootstrap(scores, outcomes, min_count, bootstraps, seed)
     mean = F.avg("coefficient")
     summary = draws.groupBy("allele", "outcome", "mutation").agg(

@@ -105,6 +105,14 @@ count(*) FILTER (WHERE x = 0) AS n_zero, count(*) FILTER (WHERE x > 0) AS n_posi
 round(greatest(count(*) FILTER (WHERE x < 0), count(*) FILTER (WHERE x = 0), count(*) FILTER (WHERE x > 0)) / count(x), 6) AS sign_agreement FROM coef GROUP BY 1, 2"""
 
 
+DESIGN = f"""{BOTH}, {SCORES}, {MUTATIONS}, keep AS (SELECT allele, mutation FROM mut GROUP BY 1, 2 HAVING count(*) >= 5),
+x AS (SELECT allele, variant_id, mutation AS m FROM mut SEMI JOIN keep USING (allele, mutation) UNION ALL SELECT allele, variant_id, '' FROM scores),
+y AS (SELECT allele, variant_id, 'netMHCpan_net_pass_change' AS outcome, netMHCpan_net_pass_change::double AS value FROM scores UNION ALL
+      SELECT allele, variant_id, 'MHCflurry_net_pass_change', MHCflurry_net_pass_change::double FROM scores UNION ALL
+      SELECT allele, variant_id, 'netMHCpan_mean_window_improvement', netMHCpan_mean_window_improvement FROM scores WHERE netMHCpan_mean_window_improvement IS NOT NULL UNION ALL
+      SELECT allele, variant_id, 'MHCflurry_mean_window_improvement', MHCflurry_mean_window_improvement FROM scores WHERE MHCflurry_mean_window_improvement IS NOT NULL)"""
+
+
 def _scale(values: dict[str, float], column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in values.items()) + " END"
 
@@ -169,14 +177,12 @@ SELECT allele, variant_id, min(VR_mutation) AS VR_mutation, max({COUNT})::bigint
 count(*) FILTER (WHERE changed) AS changed_window_count, count(*) FILTER (WHERE b AND NOT wb) AS netMHCIIpan_new_binder_count, count(*) FILTER (WHERE NOT b AND wb) AS netMHCIIpan_lost_binder_count,
 count(*) FILTER (WHERE b) - count(*) FILTER (WHERE wb) AS netMHCIIpan_net_binder_change, {rounded('avg(i)')} AS netMHCIIpan_mean_window_improvement FROM rel GROUP BY 1, 2""",
         "mutation_recurrence": f"WITH {BOTH}, {SCORES}, {MUTATIONS} SELECT allele, mutation, count(*) AS n_variants_with_mutation FROM mut GROUP BY 1, 2 HAVING count(*) >= 5",
-        "mutation_gram": f"""WITH {BOTH}, {SCORES}, {MUTATIONS}, keep AS (SELECT allele, mutation FROM mut GROUP BY 1, 2 HAVING count(*) >= 5),
-x AS (SELECT allele, variant_id, mutation AS m FROM mut SEMI JOIN keep USING (allele, mutation) UNION ALL SELECT allele, variant_id, '' FROM scores),
-y AS (SELECT allele, variant_id, 'netMHCpan_net_pass_change' AS outcome, netMHCpan_net_pass_change::double AS value FROM scores UNION ALL
-      SELECT allele, variant_id, 'MHCflurry_net_pass_change', MHCflurry_net_pass_change::double FROM scores UNION ALL
-      SELECT allele, variant_id, 'netMHCpan_mean_window_improvement', netMHCpan_mean_window_improvement FROM scores WHERE netMHCpan_mean_window_improvement IS NOT NULL UNION ALL
-      SELECT allele, variant_id, 'MHCflurry_mean_window_improvement', MHCflurry_mean_window_improvement FROM scores WHERE MHCflurry_mean_window_improvement IS NOT NULL)
-SELECT allele, outcome, a.m AS a, b.m AS b, count(*) AS xtx, CASE WHEN b.m = '' THEN {rounded('sum(value)')} END AS xty
+        "mutation_gram": f"""WITH {DESIGN} SELECT allele, outcome, a.m AS a, b.m AS b, count(*) AS xtx, CASE WHEN b.m = '' THEN {rounded('sum(value)')} END AS xty
 FROM y JOIN x a USING (allele, variant_id) JOIN x b USING (allele, variant_id) GROUP BY 1, 2, 3, 4""",
+        "mutation_residuals": f"WITH {DESIGN} SELECT allele, outcome, m AS mutation, count(*) AS n_variants, 0::double AS residual FROM y JOIN x USING (allele, variant_id) GROUP BY 1, 2, 3",
+        "mutation_fit_sums": f"""WITH {DESIGN} SELECT allele, outcome, count(*) AS n_variants, any_value(n) AS n_mutations, any_value(n) + 1 AS design_columns, {rounded('var_pop(value) * count(*)')} AS tss, 0::double AS gap
+FROM y JOIN (SELECT allele, count(*) AS n FROM keep GROUP BY 1) USING (allele) GROUP BY 1, 2""",
+        "bootstrap_draws": f"WITH {DESIGN} SELECT allele, outcome, r::int AS replicate, n AS n_rows, n AS n_drawn FROM (SELECT allele, outcome, count(*) AS n FROM y GROUP BY 1, 2), range(500) AS t(r)",
         "parsed_mutations": f"""WITH {LIBRARY}, {LABELS}, {PARSED_OK} SELECT *, {rounded(_scale(hydrophobicity, "mutant_aa") + " - " + _scale(hydrophobicity, "wt_aa"))} AS hydrophobicity_change,
 {rounded(_scale(volume, "mutant_aa") + " - " + _scale(volume, "wt_aa"))} AS volume_change,
 {rounded(_scale(charge, "mutant_aa") + " - " + _scale(charge, "wt_aa"))} AS charge_change FROM parsed""",

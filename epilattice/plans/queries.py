@@ -236,6 +236,22 @@ def mutation_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mu.mutation_ols(mhci_scores(spark, sf_dir), min_count=5)[1]
 
 
+def mutation_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models' normal equations, which SQL can say: sums of residuals are 0."""
+    return _rounded(mu.model_residuals(mhci_scores(spark, sf_dir), min_count=5)[0], "residual")
+
+
+def mutation_fit_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the fits: sizes, sums of squares, and that r_squared is the residuals'."""
+    out = mu.model_residuals(mhci_scores(spark, sf_dir), min_count=5)[1]
+    return _rounded(out, "tss", "gap").select("allele", "outcome", "n_variants", "n_mutations", "design_columns", "tss", "gap")
+
+
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the 500 replicates draws as many variants as there are."""
+    return mu.bootstrap_totals(mhci_scores(spark, sf_dir)).drop("n_left_out")
+
+
 def mutation_coefficients_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mu.mutation_coefficients(mhci_scores(spark, sf_dir), fx.VR, fx.REGION[0] - 1, min_count=5)[0]
 
@@ -329,6 +345,9 @@ QUERIES = {
     "mutation_ols": mutation_ols_q,
     "mutation_fits": mutation_fits,
     "mutation_coefficients": mutation_coefficients_q,
+    "mutation_residuals": mutation_residuals,
+    "mutation_fit_sums": mutation_fit_sums,
+    "bootstrap_draws": bootstrap_draws,
     "parsed_mutations": parsed_mutations_q,
     "allele_iqr": allele_iqr,
     "top_iqr": top_iqr_q,

@@ -46,7 +46,12 @@ def test_without_the_optional_operators(tmp_path):
     root = Path(e.__file__).parent
     shutil.copytree(root, tmp_path / "a", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
     shutil.copytree(tmp_path / "a", tmp_path / "b", ignore=shutil.ignore_patterns("corpus_pipeline.py"))
-    for folder in ("a", "b"):
+    # an emptied folder, and operators whose module is missing
+    shutil.copytree(tmp_path / "a", tmp_path / "c")
+    (tmp_path / "c/epilattice/llm").mkdir()
+    shutil.copytree(root, tmp_path / "d", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (tmp_path / "d/zstandard.py").write_text("raise ImportError")
+    for folder in "abcd":
         code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
         out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / folder, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout
         assert out.split() == [str(len(screening.QUERIES)), str(len(screening.ORACLES)), "False"]

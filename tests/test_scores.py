@@ -133,15 +133,6 @@ def test_expected_windows_of_many_alleles(spark):
     assert out.where("expected_window_count = 1").count() == 10_050
 
 
-def test_bootstrap_does_not_depend_on_batches(spark, monkeypatch):
-    scores, _ = model_scores(spark)
-    draws = lambda df: {(x.allele, x.outcome, x.mutation, x.replicate): x.coefficient for x in mu.mutation_bootstrap(df, ["o1", "o2"], 1, bootstraps=12).collect()}
-    one = draws(scores.coalesce(1))
-    monkeypatch.setattr(mu, "BATCH_ROWS", 7)
-    many = draws(scores.repartition(5))
-    assert {k[3] for k in one} == set(range(12)) and one.keys() == many.keys() and all(many[k] == pytest.approx(v, abs=1e-8) for k, v in one.items())
-
-
 def test_physchem_takes_all_nations(spark, monkeypatch):
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
