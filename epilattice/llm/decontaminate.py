@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, discard, row_key, settle
+from .shared import BROADCAST_IDS, discard, row_key, settle, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
@@ -140,6 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark window; all columns stay as they are."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), "_th").distinct()
-    d = docs.withColumn("_key", F.xxhash64("text"))
-    return d.join(bad, d["doc_id"].eqNullSafe(bad["_id"]) & (d["_key"] == bad["_th"]), "left_anti").drop("_key")
+    i, th, key = unused(docs, "id", "th", "key")
+    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(i), F.col("_th").alias(th)).distinct()
+    d = docs.withColumn(key, F.xxhash64("text"))
+    return d.join(bad, d["doc_id"].eqNullSafe(bad[i]) & (d[key] == bad[th]), "left_anti").drop(key)

@@ -35,13 +35,13 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def count(batches):
-    counts = np.zeros((2, 1 << BUCKETS), np.uint32)
+    counts = np.zeros((2, 1 << BUCKETS), np.uint64)
     for batch in batches:
         good = batch.column("good").to_numpy(zero_copy_only=False)
         for row, data, offs in steps(batch.column("text")):
             code, text = features(data, offs)
-            counts[0] += np.bincount(code, minlength=1 << BUCKETS).astype(np.uint32)
-            counts[1] += np.bincount(code[good[row + text]], minlength=1 << BUCKETS).astype(np.uint32)
+            counts[0] += np.bincount(code, minlength=1 << BUCKETS).astype(np.uint64)
+            counts[1] += np.bincount(code[good[row + text]], minlength=1 << BUCKETS).astype(np.uint64)
     yield from sketch_rows(counts)
 
 
@@ -91,7 +91,7 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
         fraction = labels.agg(F.avg(F.col("good").cast("int"))).first()[0] or 0.0
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
     marked = docs.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = merged_sketch(marked.mapInArrow(count, "block int, cells binary"), 2, BUCKETS, 2**32 - 1).astype(float)
+    counts = merged_sketch(marked.mapInArrow(count, "block int, cells binary"), 2, BUCKETS, 2**63 - 1).astype(float)
     log_rate = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + (1 << BUCKETS)))
     ratio = log_rate[1] - log_rate[0] if counts[1].any() else np.zeros(1 << BUCKETS)
     model = spark.sparkContext.broadcast(ratio)

@@ -29,6 +29,16 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th")]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from df's columns in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def told_apart(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Ids that name things by a 64-bit hash, made safe by a second hash, id2.
 

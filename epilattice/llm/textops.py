@@ -136,17 +136,18 @@ def sketch_cells(h: np.ndarray, rows: int, bits: int) -> list[np.ndarray]:
 
 
 def merged_sketch(parts: DataFrame, rows: int, bits: int, most: int) -> np.ndarray:
-    """Sums the tasks' sketches, parts(block int, cells binary), up to `most`: an array of rows x 2^bits cells.
+    """Sums the tasks' sketches, parts(block int, cells binary), up to `most`: an array of rows x 2^bits cells, of 8, 32
+    or 64 bits as `most` needs; the tasks' cells are of the same kind. Sums are of 64 bits, so none wraps below `most`.
 
     Spark deals and sums the blocks; what reaches the driver is one sketch, whose size does not depend on the data.
     """
-    kind = np.uint8 if most < 256 else np.uint32
+    kind = np.uint8 if most < 1 << 8 else np.uint32 if most < 1 << 32 else np.uint64
 
     def add(frame):
-        total = 0
+        total = np.uint64(0)
         for cells in frame["cells"]:
-            total = total + np.frombuffer(zstandard.decompress(cells), kind).astype(np.uint32)
-        packed = zstandard.compress(np.minimum(total, most).astype(kind).tobytes(), 1)
+            total = total + np.frombuffer(zstandard.decompress(cells), kind).astype(np.uint64)
+        packed = zstandard.compress(np.minimum(total, np.uint64(most)).astype(kind).tobytes(), 1)
         return frame[["block"]].head(1).assign(cells=[packed])
 
     def fold(df: DataFrame, by: list[str]) -> DataFrame:
