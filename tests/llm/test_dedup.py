@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from epilattice.llm import jaccard, linking, lines, shared, substrings
 from epilattice.llm.decontaminate import decontaminate, drop_contaminated
 from epilattice.llm.shared import components
+from epilattice.llm.textops import merged_sketch, sketch_rows
 
 SCHEMA = "doc_id long, text string, _th string, id long, extra int"
 
@@ -237,6 +238,44 @@ def repeats(rows, width):
     return sorted(out, key=str)
 
 
+def test_keep_one_keeps_all_rows_without_words(spark):
+    """Repeated rows without words, rows that differ only in other columns, and columns named like those inside."""
+    alike = " ".join(f"w{i}" for i in range(30))
+    schema = "doc_id long, text string, _key string, _th int, _id string, _n array<int>, key map<string,int>"
+    row = lambda i, t, k: (i, t, k, 1, "x", [1, 2], {"a": 1})
+    rows = [row(1, "", "a"), row(1, "", "a"), row(1, "", "b"), row(None, None, "a"), row(None, None, "a"), row(None, " \t", "a"), row(2, None, None)]
+    rows += [row(7, alike, "b"), row(7, alike, "a"), row(7, alike, "c"), row(8, alike, "a"), row(7, alike, "a")]
+    kept = []
+    for order in (rows, rows[::-1]):
+        out = jaccard.keep_one(spark.createDataFrame(order, schema).repartition(3))
+        assert out.columns == ["doc_id", "text", "_key", "_th", "_id", "_n", "key"]
+        kept.append(sorted(map(repr, map(tuple, out.collect()))))
+    assert kept[0] == kept[1] and len(kept[0]) == 8
+    assert Counter(k for k in kept[0] if alike not in k) == Counter(map(repr, rows[:7]))
+
+
+def test_many_wordless_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COPIES", 3)
+    assert jaccard.keep_one(frame(spark, [(None, " ")] * 10 + [(1, "")] * 3 + [(2, None)])).count() == 14
+
+
+def test_contaminated_rows_go_whatever_the_columns_are_called(spark):
+    text = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, text, "k", 1), (2, "clean", "k", 1), (None, None, None, 1)], "doc_id long, text string, _key string, _th int")
+    out = drop_contaminated(docs, spark.createDataFrame([("a", text)], "item_id string, text string"))
+    assert out.columns == docs.columns and sorted(x.doc_id or 0 for x in out.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("most, kind, want", [(2, np.uint8, 2), (2**32 - 1, np.uint32, 2**32 - 1), (2**63 - 1, np.uint64, 6_000_000_000)])
+def test_merged_sketches_do_not_wrap(spark, most, kind, want):
+    part = np.zeros(16, kind)
+    part[3] = min(3_000_000_000, most)
+    part[5] = 1
+    rows = [(0, bytes(b.column("cells")[0].as_py())) for b in sketch_rows(part) for _ in range(2)]
+    got = merged_sketch(spark.createDataFrame(rows, "block int, cells binary"), 1, 4, most)
+    assert got.dtype == kind and got[0, 3] == want and got[0, 5] == 2 and got.sum() == want + 2
+
+
 @pytest.mark.parametrize("width", [35, 3])
 def test_substrings(spark, width):
     r = random.Random(6)
