@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import passes
 from .checks import all_matched, require_columns, unique_keys
+from .skew import hot_keys, planned_by_default, salted_join
 
 EL_RANK, AFFINITY, EL_RANK_2 = "netMHCpan_EL_rank", "MHCflurry_affinity_percentile", "netMHCIIpan_EL_rank"
 
@@ -45,14 +46,19 @@ def score_peptides(pairs: DataFrame, scorer: DataFrame | Callable, schema: str |
 
 
 def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: DataFrame, flags: dict[str, tuple[str, float]], how: str = "left",
-                    lowest: str | None = None, validate: bool = False) -> DataFrame:
+                    lowest: str | None = None, validate: bool = False, hot: Mapping[str, int] | None = None) -> DataFrame:
     """predictions(allele, peptide, scores...) on every occurrence: one row for each allele, variant and window.
 
     flags names pass columns: {flag: (score column, threshold)}; missing scores do not pass. how is `left` (MHC-I: a
     prediction without an occurrence stays) or `inner` (MHC-II). lowest keeps, of rows that agree in allele, peptide,
     variant and window, the one of the lowest score in that column, null last. peptides may carry peptide_id, else
     that column is null. The joins go on (peptide, k), so surrogate ids are not needed.
+
+    hot has the peptides that are in so many variants that they are to be cut (skew.hot_keys of the fragments). If it is
+    not given, they are looked for where adaptive execution would not split them: one pass over the fragments.
     """
+    if hot is None:
+        hot = hot_keys(fragments, "peptide") if planned_by_default(fragments.sparkSession) else {}
     predictions = predictions.withColumn("k", F.length("peptide")) if "k" not in predictions.columns else predictions
     ids = peptides if "peptide_id" in peptides.columns else peptides.withColumn("peptide_id", F.lit(None).cast("string"))
     if validate:
@@ -65,7 +71,7 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
         scored = scored.withColumn(flag, passes(F.col(score), threshold))
     # a peptide of the wild type is in most variants: an inner join can be split by its hot keys, or made by broadcast,
     # which an outer one can't; predictions without an occurrence are added apart
-    out = scored.join(fragments, ["peptide", "k"])
+    out = salted_join(scored, fragments, ["peptide", "k"], hot, ["variant_id", "start"])
     if how == "left":
         alone = scored.join(fragments.select("peptide", "k").distinct(), ["peptide", "k"], "left_anti")
         out = out.unionByName(alone, allowMissingColumns=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import count_mutations, decoded_boolean, filled_mutation, lenient_double, lenient_int
+from ..sources.settled import pinned
 from .checks import all_matched, forbid, one_mutation, require_columns, unique_keys
 from .predictions import AFFINITY, EL_RANK, EL_RANK_2
 
@@ -111,13 +112,18 @@ def with_expected(reference: DataFrame) -> DataFrame:
     return reference.join(reference.groupBy("allele").agg(F.count("*").alias("expected_window_count")), "allele")
 
 
-#: Windows of a wild type and its alleles number thousands; beyond this many the join is shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Windows of a wild type and its alleles, mostly hundreds, that are broadcast; beyond this many the join is shuffled.
+BROADCAST_WINDOWS = 50_000
 
 
-def _match(rows: DataFrame, reference: DataFrame, how: str) -> DataFrame:
-    small = reference.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    return rows.join(F.broadcast(reference) if small else reference, WINDOW, how)
+def _match(rows: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their WT window, the expected windows of each allele as allele and expected_window_count).
+
+    A whole screen of the wild type stands behind the reference: it is computed once and both uses start from that."""
+    whole, small = pinned(with_expected(reference), BROADCAST_WINDOWS)
+    expected = whole.groupBy("allele").agg(F.first("expected_window_count").alias("expected_window_count"))
+    own = whole.drop("expected_window_count")
+    return rows.join(F.broadcast(own) if small else own, WINDOW, "left"), F.broadcast(expected) if small else expected
 
 
 def _improvement(wt: str, own: str) -> Column:
@@ -133,11 +139,8 @@ def _changes(name: str, flag: str) -> dict[str, Column]:
 def wt_relative_windows(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """Prepared windows with their WT match, improvements and pass changes. Windows without a match stay, with null
     improvements and no WT pass."""
-    expected = with_expected(reference)
-    out = _match(rows, expected.drop("expected_window_count"), "left")
-    counts = expected.groupBy("allele").agg(F.first("expected_window_count").alias("expected_window_count"))
-    small = counts.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    out = out.join(F.broadcast(counts) if small else counts, "allele", "left")
+    out, expected = _match(rows, reference)
+    out = out.join(expected, "allele", "left")
     out = out.withColumn("changed_window", F.coalesce(F.col("peptide") != F.col("wt_peptide"), F.lit(False)))
     added = {"netMHCpan_window_improvement": _improvement(f"wt_{EL_RANK}", EL_RANK), "MHCflurry_window_improvement": _improvement(f"wt_{AFFINITY}", AFFINITY)}
     for name, flag in (("netMHCpan", NET_PASS), ("MHCflurry", FLURRY_PASS), ("both", "both_pass"), ("either", "either_pass")):
@@ -202,8 +205,8 @@ def wt_scores_mhcii(variants: DataFrame, wt: DataFrame, validate: bool = False)
     if validate:
         unique_keys(reference, WINDOW, "wild-type windows")
         all_matched(rows, reference, WINDOW, "windows without a wild-type match")
-    windows = _match(rows, with_expected(reference), "left")
-    windows = windows.withColumn("changed_window", F.coalesce(F.col("peptide") != F.col("wt_peptide"), F.lit(False)))
+    windows, expected = _match(rows, reference)
+    windows = windows.join(expected, "allele", "left").withColumn("changed_window", F.coalesce(F.col("peptide") != F.col("wt_peptide"), F.lit(False)))
     windows = windows.withColumns(_changes("b", BINDER) | {"improvement": _improvement(f"wt_{EL_RANK_2}", EL_RANK_2)})
     out = windows.groupBy(*GROUPS).agg(
         F.min("VR_mutation").alias("VR_mutation"), F.count("wt_peptide").alias("matched_window_count"),

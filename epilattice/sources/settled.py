@@ -32,6 +32,14 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def pinned(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """(df computed once, whether it has at most `most` rows): a local table of that many, or else a settled one."""
+    few = df.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        return df.sparkSession.createDataFrame(few, df.schema), True
+    return settle(df), False
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes settled tables that nothing reads any more."""
     for df in tables:
