@@ -93,19 +93,68 @@ def parsed_mutations(df: DataFrame, wt_sequence: str, offset: int = 0, validate:
     })
 
 
+#: Variants of one bitmap, about; a bitmap holds 32,768.
+BITMAP_ROWS = 1 << 14
+
+
+def mutation_bitmaps(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES) -> DataFrame:
+    """(allele, bucket, kind, name, bits): the one-hot design by columns. bits is a bitmap over the variants of a bucket;
+    kind m is a mutation's, '' being all variants, kind o that of the variants that have a score of an outcome.
+
+    Variants are numbered inside hashed buckets, so a number needs no pass over the whole table, and an allele's
+    bitmaps are as dense as its mutations are frequent.
+    """
+    first = scores.groupBy("allele", "variant_id").agg(F.min(F.struct("VR_mutation", *outcomes)).alias("r")).select("allele", "variant_id", "r.*")
+    sizes = first.groupBy("allele").agg(F.ceil(F.count("*") / F.lit(BITMAP_ROWS)).cast("int").alias("_buckets"))
+    placed = first.join(sizes, "allele").withColumn("bucket", F.pmod(F.xxhash64("variant_id"), F.col("_buckets")).cast("int"))
+    place = F.row_number().over(W.partitionBy("allele", "bucket").orderBy("variant_id"))
+    has = lambda o: F.col(o).isNotNull() & ~F.isnan(F.col(o).cast("double"))
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    columns = F.transform(F.concat(F.array(F.lit("")), mutation_list(F.col("VR_mutation"))), lambda m: entry("m", m))
+    masks = F.filter(F.array(*[F.when(has(o), entry("o", F.lit(o))) for o in outcomes]), lambda e: e.isNotNull())
+    # numbered first: beside a generator, a window would number what is generated
+    each = placed.withColumn("_at", place - 1).select("allele", "bucket", "_at", F.explode(F.concat(columns, masks)).alias("e"))
+    return each.groupBy("allele", "bucket", "e.kind", "e.name").agg(F.bitmap_construct_agg("_at").alias("bits"))
+
+
 def mutation_gram(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> DataFrame:
     """Normal equations of score ~ 1 + mutations, in long form: (allele, outcome, a, b, xtx, xty).
 
     a and b run over the recurrent mutations and '' for the constant; a row holds the sum of both indicators'
-    product over variants with a score, and, where b is '', that of a's indicator and the score. Pairs come from each
-    variant's own few mutations, so the rows grow with the variants and the result with the mutations squared.
+    product over variants with a score, and, where b is '', that of a's indicator and the score. Pairs that no variant
+    has are left out. Products are counts of the bits that two mutations' bitmaps and the outcome's have in common, so
+    the rows grow with the mutations squared for each bitmap of some thousand variants, not with the variants' pairs.
     """
-    keep = recurrent_mutations(scores, min_count).select("allele", "mutation")
-    own = mutation_rows(scores).join(keep, ["allele", "mutation"]).groupBy("allele", "variant_id").agg(F.collect_list("mutation").alias("m"))
-    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL").drop("VR_mutation")
-    rows = y.join(own, ["allele", "variant_id"], "left").withColumn("m", F.concat(F.array(F.lit("")), F.coalesce("m", F.array().cast("array<string>"))))
-    pairs = rows.select("allele", "outcome", "value", "m", F.explode("m").alias("a")).select("allele", "outcome", "value", "a", F.explode("m").alias("b"))
-    return pairs.groupBy("allele", "outcome", "a", "b").agg(F.count("*").alias("xtx"), F.sum(F.when(F.col("b") == "", F.col("value"))).alias("xty"))
+    bitmaps = settle(mutation_bitmaps(scores, outcomes))
+    counts = bitmaps.where("kind = 'm'").groupBy("allele", "name").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    keep = counts.where((F.col("n") >= min_count) | (F.col("name") == "")).select("allele", "name")
+    used = bitmaps.where("kind = 'm'").join(keep, ["allele", "name"]).unionByName(bitmaps.where("kind = 'o'"))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("name")
+        names, bits = {}, {}
+        for kind, own in pdf.groupby("kind"):
+            names[kind] = own["name"].to_numpy(object)
+            bits[kind] = np.frombuffer(b"".join(own["bits"]), np.uint64).reshape(len(own), -1)
+        out = []
+        for outcome, mask in zip(names.get("o", []), bits.get("o", []), strict=True):
+            masked = bits["m"] & mask
+            i, j = np.triu_indices(len(masked))
+            n = np.concatenate([np.bitwise_count(masked[k] & masked[k:]).sum(1, dtype=np.int64) for k in range(len(masked))])
+            i, j, n = i[n > 0], j[n > 0], n[n > 0]
+            off = i != j
+            both = [np.r_[i, j[off]], np.r_[j, i[off]], np.r_[n, n[off]]]
+            out.append(pd.DataFrame({"outcome": outcome, "a": names["m"][both[0]], "b": names["m"][both[1]], "xtx": both[2]}))
+        out = pd.concat(out) if out else pd.DataFrame({"outcome": [], "a": [], "b": [], "xtx": []})
+        out.insert(0, "allele", pdf["allele"].iloc[0])
+        return out
+
+    each = used.groupBy("allele", "bucket").applyInPandas(products, "allele string, outcome string, a string, b string, xtx long")
+    xtx = each.groupBy("allele", "outcome", "a", "b").agg(F.sum("xtx").alias("xtx"))
+    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL")
+    own = F.explode(F.concat(F.array(F.lit("")), mutation_list(F.col("VR_mutation")))).alias("a")
+    xty = y.select("allele", "outcome", "value", own).groupBy("allele", "outcome", "a").agg(F.sum("value").alias("xty"))
+    return xtx.join(xty, ["allele", "outcome", "a"], "left").select("allele", "outcome", "a", "b", "xtx", F.when(F.col("b") == "", F.col("xty")).alias("xty"))
 
 
 def _solve(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:

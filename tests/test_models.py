@@ -172,3 +172,31 @@ def test_constant_and_residuals(spark):
         own = [r for r in rows if r[0] == allele]
         left = [r[3] - got[allele, ""] - sum(got[allele, m] for m in r[2].split(";") if m != "WT") for r in own]
         assert sum(left) == pytest.approx(0, abs=1e-8) and all(sum(e for e, r in zip(left, own) if m in r[2].split(";")) == pytest.approx(0, abs=1e-8) for m in LABELS)
+
+
+@pytest.mark.parametrize("rows", [1 << 14, 20])
+def test_bitmaps_give_the_normal_equations(spark, rows, monkeypatch):
+    """Against products of the dense design, with one bitmap an allele and with several; scores that are missing or no
+    numbers, repeated rows, mutations below the least count."""
+    monkeypatch.setattr(mu, "BITMAP_ROWS", rows)
+    scores, data = model_scores(spark)
+    twice = ("A", "z1", "A1D;C2A", float("nan"), 2.0)
+    more = [twice, twice, ("A", "z2", "E4L;Q9Q", 1.0, None), ("D", "d", "WT", 3.0, None)]
+    got = {}
+    for r in mu.mutation_gram(scores.union(spark.createDataFrame(more, scores.schema)), ["o1", "o2"], 5).collect():
+        assert (r.allele, r.outcome, r.a, r.b) not in got and (r.xty is None) == (r.b != "")
+        got[r.allele, r.outcome, r.a, r.b] = (r.xtx, r.xty)
+    want = {}
+    for row in dict.fromkeys((*data, *more)):
+        allele, _, labels, *values = row
+        own = ["", *(m for m in labels.split(";") if m not in ("WT", "Q9Q"))]
+        for outcome, v in zip(("o1", "o2"), values, strict=True):
+            if v is not None and v == v:
+                for a in own:
+                    for b in own:
+                        n, t = want.get((allele, outcome, a, b), (0, 0.0))
+                        want[allele, outcome, a, b] = n + 1, t + v
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and (k[3] or got[k][1] == pytest.approx(t)) for k, (n, t) in want.items())
+    bitmaps = mu.mutation_bitmaps(scores, ["o1", "o2"]).collect()
+    assert len({(r.allele, r.bucket) for r in bitmaps}) == (3 if rows > 180 else 27)
