@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import passes
+from ..sources.settled import pinned
+from ..sources.stored import BROADCAST_ROWS, Stored
 from .checks import all_matched, require_columns, unique_keys
 from .skew import hot_keys, planned_by_default, salted_join
 
@@ -65,21 +67,48 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
         unique_keys(predictions, ["allele", "peptide"], "predictions")
         all_matched(predictions, ids, ["peptide", "k"], "predicted peptides that are not in the library")
     scores = [c for c in predictions.columns if c not in ("allele", "peptide", "k")]
-    metadata = [c for c in fragments.columns if c not in ("variant_id", "k", "peptide", "start", "end")]
     scored = predictions.join(ids.select("peptide", "k", "peptide_id", "occurrence_count"), ["peptide", "k"], how)
-    for flag, (score, threshold) in flags.items():
-        scored = scored.withColumn(flag, passes(F.col(score), threshold))
+    scored = _passed(scored, flags)
     # a peptide of the wild type is in most variants: an inner join can be split by its hot keys, or made by broadcast,
     # which an outer one can't; predictions without an occurrence are added apart
     out = salted_join(scored, fragments, ["peptide", "k"], hot, ["variant_id", "start"])
     if how == "left":
         alone = scored.join(fragments.select("peptide", "k").distinct(), ["peptide", "k"], "left_anti")
         out = out.unionByName(alone, allowMissingColumns=True)
-    out = out.select(
+    out = _spread(out, fragments, scores, flags)
+    return keep_lowest(out, lowest) if lowest else out
+
+
+def _passed(scored: DataFrame, flags: dict[str, tuple[str, float]]) -> DataFrame:
+    for flag, (score, threshold) in flags.items():
+        scored = scored.withColumn(flag, passes(F.col(score), threshold))
+    return scored
+
+
+def _spread(out: DataFrame, fragments: DataFrame, scores: Sequence[str], flags: dict) -> DataFrame:
+    metadata = [c for c in fragments.columns if c not in ("variant_id", "k", "peptide", "start", "end")]
+    return out.select(
         "allele", "peptide_id", "peptide", "k", "variant_id", "start", "end", F.length("peptide").alias("length"), "occurrence_count",
         *metadata, *scores, *flags,
     )
-    return keep_lowest(out, lowest) if lowest else out
+
+
+def map_stored(predictions: Stored, fragments: Stored, flags: dict[str, tuple[str, float]], how: str = "left") -> DataFrame:
+    """map_predictions over stored tables of as many buckets, predictions(allele, peptide, k, scores...) being stored with
+    the fragments' hot peptides: bucket meets bucket without a shuffle, and hot peptides' occurrences stay where they are
+    and meet their few predictions by broadcast."""
+    if predictions.buckets != fragments.buckets or predictions.hot != fragments.hot:
+        raise ValueError("the tables are stored in different ways")
+    scores = [c for c in predictions.rows.columns if c not in ("allele", "peptide", "k")]
+    cold = _passed(predictions.rows.join(fragments.rows.groupBy("peptide", "k").agg(F.count("*").alias("occurrence_count")), ["peptide", "k"], how), flags)
+    out = cold.join(fragments.rows, ["peptide", "k"])
+    counts, _ = pinned(fragments.hot_rows.groupBy("peptide", "k").agg(F.count("*").alias("occurrence_count")), BROADCAST_ROWS)
+    few, small = pinned(_passed(predictions.hot_rows.join(F.broadcast(counts), ["peptide", "k"], how), flags), BROADCAST_ROWS)
+    out = out.unionByName((F.broadcast(few) if small else few).join(fragments.hot_rows, ["peptide", "k"]))
+    if how == "left":
+        alone = cold.join(fragments.rows.select("peptide", "k"), ["peptide", "k"], "left_anti").unionByName(few.where("occurrence_count IS NULL"))
+        out = out.unionByName(alone, allowMissingColumns=True)
+    return _spread(out.withColumn("peptide_id", F.lit(None).cast("string")), fragments.rows, scores, flags)
 
 
 def keep_lowest(df: DataFrame, score: str) -> DataFrame:

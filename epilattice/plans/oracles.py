@@ -135,6 +135,7 @@ SELECT 'pep_' || lpad((row_number() OVER (ORDER BY first_at))::varchar, 6, '0')
 FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN ' H-2-D' WHEN 1 THEN 'HLA-A*0' ELSE 'H-2-K' END || substr(c_mktsegment, 1, 2) AS raw FROM customer) GROUP BY 1, 2""",
         "score_table": f"WITH {FRAG} SELECT peptide, allele, {fx.duck_score('ns')} AS netMHCpan_EL_score, {fx.duck_score('nr')} AS netMHCpan_EL_rank FROM (SELECT DISTINCT peptide, allele FROM frag, {fx.duck_alleles(fx.ALLELES)}) WHERE peptide NOT LIKE 'D%'",
         "score_map_mhci_wide": f"WITH {FRAG}, {net()} SELECT * FROM net",
+        "stored_score_map": f"WITH {FRAG}, {net()} SELECT * FROM net",
         "score_map_mhci_long": f"WITH {FRAG}, {flurry()} SELECT * FROM flurry",
         "score_map_mhcii": f"WITH {FRAG2}, {mhcii()} SELECT * FROM two",
         "dedup_lowest_rank": f"WITH {FRAG}, {net()} SELECT allele, variant_id, start, peptide, netMHCpan_EL_rank FROM net",

@@ -12,8 +12,9 @@ from ..operators import scores as sc
 from ..operators.chemistry import physicochemical_models
 from ..operators.combine import combine_predictions, merge_report
 from ..operators.fragments import count_stops, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
-from ..operators.predictions import keep_lowest, map_predictions, pass_report, peptide_allele_pairs, score_peptides
+from ..operators.predictions import keep_lowest, map_predictions, map_stored, pass_report, peptide_allele_pairs, score_peptides
 from ..sources.readers import clean_library
+from ..sources.stored import store
 from . import files
 from . import fixtures as fx
 from .oracles import build
@@ -103,6 +104,14 @@ def mapped_mhcii(spark: SparkSession, sf_dir: str, source=None) -> DataFrame:
     return _mapped(spark, sf_dir, fx.mhcii_predictions, sc.BINDER, "netMHCIIpan_EL_rank", 5.0, K2, fx.ALLELES_2, "inner", source)
 
 
+def stored_score_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_map_mhci_wide over stored tables: both are in buckets by peptide, and their join shuffles neither."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = store(fragments(spark, sf_dir), buckets)
+    scored = fx.net_predictions(peptide_allele_pairs(own.peptides(), fx.ALLELES)).withColumn("k", F.lit(K))
+    return map_stored(store(scored, buckets, hot=own.hot), own, {sc.NET_PASS: ("netMHCpan_EL_rank", 2.0)})
+
+
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table scorer: the pairs joined with a score table that lacks every peptide that begins with D."""
     pairs = peptide_allele_pairs(unique_peptides(fragments(spark, sf_dir)), fx.ALLELES)
@@ -323,6 +332,7 @@ QUERIES = {
     "allele_spelling": allele_spelling,
     "score_table": score_table,
     "score_map_mhci_wide": mapped_net,
+    "stored_score_map": stored_score_map,
     "score_map_mhci_long": mapped_flurry,
     "score_map_mhcii": mapped_mhcii,
     "dedup_lowest_rank": dedup_lowest_rank,

@@ -40,9 +40,12 @@ def pinned(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return settle(df), False
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes settled tables that nothing reads any more."""
     for df in tables:
-        spark, path = df.sparkSession, df._settled
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, df._settled)
