@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import lenient_int, normalised_allele, passes
 from .checks import unique_keys
+from .watch import Watch
 
 KEYS = ["allele", "peptide", "variant_id", "start", "end", "k"]
 NET = ["netMHCpan_EL_score", "netMHCpan_EL_rank", "netMHCpan_EL_rank_pass"]
@@ -47,13 +48,13 @@ def combine_predictions(net: DataFrame, flurry: DataFrame, metadata: Sequence[st
     )
 
 
-def combine_scores(net: DataFrame, flurry: DataFrame, net_threshold: float, flurry_threshold: float) -> DataFrame:
+def combine_scores(net: DataFrame, flurry: DataFrame, net_threshold: float, flurry_threshold: float, watch: Watch | None = None) -> DataFrame:
     """combine_predictions before the predictions are mapped: a row for each (allele, peptide, k) with both
     predictors' columns, pass flags (null where a predictor lacks the pair) and merge_status.
 
     Both predictors are spread over the same occurrences, so combining peptides and spreading them once gives what
     combining two spread tables does. Of several rows of the first predictor the one of the lowest rank counts, null
-    last.
+    last. A watch forbids repeated rows of the second, and reports merged: how many pairs have each merge_status.
     """
     rows, names = None, {}
     for tag, df, own in (("l", net, NET), ("r", flurry, FLURRY)):
@@ -64,10 +65,16 @@ def combine_scores(net: DataFrame, flurry: DataFrame, net_threshold: float, flur
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     rank = F.col("_l.netMHCpan_EL_rank")
     out = rows.groupBy("allele", "peptide", "k").agg(
-        F.min_by("_l", F.when(F.col("_l").isNotNull(), F.struct(rank.isNull(), rank))).alias("_l"), F.first("_r", ignorenulls=True).alias("_r")
+        F.min_by("_l", F.when(F.col("_l").isNotNull(), F.struct(rank.isNull(), rank))).alias("_l"), F.first("_r", ignorenulls=True).alias("_r"),
+        *([F.count("_r").alias("_n")] if watch else []),
     )
+    if watch:
+        out = watch.forbid(out, F.col("_n") > 1, "second predictor's table has duplicate keys", ["allele", "peptide", "k"])
     has = {t: F.col(f"_{t}").isNotNull() for t in "lr"}
     status = F.when(has["l"] & has["r"], "both").when(has["l"], "left_only").otherwise("right_only")
+    if watch:
+        both = {"both": has["l"] & has["r"], "left_only": ~has["r"], "right_only": ~has["l"]}
+        out = watch.count(out, "merged", **{k: F.count_if(c) for k, c in both.items()})
     return out.select(
         "allele", "peptide", "k", *[f"_l.{c}" for c in names["l"][:2]], F.when(has["l"], passes(rank, net_threshold)).alias(NET[2]), *[f"_l.{c}" for c in names["l"][2:]],
         *[f"_r.{c}" for c in names["r"]], F.when(has["r"], passes(F.col(f"_r.{FLURRY[0]}"), flurry_threshold)).alias(FLURRY[2]), status.alias("merge_status"),

@@ -13,6 +13,7 @@ from ..sources.settled import pinned
 from ..sources.stored import BROADCAST_ROWS, Stored
 from .checks import all_matched, require_columns, unique_keys
 from .skew import hot_keys, planned_by_default, salted_join
+from .watch import Watch
 
 EL_RANK, AFFINITY, EL_RANK_2 = "netMHCpan_EL_rank", "MHCflurry_affinity_percentile", "netMHCIIpan_EL_rank"
 
@@ -48,7 +49,7 @@ def score_peptides(pairs: DataFrame, scorer: DataFrame | Callable, schema: str |
 
 
 def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: DataFrame, flags: dict[str, tuple[str, float]], how: str = "left",
-                    lowest: str | None = None, validate: bool = False, hot: Mapping[str, int] | None = None) -> DataFrame:
+                    lowest: str | None = None, validate: bool = False, hot: Mapping[str, int] | None = None, watch: Watch | None = None) -> DataFrame:
     """predictions(allele, peptide, scores...) on every occurrence: one row for each allele, variant and window.
 
     flags names pass columns: {flag: (score column, threshold)}; missing scores do not pass. how is `left` (MHC-I: a
@@ -58,6 +59,9 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
 
     hot has the peptides that are in so many variants that they are to be cut (skew.hot_keys of the fragments). If it is
     not given, they are looked for where adaptive execution would not split them: one pass over the fragments.
+
+    validate raises for predictions that occur twice or not at all, by jobs of its own; a watch finds predictions that
+    the library lacks in the same pass, and reports mapped: n_rows and n_<flag> of the rows that come out.
     """
     if hot is None:
         hot = hot_keys(fragments, "peptide") if planned_by_default(fragments.sparkSession) else {}
@@ -67,7 +71,10 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
         unique_keys(predictions, ["allele", "peptide"], "predictions")
         all_matched(predictions, ids, ["peptide", "k"], "predicted peptides that are not in the library")
     scores = [c for c in predictions.columns if c not in ("allele", "peptide", "k")]
-    scored = predictions.join(ids.select("peptide", "k", "peptide_id", "occurrence_count"), ["peptide", "k"], how)
+    scored = predictions.join(ids.select("peptide", "k", "peptide_id", "occurrence_count"), ["peptide", "k"], "left" if watch else how)
+    if watch:
+        scored = watch.forbid(scored, F.col("occurrence_count").isNull(), "predicted peptides that are not in the library", ["allele", "peptide"])
+        scored = scored if how == "left" else scored.where("occurrence_count IS NOT NULL")
     scored = _passed(scored, flags)
     # a peptide of the wild type is in most variants: an inner join can be split by its hot keys, or made by broadcast,
     # which an outer one can't; predictions without an occurrence are added apart
@@ -76,7 +83,8 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
         alone = scored.join(fragments.select("peptide", "k").distinct(), ["peptide", "k"], "left_anti")
         out = out.unionByName(alone, allowMissingColumns=True)
     out = _spread(out, fragments, scores, flags)
-    return keep_lowest(out, lowest) if lowest else out
+    out = keep_lowest(out, lowest) if lowest else out
+    return watch.count(out, "mapped", n_rows=F.count(F.lit(1)), **{f"n_{f}": F.count_if(F.col(f)) for f in flags}) if watch else out
 
 
 def _passed(scored: DataFrame, flags: dict[str, tuple[str, float]]) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.labels import count_mutations, decoded_boolean, filled_mutation
 from ..sources.settled import pinned
 from .checks import all_matched, forbid, one_mutation, require_columns, unique_keys
 from .predictions import AFFINITY, EL_RANK, EL_RANK_2
+from .watch import Watch
 
 GROUPS = ["allele", "variant_id"]
 WINDOW = ["allele", "start", "end", "k"]
@@ -69,8 +70,22 @@ def mean_smallest(c: str, n: int = 3, require: bool = False) -> Column:
     return F.when(F.size(low) >= (n if require else 1), mean)
 
 
-def absolute_scores(combined: DataFrame, require_three: bool = False, validate: bool = False) -> DataFrame:
-    """One row for each allele and variant: counts of passing peptides, best score and mean of the three best."""
+def _others(watch: Watch | None) -> list[Column]:
+    return [F.max("VR_mutation").alias("_other")] if watch else []
+
+
+def _same_mutation(watch: Watch | None, scores: DataFrame) -> DataFrame:
+    """Drops _other, the last of a group's annotations, once watched: it must be the first one too."""
+    if watch:
+        scores = watch.forbid(scores, F.col("VR_mutation") != F.col("_other"), "groups with several VR_mutation annotations", [*GROUPS, "VR_mutation", "_other"])
+    return scores.drop("_other")
+
+
+def absolute_scores(combined: DataFrame, require_three: bool = False, validate: bool = False, watch: Watch | None = None) -> DataFrame:
+    """One row for each allele and variant: counts of passing peptides, best score and mean of the three best.
+
+    validate raises for groups with several annotations, by a job of its own; a watch finds them in the same pass.
+    """
     rows = prepare_absolute(combined, validate)
     scores = [
         x for name, c in (("netMHCpan", EL_RANK), ("MHCflurry", AFFINITY))
@@ -79,8 +94,9 @@ def absolute_scores(combined: DataFrame, require_three: bool = False, validate:
     flags = {"netMHCpan": NET_PASS, "MHCflurry": FLURRY_PASS, "both": "both_pass", "either": "either_pass"}
     out = rows.groupBy(*GROUPS).agg(
         F.min("VR_mutation").alias("VR_mutation"), F.count("peptide_id").alias("total_epitope_count"),
-        *[F.count_if(F.col(f)).alias(f"{n}_passed_count") for n, f in flags.items()], *scores,
+        *[F.count_if(F.col(f)).alias(f"{n}_passed_count") for n, f in flags.items()], *scores, *_others(watch),
     )
+    out = _same_mutation(watch, out)
     return out.withColumn("mutation_count", count_mutations(F.col("VR_mutation")).cast("long"))
 
 
@@ -148,10 +164,11 @@ def wt_relative_windows(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return out.withColumns(added)
 
 
-def wt_scores_mhci(variants: DataFrame, wt: DataFrame, validate: bool = False) -> DataFrame:
+def wt_scores_mhci(variants: DataFrame, wt: DataFrame, validate: bool = False, watch: Watch | None = None) -> DataFrame:
     """One row for each allele and variant: window counts, gained and lost passes, mean improvement over WT.
 
-    validate raises if an allele has no WT windows, or if a variant lacks some of them.
+    validate raises if an allele has no WT windows, or if a variant lacks some of them, by jobs of its own; a watch
+    finds the same, and groups with several annotations, in the pass that makes the scores.
     """
     rows, reference = prepare_windows(variants, validate), wt_reference(prepare_windows(wt, validate))
     if validate:
@@ -169,15 +186,19 @@ def wt_scores_mhci(variants: DataFrame, wt: DataFrame, validate: bool = False) -
         F.min("VR_mutation").alias("VR_mutation"), F.count("wt_peptide_id").alias("matched_window_count"),
         F.coalesce(F.first("expected_window_count", ignorenulls=True), F.lit(0)).alias("expected_window_count"),
         F.count_if("changed_window").alias("changed_window_count"), *changes,
-        *[F.avg(f"{n}_window_improvement").alias(f"{n}_mean_window_improvement") for n in ("netMHCpan", "MHCflurry")],
+        *[F.avg(f"{n}_window_improvement").alias(f"{n}_mean_window_improvement") for n in ("netMHCpan", "MHCflurry")], *_others(watch),
     )
-    return _complete(out, validate)
+    if watch:
+        out = watch.forbid(out, F.col("expected_window_count") == 0, "alleles without wild-type windows", ["allele"])
+    return _complete(out, validate, watch)
 
 
-def _complete(scores: DataFrame, validate: bool) -> DataFrame:
-    scores = scores.withColumn("mutation_count", count_mutations(F.col("VR_mutation")).cast("long"))
+def _complete(scores: DataFrame, validate: bool, watch: Watch | None = None) -> DataFrame:
+    scores = _same_mutation(watch, scores).withColumn("mutation_count", count_mutations(F.col("VR_mutation")).cast("long"))
+    shown = [*GROUPS, "matched_window_count", "expected_window_count"]
+    if watch:
+        scores = watch.forbid(scores, F.col("matched_window_count") != F.col("expected_window_count"), "variants without all wild-type windows", shown)
     if validate:
-        shown = [*GROUPS, "matched_window_count", "expected_window_count"]
         forbid(scores, F.col("matched_window_count") != F.col("expected_window_count"), "variants without all wild-type windows", shown)
     return scores
 
@@ -196,8 +217,9 @@ def prepare_mhcii(annotated: DataFrame, validate: bool = False) -> DataFrame:
     return rows
 
 
-def wt_scores_mhcii(variants: DataFrame, wt: DataFrame, validate: bool = False) -> DataFrame:
-    """The MHC-II twin. validate raises where a window has no WT match, where WT repeats one, or where some lack."""
+def wt_scores_mhcii(variants: DataFrame, wt: DataFrame, validate: bool = False, watch: Watch | None = None) -> DataFrame:
+    """The MHC-II twin. validate raises where a window has no WT match, where WT repeats one, or where some lack; a
+    watch finds windows without a match, or with several annotations, and variants that lack some, in the same pass."""
     rows = prepare_mhcii(variants, validate)
     reference = prepare_mhcii(wt, validate).select(
         *WINDOW, F.col("peptide").alias("wt_peptide"), F.col(EL_RANK_2).alias(f"wt_{EL_RANK_2}"), F.col(BINDER).alias(f"wt_{BINDER}")
@@ -206,6 +228,8 @@ def wt_scores_mhcii(variants: DataFrame, wt: DataFrame, validate: bool = False)
         unique_keys(reference, WINDOW, "wild-type windows")
         all_matched(rows, reference, WINDOW, "windows without a wild-type match")
     windows, expected = _match(rows, reference)
+    if watch:
+        windows = watch.forbid(windows, F.col("wt_peptide").isNull(), "windows without a wild-type match", [*GROUPS, "start", "end", "k"])
     windows = windows.join(expected, "allele", "left").withColumn("changed_window", F.coalesce(F.col("peptide") != F.col("wt_peptide"), F.lit(False)))
     windows = windows.withColumns(_changes("b", BINDER) | {"improvement": _improvement(f"wt_{EL_RANK_2}", EL_RANK_2)})
     out = windows.groupBy(*GROUPS).agg(
@@ -214,6 +238,6 @@ def wt_scores_mhcii(variants: DataFrame, wt: DataFrame, validate: bool = False)
         F.count_if("changed_window").alias("changed_window_count"),
         F.count_if("b_new_pass_vs_WT").alias("netMHCIIpan_new_binder_count"), F.count_if("b_lost_pass_vs_WT").alias("netMHCIIpan_lost_binder_count"),
         F.sum(F.col("b_pass_change_vs_WT").cast("long")).alias("netMHCIIpan_net_binder_change"),
-        F.avg("improvement").alias("netMHCIIpan_mean_window_improvement"),
+        F.avg("improvement").alias("netMHCIIpan_mean_window_improvement"), *_others(watch),
     )
-    return _complete(out, validate)
+    return _complete(out, validate, watch)

@@ -13,6 +13,7 @@ from ..operators.checks import all_matched, check_alleles, unique_keys
 from ..operators.combine import KEYS, SHARED, combine_scores
 from ..operators.fragments import drop_stops, fragment, unique_peptides
 from ..operators.predictions import EL_RANK_2, map_predictions
+from ..operators.watch import Watch
 
 
 def _fragments(library: DataFrame, kmers: Sequence[int], region: tuple[int, int], mode: str | None, stops: bool) -> DataFrame:
@@ -21,11 +22,13 @@ def _fragments(library: DataFrame, kmers: Sequence[int], region: tuple[int, int]
 
 def screen_mhci(library: DataFrame, net: DataFrame, flurry: DataFrame, kmers: Sequence[int], region: tuple[int, int], mode: str | None = "overlap", drop_stop_codons: bool = True,
                 wt_vr: str | None = None, net_threshold: float = 2.0, flurry_threshold: float = 2.0, alleles: Sequence[str] | None = None,
-                fragments: DataFrame | None = None, validate: bool = False) -> DataFrame:
+                fragments: DataFrame | None = None, validate: bool = False, watch: Watch | None = None) -> DataFrame:
     """library(variant_id, aa_sequence, metadata...) and two predictors' tables to one annotated row for each allele,
     peptide, variant and window. A stage that has run before is skipped by passing its table (fragments).
 
-    alleles, if given with validate, must be those of the first predictor, and hold all of the second.
+    alleles, if given with validate, must be those of the first predictor, and hold all of the second. validate runs
+    jobs of its own before the screen; a watch (watch.py) finds predicted peptides that the library lacks and repeated
+    rows of the second predictor in the pass itself, and reports merged and mapped.
     """
     if validate and alleles:
         check_alleles(net, alleles)
@@ -41,8 +44,8 @@ def screen_mhci(library: DataFrame, net: DataFrame, flurry: DataFrame, kmers: Se
     peptides = unique_peptides(fragments)
     if validate:
         all_matched(with_k(net).unionByName(with_k(flurry)), peptides, ["peptide", "k"], "predicted peptides that are not in the library")
-    scored = combine_scores(net, flurry, net_threshold, flurry_threshold)
-    rows = peptide_labels(map_predictions(scored, peptides, fragments, {}), region)
+    scored = combine_scores(net, flurry, net_threshold, flurry_threshold, watch)
+    rows = peptide_labels(map_predictions(scored, peptides, fragments, {}, watch=watch), region)
     last = [c for c in scored.columns if c not in ("allele", "peptide", "k")]
     first = [*KEYS, *SHARED, *[c for c in rows.columns if c not in {*KEYS, *SHARED, *last, *labels, "peptide_mutation"}]]
     return rows.select(*first, *last, *labels, "peptide_mutation")
