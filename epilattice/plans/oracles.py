@@ -133,6 +133,9 @@ SELECT 'pep_' || lpad((row_number() OVER (ORDER BY first_at))::varchar, 6, '0')
         "peptide_allele_pairs": f"WITH {FRAG} SELECT DISTINCT peptide, allele FROM frag, {fx.duck_alleles(fx.ALLELES)}",
         "allele_spelling": """SELECT raw, CASE WHEN trim(raw) LIKE 'H-2-__%' THEN 'H2-' || substr(trim(raw), 5, 1) || '*' || substr(trim(raw), 6) ELSE trim(raw) END AS allele, count(*) AS n
 FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN ' H-2-D' WHEN 1 THEN 'HLA-A*0' ELSE 'H-2-K' END || substr(c_mktsegment, 1, 2) AS raw FROM customer) GROUP BY 1, 2""",
+        "incremental_scores": f"""WITH {FRAG.replace(WT_FIXED, WT_SEEN)}, pairs AS (
+  SELECT peptide, allele, min(version)::int AS version FROM (SELECT peptide, 1 AS version FROM frag_wt UNION ALL SELECT peptide, 2 FROM frag), {fx.duck_alleles(fx.ALLELES)} GROUP BY 1, 2)
+SELECT peptide, allele, {fx.duck_score('ns')} AS netMHCpan_EL_score, {fx.duck_score('nr')} AS netMHCpan_EL_rank, version FROM pairs""",
         "score_table": f"WITH {FRAG} SELECT peptide, allele, {fx.duck_score('ns')} AS netMHCpan_EL_score, {fx.duck_score('nr')} AS netMHCpan_EL_rank FROM (SELECT DISTINCT peptide, allele FROM frag, {fx.duck_alleles(fx.ALLELES)}) WHERE peptide NOT LIKE 'D%'",
         "score_map_mhci_wide": f"WITH {FRAG}, {net()} SELECT * FROM net",
         "stored_score_map": f"WITH {FRAG}, {net()} SELECT * FROM net",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..operators.combine import combine_predictions, merge_report
 from ..operators.fragments import count_stops, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
 from ..operators.predictions import keep_lowest, map_predictions, map_stored, pass_report, peptide_allele_pairs, score_peptides
 from ..sources.readers import clean_library
+from ..sources.score_store import ScoreStore
+from ..sources.settled import shared_dir
 from ..sources.stored import store
 from . import files
 from . import fixtures as fx
@@ -112,6 +116,16 @@ def stored_score_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_stored(store(scored, buckets, hot=own.hot), own, {sc.NET_PASS: ("netMHCpan_EL_rank", 2.0)})
 
 
+def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of scores filled twice: for the wild type that the library shows, then for the whole library, of which
+    only what is new is scored. A pair's version tells which run scored it."""
+    store = ScoreStore(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", "netMHCpan_EL_score double, netMHCpan_EL_rank double")
+    wild = fragment(fx.inferred_wt_library(spark, sf_dir), [K], fx.REGION, "overlap")
+    for own in (wild, fragments(spark, sf_dir)):
+        store.update(peptide_allele_pairs(unique_peptides(own), fx.ALLELES), fx.net_predictions, fx.ALLELES)
+    return store.read()
+
+
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table scorer: the pairs joined with a score table that lacks every peptide that begins with D."""
     pairs = peptide_allele_pairs(unique_peptides(fragments(spark, sf_dir)), fx.ALLELES)
@@ -330,6 +344,7 @@ QUERIES = {
     "peptide_map": peptide_map_q,
     "peptide_allele_pairs": peptide_allele_pairs_q,
     "allele_spelling": allele_spelling,
+    "incremental_scores": incremental_scores,
     "score_table": score_table,
     "score_map_mhci_wide": mapped_net,
     "stored_score_map": stored_score_map,

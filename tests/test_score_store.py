@@ -1,0 +1,109 @@
+"""The growing store of scores: only what is new is scored, whatever happens in between."""
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from epilattice.operators.fragments import fragment, unique_peptides
+from epilattice.operators.predictions import peptide_allele_pairs
+from epilattice.plans import fixtures as fx
+from epilattice.sources.score_store import ScoreStore
+
+SCHEMA = "score double, rank int"
+
+
+def pairs(spark, *found):
+    return spark.createDataFrame(list(found), "peptide string, allele string")
+
+
+class Scorer:
+    """Counts what it is asked for; peptides that begin with x get no score."""
+
+    def __init__(self):
+        self.asked = []
+
+    def __call__(self, df):
+        self.asked.append(sorted(tuple(r) for r in df.collect()))
+        return df.where("NOT startswith(peptide, 'x')").select("allele", "peptide", F.length("peptide").cast("double").alias("score"), F.lit(1).alias("rank"))
+
+
+def test_only_new_pairs_are_scored(spark, tmp_path):
+    store, scorer = ScoreStore(spark, str(tmp_path / "s"), SCHEMA), Scorer()
+    assert store.read().count() == 0 and store.update(pairs(spark), scorer) == 0 and scorer.asked == []
+    assert store.update(pairs(spark, ("aa", "A"), ("aa", "A"), ("xx", "A"), (None, "A"), ("aa", "B/2*0 1")), scorer) == 3
+    assert store.update(pairs(spark, ("aa", "A"), ("bbb", "A"), ("xx", "A")), scorer, ["A"]) == 1
+    assert store.update(pairs(spark, ("aa", "A"), ("xx", "A")), scorer) == 0  # what can't be scored isn't asked again
+    assert scorer.asked == [[("aa", "A"), ("aa", "B/2*0 1"), ("xx", "A")], [("bbb", "A")]]
+    got = sorted(tuple(r) for r in ScoreStore(spark, str(tmp_path / "s"), SCHEMA).read().collect())
+    assert got == [("aa", "A", 2.0, 1, 1), ("aa", "B/2*0 1", 2.0, 1, 1), ("bbb", "A", 3.0, 1, 2)]
+    assert [r.allele for r in store.read(["B/2*0 1"]).collect()] == ["B/2*0 1"]
+    assert "PartitionFilters: [isnotnull(allele" in store.read(["A"])._jdf.queryExecution().executedPlan().toString() or "allele" in store.read(["A"])._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:60]
+
+
+def test_one_new_variant_scores_only_its_new_peptides(spark, tmp_path):
+    store, scorer = ScoreStore(spark, str(tmp_path / "s"), SCHEMA), Scorer()
+
+    def windows(*regions):
+        library = spark.createDataFrame([(str(i), fx.LEFT + r + fx.RIGHT) for i, r in enumerate(regions)], "variant_id string, aa_sequence string")
+        return peptide_allele_pairs(unique_peptides(fragment(library, [9], fx.REGION, "overlap")), ["A", "B"])
+
+    assert store.update(windows(fx.VR, "A" + fx.VR[1:]), scorer) == 2 * (25 + 9)
+    assert store.update(windows(fx.VR, "A" + fx.VR[1:], fx.VR[:8] + "L" + fx.VR[9:]), scorer) == 2 * 9
+    assert all(p[8 - i : 9 - i] for p, _ in scorer.asked[1] for i in range(9)) and all("L" in p for p, _ in scorer.asked[1])
+    assert store.read().count() == 2 * 43
+
+
+@pytest.mark.parametrize("step", ["score", "write", "commit"])
+def test_killed_in_between(spark, tmp_path, step, monkeypatch):
+    """Neither lost nor repeated, wherever a run ends."""
+    store, scorer = ScoreStore(spark, str(tmp_path / "s"), SCHEMA), Scorer()
+    store.update(pairs(spark, ("aa", "A")), scorer)
+    wanted = pairs(spark, ("aa", "A"), ("bb", "A"), ("cc", "B"))
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        if step == "commit":
+            m.setattr(ScoreStore, "_commit", killed)
+        if step == "write":
+            real = ScoreStore._write
+            m.setattr(ScoreStore, "_write", lambda self, rows: (real(self, rows.limit(1)), killed()))
+        with pytest.raises(KeyboardInterrupt):
+            store.update(wanted, killed if step == "score" else scorer)
+    assert [r.peptide for r in store.read().collect()] == ["aa"]
+    store = ScoreStore(spark, str(tmp_path / "s"), SCHEMA)
+    assert store.update(wanted, scorer) == 2 and store.update(wanted, scorer) == 0
+    assert sorted((r.peptide, r.version) for r in store.read().collect()) == [("aa", 1), ("bb", 2), ("cc", 2)]
+    assert store.vacuum() == (0 if step == "score" else 1) and store.read().count() == 3
+
+
+def test_overtaken(spark, tmp_path):
+    """Another run commits while this one scores: what both have scored counts once."""
+    store, other = (ScoreStore(spark, str(tmp_path / "s"), SCHEMA) for _ in range(2))
+    seen = []
+
+    class Late(ScoreStore):
+        def _commit(self, batch):
+            if not seen:
+                seen.append(max(self.versions().values(), default=0) + 1)
+                assert other.update(pairs(spark, ("aa", "A"), ("dd", "A")), Scorer()) == 2
+                # the number that this run had in mind
+                real, self.versions = self.versions, dict
+                try:
+                    return super()._commit(batch)
+                finally:
+                    self.versions = real
+            return super()._commit(batch)
+
+    late = Late(spark, str(tmp_path / "s"), SCHEMA)
+    assert late.update(pairs(spark, ("aa", "A"), ("bb", "A")), Scorer()) == 2
+    assert sorted((r.peptide, r.version) for r in store.read().collect()) == [("aa", 1), ("bb", 2), ("dd", 1)]
+    assert store.vacuum() == 1 and len(store.versions()) == 2
+
+
+def test_the_scorer_may_repeat_itself(spark, tmp_path):
+    store = ScoreStore(spark, f"{tmp_path}/{uuid.uuid4().hex}/", SCHEMA)
+    twice = lambda df: (one := Scorer()(df)).union(one)
+    assert store.update(pairs(spark, ("aa", "A"), ("bb", "A")), twice) == 2 and store.read().count() == 2
