@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,7 +49,8 @@ def fragment(library: DataFrame, kmers: Sequence[int], region: tuple[int, int] |
 
     Coordinates are 1-based and inclusive. mode `overlap` keeps the windows that touch the region, `contained` those
     inside it, None all. Only windows that are kept are generated: the region bounds the generator, so no filter
-    stands above it. A k that is listed twice counts twice. Sequences shorter than k have no windows.
+    stands above it. A k that is listed twice counts twice. Sequences that are missing or shorter than k
+    have no windows.
     """
     if not kmers or any(k <= 0 for k in kmers):
         raise ValueError("k must be positive")
@@ -61,7 +64,7 @@ def fragment(library: DataFrame, kmers: Sequence[int], region: tuple[int, int] |
     elif mode == "contained":
         low, last = F.lit(max(region[0], 1)), F.least(last, F.lit(region[1]) - F.col("k") + 1)
     # sequence() counts down when its end lies below its start
-    pieces = F.when(last >= low, F.sequence(low, last, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    pieces = F.when(F.col("aa_sequence").isNotNull() & (last >= low), F.sequence(low, last, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
     # cut inside the array: a projection below a generator would be moved above it and evaluated for every window
     texts = F.transform(pieces, lambda i: F.substring(F.col("aa_sequence"), i, F.col("k") + (PIECE - 1)))
     rows = rows.select("variant_id", *metadata, "k", low.alias("_low"), last.alias("_last"), F.posexplode(texts).alias("_i", "_text"))
@@ -78,6 +81,46 @@ def unique_peptides(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("peptide", "k").agg(F.count("*").alias("occurrence_count"))
 
 
+#: Distinct windows that a task counts before it hands them on.
+COUNTED = 1 << 20
+
+
+def counted_peptides(library: DataFrame, kmers: Sequence[int], region: tuple[int, int] | None = None, mode: str | None = None) -> DataFrame:
+    """unique_peptides(fragment(library, kmers, region, mode)), for long texts: windows are counted in the task that reads
+    them, so that no row is made for each, and only distinct ones are shuffled, once a task."""
+    if not kmers or any(k <= 0 for k in kmers):
+        raise ValueError("k must be positive")
+    _check_region(region, mode)
+
+    def bounds(n: int, k: int) -> tuple[int, int]:
+        """First and last start, from 1."""
+        if mode == "overlap":
+            return max(region[0] - k + 1, 1), min(n - k + 1, region[1])
+        if mode == "contained":
+            return max(region[0], 1), min(n - k + 1, region[1] - k + 1)
+        return 1, n - k + 1
+
+    def run(batches):
+        counts: dict[int, Counter] = {k: Counter() for k in set(kmers)}
+
+        def out():
+            for k, own in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([k] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], names=["peptide", "k", "n"])
+                own.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for k in kmers:
+                    first, last = bounds(len(text or ""), k)
+                    for at in range(first - 1, last, COUNTED):
+                        counts[k].update(text[i : i + k] for i in range(at, min(last, at + COUNTED)))
+                        if len(counts[k]) >= COUNTED:
+                            yield from out()
+        yield from out()
+
+    return library.select("aa_sequence").mapInArrow(run, "peptide string, k int, n long").groupBy("peptide", "k").agg(F.sum("n").alias("occurrence_count"))
+
+
 def numbered_peptides(fragments: DataFrame, order: Sequence[str], kmers: Sequence[int]) -> DataFrame:
     """unique_peptides with ids pep_000001, ... by first appearance.
 

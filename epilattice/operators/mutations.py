@@ -301,16 +301,55 @@ def allele_pivot(coefficients: DataFrame, alleles: Sequence[str]) -> DataFrame:
     return coefficients.groupBy("outcome", "mutation").pivot("allele", list(alleles)).agg(F.avg("full_data_coefficient"))
 
 
+#: Alleles and mutations of one block of the matrix of effects.
+ALLELE_BLOCK, MUTATION_BLOCK = 128, 2048
+
+
+def _moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the effects of each two alleles, one of block _i and one of block _j, have in common: products of their
+    matrices of mutations by alleles, zeros for what is missing, and of those that say what is there."""
+    i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+    row, names = pd.factorize(pdf["mutation"])
+    sides = []
+    for block in (i, j):
+        own = (pdf["_a"] == block).to_numpy()
+        column, alleles = pd.factorize(pdf["allele"][own], sort=True)
+        x, there = np.zeros((len(names), len(alleles))), np.zeros((len(names), len(alleles)))
+        x[row[own], column], there[row[own], column] = pdf["x"][own], 1
+        sides.append((np.asarray(alleles, object), x, there))
+    (a, xa, ia), (b, xb, ib) = sides
+    found = {"n": ia.T @ ib, "sx": xa.T @ ib, "sy": ia.T @ xb, "sxy": xa.T @ xb, "sxx": (xa * xa).T @ ib, "syy": ia.T @ (xb * xb)}
+    some = found["n"] > 0
+    if i == j:
+        some &= np.triu(np.ones_like(some))
+    k, m = np.nonzero(some)
+    out = pd.DataFrame({"allele_a": a[k], "allele_b": b[m]} | {c: v[k, m] for c, v in found.items()})
+    out.insert(0, "outcome", pdf["outcome"].iloc[0])
+    return out
+
+
 def allele_correlation(coefficients: DataFrame, least: int = 3) -> DataFrame:
-    """Pearson correlation of each two alleles' effects over common mutations; null below `least` or without variance."""
+    """Pearson correlation of each two alleles' effects over common mutations; null below `least` or without variance.
+
+    The matrix of effects is cut into blocks of alleles and mutations; each two blocks of alleles meet once, by matrix
+    products, so an effect is repeated for each block of alleles, not for each allele.
+    """
     one = coefficients.groupBy("outcome", "allele", "mutation").agg(F.avg("full_data_coefficient").alias("x")).where("x IS NOT NULL")
     # shifting by the outcome's mean keeps the moments from cancelling
     one = one.join(one.groupBy("outcome").agg(F.avg("x").alias("_m")), "outcome").withColumn("x", F.col("x") - F.col("_m")).drop("_m")
-    two = one.select("outcome", "mutation", F.col("allele").alias("allele_b"), F.col("x").alias("y"))
-    s = one.join(two, ["outcome", "mutation"]).groupBy("outcome", F.col("allele").alias("allele_a"), "allele_b").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
-    )
+    n = one.agg(F.count_distinct("allele").alias("a"), F.count_distinct("mutation").alias("m")).first()
+    blocks, rows = (max(1, -(-k // most)) for k, most in ((n.a, ALLELE_BLOCK), (n.m, MUTATION_BLOCK)))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    cells = one.withColumns({"_a": block("allele", blocks), "_r": block("mutation", rows)}).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.withColumns({"_i": F.least("_a", "_b"), "_j": F.greatest("_a", "_b")}).drop("_b")
+    names = ["n", "sx", "sy", "sxy", "sxx", "syy"]
+    parts = cells.groupBy("outcome", "_i", "_j", "_r").applyInPandas(_moments, "outcome string, allele_a string, allele_b string, " + ", ".join(f"{c} double" for c in names))
+    s = parts.groupBy("outcome", "allele_a", "allele_b").agg(*[F.sum(c).alias(c) for c in names])
+    # the other triangle
+    kept, turned = ["allele_a", "allele_b", *names], ["allele_b", "allele_a", "n", "sy", "sx", "sxy", "syy", "sxx"]
+    both = [F.struct(*[F.col(c).alias(k) for k, c in zip(kept, order, strict=True)]) for order in (kept, turned)]
+    s = s.select("outcome", F.explode(F.when(F.col("allele_a") == F.col("allele_b"), F.array(both[0])).otherwise(F.array(*both))).alias("s")).select("outcome", "s.*")
+    s = s.withColumn("n", F.col("n").cast("long"))
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     level = lambda v, ss: v > 1e-12 * F.col("n") * F.greatest(F.col(ss), F.lit(1e-300))
     r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(F.when(level(vx, "sxx"), vx)) * F.sqrt(F.when(level(vy, "syy"), vy)))

@@ -52,7 +52,8 @@ def prepare_absolute(combined: DataFrame, validate: bool = False) -> DataFrame:
     """Cleaned rows, one for each allele, variant and peptide_id (the first by start and end). Rows without allele or
     variant go. Missing or blank mutations read WT, missing flags false, scores that are no numbers null."""
     require_columns(combined, [*GROUPS, "peptide_id", "VR_mutation", EL_RANK, NET_PASS, AFFINITY, FLURRY_PASS], "combined table")
-    placed = [F.col(c) if c in combined.columns else F.lit(None).cast("int").alias(c) for c in ("start", "end")]
+    # from text tables too, places are ordered as numbers
+    placed = [_int(combined, c) if c in combined.columns else F.lit(None).cast("int").alias(c) for c in ("start", "end")]
     rows = combined.where("allele IS NOT NULL AND variant_id IS NOT NULL").select(
         *map(_text, [*GROUPS, "peptide_id"]), filled_mutation(F.col("VR_mutation")).alias("VR_mutation"), *placed,
         _double(combined, EL_RANK), _flag(combined, NET_PASS), _double(combined, AFFINITY), _flag(combined, FLURRY_PASS),

@@ -113,6 +113,19 @@ y AS (SELECT allele, variant_id, 'netMHCpan_net_pass_change' AS outcome, netMHCp
       SELECT allele, variant_id, 'MHCflurry_mean_window_improvement', MHCflurry_mean_window_improvement FROM scores WHERE MHCflurry_mean_window_improvement IS NOT NULL)"""
 
 
+ABS_SCORES = f"""WITH {BOTH}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY allele, variant_id, peptide ORDER BY start) AS rn FROM rows_v) WHERE rn = 1),
+nr AS (SELECT allele, variant_id, n, row_number() OVER (PARTITION BY allele, variant_id ORDER BY n) AS i FROM one WHERE n IS NOT NULL),
+fr AS (SELECT allele, variant_id, f, row_number() OVER (PARTITION BY allele, variant_id ORDER BY f) AS i FROM one WHERE f IS NOT NULL)
+SELECT o.*, round(a.m, 6) AS netMHCpan_mean_top3, round(b.m, 6) AS MHCflurry_mean_top3 FROM (
+  SELECT allele, variant_id, min(VR_mutation) AS VR_mutation, max({COUNT})::bigint AS mutation_count, count(DISTINCT peptide) AS total_epitope_count, count(*) FILTER (WHERE np) AS netMHCpan_passed_count,
+  count(*) FILTER (WHERE fp) AS MHCflurry_passed_count, count(*) FILTER (WHERE bp) AS both_passed_count, count(*) FILTER (WHERE ep) AS either_passed_count,
+  min(n) AS netMHCpan_top_score, min(f) AS MHCflurry_top_score FROM one GROUP BY 1, 2) o
+LEFT JOIN (SELECT allele, variant_id, avg(n) AS m FROM nr WHERE i <= 3 GROUP BY 1, 2) a USING (allele, variant_id)
+LEFT JOIN (SELECT allele, variant_id, avg(f) AS m FROM fr WHERE i <= 3 GROUP BY 1, 2) b USING (allele, variant_id)"""
+WT_SCORES = f"""WITH {BOTH}, {SCORES} SELECT * REPLACE ({rounded('netMHCpan_mean_window_improvement')} AS netMHCpan_mean_window_improvement, {rounded('MHCflurry_mean_window_improvement')} AS MHCflurry_mean_window_improvement),
+({COUNT})::bigint AS mutation_count FROM scores"""
+
+
 def _scale(values: dict[str, float], column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in values.items()) + " END"
 
@@ -158,21 +171,12 @@ CASE WHEN VR_mutation = 'WT' THEN '' ELSE array_to_string(list_sort(string_split
 SELECT allele, VR_mutation, count(*) AS n_rows, count(*) FILTER (WHERE np) AS n_net, count(*) FILTER (WHERE fp) AS n_flurry, count(*) FILTER (WHERE pm <> 'WT') AS n_changed FROM p GROUP BY 1, 2""",
         "screen_mhcii": f"""WITH {FRAG2}, {mhcii()}, {LABELS}, p AS (SELECT *, {PEPTIDE_LABEL} AS pm FROM two LEFT JOIN labels USING (variant_id))
 SELECT allele, VR_mutation, count(*) AS n_rows, count(*) FILTER (WHERE netMHCIIpan_EL_rank_binder) AS n_binder, count(*) FILTER (WHERE pm <> 'WT') AS n_changed FROM p GROUP BY 1, 2""",
-        "abs_scores": f"""WITH {BOTH}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY allele, variant_id, peptide ORDER BY start) AS rn FROM rows_v) WHERE rn = 1),
-nr AS (SELECT allele, variant_id, n, row_number() OVER (PARTITION BY allele, variant_id ORDER BY n) AS i FROM one WHERE n IS NOT NULL),
-fr AS (SELECT allele, variant_id, f, row_number() OVER (PARTITION BY allele, variant_id ORDER BY f) AS i FROM one WHERE f IS NOT NULL)
-SELECT o.*, round(a.m, 6) AS netMHCpan_mean_top3, round(b.m, 6) AS MHCflurry_mean_top3 FROM (
-  SELECT allele, variant_id, min(VR_mutation) AS VR_mutation, max({COUNT})::bigint AS mutation_count, count(DISTINCT peptide) AS total_epitope_count, count(*) FILTER (WHERE np) AS netMHCpan_passed_count,
-  count(*) FILTER (WHERE fp) AS MHCflurry_passed_count, count(*) FILTER (WHERE bp) AS both_passed_count, count(*) FILTER (WHERE ep) AS either_passed_count,
-  min(n) AS netMHCpan_top_score, min(f) AS MHCflurry_top_score FROM one GROUP BY 1, 2) o
-LEFT JOIN (SELECT allele, variant_id, avg(n) AS m FROM nr WHERE i <= 3 GROUP BY 1, 2) a USING (allele, variant_id)
-LEFT JOIN (SELECT allele, variant_id, avg(f) AS m FROM fr WHERE i <= 3 GROUP BY 1, 2) b USING (allele, variant_id)""",
+        "abs_scores": ABS_SCORES,
         "wt_reference": f"""WITH {BOTH.replace(WT_FIXED, WT_SEEN)} SELECT allele, start, "end", k, peptide AS wt_peptide_id, peptide AS wt_peptide, variant_id AS wt_variant_id, n AS "wt_netMHCpan_EL_rank", np AS "wt_netMHCpan_EL_rank_pass",
 f AS "wt_MHCflurry_affinity_percentile", fp AS "wt_MHCflurry_affinity_percentile_pass", bp AS wt_both_pass, ep AS wt_either_pass, (SELECT count(*) FROM frag_wt) AS expected_window_count FROM rows_w""",
         "wt_windows": f"""WITH {BOTH} SELECT allele, variant_id, start, changed AS changed_window, {rounded('ni')} AS netMHCpan_window_improvement, {rounded('fi')} AS MHCflurry_window_improvement,
 bp::int - wbp::int AS both_pass_change_vs_WT, ep::int - wep::int AS either_pass_change_vs_WT FROM rel""",
-        "wt_scores_mhci": f"""WITH {BOTH}, {SCORES} SELECT * REPLACE ({rounded('netMHCpan_mean_window_improvement')} AS netMHCpan_mean_window_improvement, {rounded('MHCflurry_mean_window_improvement')} AS MHCflurry_mean_window_improvement),
-({COUNT})::bigint AS mutation_count FROM scores""",
+        "wt_scores_mhci": WT_SCORES,
         "wt_scores_mhcii": f"""WITH {FRAG2}, {mhcii()}, {mhcii("two_wt", "frag_wt")}, {LABELS},
 rel AS (SELECT v.allele, v.variant_id, VR_mutation, w.peptide AS wp, v.peptide <> w.peptide AS changed, v.netMHCIIpan_EL_rank_binder AS b, w.netMHCIIpan_EL_rank_binder AS wb,
   CASE WHEN v.peptide = w.peptide THEN 0 ELSE w.netMHCIIpan_EL_rank - v.netMHCIIpan_EL_rank END AS i

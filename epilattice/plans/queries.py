@@ -13,7 +13,7 @@ from ..operators import mutations as mu
 from ..operators import scores as sc
 from ..operators.chemistry import physicochemical_models
 from ..operators.combine import combine_predictions, merge_report
-from ..operators.fragments import count_stops, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
+from ..operators.fragments import count_stops, counted_peptides, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
 from ..operators.predictions import keep_lowest, map_predictions, map_stored, pass_report, peptide_allele_pairs, score_peptides
 from ..sources.readers import clean_library
 from ..sources.score_store import ScoreStore
@@ -62,7 +62,7 @@ def stop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long, uneven texts as sequences: how often each 6-mer of the documents occurs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("variant_id"), F.col("text").alias("aa_sequence"))
-    return unique_peptides(fragment(docs, [6]))
+    return counted_peptides(docs, [6])
 
 
 def unique_peptides_q(spark: SparkSession, sf_dir: str) -> DataFrame:

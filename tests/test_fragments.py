@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from epilattice.operators.fragments import count_stops, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
+from epilattice.operators.fragments import count_stops, counted_peptides, drop_stops, fragment, numbered_peptides, peptide_map, unique_peptides
 from epilattice.operators.predictions import ordered_distinct, peptide_allele_pairs, peptides_of
 from epilattice.sources.readers import clean_library, read_fasta, read_library, read_peptide_map, read_table, read_unique_peptides
 from epilattice.sources.writers import write_fragment_tables, write_pair_input, write_peptide_lists
@@ -118,3 +118,16 @@ def test_same_result_for_any_number_of_partitions(spark):
         out.append(sorted(map(tuple, unique_peptides(fragment(rows.repartition(n), [4])).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("mode", [None, "overlap", "contained"])
+def test_windows_counted_in_tasks(spark, mode):
+    """The same counts as from rows of windows; short, empty and missing sequences, a k listed twice, characters beyond ASCII."""
+    rows = [("a", "ABCDEFGABCDEFG" * 3), ("b", "ABC"), ("c", ""), ("d", None), ("e", "äöü€𝄞" * 5), ("f", "ABCDEFGH")]
+    library = spark.createDataFrame(rows, "variant_id string, aa_sequence string")
+    for kmers in ([3], [2, 4], [3, 3]):
+        want = {(r.peptide, r.k): r.occurrence_count for r in unique_peptides(fragment(library, kmers, (4, 6), mode)).collect()}
+        got = [(r.peptide, r.k, r.occurrence_count) for r in counted_peptides(library, kmers, (4, 6), mode).collect()]
+        assert {(p, k): n for p, k, n in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        counted_peptides(library, [0])

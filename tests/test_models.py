@@ -200,3 +200,30 @@ def test_bitmaps_give_the_normal_equations(spark, rows, monkeypatch):
     assert all(got[k][0] == n and (k[3] or got[k][1] == pytest.approx(t)) for k, (n, t) in want.items())
     bitmaps = mu.mutation_bitmaps(scores, ["o1", "o2"]).collect()
     assert len({(r.allele, r.bucket) for r in bitmaps}) == (3 if rows > 180 else 27)
+
+
+@pytest.mark.parametrize("alleles, mutations", [(128, 2048), (4, 3)])
+def test_correlation_by_blocks(spark, alleles, mutations, monkeypatch):
+    """Against pandas over common mutations, in one block and in many; what is missing, alone, constant or repeated."""
+    monkeypatch.setattr(mu, "ALLELE_BLOCK", alleles)
+    monkeypatch.setattr(mu, "MUTATION_BLOCK", mutations)
+    rng = np.random.default_rng(6)
+    rows = [(o, f"a{i}", f"m{k}", float(v)) for o in ("o1", "o2") for i in range(9) for k in range(10) if rng.random() < 0.7 for v in [rng.normal() + 1000]]
+    rows += [("o1", "flat", f"m{k}", 5.0) for k in range(6)] + [("o1", "few", "m1", 1.0), ("o2", "few", "other", 1.0), ("o1", "a0", "m0", None)]
+    schema = "outcome string, allele string, mutation string, full_data_coefficient double"
+    out = mu.allele_correlation(spark.createDataFrame(rows + rows[:3], schema))
+    got = {(r.outcome, r.allele_a, r.allele_b): (r.n_common, r.pearson_r) for r in out.collect()}
+    table = pd.DataFrame(rows, columns=["o", "a", "m", "x"]).dropna()
+    want = {}
+    for o, own in table.groupby("o"):
+        wide = own.pivot_table(index="m", columns="a", values="x")
+        for a in wide:
+            for b in wide:
+                both = wide[[a]].join(wide[[b]], rsuffix="_").dropna() if a != b else wide[[a, a]].dropna()
+                if len(both):
+                    x, y = both.iloc[:, 0].to_numpy(), both.iloc[:, 1].to_numpy()
+                    want[o, a, b] = (len(both), np.corrcoef(x, y)[0, 1] if len(both) >= 3 and x.std() > 0 and y.std() > 0 else None)
+    assert got.keys() == want.keys()
+    for k, (n, r) in want.items():
+        assert got[k][0] == n and (got[k][1] is None) == (r is None) and (r is None or got[k][1] == pytest.approx(r, abs=1e-6))
+    assert mu.allele_correlation(spark.createDataFrame([], schema)).count() == 0
