@@ -353,7 +353,7 @@ def allele_correlation(coefficients: DataFrame, least: int = 3) -> DataFrame:
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     level = lambda v, ss: v > 1e-12 * F.col("n") * F.greatest(F.col(ss), F.lit(1e-300))
     r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(F.when(level(vx, "sxx"), vx)) * F.sqrt(F.when(level(vy, "syy"), vy)))
-    return s.select("outcome", "allele_a", "allele_b", F.col("n").alias("n_common"), F.when(F.col("n") >= least, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("pearson_r"))
+    return s.select("outcome", "allele_a", "allele_b", F.col("n").alias("n_common"), F.when((F.col("n") >= least) & r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("pearson_r"))
 
 
 EFFECT_KEYS = ["outcome", "mutation", "wt_aa", "mutant_aa", "position_relative", "position_absolute", "hydrophobicity_change", "volume_change", "charge_change"]
