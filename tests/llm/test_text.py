@@ -368,23 +368,55 @@ def test_language_filter_against_brute_force(spark, monkeypatch):
     want = {}
     for k, lang in enumerate(sorted(spoken)):
         for g, n in counts[lang].items():
-            if n >= 3 and rate[lang][g] >= 0.5 * max(x.get(g, 0) for x in rate.values()):
+            if rate[lang][g] >= 0.5 * max(x.get(g, 0) for x in rate.values()):
                 want.setdefault(code(g), [0, 0])[k // 64] |= 1 << k % 64
     got = {x.h % 2**64: [m % 2**64 for m in x.masks] for x in members.collect()}
     assert languages == sorted(spoken) and got == want
     model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
     asked = np.array([*want, *(r.getrandbits(64) for _ in range(20000))], np.uint64)
-    masks = model.masks(asked)
-    assert all([int(a) & int(b) == int(b) for a, b in zip(m, w)] == [True, True] for m, w in zip(masks, want.values()))  # none is lost
+    packed = lambda grams, model: sum(language.masks_of(model.slice(i), grams, model.bits, i) for i in range(model.slices))
+    masks = packed(asked, model)
+    plain = np.array([[x >> 8 * b & 255 for x in w for b in range(8)] for w in want.values()], np.uint8)[:, : model.width]
+    assert (masks[: len(want)] & plain == plain).all()  # none is lost
     for k in (0, 33, 69):  # false positives come at the rate that is taken off
-        assert model._bit(masks[len(want) :], k).mean() == pytest.approx(model.false_rate[k], abs=0.005)
+        assert language._bit(masks[len(want) :], k).mean() == pytest.approx(model.false_rate[k], abs=0.005)
     text = rows[0][0]
-    hits = [model._bit(model.masks(np.array([code(g) for g in grams_of(text)], np.uint64)), k).mean() for k in range(70)]
+    hits = [language._bit(packed(np.array([code(g) for g in grams_of(text)], np.uint64), model), k).mean() for k in range(70)]
     scores = [max(0, (h - f) / (1 - f)) for h, f in zip(hits, model.false_rate)]
     out = language.identify(spark.createDataFrame([(text,)], "text string"), model).first()
     assert out.lang_pred == languages[int(np.argmax(scores))] and out.score == pytest.approx(max(scores))
 
 
+def test_language_of_one_text_is_learned(spark):
+    """A language with a single text, whose n-grams come once each, is predicted all the same."""
+    rows = [(f"the dog {i} is in the house and the garden of number {i}", "en") for i in range(300)] + [("kissa istuu ikkunalla", "fi")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    out = language.identify(spark.createDataFrame([("kissa ikkunalla",), ("the garden",)], "text string"), model).collect()
+    assert [x.lang_pred for x in out] == ["fi", "en"]
+
+
+def test_language_filter_in_slices(spark, monkeypatch):
+    """A filter too large for one slice is asked in several passes, with the same members and fitting answers."""
+    r = random.Random(5)
+    spoken = {lang: ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(40)] for lang, letters in (("a", "abcdefghé"), ("b", "fghijklmü"), ("c", "acegikmoø"))}
+    rows = [(" ".join(r.choice(own) for _ in range(30)), lang) for lang, own in spoken.items() for _ in range(20)]
+    training = spark.createDataFrame(rows, "text string, lang string")
+    asked = spark.createDataFrame([(i, t, "kept") for i, (t, _) in enumerate(rows)] + [(900, None, "kept"), (901, "42", "kept"), (902, "", None)], "doc_id long, text string, _hits string")
+    whole = language.fit(training)
+    monkeypatch.setattr(language, "SLICE_BYTES", 2048)
+    monkeypatch.setattr(language, "BLOCK_BITS", 8)
+    cut = language.fit(training)
+    assert whole.slices == 1 and cut.slices > 2 and cut.bits == whole.bits
+    assert sum(cut.slice(i).any(axis=1).sum() for i in range(cut.slices)) == pytest.approx(whole.slice(0).any(axis=1).sum(), rel=0.05)
+    out = language.identify(asked, cut)
+    assert out.columns == ["doc_id", "text", "_hits", "lang_pred", "score"]
+    own, other = ({x.doc_id: x for x in df.collect()} for df in (out, language.identify(asked, whole)))
+    assert len(own) == len(rows) + 3 and all(own[i].lang_pred == lang for i, (_, lang) in enumerate(rows))
+    assert all(own[i].lang_pred == x.lang_pred and own[i]._hits == x._hits and own[i].score == pytest.approx(x.score, abs=0.05) for i, x in other.items())
+    named = asked.withColumn("lang", F.lit("a"))
+    assert language.keep_known(named).columns == named.columns and language.keep_known(named).count() == len(rows)
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
