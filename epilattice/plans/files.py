@@ -14,7 +14,8 @@ from ..operators.checks import check_alleles
 from ..operators.fragments import drop_stops, fragment, peptide_map, unique_peptides
 from ..operators.predictions import peptide_allele_pairs, rename_alleles
 from ..operators.scores import FLURRY_PASS, NET_PASS, absolute_scores, prepare_windows, wt_scores_mhci
-from ..sources.readers import read_fasta, read_library, read_long_predictions, read_peptide_map, read_scores, read_table, read_unique_peptides, read_wide_mhci, read_wide_mhcii
+from ..sources.predictor_files import register_sources
+from ..sources.readers import read_fasta, read_library, read_long_predictions, read_peptide_map, read_scores, read_table, read_unique_peptides, read_wide_mhci, read_wide_mhcii, tidy_scores
 from ..sources.settled import shared_dir
 from ..sources.writers import write_by_allele, write_fragment_tables, write_models, write_pair_input, write_peptide_lists, write_table
 from . import fixtures as fx
@@ -26,6 +27,11 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _source(spark: SparkSession, kind: str, path: str, **options: str) -> DataFrame:
+    register_sources(spark)
+    return spark.read.format(kind).options(path=path, **options).load()
+
+
 def _pairs(spark: SparkSession, sf_dir: str, k: int, alleles: list[str]) -> DataFrame:
     own = fragment(drop_stops(fx.library(spark, sf_dir), fx.REGION), [k], fx.REGION, "overlap")
     return peptide_allele_pairs(unique_peptides(own), alleles)
@@ -49,10 +55,18 @@ def _wide(predictions: DataFrame, alleles: list[str], before: list[str], cells:
     return by.select(F.concat_ws("\t", F.lit("0"), "peptide", *map(F.lit, before), *[f"_{i}" for i in range(len(alleles))]).alias("value"))
 
 
-def file_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written_fasta(spark: SparkSession, sf_dir: str) -> str:
     lines = F.concat(F.lit(">"), "variant_id", F.lit(" customer "), "criteria", F.lit("\n"), F.substring("aa_sequence", 1, 30), F.lit("\n"), F.substring("aa_sequence", 31, 1000))
     fx.library(spark, sf_dir).select(lines.alias("value")).write.text(path := _folder(spark, "fasta"))
-    return read_fasta(spark, path)
+    return path
+
+
+def file_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_fasta(spark, _written_fasta(spark, sf_dir))
+
+
+def source_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source(spark, "fasta", _written_fasta(spark, sf_dir))
 
 
 def file_library(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,22 +82,43 @@ def file_long_mhci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_long_predictions(spark, path)
 
 
-def file_wide_mhci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written_mhci(spark: SparkSession, sf_dir: str) -> str:
     alleles = ["H-2-Db", "H-2-Kb"]
     rows = fx.net_predictions(_pairs(spark, sf_dir, 9, alleles)).withColumns({"core": F.lit("c"), "icore": F.lit("i")})
     head = "\t".join(["Pos", "Peptide", "ID", *["core", "icore", "EL_score", "EL_rank"] * 2])
     lines = _wide(rows, alleles, ["P"], ["core", "icore", "netMHCpan_EL_score", "netMHCpan_EL_rank"])
     _with_header(lines, ["# written by a test", "\t\t\tH-2-Db\t\t\t\tH-2-Kb", head]).write.text(path := _folder(spark, "wide"))
-    return read_wide_mhci(spark, path).drop("netMHCpan_BA_score", "netMHCpan_BA_rank")
+    return path
 
 
-def file_wide_mhcii(spark: SparkSession, sf_dir: str) -> DataFrame:
+def file_wide_mhci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_wide_mhci(spark, _written_mhci(spark, sf_dir)).drop("netMHCpan_BA_score", "netMHCpan_BA_rank")
+
+
+def source_wide_mhci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source(spark, "wide_mhci", _written_mhci(spark, sf_dir)).drop("netMHCpan_BA_score", "netMHCpan_BA_rank")
+
+
+def source_one_allele(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One allele's scores: the filter reaches the source, which parses only that allele's cells."""
+    return source_wide_mhci(spark, sf_dir).where("allele = 'H-2-Kb'")
+
+
+def _written_mhcii(spark: SparkSession, sf_dir: str) -> str:
     alleles = ["H-2-IAb", "H-2-IAd"]
     rows = fx.mhcii_predictions(_pairs(spark, sf_dir, 15, alleles))
     head = "\t".join(["Pos", "Peptide", "ID", "Target", *["Core", "Inverted", "Score_EL", "Rank_EL"] * 2])
     lines = _wide(rows, alleles, ["P", "NA"], ["netMHCIIpan_core", "netMHCIIpan_inverted", "netMHCIIpan_EL_score", "netMHCIIpan_EL_rank"])
     _with_header(lines, ["\t\t\t\tH-2-IAb\t\t\t\tH-2-IAd", head]).write.text(path := _folder(spark, "wide2"))
-    return read_wide_mhcii(spark, path)
+    return path
+
+
+def file_wide_mhcii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_wide_mhcii(spark, _written_mhcii(spark, sf_dir))
+
+
+def source_wide_mhcii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _source(spark, "wide_mhcii", _written_mhcii(spark, sf_dir))
 
 
 def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +130,7 @@ def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.join(peptides, "peptide_id").select("peptide_id", "peptide", "k", "occurrence_count", "variant_id", "start", "end", "criteria")
 
 
-def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written_scores(spark: SparkSession, sf_dir: str) -> str:
     """Score tables of single alleles whose columns stand in different orders, one of them without an outcome."""
     vr = vr_slice(F.col("aa_sequence"), *fx.REGION)
     rows = fx.library(spark, sf_dir).select("variant_id", mutation_string(vr, F.lit(fx.VR)).alias("VR_mutation"))
@@ -103,7 +138,15 @@ def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     for allele, columns in (("A", ["allele", "variant_id", "VR_mutation", "o1", "o2"]), ("B", ["o2", "o1", "VR_mutation", "allele", "variant_id"]), ("C", ["VR_mutation", "allele", "o2", "variant_id"])):
         own = rows.withColumn("allele", F.lit(allele)).withColumns({c: fx.hashed_score(c, F.col("allele"), F.col("variant_id")) for c in ("o1", "o2")})
         write_table(own.select(*columns).coalesce(1), f"{path}/run_{allele}", "tsv")  # a run leaves one file for an allele
-    return read_scores(spark, [path], ["o1", "o2"], "part-*")
+    return path
+
+
+def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_scores(spark, [_written_scores(spark, sf_dir)], ["o1", "o2"], "part-*")
+
+
+def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy_scores(_source(spark, "allele_scores", _written_scores(spark, sf_dir), outcomes="o1,o2", pathGlobFilter="part-*"), ["o1", "o2"])
 
 
 def _as_text(rows: DataFrame) -> DataFrame:
@@ -145,7 +188,7 @@ def file_wt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(wt_scores_mhci(tables[0], wild), "netMHCpan_mean_window_improvement", "MHCflurry_mean_window_improvement")
 
 
-def file_scores_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written_repeated(spark: SparkSession, sf_dir: str) -> str:
     """Score tables in which each variant comes again, with labels that sort later."""
     vr = vr_slice(F.col("aa_sequence"), *fx.REGION)
     rows = fx.library(spark, sf_dir).select("variant_id", mutation_string(vr, F.lit(fx.VR)).alias("VR_mutation"))
@@ -154,7 +197,15 @@ def file_scores_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = rows.withColumn("allele", F.lit(allele)).withColumns({c: fx.hashed_score(c, F.col("allele"), F.col("variant_id")) for c in ("o1", "o2")})
         again = own.withColumns({"VR_mutation": F.concat(F.lit("~"), "VR_mutation"), "o1": F.lit(-1.0), "o2": F.lit(-1.0)})
         write_table(own.unionByName(again).coalesce(1), f"{path}/run_{allele}", "tsv")  # a run leaves one file for an allele
-    return read_scores(spark, [path], ["o1", "o2"], "part-*")
+    return path
+
+
+def file_scores_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_scores(spark, [_written_repeated(spark, sf_dir)], ["o1", "o2"], "part-*")
+
+
+def source_scores_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy_scores(_source(spark, "allele_scores", _written_repeated(spark, sf_dir), outcomes="o1,o2", pathGlobFilter="part-*"), ["o1", "o2"])
 
 
 def sink_pair_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +280,12 @@ QUERIES = {
     "file_wide_mhcii": file_wide_mhcii,
     "file_fragments": file_fragments,
     "file_scores": file_scores,
+    "source_fasta": source_fasta,
+    "source_wide_mhci": source_wide_mhci,
+    "source_one_allele": source_one_allele,
+    "source_wide_mhcii": source_wide_mhcii,
+    "source_scores": source_scores,
+    "source_scores_repeated": source_scores_repeated,
 }
 
 UNIQUE = f"WITH {o.FRAG}, u AS (SELECT DISTINCT peptide FROM frag)"
@@ -260,3 +317,6 @@ SELECT 'pep_' || peptide AS peptide_id, peptide, k, occurrence_count, variant_id
     "file_scores": f"""WITH {o.LIBRARY}, {o.LABELS} SELECT allele, variant_id, VR_mutation, CASE WHEN allele <> 'C' THEN {fx.duck_score('o1', 'allele', 'variant_id')} END AS o1, {fx.duck_score('o2', 'allele', 'variant_id')} AS o2
 FROM labels, {fx.duck_alleles(['A', 'B', 'C'])}""",
 }
+# the data sources give what the readers give
+ORACLES |= {f"source_{name}": ORACLES[f"file_{name}"] for name in ("fasta", "wide_mhci", "wide_mhcii", "scores", "scores_repeated")}
+ORACLES["source_one_allele"] = f"SELECT * FROM ({ORACLES['file_wide_mhci']}) WHERE allele = 'H-2-Kb'"

@@ -158,9 +158,14 @@ def read_scores(spark: SparkSession, paths: Sequence[str], outcomes: Sequence[st
     df = _by_name(spark, paths, "\t", glob=file_name)
     df = df.where(~F.col("_file").rlike(r"_combined/[^/]*$"))
     require_columns(df, ["allele", "variant_id", "VR_mutation"], "score tables")
-    there = [o for o in outcomes if o in df.columns]
-    if not there:
+    if not any(o in df.columns for o in outcomes):
         raise ValueError(f"none of the outcomes {list(outcomes)} is in the score tables")
+    return tidy_scores(df, outcomes)
+
+
+def tidy_scores(df: DataFrame, outcomes: Sequence[str]) -> DataFrame:
+    """Rows of score tables as text, with their _file, checked and read as read_scores says."""
+    there = [o for o in outcomes if o in df.columns]
     held = df.groupBy("_file").agg(F.min("allele").alias("a"), F.max("allele").alias("b"))
     several = [r[0] for r in held.where("a <> b OR a IS NULL").limit(10).collect()]
     twice = [r[0] for r in held.groupBy("a").count().where("count > 1").limit(10).collect()]
