@@ -13,7 +13,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settle
@@ -79,6 +79,21 @@ def second_hash(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return hashed(at, at + width, prefix(other, BASES[0]), BASES[0])
 
 
+def same_windows(at: np.ndarray, code: np.ndarray, pos: pa.Array, found: pa.Array) -> np.ndarray:
+    """Which of a text's windows, at ascending places with these hashes, are among (pos, found)."""
+    out = np.zeros(len(at), bool)
+    if len(at):
+        pos, found = pos.to_numpy(), found.to_numpy().view(np.uint64)
+        near = np.minimum(np.searchsorted(at, pos), len(at) - 1)
+        out[near[(at[near] == pos) & (code[near] == found)]] = True
+    return out
+
+
+def row_name() -> Column:
+    """A row's name between passes. Rows of one name get each other's cleared windows, which are told by their hashes."""
+    return F.xxhash64("doc_id", "text")
+
+
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, cell_bits: int = BITS) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_words, n_removed, kept (the words left, one space apart).
 
@@ -88,7 +103,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, cell_bits: int = BITS)
     the sketch's size: a small one only suspects more windows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_rk"))
+    docs = docs.select("doc_id", "text", row_name().alias("_rk"))
     parts = docs.select("text").mapInArrow(count_anchors(width, cell_bits), "block int, cells binary")
     bits = spark.sparkContext.broadcast(np.packbits(merged_sketch(parts, ROWS, cell_bits, 2) >= 2, axis=1))
 
@@ -108,7 +123,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, cell_bits: int = BITS)
     cleared = (
         docs.select("_rk", "text").mapInArrow(emit, "a long, b long, _rk long, pos int")
         .groupBy("a", "b").agg(F.count("*").alias("n"), F.min("_rk").alias("_rk"), F.min("pos").alias("pos"))
-        .where("n = 1").groupBy("_rk").agg(F.collect_list("pos").alias("cleared"))
+        .where("n = 1").groupBy("_rk").agg(F.collect_list(F.struct("pos", "a")).alias("cleared"))
     )
     cleared = settle(cleared)
 
@@ -118,13 +133,14 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, cell_bits: int = BITS)
             ids, n_words, n_removed, kept = batch.column("doc_id"), [], [], []
             for row, data, offs in steps(texts):
                 starts, ends, h, first = words(data, offs)
-                at, _ = suspects(h, first, width, bits.value)
+                at, code = suspects(h, first, width, bits.value)
                 mark = np.zeros(len(h) + 1, np.int32)
-                ok = np.zeros(len(h), bool)
+                repeated = np.ones(len(at), bool)
                 for i in range(len(first) - 1):
                     if free[row + i].is_valid:
-                        ok[first[i] + np.asarray(free[row + i].values)] = True
-                at = at[~ok[at]]
+                        own = slice(*np.searchsorted(at, first[i : i + 2]))
+                        repeated[own] = ~same_windows(at[own] - first[i], code[own], *free[row + i].values.flatten())
+                at = at[repeated]
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + width, -1)
                 stay = np.cumsum(mark[:-1]) == 0

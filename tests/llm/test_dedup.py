@@ -288,6 +288,22 @@ def test_substrings(spark, width):
     assert substrings.dedup_substrings(frame(spark, []), width, 12).count() == 0
 
 
+def test_substrings_of_rows_with_one_name(spark, monkeypatch):
+    """Rows whose names collide clear only windows of their own."""
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for i in range(40):
+        own = [f"w{i}x{r.randint(0, 9)}{j}" for j in range(r.randint(0, 40))]
+        at = r.randint(0, len(own))
+        rows.append((i, " ".join(own[:at] + passage + own[at:] if i % 3 == 0 else own)))
+    rows += [(50, None), (51, ""), (52, rows[1][1])]
+    plain = sorted(map(tuple, substrings.dedup_substrings(frame(spark, rows), 6, 6).collect()))
+    assert sum(x[2] for x in plain) >= 12 * 14
+    monkeypatch.setattr(substrings, "row_name", lambda: F.lit(7).cast("long"))
+    assert sorted(map(tuple, substrings.dedup_substrings(frame(spark, rows), 6, 6).collect())) == plain
+
+
 def line_truth(rows):
     keys = sorted({x for _, t in rows if t for x in t.split("\n") if x.strip(" ")})
     sets = [{k[i : i + 5] for i in range(max(1, len(k) - 4))} for k in keys]
