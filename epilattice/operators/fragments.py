@@ -147,5 +147,6 @@ def numbered_peptides(fragments: DataFrame, order: Sequence[str], kmers: Sequenc
 def peptide_map(fragments: DataFrame, peptides: DataFrame) -> DataFrame:
     """Every occurrence with its peptide_id: peptide_id, variant_id, start, end, metadata..."""
     metadata = [c for c in fragments.columns if c not in ("variant_id", "k", "peptide", "start", "end")]
-    joined = fragments.join(peptides.select("peptide_id", "peptide", "k"), ["peptide", "k"])
+    # windows are reckoned as small as their sequences, and would be collected for a broadcast
+    joined = fragments.hint("merge").join(peptides.select("peptide_id", "peptide", "k"), ["peptide", "k"])
     return joined.select("peptide_id", "variant_id", "start", "end", *metadata)

@@ -76,8 +76,8 @@ def map_predictions(predictions: DataFrame, peptides: DataFrame, fragments: Data
         scored = watch.forbid(scored, F.col("occurrence_count").isNull(), "predicted peptides that are not in the library", ["allele", "peptide"])
         scored = scored if how == "left" else scored.where("occurrence_count IS NOT NULL")
     scored = _passed(scored, flags)
-    # a peptide of the wild type is in most variants: an inner join can be split by its hot keys, or made by broadcast,
-    # which an outer one can't; predictions without an occurrence are added apart
+    # a peptide of the wild type is in most variants: an inner join can be split by its hot keys, which an outer one
+    # can't; predictions without an occurrence are added apart
     out = salted_join(scored, fragments, ["peptide", "k"], hot, ["variant_id", "start"])
     if how == "left":
         alone = scored.join(fragments.select("peptide", "k").distinct(), ["peptide", "k"], "left_anti")

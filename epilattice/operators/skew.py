@@ -48,10 +48,14 @@ def _pieces(hot: Mapping[str, int], key: Column) -> Column:
 def salted_join(small: DataFrame, large: DataFrame, on: Sequence[str], hot: Mapping[str, int], spread: Sequence[str]) -> DataFrame:
     """Inner join on `on`, the first of which is the key that `hot` tells of. A hot key's rows of the large side are
     dealt by the hash of `spread`, and its rows of the small side are repeated for each piece; all others are joined as
-    they are."""
+    they are.
+
+    Spark reckons windows as small as the sequences from which they are generated, and would collect them for a
+    broadcast: hence the hint. The large side streams, so what is buffered for a key are the small side's few rows."""
+    large = large.hint("merge")
     if not hot:
-        return small.join(large, list(on))
+        return large.join(small, list(on))
     pieces = _pieces(hot, F.col(on[0]))
     dealt = large.withColumn("_piece", F.when(pieces > 1, F.pmod(F.xxhash64(*spread), pieces)).otherwise(0).cast("int"))
     repeated = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return repeated.join(dealt, [*on, "_piece"]).drop("_piece")
+    return dealt.join(repeated, [*on, "_piece"]).drop("_piece")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.annotate import inferred_wt
+from ..sources.settled import settle
 
 LEFT, VR, RIGHT = "MAADGYLPDWLEDTLSEGIR", "SHKEGEDRFFPLSGSLI", "QWWKLKPGPPPPKPAERHKD"
 REGION = (21, 37)
@@ -32,14 +33,19 @@ def mutated(key: Column) -> Column:
 
 
 def library(spark: SparkSession, sf_dir: str, table: str = "customer", key: str = "c_custkey", metadata: str | None = "c_mktsegment") -> DataFrame:
-    """variant_id, aa_sequence, criteria. Every fiftieth variant has a stop codon at the region's start."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """variant_id, aa_sequence, criteria. Every fiftieth variant has a stop codon at the region's start.
+
+    Keys are dealt first, as a table of few row groups is read by few tasks. The library is settled: else its sequences
+    would be derived anew for each expression that uses one, and by each reading.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, *[metadata] * bool(metadata))
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, key)
     sequence = mutated(F.col(key))
     stopped = F.concat(F.lit(LEFT + "*"), F.substring(sequence, len(LEFT) + 2, len(WT)))
-    return rows.select(
+    return settle(rows.select(
         F.col(key).cast("string").alias("variant_id"), F.when(F.col(key) % 50 == 0, stopped).otherwise(sequence).alias("aa_sequence"),
         (F.col(metadata) if metadata else F.lit("")).alias("criteria"),
-    )
+    ))
 
 
 def wt_library(spark: SparkSession) -> DataFrame:

@@ -30,8 +30,12 @@ def kept_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_stops(fx.library(spark, sf_dir), fx.REGION)
 
 
+def windows_of(library: DataFrame, k: int = K) -> DataFrame:
+    return fragment(drop_stops(library, fx.REGION), [k], fx.REGION, "overlap")
+
+
 def fragments(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return fragment(kept_library(spark, sf_dir), [k], fx.REGION, "overlap")
+    return windows_of(fx.library(spark, sf_dir), k)
 
 
 def library_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +151,9 @@ def pass_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both predictors' whole tables, mapped and combined. Each lacks what the derived tables give it no score for
     (hashes of allele and peptide, others for each predictor), as a predictor lacks peptides it can't score."""
-    net = mapped_net(spark, sf_dir).where("netMHCpan_EL_rank IS NOT NULL")
-    flurry = mapped_flurry(spark, sf_dir).where("MHCflurry_affinity_percentile IS NOT NULL")
+    own = fragments(spark, sf_dir)
+    net = mapped_net(spark, sf_dir, own).where("netMHCpan_EL_rank IS NOT NULL")
+    flurry = mapped_flurry(spark, sf_dir, own).where("MHCflurry_affinity_percentile IS NOT NULL")
     return combine_predictions(net, flurry, ["criteria"])
 
 
@@ -170,7 +175,8 @@ def infer_wt_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peptide_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = an.annotate(fragments(spark, sf_dir), fx.library(spark, sf_dir), fx.REGION, fx.VR)
+    library = fx.library(spark, sf_dir)
+    rows = an.annotate(windows_of(library), library, fx.REGION, fx.VR)
     return rows.select("variant_id", "start", "VR_mutation", "peptide_mutation")
 
 
@@ -184,21 +190,22 @@ def combined(spark: SparkSession, sf_dir: str, wt: bool = False) -> DataFrame:
 
 
 def _screened(library: DataFrame, alleles: list[str] = fx.ALLELES) -> DataFrame:
-    own = fragment(drop_stops(library, fx.REGION), [K], fx.REGION, "overlap")
-    pairs = peptide_allele_pairs(unique_peptides(own), alleles)
+    pairs = peptide_allele_pairs(unique_peptides(windows_of(library)), alleles)
     rows = screen_mhci(library, fx.net_predictions(pairs), fx.flurry_predictions(pairs), [K], fx.REGION, wt_vr=fx.VR)
     return rows.withColumn("peptide_id", F.col("peptide"))
 
 
 def screen_mhci_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = peptide_allele_pairs(unique_peptides(fragments(spark, sf_dir)), fx.ALLELES)
-    out = screen_mhci(fx.library(spark, sf_dir), fx.net_predictions(pairs), fx.flurry_predictions(pairs), [K], fx.REGION, wt_vr=fx.VR)
+    library = fx.library(spark, sf_dir)
+    pairs = peptide_allele_pairs(unique_peptides(windows_of(library)), fx.ALLELES)
+    out = screen_mhci(library, fx.net_predictions(pairs), fx.flurry_predictions(pairs), [K], fx.REGION, wt_vr=fx.VR)
     return out.groupBy("allele", "VR_mutation").agg(F.count("*").alias("n_rows"), F.count_if(sc.NET_PASS).alias("n_net"), F.count_if(sc.FLURRY_PASS).alias("n_flurry"), F.count_if(F.col("peptide_mutation") != "WT").alias("n_changed"))
 
 
 def screen_mhcii_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = peptide_allele_pairs(unique_peptides(fragments(spark, sf_dir, K2)), fx.ALLELES_2)
-    out = screen_mhcii(fx.library(spark, sf_dir), fx.mhcii_predictions(pairs), [K2], fx.REGION, wt_vr=fx.VR)
+    library = fx.library(spark, sf_dir)
+    pairs = peptide_allele_pairs(unique_peptides(windows_of(library, K2)), fx.ALLELES_2)
+    out = screen_mhcii(library, fx.mhcii_predictions(pairs), [K2], fx.REGION, wt_vr=fx.VR)
     return out.groupBy("allele", "VR_mutation").agg(F.count("*").alias("n_rows"), F.count_if(sc.BINDER).alias("n_binder"), F.count_if(F.col("peptide_mutation") != "WT").alias("n_changed"))
 
 
@@ -237,7 +244,8 @@ def wt_scores_mhci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wt_scores_mhcii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = an.annotate(mapped_mhcii(spark, sf_dir), fx.library(spark, sf_dir), fx.REGION, fx.VR)
+    library = fx.library(spark, sf_dir)
+    rows = an.annotate(mapped_mhcii(spark, sf_dir, windows_of(library, K2)), library, fx.REGION, fx.VR)
     wt = mapped_mhcii(spark, sf_dir, fragment(fx.wt_library(spark), [K2], fx.REGION, "overlap"))
     out = sc.wt_scores_mhcii(rows, an.annotate(wt, fx.wt_library(spark), fx.REGION, fx.VR))
     return _rounded(out, "netMHCIIpan_mean_window_improvement")

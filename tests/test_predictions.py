@@ -5,8 +5,9 @@ from epilattice.functions.labels import count_mutations, decoded_boolean, lenien
 from epilattice.operators.annotate import annotate, inferred_wt
 from epilattice.operators.checks import check_alleles
 from epilattice.operators.combine import combine_predictions, combine_scores, merge_report
-from epilattice.operators.fragments import fragment, unique_peptides
+from epilattice.operators.fragments import fragment, peptide_map, unique_peptides
 from epilattice.operators.predictions import keep_lowest, keep_lowest_ranked, map_predictions, pass_report, rename_alleles, score_peptides
+from epilattice.plans import fixtures as fx
 from epilattice.sources.readers import read_long_predictions, read_wide_mhci, read_wide_mhcii
 
 
@@ -147,3 +148,19 @@ def test_many_alleles(spark):
     check_alleles(some, [f"a{i}" for i in range(10_050)])
     with pytest.raises(ValueError, match="unexpected"):
         check_alleles(some, [f"a{i}" for i in range(10_049)])
+
+
+def test_windows_are_not_broadcast(spark):
+    # windows are generated, so Spark reckons them as small as the sequences
+    own = fragment(spark.createDataFrame([("v", "ACDEFGHIKL")], "variant_id string, aa_sequence string"), [3])
+    predictions = spark.createDataFrame([("a", "ACD", 1.0)], "allele string, peptide string, score double")
+    out = map_predictions(predictions, unique_peptides(own), own, {}, how="inner")
+    assert "SortMergeJoin" in out._jdf.queryExecution().sparkPlan().toString() and out.count() == 1
+    ids = unique_peptides(own).withColumn("peptide_id", F.col("peptide"))
+    assert "SortMergeJoin" in peptide_map(own, ids)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_library_is_derived_once_and_dealt(spark, tmp_path):
+    spark.range(1, 400).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    own = fx.library(spark, str(tmp_path))
+    assert "md5" not in own._jdf.queryExecution().optimizedPlan().toString() and len(own.inputFiles()) > 1 and own.count() == 399
