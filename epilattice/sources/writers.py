@@ -12,8 +12,12 @@ from ..operators.predictions import peptide_allele_pairs
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), sort: Sequence[str] = ()) -> None:
-    """Parquet, or tab-separated text with a header; sorted globally, nulls last, only if asked."""
+    """Parquet, or tab-separated text with a header; sorted globally, nulls last, only if asked.
+
+    Spark sorts a task's rows by folder. So rows are rebalanced by folder first: a task gets those of few folders, of
+    adaptive execution's advisory size, whatever the table's."""
     df = df.orderBy(*[F.asc_nulls_last(c) for c in sort]) if sort else df
+    df = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by and not sort else df
     writer = df.write.mode("overwrite")
     writer = writer.partitionBy(*partition_by) if partition_by else writer
     if fmt == "parquet":
