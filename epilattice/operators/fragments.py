@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.settled import settle
 
@@ -126,9 +127,17 @@ def numbered_peptides(fragments: DataFrame, order: Sequence[str], kmers: Sequenc
 
     order names columns that fix the order of the library's rows; within a row the ks go as listed and windows by
     start. Ranks are dealt by range: only the number of peptides of each range reaches the driver.
+
+    The least of structs takes a sort of all windows. If one number orders the rows, its least at each start is found
+    first, by hashing, and only those are compared as structs.
     """
     turn = F.array_position(F.array(*map(F.lit, kmers)), F.col("k"))
-    seen = fragments.groupBy("peptide", "k").agg(F.count("*").alias("occurrence_count"), F.min(F.struct(*order, turn.alias("_k"), "start")).alias("_at"))
+    windows = fragments.withColumn("_one", F.lit(1).cast("long"))
+    if len(order) == 1 and isinstance(fragments.schema[order[0]].dataType, T.IntegralType):
+        windows = windows.groupBy("peptide", "k", "start").agg(F.sum("_one").alias("_one"), F.count_if(F.col(order[0]).isNull()).alias("_null"), F.min(order[0]).alias(order[0]))
+        # null comes first
+        windows = windows.withColumn(order[0], F.when(F.col("_null") == 0, F.col(order[0])))
+    seen = windows.groupBy("peptide", "k").agg(F.sum("_one").alias("occurrence_count"), F.min(F.struct(*order, turn.alias("_k"), "start")).alias("_at"))
     spark = fragments.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # range partitions are settled before they are counted, so both readings see the same ones

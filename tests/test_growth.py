@@ -7,6 +7,16 @@ from epilattice.operators import mutations as mu
 from epilattice.sources.writers import write_by_allele, write_models
 
 
+def test_numbering_hashes_windows(spark, monkeypatch):
+    plans, settle = [], fr.settle
+    monkeypatch.setattr(fr, "settle", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or settle(df))
+    rows = spark.createDataFrame([(2, "2", "ABAB"), (1, "1", "BAC"), (None, "0", "CAB")], "row int, variant_id string, aa_sequence string")
+    out = fr.numbered_peptides(fr.fragment(rows, [2]), ["row"], [2])
+    assert {(r.peptide_id, r.peptide, r.occurrence_count) for r in out.collect()} == {("pep_000001", "CA", 1), ("pep_000002", "AB", 3), ("pep_000003", "BA", 2), ("pep_000004", "AC", 1)}
+    windows = plans[0].index("Generate")
+    assert plans[0].rindex("HashAggregate", 0, windows) > plans[0].rindex("SortAggregate", 0, windows)
+
+
 def _files(path):
     return sorted(f.parent.name for f in path.rglob("*.parquet"))
 
