@@ -125,6 +125,7 @@ def mutation_gram(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_cou
     has are left out. Products are counts of the bits that two mutations' bitmaps and the outcome's have in common, so
     the rows grow with the mutations squared for each bitmap of some thousand variants, not with the variants' pairs.
     """
+    scores = _settled(scores, outcomes)
     bitmaps = settle(mutation_bitmaps(scores, outcomes))
     counts = bitmaps.where("kind = 'm'").groupBy("allele", "name").agg(F.sum(F.bitmap_count("bits")).alias("n"))
     keep = counts.where((F.col("n") >= min_count) | (F.col("name") == "")).select("allele", "name")
@@ -252,7 +253,7 @@ def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, mi
 
 def bootstrap_totals(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, bootstraps: int = 500, seed: int = 1) -> DataFrame:
     """(allele, outcome, replicate, n_rows, n_drawn, n_left_out) of the bootstrap's replicates."""
-    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL")
+    y = unpivot_outcomes(_settled(scores, outcomes), outcomes).where("value IS NOT NULL")
     rows = y.select("allele", "outcome", "variant_id", F.col("value").alias("y"), F.array().cast("array<int>").alias("at"), F.lit(1).alias("p"))
     return replicate_totals(rows, bootstraps, seed)
 

@@ -7,6 +7,29 @@ from epilattice.operators import mutations as mu
 from epilattice.sources.writers import write_by_allele, write_models
 
 
+def _counted(spark, n):
+    """Scores of n variants, and how often a row of them was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        made.add(1)
+        return float(x)
+
+    scores = spark.range(n, numPartitions=1).select(F.lit("a").alias("allele"), F.col("id").cast("string").alias("variant_id"), F.lit("A1C").alias("VR_mutation"), value("id").alias("o"))
+    return scores, made
+
+
+def test_gram_makes_scores_once(spark):
+    scores, made = _counted(spark, 50)
+    assert mu.mutation_gram(scores, ["o"], 1).count() == 4 and made.value == 50
+
+
+def test_bootstrap_makes_scores_once(spark):
+    scores, made = _counted(spark, 50)
+    assert mu.bootstrap_totals(scores, ["o"], 3).count() == 3 and made.value == 50
+
+
 def test_numbering_hashes_windows(spark, monkeypatch):
     plans, settle = [], fr.settle
     monkeypatch.setattr(fr, "settle", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or settle(df))
