@@ -137,7 +137,7 @@ def _written_scores(spark: SparkSession, sf_dir: str) -> str:
     path = _folder(spark, "scores")
     for allele, columns in (("A", ["allele", "variant_id", "VR_mutation", "o1", "o2"]), ("B", ["o2", "o1", "VR_mutation", "allele", "variant_id"]), ("C", ["VR_mutation", "allele", "o2", "variant_id"])):
         own = rows.withColumn("allele", F.lit(allele)).withColumns({c: fx.hashed_score(c, F.col("allele"), F.col("variant_id")) for c in ("o1", "o2")})
-        write_table(own.select(*columns).coalesce(1), f"{path}/run_{allele}", "tsv")  # a run leaves one file for an allele
+        write_table(own.select(*columns).repartition(1), f"{path}/run_{allele}", "tsv")  # a run leaves one file for an allele; its rows are derived in parallel
     return path
 
 
@@ -196,7 +196,7 @@ def _written_repeated(spark: SparkSession, sf_dir: str) -> str:
     for allele in "ABC":
         own = rows.withColumn("allele", F.lit(allele)).withColumns({c: fx.hashed_score(c, F.col("allele"), F.col("variant_id")) for c in ("o1", "o2")})
         again = own.withColumns({"VR_mutation": F.concat(F.lit("~"), "VR_mutation"), "o1": F.lit(-1.0), "o2": F.lit(-1.0)})
-        write_table(own.unionByName(again).coalesce(1), f"{path}/run_{allele}", "tsv")  # a run leaves one file for an allele
+        write_table(own.unionByName(again).repartition(1), f"{path}/run_{allele}", "tsv")  # a run leaves one file for an allele; its rows are derived in parallel
     return path
 
 
