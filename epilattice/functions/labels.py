@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A decimal number as text; try_cast alone would also take '1d' or 'NaN'.
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -23,6 +24,12 @@ def lenient_int(c: Column) -> Column:
     return F.when(value == F.floor(value), value).try_cast("int")
 
 
+def int_of(df: DataFrame, c: str) -> Column:
+    """lenient_int, without the way over text where the column is a whole number already."""
+    is_int = isinstance(df.schema[c].dataType, (T.IntegerType, T.ShortType, T.ByteType))
+    return (F.col(c).cast("int") if is_int else lenient_int(F.col(c))).alias(c)
+
+
 def decoded_boolean(c: Column) -> Column:
     """true and 1 in any case are true; everything else, null included, is false."""
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1"), F.lit(False))
@@ -35,7 +42,8 @@ def passes(score: Column, threshold: float) -> Column:
 
 def normalised_allele(c: Column) -> Column:
     """Trims, and writes mouse alleles H-2-Xy as H2-X*y; others stay."""
-    return F.regexp_replace(F.trim(c), r"^H-2-(.)(.+)$", "H2-$1*$2")
+    name = F.trim(c)  # few are to be rewritten, and a prefix is found faster than a pattern
+    return F.when(name.startswith("H-2-"), F.regexp_replace(name, r"^H-2-(.)(.+)$", "H2-$1*$2")).otherwise(name)
 
 
 def safe_label(c: Column) -> Column:
@@ -50,20 +58,22 @@ def vr_slice(sequence: Column, start: int, end: int) -> Column:
 
 
 def mutation_string(vr: Column, wt: Column) -> Column:
-    """Differences over the shorter length as S1A;T3G; WT if there are none; null if either is."""
-    n = F.least(F.length(vr), F.length(wt))
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    differs = F.filter(at, lambda i: F.substring(vr, i, F.lit(1)) != F.substring(wt, i, F.lit(1)))
-    labels = F.transform(differs, lambda i: F.concat(F.substring(wt, i, F.lit(1)), i.cast("string"), F.substring(vr, i, F.lit(1))))
-    return F.when(vr.isNotNull() & wt.isNotNull(), F.when(F.size(labels) == 0, F.lit("WT")).otherwise(F.array_join(labels, ";")))
+    """Differences over the shorter length as S1A;T3G; WT if there are none; null if either is.
+
+    Both are cut into residues once: substring() would walk from the front for each position."""
+    own, other = F.slice(F.split(vr, ""), F.lit(1), F.least(F.length(vr), F.length(wt))), F.split(wt, "")
+    label = lambda x, i: F.when(x != F.get(other, i), F.concat(F.get(other, i), (i + 1).cast("string"), x))
+    # places without a difference are null, which array_join leaves out
+    return F.coalesce(F.nullif(F.array_join(F.transform(own, label), ";"), F.lit("")), F.when(vr.isNotNull() & wt.isNotNull(), F.lit("WT")))
 
 
 def peptide_mutation_string(mutation: Column, start: Column, end: Column, region_start: int) -> Column:
     """The labels whose position lies in the peptide; malformed ones are dropped; WT if none is left."""
     labels = F.transform(F.split(mutation, ";"), lambda x: F.trim(x))
-    position = lambda x: F.regexp_extract(x, LABEL, 2).try_cast("int") + (region_start - 1)
-    kept = F.filter(labels, lambda x: F.coalesce(position(x).between(start, end), F.lit(False)))
-    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_join(kept, ";")).otherwise(F.lit("WT"))
+    # each label is parsed once; those outside are null, which array_join leaves out
+    placed = F.transform(labels, lambda x: F.struct(x.alias("label"), (F.regexp_extract(x, LABEL, 2).try_cast("int") + (region_start - 1)).alias("at")))
+    kept = F.transform(placed, lambda p: F.when(p["at"].between(start, end), p["label"]))
+    return F.coalesce(F.nullif(F.array_join(kept, ";"), F.lit("")), F.lit("WT"))
 
 
 def mutation_list(mutation: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import lenient_int, normalised_allele, passes
+from ..functions.labels import int_of, normalised_allele, passes
 from .checks import unique_keys
 from .watch import Watch
 
@@ -28,7 +28,7 @@ def combine_predictions(net: DataFrame, flurry: DataFrame, metadata: Sequence[st
     rows = None
     for tag, df, own in (("l", net, NET), ("r", flurry, FLURRY)):
         own = own + [c for c in df.columns if tag == "l" and c in ("netMHCpan_BA_score", "netMHCpan_BA_rank")]
-        keys = [normalised_allele(F.col("allele")).alias("allele"), "peptide", "variant_id", *[lenient_int(F.col(c)).alias(c) for c in ("start", "end", "k")]]
+        keys = [normalised_allele(F.col("allele")).alias("allele"), "peptide", "variant_id", *[int_of(df, c) for c in ("start", "end", "k")]]
         kept = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in shared]
         part = df.select(*keys, F.lit(tag).alias("_side"), F.struct(*kept).alias("_shared"), F.struct(*own).alias(f"_{tag}"))
         if validate:
@@ -36,7 +36,8 @@ def combine_predictions(net: DataFrame, flurry: DataFrame, metadata: Sequence[st
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     rows = rows.repartition(partitions, "allele", "variant_id") if partitions else rows.repartition("allele", "variant_id")
     sides = {t: F.first(F.when(F.col("_side") == t, F.col("_shared")), ignorenulls=True).alias(f"_s{t}") for t in "lr"}
-    out = rows.groupBy(*KEYS).agg(
+    # groups of structs are sorted by their keys in this order: a variant's id tells more rows apart than an allele's name
+    out = rows.groupBy("variant_id", "start", "allele", "end", "k", "peptide").agg(
         F.first("_l", ignorenulls=True).alias("_l"), F.first("_r", ignorenulls=True).alias("_r"), *sides.values(),
         F.max(F.col("_side") == "l").alias("_in_l"), F.max(F.col("_side") == "r").alias("_in_r"),
     )

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from epilattice.operators import fragments as fr
 from epilattice.operators import mutations as mu
+from epilattice.operators import scores as sc
+from epilattice.operators.combine import FLURRY, KEYS, NET, combine_predictions
+from epilattice.plans import files, queries
 from epilattice.sources.writers import write_by_allele, write_models
 
 
@@ -50,3 +53,14 @@ def test_folders_are_dealt_to_tasks(spark, tmp_path):
     write_models({"m": rows}, str(tmp_path / "models"))
     assert _files(tmp_path / "by") == ["allele_label=a0", "allele_label=a1", "allele_label=a2"] and len(_files(tmp_path / "models")) == 3
     assert spark.read.parquet(str(tmp_path / "by")).count() == 400
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_numbers_go_no_way_over_text(spark):
+    rows = spark.createDataFrame([("H-2-Db", "ABC", "v", 1, 3, 3, 0.5, 1.5, True)], f"allele string, peptide string, variant_id string, start int, `end` int, k int, {NET[0]} double, {NET[1]} double, {NET[2]} boolean")
+    other = rows.select(*KEYS, *[F.col(a).alias(b) for a, b in zip(NET, FLURRY, strict=True)])
+    out = combine_predictions(rows, other)
+    assert "RLIKE" not in _plan(out) and out.first().allele == "H2-D*b" and out.first().start == 1
