@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.labels import count_mutations, decoded_boolean, filled_mutation, lenient_double, lenient_int
+from ..functions.labels import count_mutations, decoded_boolean, filled_mutation, int_of, lenient_double
 from ..sources.settled import pinned
 from .checks import all_matched, forbid, one_mutation, require_columns, unique_keys
 from .predictions import AFFINITY, EL_RANK, EL_RANK_2
@@ -27,11 +28,6 @@ def _double(df: DataFrame, c: str) -> Column:
     return (F.when(~F.isnan(c), F.col(c).cast("double")) if is_double else lenient_double(F.col(c))).alias(c)
 
 
-def _int(df: DataFrame, c: str) -> Column:
-    is_int = isinstance(df.schema[c].dataType, (T.IntegerType, T.ShortType, T.ByteType))
-    return (F.col(c).cast("int") if is_int else lenient_int(F.col(c))).alias(c)
-
-
 def _flag(df: DataFrame, c: str) -> Column:
     is_boolean = isinstance(df.schema[c].dataType, T.BooleanType)
     return (F.coalesce(c, F.lit(False)) if is_boolean else decoded_boolean(F.col(c))).alias(c)
@@ -42,10 +38,10 @@ def _both(df: DataFrame) -> DataFrame:
 
 
 def _one_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key, the first by `order`; an aggregate, as groups are one or two rows."""
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(first.alias("_r")).select(*[F.col(f"_r.`{c}`").alias(c) if c in rest else F.col(c) for c in df.columns])
+    """One row for each key, the first by `order`. Rows are sorted once, by keys that begin with the variant, which tells
+    more of them apart than an allele's name; the least of structs would sort them too, and build a struct of each row."""
+    place = F.row_number().over(W.partitionBy("variant_id", *[c for c in keys if c != "variant_id"]).orderBy(*order))
+    return df.withColumn("_n", place).where("_n = 1").drop("_n")
 
 
 def prepare_absolute(combined: DataFrame, validate: bool = False) -> DataFrame:
@@ -53,7 +49,7 @@ def prepare_absolute(combined: DataFrame, validate: bool = False) -> DataFrame:
     variant go. Missing or blank mutations read WT, missing flags false, scores that are no numbers null."""
     require_columns(combined, [*GROUPS, "peptide_id", "VR_mutation", EL_RANK, NET_PASS, AFFINITY, FLURRY_PASS], "combined table")
     # from text tables too, places are ordered as numbers
-    placed = [_int(combined, c) if c in combined.columns else F.lit(None).cast("int").alias(c) for c in ("start", "end")]
+    placed = [int_of(combined, c) if c in combined.columns else F.lit(None).cast("int").alias(c) for c in ("start", "end")]
     rows = combined.where("allele IS NOT NULL AND variant_id IS NOT NULL").select(
         *map(_text, [*GROUPS, "peptide_id"]), filled_mutation(F.col("VR_mutation")).alias("VR_mutation"), *placed,
         _double(combined, EL_RANK), _flag(combined, NET_PASS), _double(combined, AFFINITY), _flag(combined, FLURRY_PASS),
@@ -105,7 +101,7 @@ def prepare_windows(combined: DataFrame, validate: bool = False) -> DataFrame:
     """Cleaned rows for window scoring, one for each allele, variant and window."""
     require_columns(combined, [*GROUPS, "peptide_id", "peptide", "start", "end", "k", "VR_mutation", EL_RANK, NET_PASS, AFFINITY, FLURRY_PASS], "combined table")
     rows = combined.where("allele IS NOT NULL AND variant_id IS NOT NULL").select(
-        *map(_text, [*GROUPS, "peptide_id", "peptide"]), *[_int(combined, c) for c in ("start", "end", "k")],
+        *map(_text, [*GROUPS, "peptide_id", "peptide"]), *[int_of(combined, c) for c in ("start", "end", "k")],
         filled_mutation(F.col("VR_mutation")).alias("VR_mutation"),
         _double(combined, EL_RANK), _flag(combined, NET_PASS), _double(combined, AFFINITY), _flag(combined, FLURRY_PASS),
     )
@@ -175,25 +171,37 @@ def wt_scores_mhci(variants: DataFrame, wt: DataFrame, validate: bool = False, w
     if validate:
         all_matched(rows.select("allele").distinct(), reference, ["allele"], "alleles without wild-type windows")
     windows = wt_relative_windows(rows, reference)
-    total = lambda c: F.sum(F.col(c).cast("long"))
-    changes = [
-        x for n in ("netMHCpan", "MHCflurry", "both")
-        for x in (
-            F.count_if(F.col(f"{n}_new_pass_vs_WT")).alias(f"{n}_new_passed_count"), F.count_if(F.col(f"{n}_lost_pass_vs_WT")).alias(f"{n}_lost_passed_count"),
-            total(f"{n}_pass_change_vs_WT").alias(f"{n}_net_pass_change"),
-        )
-    ]
-    out = windows.groupBy(*GROUPS).agg(
-        F.min("VR_mutation").alias("VR_mutation"), F.count("wt_peptide_id").alias("matched_window_count"),
-        F.coalesce(F.first("expected_window_count", ignorenulls=True), F.lit(0)).alias("expected_window_count"),
-        F.count_if("changed_window").alias("changed_window_count"), *changes,
-        *[F.avg(f"{n}_window_improvement").alias(f"{n}_mean_window_improvement") for n in ("netMHCpan", "MHCflurry")], *_others(watch),
+    names = ("netMHCpan", "MHCflurry", "both")
+    out = _summed(
+        windows, "wt_peptide_id",
+        {f"{n}_{to}_passed_count": f"{n}_{to}_pass_vs_WT" for n in names for to in ("new", "lost")}, {f"{n}_net_pass_change": f"{n}_pass_change_vs_WT" for n in names},
+        {f"{n}_mean_window_improvement": f"{n}_window_improvement" for n in ("netMHCpan", "MHCflurry")}, watch,
     )
+    changes = [f"{n}_{c}" for n in names for c in ("new_passed_count", "lost_passed_count", "net_pass_change")]
+    out = out.select(*out.columns[:6], *changes, *[c for c in out.columns[6:] if c not in changes])
     if watch:
         out = watch.forbid(out, F.col("expected_window_count") == 0, "alleles without wild-type windows", ["allele"])
     return _complete(out, validate, watch)
 
 
+def _summed(windows: DataFrame, matched: str, counts: dict[str, str], sums: dict[str, str], means: dict[str, str], watch: Watch | None) -> DataFrame:
+    """One row for each allele and variant: VR_mutation, counts of windows, and of what is named {result: column}.
+
+    Windows are added up by label first, as the least of texts is found by sorting, and all else by hashing: what is
+    then sorted is a row for each allele and variant, not for each window."""
+    of_label = windows.groupBy(*GROUPS, "VR_mutation").agg(
+        F.count(matched).alias("matched_window_count"), F.first("expected_window_count", ignorenulls=True).alias("expected_window_count"), F.count_if("changed_window").alias("changed_window_count"),
+        *[F.count_if(c).alias(n) for n, c in counts.items()], *[F.sum(F.col(c).cast("long")).alias(n) for n, c in sums.items()],
+        *[x for n, c in means.items() for x in (F.sum(c).alias(n), F.count(c).alias(f"_n_{n}"))],
+    )
+    total = lambda c: F.sum(c).alias(c)
+    mean = lambda c: F.when(F.sum(f"_n_{c}") > 0, F.sum(c) / F.sum(f"_n_{c}")).alias(c)
+    return of_label.groupBy(*GROUPS).agg(
+        F.min("VR_mutation").alias("VR_mutation"), total("matched_window_count"), F.coalesce(F.first("expected_window_count", ignorenulls=True), F.lit(0)).alias("expected_window_count"),
+        total("changed_window_count"), *map(total, [*counts, *sums]), *map(mean, means), *_others(watch),
+    )
+
+
 def _complete(scores: DataFrame, validate: bool, watch: Watch | None = None) -> DataFrame:
     scores = _same_mutation(watch, scores).withColumn("mutation_count", count_mutations(F.col("VR_mutation")).cast("long"))
     shown = [*GROUPS, "matched_window_count", "expected_window_count"]
@@ -233,12 +241,8 @@ def wt_scores_mhcii(variants: DataFrame, wt: DataFrame, validate: bool = False,
         windows = watch.forbid(windows, F.col("wt_peptide").isNull(), "windows without a wild-type match", [*GROUPS, "start", "end", "k"])
     windows = windows.join(expected, "allele", "left").withColumn("changed_window", F.coalesce(F.col("peptide") != F.col("wt_peptide"), F.lit(False)))
     windows = windows.withColumns(_changes("b", BINDER) | {"improvement": _improvement(f"wt_{EL_RANK_2}", EL_RANK_2)})
-    out = windows.groupBy(*GROUPS).agg(
-        F.min("VR_mutation").alias("VR_mutation"), F.count("wt_peptide").alias("matched_window_count"),
-        F.coalesce(F.first("expected_window_count", ignorenulls=True), F.lit(0)).alias("expected_window_count"),
-        F.count_if("changed_window").alias("changed_window_count"),
-        F.count_if("b_new_pass_vs_WT").alias("netMHCIIpan_new_binder_count"), F.count_if("b_lost_pass_vs_WT").alias("netMHCIIpan_lost_binder_count"),
-        F.sum(F.col("b_pass_change_vs_WT").cast("long")).alias("netMHCIIpan_net_binder_change"),
-        F.avg("improvement").alias("netMHCIIpan_mean_window_improvement"), *_others(watch),
+    out = _summed(
+        windows, "wt_peptide", {f"netMHCIIpan_{to}_binder_count": f"b_{to}_pass_vs_WT" for to in ("new", "lost")}, {"netMHCIIpan_net_binder_change": "b_pass_change_vs_WT"},
+        {"netMHCIIpan_mean_window_improvement": "improvement"}, watch,
     )
     return _complete(out, validate, watch)

@@ -64,3 +64,16 @@ def test_whole_numbers_go_no_way_over_text(spark):
     other = rows.select(*KEYS, *[F.col(a).alias(b) for a, b in zip(NET, FLURRY, strict=True)])
     out = combine_predictions(rows, other)
     assert "RLIKE" not in _plan(out) and out.first().allele == "H2-D*b" and out.first().start == 1
+
+
+def test_windows_are_summed_by_hashing(spark):
+    columns = "allele string, variant_id string, peptide_id string, peptide string, start int, `end` int, k int, VR_mutation string, netMHCpan_EL_rank double, netMHCpan_EL_rank_pass boolean, MHCflurry_affinity_percentile double, MHCflurry_affinity_percentile_pass boolean"
+    row = lambda v, p, at, m, x: ("a", v, p, p, at, at + 2, 3, m, x, x < 2, x, x < 2)
+    variants = spark.createDataFrame([row("v", "ACD", 1, "B2C", 1.0), row("v", "ACE", 1, "B2C", 9.0), row("v", "CDE", 2, "Z", 3.0), row("u", "ABD", 1, None, 1.0)], columns)
+    out = sc.wt_scores_mhci(variants, spark.createDataFrame([row("w", "ABD", 1, None, 4.0), row("w", "BDE", 2, None, 1.0)], columns))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    windows = plan.index("Window ")
+    # what stands on the windows themselves sums by hashing; texts are compared where a variant's rows are one a label
+    assert plan.rindex("HashAggregate", 0, windows) > plan.rindex("SortAggregate", 0, windows) and "min_by" not in plan
+    found = {r.variant_id: (r.VR_mutation, r.matched_window_count, r.changed_window_count, r.netMHCpan_new_passed_count, r.netMHCpan_lost_passed_count, r.netMHCpan_mean_window_improvement) for r in out.collect()}
+    assert found == {"v": ("B2C", 2, 2, 1, 1, 0.5), "u": ("WT", 1, 0, 1, 0, 0.0)}
