@@ -175,8 +175,8 @@ def infer_wt_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peptide_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    library = fx.library(spark, sf_dir)
-    rows = an.annotate(windows_of(library), library, fx.REGION, fx.VR)
+    """Variants are labelled before they are cut, so that windows carry the labels and are joined with nothing."""
+    rows = an.peptide_labels(windows_of(an.labelled(fx.library(spark, sf_dir), fx.REGION, fx.VR)), fx.REGION)
     return rows.select("variant_id", "start", "VR_mutation", "peptide_mutation")
 
 

@@ -77,3 +77,8 @@ def test_windows_are_summed_by_hashing(spark):
     assert plan.rindex("HashAggregate", 0, windows) > plan.rindex("SortAggregate", 0, windows) and "min_by" not in plan
     found = {r.variant_id: (r.VR_mutation, r.matched_window_count, r.changed_window_count, r.netMHCpan_new_passed_count, r.netMHCpan_lost_passed_count, r.netMHCpan_mean_window_improvement) for r in out.collect()}
     assert found == {"v": ("B2C", 2, 2, 1, 1, 0.5), "u": ("WT", 1, 0, 1, 0, 0.0)}
+
+
+def test_windows_carry_their_labels(spark, tmp_path):
+    spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    assert "Join" not in _plan(queries.peptide_mutation(spark, str(tmp_path)))
