@@ -16,7 +16,7 @@ from ..operators.predictions import peptide_allele_pairs, rename_alleles
 from ..operators.scores import FLURRY_PASS, NET_PASS, absolute_scores, prepare_windows, wt_scores_mhci
 from ..sources.predictor_files import register_sources
 from ..sources.readers import read_fasta, read_library, read_long_predictions, read_peptide_map, read_scores, read_table, read_unique_peptides, read_wide_mhci, read_wide_mhcii, tidy_scores
-from ..sources.settled import shared_dir
+from ..sources.settled import settle, shared_dir
 from ..sources.writers import write_by_allele, write_fragment_tables, write_models, write_pair_input, write_peptide_lists, write_table
 from . import fixtures as fx
 from . import oracles as o
@@ -124,7 +124,7 @@ def source_wide_mhcii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique peptides and their occurrences, written as text tables, read and joined again."""
     own = fragment(drop_stops(fx.library(spark, sf_dir), fx.REGION), [9], fx.REGION, "overlap")
-    ids = unique_peptides(own).withColumn("peptide_id", F.concat(F.lit("pep_"), "peptide"))
+    ids = settle(unique_peptides(own).withColumn("peptide_id", F.concat(F.lit("pep_"), "peptide")))  # read twice
     write_fragment_tables(own, ids, peptide_map(own, ids), path := _folder(spark, "fragments"), "tsv")
     peptides, places = read_unique_peptides(spark, f"{path}/unique_peptides", True), read_peptide_map(spark, f"{path}/peptide_map", True)
     return places.join(peptides, "peptide_id").select("peptide_id", "peptide", "k", "occurrence_count", "variant_id", "start", "end", "criteria")

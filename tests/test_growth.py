@@ -82,3 +82,10 @@ def test_windows_are_summed_by_hashing(spark):
 def test_windows_carry_their_labels(spark, tmp_path):
     spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     assert "Join" not in _plan(queries.peptide_mutation(spark, str(tmp_path)))
+
+
+def test_written_peptides_are_counted_once(spark, tmp_path, monkeypatch):
+    kept, settle = [], files.settle
+    monkeypatch.setattr(files, "settle", lambda df: kept.append(df.columns) or settle(df))
+    spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    assert files.file_fragments(spark, str(tmp_path)).count() == 39 * 25 and len(kept) == 1
