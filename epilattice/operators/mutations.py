@@ -166,14 +166,21 @@ def _solve(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 def design_rows(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """(rows, names) of the models: rows(allele, outcome, variant_id, y, at, p) for each score that is there, `at`
     being the numbers, from 1, of the recurrent mutations that the variant has, and p their number in all plus 1 for the
-    constant; names(allele, names) has the mutations of an allele in order."""
-    names = recurrent_mutations(scores, min_count).groupBy("allele").agg(F.sort_array(F.collect_list("mutation")).alias("names"))
+    constant; names(allele, names) has the mutations of an allele in order.
+
+    Both are settled, a row for each variant: models read them several times."""
+    require_columns(scores, ["allele", "variant_id", "VR_mutation", *outcomes], "score table")
+    names = settle(recurrent_mutations(scores, min_count).groupBy("allele").agg(F.sort_array(F.collect_list("mutation")).alias("names")))
     numbers = names.select("allele", F.posexplode("names").alias("_i", "mutation"))
-    own = mutation_rows(scores).join(numbers, ["allele", "mutation"]).groupBy("allele", "variant_id").agg(F.sort_array(F.collect_list(F.col("_i") + 1)).alias("at"))
-    y = unpivot_outcomes(scores, outcomes).where("value IS NOT NULL").drop("VR_mutation")
-    rows = y.join(own, ["allele", "variant_id"], "left").join(names.select("allele", (F.size("names") + 1).alias("p")), "allele", "left")
+    # a row for each variant, as of unpivot_outcomes and of mutation_rows: numbers meet it before outcomes repeat it
+    first = scores.groupBy("allele", "variant_id").agg(F.min("VR_mutation").alias("_m"), F.min(F.struct("VR_mutation", *outcomes)).alias("r"))
+    labels = first.select("allele", "variant_id", F.explode(mutation_list(F.col("_m"))).alias("mutation"))
+    own = labels.join(numbers, ["allele", "mutation"]).groupBy("allele", "variant_id").agg(F.sort_array(F.collect_list(F.col("_i") + 1)).alias("at"))
+    values = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(f"r.{o}").cast("double").alias("value")) for o in outcomes])
+    wide = first.select("allele", "variant_id", values.alias("values")).join(own, ["allele", "variant_id"], "left").join(names.select("allele", (F.size("names") + 1).alias("p")), "allele", "left")
+    rows = settle(wide).select("allele", "variant_id", "at", "p", F.explode("values").alias("o")).where("o.value IS NOT NULL AND NOT isnan(o.value)")
     return rows.select(
-        "allele", "outcome", "variant_id", F.col("value").alias("y"), F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("p", F.lit(1)).alias("p")
+        "allele", "o.outcome", "variant_id", F.col("o.value").alias("y"), F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("p", F.lit(1)).alias("p")
     ), names
 
 
@@ -189,11 +196,10 @@ def mutation_ols(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_coun
 
     Each task factorises its own rows and the factors are merged in a tree, so only matrices of mutations by mutations
     are shuffled, and rank and solution have the precision of the design itself."""
-    return _ols(_settled(scores, outcomes), outcomes, min_count, constant)
+    return _ols(*design_rows(_settled(scores, outcomes), outcomes, min_count), constant)
 
 
-def _ols(scores: DataFrame, outcomes: Sequence[str], min_count: int, constant: bool = False) -> tuple[DataFrame, DataFrame]:
-    rows, names = design_rows(scores, outcomes, min_count)
+def _ols(rows: DataFrame, names: DataFrame, constant: bool = False) -> tuple[DataFrame, DataFrame]:
     totals = rows.groupBy("allele", "outcome").agg((F.var_pop("y") * F.count("*")).alias("tss"))
     at = F.concat(F.array(F.lit(0)), F.col("at"))
     found = least_squares(rows.select("allele", "outcome", at.alias("at"), F.transform(at, lambda _: F.lit(1.0)).alias("x"), "p", "y"), ["allele", "outcome"])
@@ -212,9 +218,8 @@ def model_residuals(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_c
     """(equations, fits): whether the models are least squares. equations(allele, outcome, mutation, n_variants, residual)
     has the sum of the residuals of the variants with a mutation, '' being all; at the least squares each is 0.
     fits is that of mutation_ols with tss, rss (of the residuals themselves) and gap, rss less what r_squared says."""
-    scores = _settled(scores, outcomes)
-    coefficients, fits = _ols(scores, outcomes, min_count, constant=True)
-    rows, names = design_rows(scores, outcomes, min_count)
+    rows, names = design_rows(_settled(scores, outcomes), outcomes, min_count)
+    coefficients, fits = _ols(rows, names, constant=True)
     columns = rows.withColumn("at", F.concat(F.array(F.lit(0)), "at"))
     numbered = names.select("allele", F.posexplode(F.concat(F.array(F.lit("")), "names")).alias("_i", "mutation"))
     # alleles without recurrent mutations have the constant alone
@@ -227,11 +232,12 @@ def model_residuals(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_c
     return equations, fits.join(sums, ["allele", "outcome"]).withColumn("gap", F.col("rss") - (1 - F.col("r_squared")) * F.col("tss"))
 
 
-def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, bootstraps: int = 500, seed: int = 1) -> DataFrame:
+def mutation_bootstrap(scores: DataFrame, outcomes: Sequence[str] = OUTCOMES, min_count: int = MIN_COUNT, bootstraps: int = 500, seed: int = 1,
+                       design: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(allele, outcome, mutation, replicate, coefficient): refits on as many variants as there are, drawn with
     replacement, the same on any partitioning (up to the order of floating-point sums). A mutation that a replicate
-    didn't draw has 0."""
-    rows, names = design_rows(scores, outcomes, min_count)
+    didn't draw has 0. design is what design_rows gave for the same scores, if that is there already."""
+    rows, names = design or design_rows(_settled(scores, outcomes), outcomes, min_count)
     sums = replicate_sums(rows, bootstraps, seed).join(names, "allele")
 
     def solve(frames):
@@ -263,8 +269,9 @@ def mutation_coefficients(scores: DataFrame, wt_sequence: str, offset: int = 0,
     """(coefficients, fits): each mutation's effect with bootstrap mean, 95 % interval and sign stability."""
     scores = _settled(scores, outcomes)
     counts = parsed_mutations(recurrent_mutations(scores, min_count, validate), wt_sequence, offset, validate)
-    full, fits = _ols(scores, outcomes, min_count)
-    draws = mutation_bootstrap(scores, outcomes, min_count, bootstraps, seed)
+    design = design_rows(scores, outcomes, min_count)
+    full, fits = _ols(*design)
+    draws = mutation_bootstrap(scores, outcomes, min_count, bootstraps, seed, design)
     mean = F.avg("coefficient")
     summary = draws.groupBy("allele", "outcome", "mutation").agg(
         mean.alias("bootstrap_mean_coefficient"), F.percentile("coefficient", 0.025).alias("ci_low"), F.percentile("coefficient", 0.975).alias("ci_high"),

@@ -79,6 +79,14 @@ def test_windows_are_summed_by_hashing(spark):
     assert found == {"v": ("B2C", 2, 2, 1, 1, 0.5), "u": ("WT", 1, 0, 1, 0, 0.0)}
 
 
+def test_models_share_one_design(spark, monkeypatch):
+    made, design = [], mu.design_rows
+    monkeypatch.setattr(mu, "design_rows", lambda *a: made.append(a) or design(*a))
+    scores = spark.createDataFrame([("a", str(i), ["A1C", "A1D;C2E", None][i % 3], float(i)) for i in range(9)], "allele string, variant_id string, VR_mutation string, o double")
+    assert {round(r.residual, 9) + 0.0 for r in mu.model_residuals(scores, ["o"], 1)[0].collect()} == {0.0} and len(made) == 1
+    assert mu.mutation_coefficients(scores, "AC", 0, ["o"], 1, 5)[0].count() == 3 and len(made) == 2
+
+
 def test_windows_carry_their_labels(spark, tmp_path):
     spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     assert "Join" not in _plan(queries.peptide_mutation(spark, str(tmp_path)))
