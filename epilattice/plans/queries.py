@@ -138,9 +138,11 @@ def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_lowest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row twice, the second with a rank that is worse by one or missing."""
-    own = mapped_net(spark, sf_dir)
-    worse = own.withColumn("netMHCpan_EL_rank", F.when(F.col("start") % 2 == 0, F.col("netMHCpan_EL_rank") + 1))
-    kept = keep_lowest(own.unionByName(worse), "netMHCpan_EL_rank")
+    rank = F.col("netMHCpan_EL_rank")
+    worse = F.when(F.col("start") % 2 == 0, rank + 1)
+    # both rows come from one mapping, not from one each
+    twice = mapped_net(spark, sf_dir).withColumn("netMHCpan_EL_rank", F.explode(F.array(rank, worse)))
+    kept = keep_lowest(twice, "netMHCpan_EL_rank")
     return kept.select("allele", "variant_id", "start", "peptide", "netMHCpan_EL_rank")
 
 

@@ -97,3 +97,11 @@ def test_written_peptides_are_counted_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "settle", lambda df: kept.append(df.columns) or settle(df))
     spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     assert files.file_fragments(spark, str(tmp_path)).count() == 39 * 25 and len(kept) == 1
+
+
+def test_lowest_is_found_apart_from_the_join(spark, tmp_path):
+    spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    out = queries.dedup_lowest_rank(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the rows are dealt between the join and the sort that tells them apart, and mapped once for both copies
+    assert "Exchange" in plan[plan.index("Window ") : plan.index("Join")] and plan.count("LeftAnti") == 1 and out.count() == 39 * 25 * 2
