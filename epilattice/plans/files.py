@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -163,6 +163,12 @@ def _screened(spark: SparkSession, sf_dir: str, library: DataFrame) -> DataFrame
     return rows.withColumn("peptide_id", F.col("peptide"))
 
 
+def _with_again(rows: DataFrame, **others: Column) -> DataFrame:
+    """Every row, and every row again with other values; both are made by one screen."""
+    twice = rows.withColumn("_again", F.explode(F.array(F.lit(False), F.lit(True))))
+    return twice.withColumns({c: F.when(F.col("_again"), x).otherwise(F.col(c)) for c, x in others.items()}).drop("_again")
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.when(F.round(c, 6) == 0, F.lit(0.0)).otherwise(F.round(c, 6)) for c in names})
 
@@ -170,8 +176,8 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 def file_abs_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """abs_scores from a text table in which every row comes again, later in the sequence and with better scores."""
     rows = _screened(spark, sf_dir, fx.library(spark, sf_dir))
-    again = rows.withColumns({"start": F.col("start") + 100, "netMHCpan_EL_rank": F.lit(0.001), "MHCflurry_affinity_percentile": F.lit(0.001), NET_PASS: F.lit(True), FLURRY_PASS: F.lit(True)})
-    write_table(_as_text(rows.unionByName(again)), path := _folder(spark, "combined"), "tsv")
+    better = {"netMHCpan_EL_rank": F.lit(0.001), "MHCflurry_affinity_percentile": F.lit(0.001), NET_PASS: F.lit(True), FLURRY_PASS: F.lit(True)}
+    write_table(_as_text(_with_again(rows, start=F.col("start") + 100, **better)), path := _folder(spark, "combined"), "tsv", compressed=True)
     return _rounded(absolute_scores(read_table(spark, path)), "netMHCpan_mean_top3", "MHCflurry_mean_top3")
 
 

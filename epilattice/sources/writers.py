@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import safe_label
 from ..operators.predictions import peptide_allele_pairs
+from .settled import released
 
+#: Rows of a compressed text file, which one task reads.
+FILE_ROWS = 1_000_000
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), sort: Sequence[str] = ()) -> None:
-    """Parquet, or tab-separated text with a header; sorted globally, nulls last, only if asked.
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), sort: Sequence[str] = (), compressed: bool = False) -> None:
+    """Parquet, or tab-separated text with a header; sorted globally, nulls last, only if asked. Text that is to be read
+    by Spark alone can be compressed (a tenth or less of the disk), in files of a bounded number of rows.
 
     Spark sorts a task's rows by folder. So rows are rebalanced by folder first: a task gets those of few folders, of
     adaptive execution's advisory size, whatever the table's."""
@@ -20,12 +25,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     df = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by and not sort else df
     writer = df.write.mode("overwrite")
     writer = writer.partitionBy(*partition_by) if partition_by else writer
-    if fmt == "parquet":
-        writer.parquet(path)
-    elif fmt == "tsv":
-        writer.option("header", True).option("sep", "\t").csv(path)
-    else:
+    if fmt not in ("parquet", "tsv"):
         raise ValueError(f"unknown format {fmt!r}")
+    if compressed and fmt == "tsv":
+        writer = writer.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": FILE_ROWS})
+    with released(df.sparkSession):
+        writer.parquet(path) if fmt == "parquet" else writer.option("header", True).option("sep", "\t").csv(path)
 
 
 def write_fragment_tables(fragments: DataFrame, peptides: DataFrame, mapping: DataFrame, path: str, fmt: str = "parquet") -> None:

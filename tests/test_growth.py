@@ -1,5 +1,8 @@
 """That work and memory don't grow faster than the tables."""
 
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from epilattice.operators import fragments as fr
@@ -7,6 +10,9 @@ from epilattice.operators import mutations as mu
 from epilattice.operators import scores as sc
 from epilattice.operators.combine import FLURRY, KEYS, NET, combine_predictions
 from epilattice.plans import files, queries
+from epilattice.sources import writers
+from epilattice.sources.readers import read_table
+from epilattice.sources.settled import CLEANUP, settle
 from epilattice.sources.writers import write_by_allele, write_models
 
 
@@ -105,3 +111,32 @@ def test_lowest_is_found_apart_from_the_join(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the rows are dealt between the join and the sort that tells them apart, and mapped once for both copies
     assert "Exchange" in plan[plan.index("Window ") : plan.index("Join")] and plan.count("LeftAnti") == 1 and out.count() == 39 * 25 * 2
+
+
+def test_text_tables_are_compressed(spark, tmp_path, monkeypatch):
+    plans, paths, write = [], [], files.write_table
+    monkeypatch.setattr(files, "write_table", lambda df, path, *a, **k: (plans.append(_plan(df)), paths.append(path), write(df, path, *a, **k)))
+    spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    for query, tables in ((files.file_abs_scores, 1),):
+        plans.clear(), paths.clear()
+        assert query(spark, str(tmp_path)).count() == 2 * 39 and len(paths) == tables
+        # a row that comes again isn't screened again
+        assert all(p.count("LeftAnti") == 1 for p in plans)
+        assert all(f.name.endswith(".gz") for p in paths for f in Path(p.removeprefix("file:")).glob("part-*"))
+
+
+def test_compressed_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE_ROWS", 30)
+    writers.write_table(spark.range(100, numPartitions=1), str(tmp_path / "t"), "tsv", compressed=True)
+    assert len(list((tmp_path / "t").glob("part-*"))) == 4
+    assert sorted(int(r.id) for r in read_table(spark, str(tmp_path / "t")).collect()) == list(range(100))
+
+
+def test_settling_leaves_no_shuffle(spark):
+    names = lambda: {n for n in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before, mode = names(), spark.conf.get(CLEANUP)
+    kept = settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition("count"))
+    end = time.time() + 30
+    while names() - before and time.time() < end:  # they go in the background
+        time.sleep(0.5)
+    assert not names() - before and spark.conf.get(CLEANUP) == mode and kept.count() == 7
