@@ -186,8 +186,8 @@ def file_wt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = []
     for name, library in (("variants", fx.library(spark, sf_dir)), ("wild", fx.wt_library(spark))):
         rows = _screened(spark, sf_dir, library)
-        again = rows.withColumns({"peptide": F.concat(F.lit("z"), "peptide"), "netMHCpan_EL_rank": F.lit(0.001), NET_PASS: F.lit(True)})
-        write_table(_as_text(rows.unionByName(again)), path := _folder(spark, name), "tsv")
+        again = {"peptide": F.concat(F.lit("z"), "peptide"), "netMHCpan_EL_rank": F.lit(0.001), NET_PASS: F.lit(True)}
+        write_table(_as_text(_with_again(rows, **again)), path := _folder(spark, name), "tsv", compressed=True)
         tables.append(read_table(spark, path))
     # the wild type's reference takes any row's flag, so its own windows are settled first
     wild = prepare_windows(tables[1])

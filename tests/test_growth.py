@@ -117,7 +117,7 @@ def test_text_tables_are_compressed(spark, tmp_path, monkeypatch):
     plans, paths, write = [], [], files.write_table
     monkeypatch.setattr(files, "write_table", lambda df, path, *a, **k: (plans.append(_plan(df)), paths.append(path), write(df, path, *a, **k)))
     spark.range(1, 40).selectExpr("id AS c_custkey", "'x' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
-    for query, tables in ((files.file_abs_scores, 1),):
+    for query, tables in ((files.file_abs_scores, 1), (files.file_wt_scores, 2)):
         plans.clear(), paths.clear()
         assert query(spark, str(tmp_path)).count() == 2 * 39 and len(paths) == tables
         # a row that comes again isn't screened again
