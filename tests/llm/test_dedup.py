@@ -167,6 +167,33 @@ def test_large_blocks_lose_no_link(spark):
         assert {i: got.get(i, i) for i in want} == want
 
 
+def test_little_is_dealt_to_blocks(spark, monkeypatch):
+    """Sets whose sizes rule out a link with all others of their block aren't signed, and what is signed is narrow."""
+    members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 5), (3, 6), (3, 7)], "centre long, id long")
+    sizes = spark.createDataFrame([(1, 10), (2, 100), (3, 8), (4, 126), (5, 125), (6, 4), (7, 6)], "id long, n long")
+    assert sorted(map(tuple, linking.like_sized(members, sizes).collect())) == [(1, 1), (1, 3), (2, 2), (2, 5)]
+    asked = []
+    code = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000)).astype(np.uint64)
+    wide, narrow = (linking.signature(np.array([1000]), code, np.array([0, 1000]), *b)[1][-1] for b in ((), (linking.DEALT_BITS,)))
+    assert wide == 4 * narrow
+    r = random.Random(5)
+    base = prose(r, 100, 5000)
+    # one shingle is common to all; only the first two are of like sizes
+    rows = [(0, base), (1, base + " more"), (2, base + " " + prose(r, 300, 5000)), (3, " ".join(base.split()[:8]))]
+    link = jaccard.link_components
+    monkeypatch.setattr(jaccard, "link_components", lambda postings, sample, fetch, *a, **k: link(postings, sample, lambda ids, kept: asked.append(ids.count()) or fetch(ids, kept), *a, **k))
+    assert sorted((x.doc_id, x.component_id) for x in jaccard.jaccard_join(frame(spark, rows)).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+    assert max(asked) == 2
+
+
+def test_keys_that_meet_by_chance_link_nothing(spark, monkeypatch):
+    """With four bits of a key nearly all sets meet, and results are the same."""
+    monkeypatch.setattr(jaccard, "KEY_BITS", 4)
+    rows = near_copies(random.Random(6), 10)
+    got = jaccard.jaccard_join(frame(spark, rows))
+    assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got.collect()], key=str) == jaccard_truth(rows)
+
+
 def test_trees_prune(spark):
     """Clusters of near copies in one tree: the traversal finds all links and looks at few of the pairs."""
     r = np.random.default_rng(3)
